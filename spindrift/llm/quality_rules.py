@@ -14,8 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrift.llm.common import byte_rows, shared_dir, text_or_empty, written
 
@@ -68,15 +69,18 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, host string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def ruled(counts: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, max_symbol_percent: int = 10) -> DataFrame:
-    """Add base_failed and n_failed, the number of rules that a document fails."""
-    rules = {
-        "short": F.col("n_words") < min_words,
-        "repeats": 100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"),
-        "symbols": 100 * F.col("n_symbols") > max_symbol_percent * F.col("word_chars"),
-        "long_words": F.col("word_chars") > 20 * F.col("n_words"),
-    }
-    return counts.withColumns({"base_failed": rules["short"] | rules["repeats"], "n_failed": sum(r.cast("int") for r in rules.values())})
+def base_failed(prefix: str = "", min_words: int = 50, max_repeat_percent: int = 50) -> Column:
+    """The rules that reject a document by itself."""
+    n, repeats = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return (n < min_words) | (100 * repeats > max_repeat_percent * n)
+
+
+def ruled(counts: DataFrame, max_symbol_percent: int = 10, max_word_chars: int = 20, **limits: int) -> DataFrame:
+    """Add base_failed and failing, whether a document fails any rule that counts against its host."""
+    base = base_failed(**limits)
+    symbols = 100 * F.col("n_symbols") > max_symbol_percent * F.col("word_chars")
+    long_words = F.col("word_chars") > max_word_chars * F.col("n_words")
+    return counts.withColumns({"base_failed": base, "failing": base | symbols | long_words})
 
 
 def host_verdicts(rows: DataFrame, host_limit: float = 0.9) -> DataFrame:
@@ -85,7 +89,7 @@ def host_verdicts(rows: DataFrame, host_limit: float = 0.9) -> DataFrame:
     The prior of failure rates p: mean m and variance v over hosts, v without the share that counting alone makes;
     a + b = m (1 - m) / v - 1, at least 2. With one host, or hosts all alike, the prior is worth ten documents.
     """
-    hosts = rows.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum((F.col("n_failed") > 0).cast("long")).alias("n_failing"))
+    hosts = rows.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failing").cast("long")).alias("n_failing"))
     rate = F.col("n_failing") / F.col("n_docs")
     moments = hosts.agg(
         (F.sum("n_failing") / F.sum("n_docs")).alias("m"), F.var_samp(rate).alias("v"), F.avg(1 / F.col("n_docs")).alias("per_doc"),
@@ -98,10 +102,33 @@ def host_verdicts(rows: DataFrame, host_limit: float = 0.9) -> DataFrame:
     return shrunk.select("host", "n_docs", "n_failing", "rate", (F.col("rate") > host_limit).alias("host_rejected"))
 
 
+#: Rejected hosts are broadcast only while they take up no more than this; beyond, documents are joined to them by host.
+BROADCAST_BYTES = 32 << 20
+
+
+def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = 0.9, **limits: int) -> DataFrame:
+    """The documents that stay, with all their columns: the text is read once more instead of being shuffled."""
+    names = docs.columns
+    spark = docs.sparkSession
+    verdicts = host_verdicts(ruled(written(signals(docs, id_col, text_col, host_col), f"{shared_dir(spark)}/signals"), **limits), host_limit)
+    rejected = verdicts.where("host_rejected").select(F.col("host").alias("__host"))
+    size = rejected.agg(F.sum(F.coalesce(F.octet_length("__host"), F.lit(0)) + 64)).first()[0] or 0
+    at = names.index(text_col)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.array([counts_of(raw or b"") for raw in batch.column(at).cast(pa.binary()).to_pylist()], dtype=np.int64).reshape(-1, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(counts[:, k]) for k in range(len(COUNTS)))], [*batch.schema.names, *(f"__{c}" for c in COUNTS)])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"__{c}", T.LongType()) for c in COUNTS)])
+    rows = docs.mapInArrow(counted, schema).where(~base_failed("__", **limits)).select(*names)
+    return rows.join(F.broadcast(rejected) if size <= BROADCAST_BYTES else rejected, F.col(host_col).cast("string").eqNullSafe(F.col("__host")), "left_anti") if size else rows
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = 0.9, **limits: int) -> DataFrame:
-    """Return ``id_col``, the counts, base_failed, n_failed, host_rate, host_rejected and kept per document."""
+    """Return ``id_col``, the counts, base_failed, failing, host_rate, host_rejected and kept per document."""
     counts = written(signals(docs, id_col, text_col, host_col), f"{shared_dir(docs.sparkSession)}/signals")
     rows = ruled(counts, **limits)
     hosts = host_verdicts(rows, host_limit).select(F.col("host").alias("of"), F.col("rate").alias("host_rate"), "host_rejected")
     joined = rows.join(hosts, F.col("host").eqNullSafe(F.col("of")), "left")
-    return joined.select(F.col("key").alias(id_col), *COUNTS, "base_failed", "n_failed", "host_rate", "host_rejected", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"))
+    return joined.select(F.col("key").alias(id_col), *COUNTS, "base_failed", "failing", "host_rate", "host_rejected", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"))
