@@ -1,0 +1,19 @@
+"""Schemas of the persistent tables, as DDL."""
+
+TRACK = "struct<title:string,artist:string,album:string,isrc:string,provider_ids:map<string,string>,external_links:map<string,string>,raw:string>"
+CANDIDATES = f"source_item_id string, seq long, track {TRACK}, provider string, confidence double, start_ms long, end_ms long, evidence array<string>"
+SEGMENTS = (
+    f"source_item_id string, seq long, start_ms long, end_ms long, kind string, confidence double, providers array<string>, evidence_count long, track {TRACK}, "
+    "alternates array<string>, repeat_group_id string, probe_count long, provider_attempts long, metadata_hints array<string>, uncertainty double, explanation array<string>, identity_key string, acceptance_gate string"
+)
+JOBS = "id string, status string, created_at timestamp, updated_at timestamp, inputs array<string>, options string, error string, cancel_requested boolean"
+SOURCE_ITEMS = "id string, job_id string, seq long, input_value string, kind string, status string, metadata string, local_path string, download_url string, normalized_path string, instrumental_path string, error string"
+JOB_EVENTS = "id long, job_id string, level string, message string, created_at timestamp"
+ARTIFACT_ENTRIES = "id string, job_id string, category string, label string, path string, size_bytes long, exists_flag boolean, temporary boolean, source_item_id string, pinned boolean, updated_at timestamp"
+RECOGNITION_METRICS = "id string, job_id string, source_item_id string, provider_name string, cache_hit boolean, matched boolean, call_count int, matched_segments int, unresolved_segments int, elapsed_ms int, payload string, created_at timestamp"
+CATALOG_TRACKS = "id string, path string, title string, artist string, album string, fingerprint array<int>"
+FINGERPRINT_INDEX = "track_id string, bucket string, position int, value int"
+PROVIDER_CACHE = "cache_key string, provider string, candidates string, created_at timestamp"
+PINNED_JOBS = "job_id string, created_at timestamp"
+DISCOVERY_STATE = "job_id string, input_value string, cursor long, total long, completed boolean, payload string, updated_at timestamp"
+PROVIDER_CONFIGS = "name string, enabled boolean, config string"
