@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import slices, text_or_empty
 
-SLICE = 8 << 20
 #: Words that a worker remembers the hash of; beyond, it starts anew. Only speed depends on it.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 LAST = np.iinfo(np.int64).max
 
@@ -98,7 +97,7 @@ def byte_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
     """Batches in slices of bounded text."""
     for batch in batches:
         texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-        for a, b in slices(texts, SLICE):
+        for a, b in slices(texts):
             yield batch.slice(a, b - a), texts[a:b]
 
 
