@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import slices, text_or_empty
+from spindrift.llm.common import byte_rows, slices, text_or_empty
 
 #: Words that a worker remembers the hash of; beyond, it starts anew. Only speed depends on it.
 REMEMBERED = 300_000
@@ -96,9 +96,11 @@ def prefixes(paths: dict[int, np.ndarray], heavy: list[np.ndarray]) -> np.ndarra
 def byte_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches in slices of bounded text."""
     for batch in batches:
-        texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-        for a, b in slices(texts):
-            yield batch.slice(a, b - a), texts[a:b]
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            texts = byte_rows(part, "text")
+            for a, b in slices(texts):
+                yield part.slice(a, b - a), texts[a:b]
 
 
 def census(rows: DataFrame, window: int, heavy: list[np.ndarray], group_suffixes: int, at_most: int) -> np.ndarray:
