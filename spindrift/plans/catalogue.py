@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from spindrift.plans import ledger_queries, library_queries, planning_queries, similarity_queries, timeline_queries  # noqa: F401
+from spindrift.plans import ledger_queries, library_queries, planning_queries, similarity_queries, stream_queries, text_queries, timeline_queries  # noqa: F401
 from spindrift.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -61,9 +61,10 @@ def uniform_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.uniform_windows(rows, planning.long_step(F.col("duration_ms"), F.col("max_windows")), F.col("max_windows")).select("id", "start_ms", "end_ms")
 
 
-@query(f"""with {_D}, w as (select id, duration_ms, unnest({_STARTS.format(last='duration_ms - 14000', step='10000')}) as start_ms from durations where duration_ms < 600000) select id, start_ms, least(duration_ms, start_ms + 14000) as end_ms from w""")
+@query(f"""with {_D}, w as (select id, duration_ms, unnest({_STARTS.format(last='duration_ms - 14000', step='10000')}) as start_ms from durations where duration_ms < 1500000) select id, start_ms, least(duration_ms, start_ms + 14000) as end_ms from w""")
 def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.sliding_windows(views.durations(spark, sf_dir).where("duration_ms < 600000"), 14_000, 10_000).select("id", "start_ms", "end_ms")
+    """Windows over all media but long mixes."""
+    return planning.sliding_windows(views.durations(spark, sf_dir).where(F.col("duration_ms") < planning.LONG_MS), 14_000, 10_000).select("id", "start_ms", "end_ms")
 
 
 @query(f"""with {_D}, m as (select distinct id, duration_ms, unnest([0, duration_ms // 5, duration_ms // 5 + 9000, duration_ms // 2, duration_ms + 5]) as mark_ms from durations where n_chapters >= 2),
@@ -108,12 +109,12 @@ def split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.split_long(_segments(spark, sf_dir), 20_000).select("id", "part", "start_ms", "end_ms")
 
 
-@query(f"""with {_D}, w as (select id, duration_ms, label, hop, unnest({_STARTS.format(last='duration_ms - 12000', step='hop')}) as start_ms from durations, (values ('mix', 8000), ('instrumental', 16000), ('mix', 24000)) v(label, hop) where duration_ms < 200000),
+@query(f"""with {_D}, w as (select id, duration_ms, label, hop, unnest({_STARTS.format(last='duration_ms - 12000', step='hop')}) as start_ms from durations, (values ('mix', 8000), ('instrumental', 16000), ('mix', 24000)) v(label, hop) where duration_ms < 1500000),
 s as (select id, label, start_ms, least(duration_ms, start_ms + 12000) as end_ms, (start_ms // 1000 * 7919 % 1000)::bigint as score from w),
 o as (select distinct * from s) select id, label, start_ms, end_ms, row_number() over (partition by id order by score desc, start_ms, label, end_ms)::int as place from o qualify place <= 10""")
 def window_dedup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of three planners, distinct, the ten best of each item."""
-    rows = views.durations(spark, sf_dir).where("duration_ms < 200000")
+    """Windows of three planners over all media but long mixes, distinct, the ten best of each."""
+    rows = views.durations(spark, sf_dir).where(F.col("duration_ms") < planning.LONG_MS)
     plans = [planning.sliding_windows(rows, 12_000, hop).withColumn("label", F.lit(label)) for label, hop in (("mix", 8_000), ("instrumental", 16_000), ("mix", 24_000))]
     scored = plans[0].unionByName(plans[1]).unionByName(plans[2]).withColumn("score", F.expr("(start_ms div 1000) * 7919 % 1000"))
     return planning.ranked(scored, ["id"], F.lit(10)).select("id", "label", "start_ms", "end_ms", "place")

@@ -194,16 +194,15 @@ def stitched_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.stitched(rows).withColumn("providers", F.array_join("providers", ",")).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(f"""with {_FUSED}, c as (select *, seq_no % 10 = 0 as fixed from (select *, row_number() over (order by item, key, island) as seq_no from fused))
-select fixed, count(*) as n, min(case when fixed then greatest(0.99, confidence) else confidence end) as least from c group by 1""")
+@query(f"""with {_FUSED}, c as (select *, primary_seq % 10 = 0 as fixed from fused)
+select fixed, count(*) as n, round(min(case when fixed then greatest(0.99::double, confidence) else confidence end), 6) as least from c group by 1""")
 def corrected_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth segment corrected by hand."""
-    from pyspark.sql import Window
-
-    fused = timeline.fused(views.hits(spark, sf_dir)).withColumn("n", F.row_number().over(Window.orderBy("item", "key", "island")))
-    segments = fused.select("item", "start_ms", "end_ms", "key", "confidence", "uncertainty", F.lit("music_unresolved").alias("kind"), F.array().cast("array<string>").alias("alternates"), (F.col("n") % 10 == 0).alias("fixed"))
-    rows = timeline.corrected(segments.drop("fixed").withColumn("key", F.concat_ws("/", "key", "start_ms")), segments.where("fixed").select("item", "start_ms", "end_ms", F.concat(F.lit("manual "), F.col("key")).alias("new_key")).dropDuplicates(["item", "start_ms", "end_ms"]))
-    return rows.groupBy((F.col("kind") == "matched_track").alias("fixed")).agg(F.count("*").alias("n"), F.min("confidence").alias("least"))
+    """Segments whose primary hit has an id divisible by ten, corrected by hand."""
+    fused = timeline.fused(views.hits(spark, sf_dir))
+    segments = fused.select(F.concat_ws("/", "item", "key").alias("item"), "start_ms", "end_ms", "key", "confidence", "uncertainty", F.lit("music_unresolved").alias("kind"), F.array().cast("array<string>").alias("alternates"), "primary_seq")
+    corrections = segments.where("primary_seq % 10 = 0").select("item", "start_ms", "end_ms", F.concat(F.lit("manual "), F.col("key")).alias("new_key"))
+    rows = timeline.corrected(segments.drop("primary_seq"), corrections)
+    return rows.groupBy((F.col("kind") == "matched_track").alias("fixed")).agg(F.count("*").alias("n"), F.round(F.min("confidence"), 6).alias("least"))
 
 
 _EXPORTED = f"""{_TIMELINE}, named as (select *, case when kind = 'matched_track' then key || ' song' end as title, case when kind = 'matched_track' and seq % 3 != 0 then 'Artist ' || seq % 9 end as artist from timeline)"""

@@ -166,13 +166,13 @@ FRAMES = """frames as (
 
 
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Media durations from ``lineitem``: id, duration_ms, n_chapters, playlist, recording."""
-    rows = items(spark, sf_dir)
-    q = F.col("duration_ms")
+    """Media durations from ``orders``: id, duration_ms, n_chapters, playlist, recording."""
+    q = F.col("o_orderkey") * 37_111 + F.col("o_custkey") * 997
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), q.alias("q"))
+    q = F.col("q")
     return rows.select("id", (q % 400_000 * (1 + q % 9) + 3_000).alias("duration_ms"), (q % 5).cast("int").alias("n_chapters"), (q % 6 == 0).alias("playlist"), (q % 4 == 0).alias("recording"))
 
 
-DURATIONS = ITEMS + """,
-durations as (
-  select id, duration_ms % 400000 * (1 + duration_ms % 9) + 3000 as duration_ms, (duration_ms % 5)::int as n_chapters, duration_ms % 6 = 0 as playlist, duration_ms % 4 = 0 as recording
-  from items)"""
+DURATIONS = """durations as (
+  select id, q % 400000 * (1 + q % 9) + 3000 as duration_ms, (q % 5)::int as n_chapters, q % 6 = 0 as playlist, q % 4 = 0 as recording
+  from (select o_orderkey as id, o_orderkey * 37111 + o_custkey * 997 as q from orders))"""
