@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The patterns that decide which names are one.
 VERSION_TAG = r"(?iu)\s*[\(\[][^)\]]*\b(remaster(?:ed)?|remix|edit|radio\s+edit|extended|bonus\s+track|live|explicit|clean|version|acoustic|mono|stereo|deluxe|re[\- ]?record(?:ed)?)\b[^)\]]*[\)\]]"
@@ -20,7 +21,7 @@ PROVIDER_PREFIXES = (("acrcloud", "acr"), ("audd", "audd"), ("shazam", "shz"), (
 TAG_PASSES = 3
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_diacritics(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without its combining marks; only rows that are not ASCII need it."""
     return text.map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)), na_action="ignore")
