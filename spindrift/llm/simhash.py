@@ -7,7 +7,7 @@ of eight segments, and then in one of four parts of the remaining 24: the grid h
 and the 14 counts in it, and pairs are sought within cells, first by Manhattan distance, then exactly.
 
 Only distinct fingerprints enter the join. A cell yields links that span its components, not all its pairs; a cell
-over ``CELL_ROWS`` is cut into blocks and its pairs of blocks are dealt out. Components come from star steps on links.
+over ``cell_rows`` is cut into blocks and its pairs of blocks are dealt out. Components come from star steps on links.
 
 Null and empty text has fingerprint zero. Component ids are the smallest non-null id reachable.
 """
@@ -117,7 +117,7 @@ def spanning(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return links
 
 
-def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def links_of(batches: Iterator[pa.RecordBatch], cell_rows: int = CELL_ROWS, lags: int = LAGS) -> Iterator[pa.RecordBatch]:
     """Rows (cell, code, fp) sorted by cell and code -> links (u, v), and rows of overfull cells (cell set)."""
     names = ["cell", "code", "u", "v"]
     none = np.zeros(0, dtype=np.int64)
@@ -133,14 +133,14 @@ def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (code[1:] != code[:-1])])
         size = np.diff(np.r_[first, len(fp)])
         group = np.repeat(np.arange(len(first)), size)
-        few = size[group] <= LAGS + 1
+        few = size[group] <= lags + 1
         x = fp.view(np.uint64)
-        for lag in range(1, LAGS + 1):
+        for lag in range(1, lags + 1):
             at = np.flatnonzero(few[lag:] & (group[lag:] == group[:-lag]))
             at = at[close(x[at + lag], x[at])] if len(at) else at
             if len(at):
                 yield out(x[at], x[at + lag])
-        for k in np.flatnonzero(size > LAGS + 1):
+        for k in np.flatnonzero(size > lags + 1):
             a, b = first[k], first[k] + size[k]
             for u, v in spanning(x[a:b]):
                 yield out(u, v)
@@ -163,7 +163,7 @@ def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = last[-1] + 1 if len(last) else 0
         yield from settle(cell[:cut], code[:cut], fp[:cut])
         held = cell[cut:], code[cut:], fp[cut:]
-        if len(held[2]) > CELL_ROWS:
+        if len(held[2]) > cell_rows:
             passing = int(held[0][0]), int(held[1][0])
             yield out(held[2], held[2], held[0], held[1])
             held = none, none, none
@@ -178,18 +178,18 @@ def sorted_cells(cells: DataFrame) -> DataFrame:
     return cells.repartition(parts, "cell", "code").sortWithinPartitions("cell", "code").select("cell", "code", "fp")
 
 
-def near_links(fps: DataFrame, base: str) -> DataFrame:
+def near_links(fps: DataFrame, base: str, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (u, v) that join every two fingerprints (column fp, distinct) within the distance, directly or by others so joined."""
     word = embedded(F.col("fp"))
     cells = fps.select("fp", F.posexplode(F.array(*(word.bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks()))).alias("cell", "code"))
-    found = written(sorted_cells(cells.withColumn("cell", F.col("cell").cast("long"))).mapInArrow(links_of, LINKS), f"{base}/links")
+    found = written(sorted_cells(cells.withColumn("cell", F.col("cell").cast("long"))).mapInArrow(lambda batches: links_of(batches, cell_rows), LINKS), f"{base}/links")
     links = found.where("cell is null").select("u", "v")
     over = found.where("cell is not null").select("cell", "code", F.col("u").alias("fp"))
     sizes = over.groupBy("cell", "code").agg(F.count("*").alias("n"))
     if over.isEmpty():
         return links
     # Blocks of an overfull cell, and a place for each pair of blocks.
-    half = CELL_ROWS // 2
+    half = cell_rows // 2
     blocks = over.join(sizes, ["cell", "code"]).withColumn("blocks", F.ceil(F.col("n") * 1.25 / half).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     paired = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     place = F.xxhash64("code", F.least("block", "other"), F.greatest("block", "other"))
