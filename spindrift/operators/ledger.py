@@ -29,18 +29,22 @@ def loose_bool(value: Column) -> Column:
 
 
 def lifted(ledger: DataFrame) -> DataFrame:
-    """Rows with the payload's counters and flags as columns, and metric_type and outcome with their fallbacks."""
-    counters = {c: loose_int(_text(c)) for c in COUNTERS}
-    flags = {"budget_exhausted_flag": loose_bool(_text("budget_exhausted")), "provider_call_attempted": loose_bool(_text("provider_call_attempted")), "budget_consumed": loose_int(_text("budget_consumed"))}
-    kind, outcome = F.coalesce(_text("metric_type"), F.lit("")), F.coalesce(_text("outcome"), F.lit(""))
-    rows = ledger.withColumns(counters | flags | {"_kind": kind, "_outcome": outcome})
+    """Rows with the payload's counters and flags as columns, and metric_type and outcome with their fallbacks.
+
+    The payload is parsed once for all of them.
+    """
+    keys = (*COUNTERS, "budget_exhausted", "provider_call_attempted", "budget_consumed", "metric_type", "outcome", "segment_count")
+    rows = ledger.select("*", F.json_tuple("payload", *keys).alias(*(f"_{k}" for k in keys)))
+    counters = {c: loose_int(F.col(f"_{c}")) for c in (*COUNTERS, "budget_consumed")}
+    flags = {"budget_exhausted_flag": loose_bool(F.col("_budget_exhausted")), "provider_call_attempted": loose_bool(F.col("_provider_call_attempted"))}
+    rows = rows.withColumns(counters | flags | {"_kind": F.coalesce("_metric_type", F.lit("")), "_outcome": F.coalesce("_outcome", F.lit(""))})
     counted = (F.col("matched_segments") != 0) | (F.col("unresolved_segments") != 0)
     for c in COUNTERS:
         counted = counted | (F.col(c) != 0)
-    summary = F.col("provider_name").isNull() & (F.col("call_count") == 0) & F.col("source_item_id").isNotNull() & (_text("segment_count").isNotNull() | counted)
+    summary = F.col("provider_name").isNull() & (F.col("call_count") == 0) & F.col("source_item_id").isNotNull() & (F.col("_segment_count").isNotNull() | counted)
     untyped = (F.col("_kind") == "") & (F.col("_outcome") == "")
     named = lambda c: F.when(untyped, F.when(summary, "item_summary").otherwise("unknown")).when(c == "", "unknown").otherwise(c)
-    rows = rows.withColumns({"metric_type": named(F.col("_kind")), "outcome": named(F.col("_outcome"))}).drop("_kind", "_outcome")
+    rows = rows.withColumns({"metric_type": named(F.col("_kind")), "outcome": named(F.col("_outcome"))}).drop("_kind", *(f"_{k}" for k in keys))
     return rows.withColumns({"provider": F.coalesce(F.nullif(F.col("provider_name"), F.lit("")), F.lit("job")), "exhausted": F.col("budget_exhausted_flag") | (F.col("outcome") == "budget_exhausted")})
 
 
