@@ -15,6 +15,7 @@ Null text counts as empty: one piece holding id 0. Repeated rows and ids are pac
 from __future__ import annotations
 
 import os
+import re
 import string
 import zlib
 from bisect import bisect_left, insort
@@ -34,7 +35,8 @@ from spindrift.llm.common import byte_rows, shared_dir, slices, text_or_empty, w
 #: Words that a worker remembers; beyond, it starts anew. Only speed depends on it.
 REMEMBERED = 400_000
 
-PUNCTUATION = string.punctuation.encode()
+#: A word of Latin-1 letters and ASCII punctuation behind them, or none.
+SIMPLE = re.compile(f"([a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+)([{re.escape(string.punctuation)}]*)").fullmatch
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, times), ...), bins
 
 
@@ -62,7 +64,7 @@ class WordIds:
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.letters: dict[str, bytes] = {}
-        self.tails: dict[bytes, bytes] = {b"": b""}
+        self.tails: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -75,39 +77,44 @@ class WordIds:
             begin = 4 * (end + gap)
 
     def learn(self, words: list[bytes]) -> None:
-        split: list[tuple[bytes, str, bytes]] = []
+        plain: list[bytes] = []
+        parts: list[tuple[str, str]] = []
         rest: list[bytes] = []
-        for w in words:
-            if b"|" in w and any(t in w for t in self.added):
+        for w, lower in zip(words, b"\n".join(words).decode().lower().split("\n"), strict=True):
+            if m := SIMPLE(lower):
+                plain.append(w)
+                parts.append(m.groups())
+            elif b"|" in w and any(t in w for t in self.added):
                 self.known[w] = self._ids(w.decode()).tobytes()
-                continue
-            core = w.rstrip(PUNCTUATION)
-            letters = core.decode().lower()
-            if letters.isalpha() and max(letters) < "\u0100":
-                split.append((w, letters, w[len(core) :]))
             else:
                 rest.append(w)
-        for tail in {t for _, _, t in split}.difference(self.tails):
-            self.tails[tail] = self._ids(tail.decode()).tobytes()
-        new = list({c for _, c, _ in split}.difference(self.letters))
+        for tail in {t for _, t in parts}.difference(self.tails):
+            self.tails[tail] = self._ids(tail).tobytes()
+        new = list({c for c, _ in parts}.difference(self.letters))
         for a in range(0, len(new), 512):
             ids = self._ids(" ".join(new[a : a + 512]))
             self._cut(new[a : a + 512], ids, np.flatnonzero(self.ends_word[ids]) + 1, self.letters, 0)
         for a in range(0, len(rest), 512):
             ids = self._ids("".join(w.decode() + self.mark for w in rest[a : a + 512]))
             self._cut(rest[a : a + 512], ids, np.flatnonzero(ids == self.mark_id), self.known, 1)
-        self.known.update((w, self.letters[c] + self.tails[t]) for w, c, t in split)
+        letters, tails = self.letters, self.tails
+        self.known.update(zip(plain, [letters[c] + tails[t] if t else letters[c] for c, t in parts], strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [t.split() for t in texts]  # ASCII white space only
+        """Ids of each text as little-endian unsigned 32-bit integers."""
         for memory in (self.known, self.letters, self.tails):
             if len(memory) > REMEMBERED:
                 memory.clear()
-                self.tails[b""] = b""
-        if new := set().union(*cut).difference(self.known):
+        get = self.known.get
+        cut = [t.split() for t in texts]  # ASCII white space only
+        found = [list(map(get, words)) for words in cut]
+        unknown = [[k for k, ids in enumerate(part) if ids is None] for part in found]
+        if new := {words[k] for words, places in zip(cut, unknown, strict=True) for k in places}:
             self.learn(list(new))
-        known = self.known.__getitem__
-        return [b"".join(map(known, c)) for c in cut]
+        for words, part, places in zip(cut, found, unknown, strict=True):
+            for k in places:
+                part[k] = self.known[words[k]]
+        return list(map(b"".join, found))
 
 
 @cache

@@ -96,9 +96,9 @@ def host_verdicts(rows: DataFrame, host_limit: float = 0.9) -> DataFrame:
     )
     spread = F.col("m") * (1 - F.col("m"))
     between = F.col("v") - spread * F.col("per_doc")
-    prior = moments.select("m", F.when(between > 0, F.greatest(F.lit(2.0), spread / between - 1)).otherwise(F.lit(10.0)).alias("weight"))
-    # One row, broadcast: the moments of all hosts.
-    shrunk = hosts.crossJoin(F.broadcast(prior)).withColumn("rate", (F.col("n_failing") + F.col("m") * F.col("weight")) / (F.col("n_docs") + F.col("weight")))
+    weight = F.when(between > 0, F.greatest(F.lit(2.0), spread / between - 1)).otherwise(F.lit(10.0))
+    mean, weight = moments.select(F.coalesce("m", F.lit(0.0)), F.coalesce(weight, F.lit(10.0))).first()  # two numbers
+    shrunk = hosts.withColumn("rate", (F.col("n_failing") + mean * weight) / (F.col("n_docs") + weight))
     return shrunk.select("host", "n_docs", "n_failing", "rate", (F.col("rate") > host_limit).alias("host_rejected"))
 
 
@@ -121,7 +121,8 @@ def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(counts[:, k]) for k in range(len(COUNTS)))], [*batch.schema.names, *(f"__{c}" for c in COUNTS)])
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(f"__{c}", T.LongType()) for c in COUNTS)])
-    rows = docs.mapInArrow(counted, schema).where(~base_failed("__", **limits)).select(*names)
+    own = {k: v for k, v in limits.items() if k in ("min_words", "max_repeat_percent")}
+    rows = docs.mapInArrow(counted, schema).where(~base_failed("__", **own)).select(*names)
     return rows.join(F.broadcast(rejected) if size <= BROADCAST_BYTES else rejected, F.col(host_col).cast("string").eqNullSafe(F.col("__host")), "left_anti") if size else rows
 
 

@@ -94,7 +94,54 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": OP3, "op8_exact": OP8}
+    return {"op3_urls": OP3, "op6_chat": OP6, "op7_substrings": OP7, "op8_exact": OP8, "op9_quality": OP9}
+
+
+OP6 = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+marked as (
+  select *, len(regexp_extract_all(text, '<\\*\|')) as escapes,
+    len(regexp_extract_all(role, '<\\*\|')) + len(role) - len(replace(role, chr(10), '')) + len(role) - len(replace(role, chr(92), '')) as role_escapes from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length('<|im_start|>') + length(role) + role_escapes + 1 + length(text) + escapes + length('<|im_end|>') + 1)::bigint as formatted_chars
+from marked group by 1
+"""
+
+_WORDS = r"""list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x != '')"""
+
+OP7 = f"""
+with cut as (select doc_id, {_WORDS} as words from documents),
+places as (select doc_id, unnest(range(1, len(words) - 11)) as i from cut where len(words) >= 13),
+windows as (select p.doc_id, p.i, array_to_string(c.words[p.i : p.i + 12], ' ') as path from places p join cut c using (doc_id)),
+owned as (select doc_id, i, min(doc_id) over (partition by path) as owner from windows),
+gone as (select distinct doc_id, i + k.range as i from owned, range(13) k where owner < doc_id),
+each as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i from cut),
+kept as (select e.doc_id, string_agg(e.word, ' ' order by e.i) as text, count(*) as n from each e left join gone g on g.doc_id = e.doc_id and g.i = e.i where g.i is null group by 1)
+select c.doc_id, len(c.words) as n_words, len(c.words) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256 from cut c left join kept k using (doc_id)
+"""
+
+OP9 = f"""
+with cut as (select doc_id, source, coalesce(text, '') as text, {_WORDS} as words from documents),
+places as (select doc_id, unnest(range(1, len(words) - 1)) as i from cut where len(words) >= 3),
+windows as (select p.doc_id, p.i, count(*) over (partition by p.doc_id, c.words[p.i], c.words[p.i + 1], c.words[p.i + 2]) as n from places p join cut c using (doc_id)),
+inside as (select doc_id, count(distinct i + k.range) as n from windows, range(3) k where n > 1 group by 1),
+counts as (
+  select c.doc_id, source, len(words) as n_words, coalesce(length(array_to_string(words, '')), 0) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) as n_dup_lines,
+    coalesce(r.n, 0) as n_repeat_words
+  from cut c left join inside r using (doc_id)),
+ruled as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counts),
+failing as (select *, base_failed or 100 * n_symbols > 10 * word_chars or word_chars > 20 * n_words as failing from ruled),
+hosts as (select source, count(*) as n, sum(failing::int) as f from failing group by 1),
+moments as (select sum(f) / sum(n) as m, var_samp(f / n) as v, avg(1 / n) as per_doc from hosts),
+prior as (select m, case when v - m * (1 - m) * per_doc > 0 then greatest(2, m * (1 - m) / (v - m * (1 - m) * per_doc) - 1) else 10 end as w from moments),
+verdicts as (select source, (f + m * w) / (n + w) > 0.9 as host_rejected from hosts, prior)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected, not base_failed and not host_rejected as kept
+from failing f join verdicts v on v.source is not distinct from f.source
+"""
 
 
 OP3 = f"""
