@@ -231,11 +231,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = linked.select("fp", "root").join(named, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("key", "fp", "component_id")
-
-
-def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows that stay: of each component the one with its id (rows that share that id stay together)."""
-    names = docs.columns
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    stay = found.where(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__key"), "component_id").distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__key")), "left_semi").select(*names)

@@ -10,6 +10,7 @@ from .helpers import ascii_lower, documents, odd_texts
 from .test_dedup import plain_components, plain_fingerprint
 from .test_scans import SECRETS, plain_counts
 from .test_tokens import check_packing
+from .test_wide_simhash import plain_wide_fingerprint
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -30,7 +31,8 @@ def plain_stages(texts):
     rows = {i: rows[i] for i in map(max, groups.values())}
     yield dict(rows)
     prints = {i: plain_fingerprint(t) for i, t in rows.items()}
-    parts = plain_components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    wide = {i: plain_wide_fingerprint(t) for i, t in rows.items()}
+    parts = plain_components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3 or (wide[a] ^ wide[b]).bit_count() <= 46)
     rows = {i: t for i, t in rows.items() if parts[i] == i}
     yield dict(rows)
 
