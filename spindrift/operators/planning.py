@@ -100,10 +100,13 @@ def cluster_windows(chunks: DataFrame, similarity: Column, least: float = 0.84)
 
 
 def ranked(windows: DataFrame, group: list[str], most: Column, by_score: bool = True) -> DataFrame:
-    """Windows distinct by span and label, the first of each in order of score or time, at most ``most`` per group."""
+    """Windows distinct by span and label, the first of each in order of score or time, at most ``most`` per group.
+
+    Rows are dealt out by group once, which serves both steps.
+    """
     order = [F.desc("score"), F.asc("start_ms")] if by_score else [F.asc("start_ms")]
     order += [F.asc("label"), F.asc("end_ms")]
-    once = windows.withColumn("_n", F.row_number().over(Window.partitionBy(*group, "start_ms", "end_ms", "label").orderBy(*order))).where("_n = 1")
+    once = windows.repartition(*group).withColumn("_n", F.row_number().over(Window.partitionBy(*group, "start_ms", "end_ms", "label").orderBy(*order))).where("_n = 1")
     return once.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("place") <= most).drop("_n")
 
 
