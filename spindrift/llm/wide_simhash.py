@@ -3,7 +3,8 @@
 The same steps as in ``simhash``, for texts that share about eight shingles in ten or more: such texts differ in too many
 of 64 bits for a grid that loses nothing, so fingerprints have ``64 * n_words`` bits, and the grid has ``tables`` cells for
 each of them. A cell is the counts of sampled one-bit segments; their number grows with the logarithm of the number
-of fingerprints, so that strangers in a cell stay as few at any size. Within a cell pairs are taken by the Manhattan
+of fingerprints, so that strangers in a cell stay as few at any size, and the number of tables grows with it, so that
+a pair of the given similarity is found with probability ``RECALL`` at any size (``tables_for``). Within a cell pairs are taken by the Manhattan
 distance of the two-bit segments' counts, a lower bound, and then exactly. Two texts of Jaccard similarity s differ in
 about ``acos(2 s / (1 + s)) / pi`` of the bits: 39 +- 6 of 256 at 0.8, which ``distance`` covers.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,10 @@ CELL_ROWS = 8192
 #: Strangers that a cell holds at most, on average.
 STRANGERS = 64
 LAGS = 128
+#: Tables at least, and the share of pairs at SIMILARITY that share a cell and are within the distance.
+TABLES = 32
+RECALL = 0.95
+SIMILARITY = 0.8
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,25 +117,32 @@ def first_of(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         label = after
 
 
-def cells_of(fps: DataFrame, n_words: int, tables: int, bits: int, seed: int = 1) -> DataFrame:
-    """(code, vertex, w0, ...) for each table: code stands for the table and the counts of its ``bits`` one-bit segments."""
+def chosen_bits(n_words: int, tables: int, bits: int, seed: int = 1) -> np.ndarray:
+    """The sampled one-bit segments of each table, as masks."""
     rng = np.random.default_rng(seed)
     chosen = np.zeros((tables, n_words), dtype=np.uint64)
     for t in range(tables):
         for b in rng.choice(64 * n_words, bits, replace=False).tolist():
             chosen[t, b // 64] |= np.uint64(1) << np.uint64(b % 64)
+    return chosen
+
+
+def coded(batches: Iterator[pa.RecordBatch], n_words: int, chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
     names = ["vertex", *(f"w{k}" for k in range(n_words))]
+    for batch in batches:
+        x = words_of(batch, n_words)
+        for t in range(len(chosen)):
+            code = np.full(len(x), mixed(np.array([t + 1], dtype=np.uint64) * STEP)[0])
+            for k in range(n_words):
+                code = mixed(code + (x[:, k] & chosen[t, k]) * STEP)
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), *(batch.column(c) for c in names)], ["code", *names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = words_of(batch, n_words)
-            for t in range(tables):
-                code = np.full(len(x), mixed(np.array([t + 1], dtype=np.uint64) * STEP)[0])
-                for k in range(n_words):
-                    code = mixed(code + (x[:, k] & chosen[t, k]) * STEP)
-                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), *(batch.column(c) for c in names)], ["code", *names])
 
-    return fps.select(*names).mapInArrow(run, "code long, " + ", ".join(f"{c} long" for c in names))
+def cells_of(fps: DataFrame, n_words: int, tables: int, bits: int, seed: int = 1) -> DataFrame:
+    """(code, vertex, w0, ...) for each table: code stands for the table and the counts of its ``bits`` one-bit segments."""
+    chosen = chosen_bits(n_words, tables, bits, seed)
+    names = ["vertex", *(f"w{k}" for k in range(n_words))]
+    return fps.select(*names).mapInArrow(lambda batches: coded(batches, n_words, chosen), "code long, " + ", ".join(f"{c} long" for c in names))
 
 
 def words_of(batch: pa.RecordBatch, n_words: int) -> np.ndarray:
@@ -192,10 +205,35 @@ def links_of(batches: Iterator[pa.RecordBatch], n_words: int, distance: int, cel
     yield from settle(*held)
 
 
-def near_links(fps: DataFrame, base: str, n_words: int, distance: int, tables: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+def bits_for(n: int) -> int:
+    """One-bit segments of a cell for n fingerprints."""
+    return max(4, math.ceil(math.log2(max(1, n / STRANGERS))))
+
+
+def recall_of(bits: int, tables: int, distance: int, n_words: int, similarity: float = SIMILARITY) -> float:
+    """Probability that a pair of this similarity is within the distance and shares a cell; bits count as independent."""
+    size = 64 * n_words
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    total = 0.0
+    for d in range(min(distance, size) + 1):
+        same = math.comb(size - d, bits) / math.comb(size, bits)
+        total += math.comb(size, d) * p**d * (1 - p) ** (size - d) * (1 - (1 - same) ** tables)
+    return total
+
+
+def tables_for(n: int, distance: int, n_words: int) -> int:
+    """The fewest tables, from TABLES on, with the stated recall for n fingerprints, or as near to it as the distance allows."""
+    bits = bits_for(n)
+    within = recall_of(0, 1, distance, n_words)
+    aim = min(RECALL, 0.99 * within)
+    return next(t for t in count(TABLES) if recall_of(bits, t, distance, n_words) >= aim)
+
+
+def near_links(fps: DataFrame, base: str, n_words: int, distance: int, tables: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (u, v) of rows (vertex, w0, ...) that are within the distance and share a cell, or are joined by others so linked."""
     spark = fps.sparkSession
-    bits = max(4, math.ceil(math.log2(max(1, fps.count() / STRANGERS))))
+    n = fps.count()
+    bits, tables = bits_for(n), tables or tables_for(n, distance, n_words)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_code = lambda df: df.repartition(parts, "code").sortWithinPartitions("code")
     kind = "code long, u long, v long"
@@ -215,7 +253,7 @@ def near_links(fps: DataFrame, base: str, n_words: int, distance: int, tables: i
     return links.union(more.select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 46, n_words: int = 4, tables: int = 32, seed: int = 42, also: DataFrame | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 46, n_words: int = 4, tables: int | None = None, seed: int = 42, also: DataFrame | None = None) -> DataFrame:
     """Return key and component_id (smallest id reachable) per row of ``docs``.
 
     ``also``: groups found otherwise, as rows (key, component_id); what they hold together is linked too.

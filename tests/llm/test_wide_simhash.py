@@ -100,3 +100,23 @@ def test_label_is_the_first_of_each_component():
     assert wide_simhash.first_of(8, u, v).tolist() == [0, 1, 1, 1, 4, 5, 5, 5]
     batch = pa.RecordBatch.from_arrays([pa.array([1, 1]), pa.array([4, 9]), *[pa.array([0, 1])] * 4], ["code", "vertex", "w0", "w1", "w2", "w3"])
     assert [r for b in wide_simhash.links_of(iter([batch]), 4, 46) for r in b.to_pylist()] == [{"code": None, "u": 9, "v": 4}]
+
+
+@pytest.mark.parametrize("n", [75_000, 20_000_000])
+def test_stated_recall_at_any_size(n):
+    """Pairs whose bits differ as at similarity 0.8, in cells as fine as for n fingerprints."""
+    rng = np.random.default_rng(n)
+    distance, pairs = 56, 2000
+    x = rng.integers(0, 256, (pairs, 32), dtype=np.uint8)
+    flips = np.packbits(rng.random((pairs, 256)) < np.arccos(1.6 / 1.8) / np.pi, axis=1)
+    both = np.stack([x, x ^ flips], axis=1).reshape(-1, 32)
+    words = np.ascontiguousarray(both).view(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2 * pairs)), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(4))], ["vertex", "w0", "w1", "w2", "w3"])
+    tables = wide_simhash.tables_for(n, distance, 4)
+    met = np.zeros(pairs, dtype=bool)
+    for cell in wide_simhash.coded([batch], 4, wide_simhash.chosen_bits(4, tables, wide_simhash.bits_for(n))):
+        code = cell.column("code").to_numpy()
+        met |= code[::2] == code[1::2]
+    found = met & (np.unpackbits(flips, axis=1).sum(axis=1) <= distance)
+    assert found.mean() >= 0.93
+    assert tables >= 32 and abs(found.mean() - wide_simhash.recall_of(wide_simhash.bits_for(n), tables, distance, 4)) < 0.03
