@@ -25,8 +25,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity from about 0.8) the row with the smallest doc_id."""
-    return wide_simhash.one_per_group(docs)
+    """Of each group of near duplicates (pairs of a five-word Jaccard similarity of 0.8 or more) the row with the smallest doc_id."""
+    return wide_simhash.one_per_group(docs, distance=56, similarity=0.8)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -120,3 +121,41 @@ def test_stated_recall_at_any_size(n):
     found = met & (np.unpackbits(flips, axis=1).sum(axis=1) <= distance)
     assert found.mean() >= 0.93
     assert tables >= 32 and abs(found.mean() - wide_simhash.recall_of(wide_simhash.bits_for(n), tables, distance, 4)) < 0.03
+
+
+def shingle_set(text):
+    words = WORDS.findall(ascii_lower(text or ""))
+    return {" ".join(words[k : k + 5]) for k in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
+def similar(a, b):
+    return not a | b or 10 * len(a & b) >= 8 * len(a | b)
+
+
+def test_only_similar_texts_are_dropped(spark):
+    """Edits of all grades, chains, and texts that share a fingerprint but not their shingles, against every pair's Jaccard similarity."""
+    rng = random.Random(11)
+    texts = ["a a a a a", "a a a a a a b", None, "", "x y"]
+    for _ in range(25):
+        words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        texts += [" ".join(edited(rng, words, share)) for share in (0.0, 0.005, 0.015, 0.03, 0.04, 0.05)]
+    sets = [shingle_set(t) for t in texts]
+    expected = plain_components(list(range(len(texts))), lambda a, b: similar(sets[a], sets[b]))
+    stay = {r.doc_id for r in corpus_pipeline.near(spark, documents(spark, texts), "").collect()}
+    assert stay == {i for i, c in expected.items() if i == c}
+
+
+@pytest.mark.parametrize("block_rows", [2048, 7])
+def test_links_are_similar_also_across_blocks(spark, block_rows):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (3, 60), dtype=np.uint64)
+    sets = [np.unique(np.r_[base[i % 3][rng.random(60) < 0.93], rng.integers(0, 1 << 63, 2, dtype=np.uint64)]) for i in range(60)]
+    fps = spark.createDataFrame([(i, i, i.to_bytes(2)) for i in range(60)], "vertex long, w0 long, digest binary")
+    prints = spark.createDataFrame([(i, i.to_bytes(2), x.tobytes()) for i, x in enumerate(sets)], "w0 long, digest binary, shingles binary")
+    roots = fps.selectExpr("vertex", "0L root")
+    links = [(r.u, r.v) for r in wide_simhash.verified_links(roots, fps, prints, ["w0"], shared_dir(spark), 0.8, block_rows).collect()]
+    ok = lambda a, b: similar(set(sets[a].tolist()), set(sets[b].tolist()))
+    assert links and all(ok(u, v) for u, v in links)
+    linked = {frozenset(p) for p in links}
+    plain = plain_components(list(range(60)), ok)
+    assert plain_components(list(range(60)), lambda a, b: frozenset((a, b)) in linked) == plain
