@@ -33,8 +33,12 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 DIGEST = re.compile(r"(?:[a-z0-9]+[-=])?(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})")
-#: A text that is part of an address or a path, seen from the run's start.
-ADDRESS = re.compile(r"(?:[a-z]+:/?/?|www\.|[/.@])[^\s\"'<>]*$", re.I | re.A)
+#: Addresses: what follows a URL's scheme (and user), a www. host, embedded data, a mail address. Tests of a path's segments are those of any run.
+ADDRESS = re.compile(
+    r"(?<![A-Za-z0-9+.-])(?:[a-z][a-z0-9+.-]{0,30}://(?:[^\s/?#\"'<>@]{0,200}@)?|data:[a-z0-9/+.-]{0,80};base64,|www\.)(?P<rest>[^\s\"'<>]+)"
+    r"|(?<![A-Za-z0-9._%+-])(?P<mail>[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,})",
+    re.I | re.A,
+)
 
 
 @cache
@@ -58,15 +62,25 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    if not any(x in text for x in ("://", "@")) and not re.search(r"www\.|;base64,", text, re.I):
+        return []
+    return [m.span("rest" if m["rest"] else "mail") for m in ADDRESS.finditer(text)]
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding, max_chars_per_token: float) -> list[tuple[int, int, int]]:
     spans = []
+    known: list[tuple[int, int]] | None = None
     for m in RUN.finditer(text):
         run, a, b = m[0], m.start(), m.end()
-        if not MIXED.match(run) or any(s < b and a < e for s, _, e in taken):
+        if not MIXED.match(run) or UUID.fullmatch(run) or DIGEST.fullmatch(run):
+            continue
+        if any(s < b and a < e for s, _, e in taken):
             continue
-        if UUID.fullmatch(run) or DIGEST.fullmatch(run) or ADDRESS.search(text, max(0, a - 200), a):
+        if len(run) > max_chars_per_token * len(encoding.encode_ordinary(run)):
             continue
-        if len(run) <= max_chars_per_token * len(encoding.encode_ordinary(run)):
+        known = addresses(text) if known is None else known
+        if not any(s <= a < e for s, e in known):
             spans.append((a, 3, b))
     return spans
 

@@ -44,6 +44,21 @@ def test_random_strings_but_no_digests_or_names(spark):
     assert {i for i, found in got.items() if found} == {SECRETS.index(next(t for t in SECRETS if t and t.startswith(KEY)))}
 
 
+def randoms(text):
+    encoding = secret_scan.token_counter(secret_scan.vocabulary_path("byte_bpe_50k.tiktoken"))
+    return [text[a:b] for a, k, b in secret_scan.spans_of(text, encoding, 2.0) if secret_scan.KINDS[k] == "random"]
+
+
+def test_random_strings_after_dots_and_colons_but_not_in_addresses():
+    key, other = KEY * 2, KEY[::-1] * 2
+    assert randoms(f"SG.{key}.{other}") == [key, other]
+    for before in ("key:", "stripe.live.key: ", "(done.)", "a/b.c:", "see x@ ", "stripe.live.key ", "config."):
+        assert randoms(f"{before}{key}") == [key], before
+    assert randoms(f"postgres://user:{key}@db.example.com/x") == [key]
+    for text in (f"https://x.example.com/a?b={key}", f"WWW.example.com/{key}", f"mail {key}@example.com", f"data:image/png;base64,{key}", f"see (http://example.com/x.y/{key})"):
+        assert randoms(text) == [], text
+
+
 def test_redaction(spark):
     docs = documents(spark, SECRETS)
     clean = secret_scan.redact(docs)
