@@ -1,9 +1,10 @@
 """Secret scan: patterns, and strings that a tokenizer's vocabulary can't shorten.
 
-Pattern spans are those of three kinds (assign, access, hex). Beside them, a run of key characters that mixes letters
-and digits is tokenised: prose and names make few tokens for their length, random strings many. Runs with at most
-``max_chars_per_token`` characters a token are added as kind ``random``, unless they are digests, UUIDs, numbers or
-parts of an address, or overlap a pattern span.
+Pattern spans are those of three kinds (assign, access, hex). Beside them, what these leave of a run of key characters
+that mixes letters and digits, or small and capital letters, is tokenised: prose and names make few tokens for their
+length, random strings many. A run is parted at equals signs; a part, or else its windows of twenty characters, with at
+most ``max_chars_per_token`` characters a token are added as kind ``random``, unless they are digests, UUIDs, numbers
+or parts of an address.
 
 Rows are independent: no shuffle. Null and empty text has no spans. Repeated rows are scanned each.
 """
@@ -30,7 +31,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_VALUE = 6
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
+LEAST_RUN = 20
+#: Letters and digits, or, without digits, small and capital letters by turns.
+MIXED = re.compile(r"(?=.*[A-Za-z])(?:.*[0-9]|(?:.*?[a-z][A-Z]){2})", re.S)
+PART = re.compile(r"[A-Za-z0-9]{8,}")
+#: Pieces of a run between equals signs; those at its end pad a value.
+VALUE = re.compile(r"[^=]+(?:=+\Z)?")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 DIGEST = re.compile(r"(?:[a-z0-9]+[-=])?(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})")
 #: Addresses: what follows a URL's scheme (and user), a www. host, embedded data, a mail address. Tests of a path's segments are those of any run.
@@ -68,6 +74,33 @@ def addresses(text: str) -> list[tuple[int, int]]:
     return [m.span("rest" if m["rest"] else "mail") for m in ADDRESS.finditer(text)]
 
 
+def dense(piece: str, encoding, max_chars_per_token: float) -> list[tuple[int, int]]:
+    """Stretches of a piece with few characters per token: all of it, or the union of its windows of LEAST_RUN characters that have few."""
+    tokens = encoding.encode_ordinary(piece)
+    if len(piece) <= max_chars_per_token * len(tokens):
+        return [(0, len(piece))]
+    at = [0]
+    for t in tokens:
+        at.append(at[-1] + len(encoding.decode_single_token_bytes(t)))
+    found: list[tuple[int, int]] = []
+    j = 0
+    for i in range(len(tokens)):
+        while j < len(tokens) and at[j] - at[i] < LEAST_RUN:
+            j += 1
+        size = at[j] - at[i]
+        if size < LEAST_RUN:
+            break
+        if size <= max_chars_per_token * (j - i):
+            window = piece[at[i] : at[j]]
+            # Numbers and short words by turns, as in names of versions, have short tokens as well.
+            if MIXED.match(window) and any(MIXED.match(w) for w in PART.findall(window)):
+                if found and at[i] <= found[-1][1]:
+                    found[-1] = found[-1][0], at[j]
+                else:
+                    found.append((at[i], at[j]))
+    return found
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding, max_chars_per_token: float) -> list[tuple[int, int, int]]:
     spans = []
     known: list[tuple[int, int]] | None = None
@@ -75,13 +108,19 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], encoding, max_cha
         run, a, b = m[0], m.start(), m.end()
         if not MIXED.match(run) or UUID.fullmatch(run) or DIGEST.fullmatch(run):
             continue
-        if any(s < b and a < e for s, _, e in taken):
-            continue
-        if len(run) > max_chars_per_token * len(encoding.encode_ordinary(run)):
-            continue
-        known = addresses(text) if known is None else known
-        if not any(s <= a < e for s, e in known):
-            spans.append((a, 3, b))
+        # What pattern spans leave of the run, and then its values.
+        pieces, done = [], a
+        for s, e in [*sorted((s, e) for s, _, e in taken if s < b and a < e), (b, b)]:
+            pieces += [(done + v.start(), done + v.end()) for v in VALUE.finditer(text[done : max(s, done)])]
+            done = max(done, e)
+        for s, e in pieces:
+            piece = text[s:e]
+            if len(piece) < LEAST_RUN or not MIXED.match(piece) or UUID.fullmatch(piece) or DIGEST.fullmatch(piece):
+                continue
+            found = dense(piece, encoding, max_chars_per_token)
+            if found and known is None:
+                known = addresses(text)
+            spans += [(s + x, 3, s + y) for x, y in found if not any(u <= s + x < v for u, v in known)]
     return spans
 
 

@@ -59,6 +59,22 @@ def test_random_strings_after_dots_and_colons_but_not_in_addresses():
         assert randoms(text) == [], text
 
 
+def test_random_values_behind_readable_names():
+    key = "k9Qz7Xv2Lp4Wm8Rt3BnJ"
+    for before in ("aws_session_credential_value=", "international-administration_configuration_", "configuration/production/environment/"):
+        found = randoms(f"x {before}{key} y")
+        assert len(found) == 1 and found[0].endswith(key[-18:]) and len(found[0]) <= len(key) + 12, (before, found)
+    assert randoms("qZxWvKjYtRbNpLmGhDfS") == ["qZxWvKjYtRbNpLmGhDfS"]
+    assert randoms(f"{key}/password=abcdefgh") == [f"{key}/"]
+    assert randoms(f"name={key}{key}==") == [f"{key}{key}=="]
+    for text in ("getElementsByClassNameOfTheDocument", "python3-dist-packages/numpy/core/include", "name_of_a_long_variable_with_words_2", "id=123e4567-e89b-12d3-a456-426614174000"):
+        assert randoms(text) == [], text
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    many = ["".join(rng.choice(letters) for _ in range(24)) for _ in range(500)]
+    assert sum(bool(randoms(f"production_credential={x}")) for x in many) >= 490
+
+
 def test_redaction(spark):
     docs = documents(spark, SECRETS)
     clean = secret_scan.redact(docs)
