@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm.bpe import vocabulary_path
-from spindrift.llm.common import byte_rows, shared_dir, slices, text_or_empty, written
+from spindrift.llm.common import byte_parts, shared_dir, text_or_empty, written
 
 #: Words that a worker remembers; beyond, it starts anew. Only speed depends on it.
 REMEMBERED = 400_000
@@ -129,23 +129,21 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(vocabulary_path(vocabulary))
-        for batch in batches:
-            texts = byte_rows(batch, "text")
-            for a, b in slices(texts):
-                rows, piece, start, length, crc, kept = [], [], [], [], [], []
-                for i, ids in enumerate(words.encode(texts[a:b])):
-                    ids += bytes(4)
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        rows.append(a + i)
-                        piece.append(k)
-                        start.append(at // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        if keep_ids:
-                            kept.append(np.frombuffer(part, "<u4").astype(np.int32))
-                columns = [batch.column("key").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(kept, pa.list_(pa.int32()))] * keep_ids], names)
+        for batch, texts in byte_parts(batches, "text"):
+            rows, piece, start, length, crc, kept = [], [], [], [], [], []
+            for i, ids in enumerate(words.encode(texts)):
+                ids += bytes(4)
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    rows.append(i)
+                    piece.append(k)
+                    start.append(at // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    if keep_ids:
+                        kept.append(np.frombuffer(part, "<u4").astype(np.int32))
+            columns = [batch.column("key").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(kept, pa.list_(pa.int32()))] * keep_ids], names)
 
     kind = keys.schema["key"].dataType.simpleString()
     return keys.mapInArrow(run, f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)

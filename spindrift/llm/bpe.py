@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import slices, text_or_empty, text_rows
+from spindrift.llm.common import text_or_empty, text_parts
 
 #: Fixed value: the pre-token pattern of the vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -177,11 +177,9 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary_path(vocabulary))
-        for batch in batches:
-            texts = text_rows(batch, "text")
-            for a, b in slices(texts):
-                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
+        for part, texts in text_parts(batches, "text"):
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode(texts)]
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
 
     return keys.mapInArrow(run, f"key {keys.schema['key'].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", id_col)
 
@@ -210,15 +208,13 @@ def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary_path(vocabulary))
-        for batch in batches:
-            texts = text_rows(batch, "text")
+        for part, texts in text_parts(batches, "text"):
             n, ids_digest, text_digest = [], [], []
-            for a, b in slices(texts):
-                for ids in bpe.encode(texts[a:b]):
-                    n.append(len(ids) // 4)
-                    ids_digest.append(hashlib.sha256(ids).hexdigest())
-                    text_digest.append(hashlib.sha256(bpe.decode(np.frombuffer(ids, "<u4"))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for ids in bpe.encode(texts):
+                n.append(len(ids) // 4)
+                ids_digest.append(hashlib.sha256(ids).hexdigest())
+                text_digest.append(hashlib.sha256(bpe.decode(np.frombuffer(ids, "<u4"))).hexdigest())
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = keys.schema["key"].dataType.simpleString()
     return keys.mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", id_col)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +19,32 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+#: Folders handed out and not deleted yet, by application.
+_scratch: dict[str, list[str]] = defaultdict(list)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """A fresh folder below the cluster's spark.checkpoint.dir; only local sessions that leave it unset (tests) get a temporary one."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="spindrift-")
-        sc.setCheckpointDir(base)
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spindrift-"))
         base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/spindrift-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/spindrift-{uuid.uuid4().hex}"
+    _scratch[sc.applicationId].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the folders that operators took inside; what they return must have been written elsewhere by then."""
+    taken = _scratch[spark.sparkContext.applicationId]
+    before = len(taken)
+    yield
+    while len(taken) > before:
+        removed(spark, taken.pop())
 
 
 def written(df: DataFrame, path: str, **options: str) -> DataFrame:
@@ -46,22 +68,26 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def byte_rows(batch: pa.RecordBatch, column: str) -> list[bytes]:
-    """A string column as UTF-8 bytes, null as empty."""
-    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+def parts_of(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Batches cut into parts whose ``column`` (text) has about ``limit`` bytes, and that column; a longer text is a part of its own."""
+    for batch in batches:
+        texts = batch.column(column)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, a = np.cumsum(sizes), 0
+        while a < batch.num_rows:
+            before = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(a, b - a), texts.slice(a, b - a)
+            a = b
 
 
-def text_rows(batch: pa.RecordBatch, column: str) -> list[str]:
-    return [x or "" for x in batch.column(column).to_pylist()]
+def byte_parts(batches: Iterator[pa.RecordBatch], column: str | int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Bounded parts of batches, and their texts as UTF-8 bytes, null as empty."""
+    for part, texts in parts_of(batches, column):
+        yield part, [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
 
 
-def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` bytes; a longer text is a range of its own."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+def text_parts(batches: Iterator[pa.RecordBatch], column: str | int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Bounded parts of batches, and their texts."""
+    for part, texts in parts_of(batches, column):
+        yield part, texts.to_pylist()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import shared_dir, slices, text_or_empty, text_rows, written
+from spindrift.llm.common import shared_dir, text_or_empty, text_parts, written
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 RAW = {name: re.compile(rf"</{name}\s*>|\Z", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp")}
@@ -268,8 +268,8 @@ def infer(pages: DataFrame, fan_in: int = 64) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         found: dict[str, tuple[list[Node], int]] = {}
-        for batch in batches:
-            for host, html in zip(text_rows(batch, "host"), text_rows(batch, "html"), strict=True):
+        for part_, htmls in text_parts(batches, "html"):
+            for host, html in zip(part_.column("host").to_pylist(), htmls, strict=True):
                 before = found.get(host)
                 nodes = tree(html)
                 found[host] = (align(before[0], nodes), before[1] + 1) if before else (nodes, 1)
@@ -314,17 +314,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, frozenset[str]] = {}
-        for batch in batches:
-            htmls, labels = text_rows(batch, "html"), text_rows(batch, "paths")
-            for a, b in slices(htmls):
-                texts = []
-                for html, paths in zip(htmls[a:b], labels[a:b], strict=True):
-                    if paths not in known:
-                        if len(known) > 1000:
-                            known = {}
-                        known[paths] = frozenset(json.loads(paths or "[]"))
-                    texts.append(main_text(html, known[paths]))
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), batch.column("address").slice(a, b - a), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["key", "address", "text", "n_chars"])
+        for part, htmls in text_parts(batches, "html"):
+            texts = []
+            for html, paths in zip(htmls, part.column("paths").to_pylist(), strict=True):
+                if paths not in known:
+                    if len(known) > 1000:
+                        known = {}
+                    known[paths] = frozenset(json.loads(paths or "[]"))
+                texts.append(main_text(html, known[paths]))
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("address"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["key", "address", "text", "n_chars"])
 
     kind = rows.schema["key"].dataType.simpleString()
     out = joined.select("key", "address", "html", "paths").mapInArrow(run, f"key {kind}, address string, text string, n_chars long")

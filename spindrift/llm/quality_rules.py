@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.common import byte_rows, shared_dir, text_or_empty, written
+from spindrift.llm.common import byte_parts, shared_dir, text_or_empty, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -62,8 +62,8 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     rows = docs.select(F.col(id_col).alias("key"), F.col(host_col).cast("string").alias("host"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = np.array([counts_of(raw) for raw in byte_rows(batch, "text")], dtype=np.int64).reshape(-1, len(COUNTS))
+        for batch, texts in byte_parts(batches, "text"):
+            counts = np.array([counts_of(raw) for raw in texts], dtype=np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), *(pa.array(counts[:, k]) for k in range(len(COUNTS)))], ["key", "host", *COUNTS])
 
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, host string, " + ", ".join(f"{c} long" for c in COUNTS))

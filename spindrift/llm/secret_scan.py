@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.bpe import PRE_TOKEN, vocabulary_path
-from spindrift.llm.common import text_or_empty, text_rows
+from spindrift.llm.common import text_or_empty, text_parts
 
 KINDS = ("assign", "access", "hex", "random")
 #: The three patterns. Runs are greedy, so a least length inside the pattern of access and hex selects the same runs.
@@ -136,9 +136,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = token_counter(vocabulary_path(vocabulary))
-        for batch in batches:
-            found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans_of(t, encoding, max_chars_per_token)] for t in text_rows(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, kind)], ["key", "spans"])
+        for part, texts in text_parts(batches, "text"):
+            found = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans_of(t, encoding, max_chars_per_token)] for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found, kind)], ["key", "spans"])
 
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>").withColumnRenamed("key", id_col)
 
@@ -149,10 +149,9 @@ def redact(docs: DataFrame, text_col: str = "text", vocabulary: str = "byte_bpe_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = token_counter(vocabulary_path(vocabulary))
-        for batch in batches:
-            texts = [t if t is None else clean(t, encoding) for t in batch.column(at).to_pylist()]
-            columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        for part, texts in text_parts(batches, at):
+            cleaned = pa.array([t if t is None else clean(t, encoding) for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([cleaned if k == at else c for k, c in enumerate(part.columns)], schema=part.schema)
 
     def clean(text: str, encoding) -> str:
         out, done = [], 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import byte_rows, shared_dir, text_or_empty, written
+from spindrift.llm.common import byte_parts, shared_dir, text_or_empty, written
 from spindrift.llm.connected import components
 
 MAX_DISTANCE = 3
@@ -87,8 +87,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(raw, shingle, seed) for raw in byte_rows(batch, "text")], dtype=np.uint64)
+        for batch, texts in byte_parts(batches, "text"):
+            found = np.array([fingerprint(raw, shingle, seed) for raw in texts], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found.view(np.int64))], ["key", "fp"])
 
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, fp long")

@@ -1,25 +1,30 @@
 """Substring dedup: prefix-partitioned suffix trees over words.
 
-Every word position starts a suffix. Suffixes are split by variable-length prefixes: one word, and one more as long as
-more than ``group_suffixes`` of them share the prefix, so that each group fits into memory. A census of each length
-finds those heavy prefixes; at most (number of suffixes / group_suffixes) exist at a length, whatever the data.
-Prefixes then share groups by hash.
-
-A group builds the part of its subtree that counts here: the nodes ``window`` words deep, told apart by the
-fingerprint of the path that leads to them. A node with suffixes of two documents or more is a repeat. It belongs to
-the smallest document that passes it, and its suffixes in others start words that are removed. Runs of such
-starts are the maximal repeats. Equal paths within a slice of a task meet there, before the shuffle, and only those
-of their smallest document go on, so a passage that many documents share arrives once for each slice.
-
-Suffixes travel packed: seven bytes of path fingerprint, and their places, compressed. A false match needs
-two paths of one group to agree in 56 bits: below 1e-5 for a whole group of a million.
+Every word position starts a suffix. Texts are packed into slices once, in a table bucketed by slice, so that what later
+steps find out comes back to the words without moving them:
+
+1. A leaf of a tree that no other document passes gives nothing, so such suffixes are left out first. Each slice sends
+   the fingerprints of its windows, sorted and as steps from one to the next, to bins of equal ranges; a bin
+   answers with those that two slices have. Fingerprints are a filter only: what passes is compared by words.
+2. The suffixes left are sent, with their words to the window's depth, to groups by prefix. Prefixes are of variable
+   length: sampled suffixes are sorted, and every so often one of them is cut to the words that set it off from the one before; these
+   prefixes part the sorted suffixes into groups of about ``group_suffixes``. Equal suffixes of a slice travel as one.
+3. A group sorts its suffixes by their words; neighbours that agree to the depth of ``window`` words are below one internal
+   node. Such a node is a repeat; it belongs to the smallest document below it, and its suffixes in others start words that
+   are removed. Runs of such starts are the maximal repeats; nodes below cover no further words, so the tree ends there.
+4. Each slice gets its starts back and cuts its words.
+
+A passage that many documents share arrives once for each slice. Prefixes and bins are small arrays: ``SPLITTERS`` prefixes
+at most are sent along with tasks; beyond, groups grow.
 
 Null text has no words. Null ids come after all others. Rows with equal ids never cut each other; each is trimmed alone.
+An empty table gives an empty one. Further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-import zlib
+import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import byte_rows, slices, text_or_empty
+from spindrift.llm.common import byte_parts, shared_dir, text_or_empty
 
 #: Words that a worker remembers the hash of; beyond, it starts anew. Only speed depends on it.
 REMEMBERED = 300_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 LAST = np.iinfo(np.int64).max
+#: Sampled suffixes for each group.
+SAMPLES = 20
+#: Prefixes at most; of some ten bytes each.
+SPLITTERS = 4_000_000
+#: Fingerprints that a bin holds, about.
+BIN_PRINTS = 4_000_000
+#: Bits of a fingerprint beyond those that number all suffixes: about one suffix in 2**SPARE passes for nothing.
+SPARE = 8
 
 
 class _Hashes(dict):
@@ -46,253 +59,286 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
+def pack(values: np.ndarray) -> bytes:
+    """Ascending or small integers: steps, byte planes apart, compressed."""
+    import zstandard
 
-def word_hashes(cut: list[list[bytes]]) -> np.ndarray:
-    if len(_hashes) > REMEMBERED:
-        _hashes.clear()
-    n = sum(map(len, cut))
-    return np.fromiter((h for words in cut for h in map(_hashes.__getitem__, words)), dtype=np.uint64, count=n)
+    steps = np.diff(values.astype(np.int64), prepend=np.int64(0)).astype("<i8")
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-class Slice:
-    """Documents of a slice of a batch: word hashes end to end, and the places where a whole window starts."""
-
-    def __init__(self, texts: list[bytes], window: int) -> None:
-        cut = [t.split() for t in texts]  # ASCII white space only
-        self.sizes = np.array([len(c) for c in cut], dtype=np.int64)
-        self.begins = np.cumsum(self.sizes) - self.sizes
-        self.words = word_hashes(cut)
-        doc = np.repeat(np.arange(len(cut)), self.sizes)
-        at = np.arange(len(self.words)) - self.begins[doc]
-        self.starts = np.flatnonzero(at + window <= self.sizes[doc])
-        self.doc, self.at = doc[self.starts], at[self.starts]
-
-    def paths(self, lengths: list[int]) -> dict[int, np.ndarray]:
-        """Fingerprints of the first words of each suffix, for each length asked for."""
-        out, path = {}, np.zeros(len(self.starts), dtype=np.uint64)
-        for k in range(max(lengths, default=0)):
-            path = path * MULTIPLIER + self.words[self.starts + k]
-            if k + 1 in lengths:
-                out[k + 1] = mixed(path)
-        return out
-
-
-def prefixes(paths: dict[int, np.ndarray], heavy: list[np.ndarray]) -> np.ndarray:
-    """Fingerprint of the prefix that deals out each suffix; heavy: the heavy prefixes of one word, two words, ..."""
-    chosen = paths[1]
-    open_ = np.arange(len(chosen))
-    for length, known in enumerate(heavy, 1):
-        open_ = open_[np.isin(chosen[open_], known)]
-        chosen = chosen.copy()
-        chosen[open_] = paths[length + 1][open_]
-    return chosen
-
-
-def byte_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Batches in slices of bounded text."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            texts = byte_rows(part, "text")
-            for a, b in slices(texts):
-                yield part.slice(a, b - a), texts[a:b]
-
-
-def census(rows: DataFrame, window: int, heavy: list[np.ndarray], group_suffixes: int, at_most: int) -> np.ndarray:
-    """Fingerprints of the prefixes one word longer than the last heavy ones that more than group_suffixes suffixes share.
-
-    A slice reports prefixes of a share of its suffixes that, left out everywhere, could add up to half a group of the
-    ``at_most`` suffixes there are; those that reach half a group in what is reported are heavy.
-    """
-    length = len(heavy) + 1
-    share = 0.5 * group_suffixes / at_most
+def unpack(raw: bytes) -> np.ndarray:
+    import zstandard
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in byte_batches(batches):
-            part = Slice(texts, window)
-            if not len(part.starts):
-                continue
-            paths = part.paths(list(range(1, length + 1)))
-            open_ = np.arange(len(part.starts))
-            for k, known in enumerate(heavy, 1):
-                open_ = open_[np.isin(paths[k][open_], known)]
-            prefix, n = np.unique(paths[length][open_], return_counts=True)
-            often = n >= share * len(part.starts)
-            yield pa.RecordBatch.from_arrays([pa.array(prefix[often].view(np.int64)), pa.array(n[often])], ["prefix", "n"])
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel())
 
-    counted = rows.mapInArrow(run, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
-    found = counted.where(F.col("n") > group_suffixes // 2).select("prefix").toPandas()  # at most 2 at_most / group_suffixes rows
-    return np.sort(found["prefix"].to_numpy(np.int64).view(np.uint64))
 
+def sliced(rows: DataFrame, window: int, slice_bytes: int, sample_every: int) -> DataFrame:
+    """Rows (key, text) -> one row for each slice: its documents' keys, numbers of words and words, and sampled suffixes."""
 
-PACKED = "bin int, paths binary, places binary, gone binary, docs binary"
+    def packed(number: int, keys: list, lines: list[bytes]) -> pa.RecordBatch:
+        import zstandard
 
+        sizes = np.array([line.count(b" ") + 1 if line else 0 for line in lines], dtype=np.int64)
+        ends = np.cumsum(np.maximum(sizes - window + 1, 0))
+        sample = []
+        for at in range(number * 7919 % sample_every, int(ends[-1]), sample_every):
+            doc = int(np.searchsorted(ends, at, side="right"))
+            first = at - int(ends[doc - 1]) if doc else at
+            sample.append(b" ".join(lines[doc].split(b" ")[first : first + window]))
+        columns = [
+            pa.array([number], pa.int64()), pa.array([int(ends[-1])], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([pack(sizes)], pa.binary()),
+            pa.array([zstandard.compress(b"\n".join(lines), 1)], pa.binary()), pa.array([sample], pa.list_(pa.binary())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["slice", "suffixes", "keys", "sizes", "words", "sample"])
 
-def pack(*arrays: np.ndarray) -> bytes:
-    import zstandard
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+        number, size = TaskContext.get().partitionId() << 32, 0
+        keys: list = []
+        lines: list[bytes] = []
+        for part, texts in byte_parts(batches, "text"):
+            for key, text in zip(part.column("key").to_pylist(), texts, strict=True):
+                if size and size + len(text) > slice_bytes:
+                    yield packed(number, keys, lines)
+                    number, size, keys, lines = number + 1, 0, [], []
+                keys.append(key)
+                lines.append(b" ".join(text.split()))  # ASCII white space only
+                size += len(text) + 16
+        if keys:
+            yield packed(number, keys, lines)
 
+    return rows.mapInArrow(run, "slice long, suffixes long, keys array<long>, sizes binary, words binary, sample array<binary>")
 
-def unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
-    """Arrays of one length end to end."""
-    import zstandard
 
-    raw = zstandard.decompress(raw)
-    n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
-    out, at = [], 0
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
+class Slice:
+    """Words of a slice end to end, the places where a whole window starts, and the window's fingerprint at each."""
 
+    def __init__(self, sizes: bytes, words: bytes, window: int, bits: int) -> None:
+        import zstandard
 
-def suffixes(rows: DataFrame, window: int, heavy: list[np.ndarray], bins: int) -> DataFrame:
-    """Packed suffixes by group: a row for each slice and group.
+        self.sizes = unpack(sizes)
+        self.words = zstandard.decompress(words).split()
+        if len(_hashes) > REMEMBERED:
+            _hashes.clear()
+        hashes = np.fromiter(map(_hashes.__getitem__, self.words), dtype=np.uint64, count=len(self.words))
+        self.ends = np.cumsum(self.sizes)
+        self.doc_of_word = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.starts = np.flatnonzero(np.arange(len(hashes)) + window <= self.ends[self.doc_of_word])
+        path = np.zeros(len(self.starts), dtype=np.uint64)
+        for k in range(window):
+            path = path * MULTIPLIER + hashes[self.starts + k]
+        path = (path ^ (path >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        path = (path ^ (path >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        self.prints = ((path ^ (path >> np.uint64(31))) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def shared_prints(texts: DataFrame, window: int, bits: int, bin_bits: int) -> DataFrame:
+    """slice, shared: packed fingerprints of the slice that another slice has too."""
+    low = (1 << (bits - bin_bits)) - 1
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, sizes, words in zip(*(batch.column(c).to_pylist() for c in ("slice", "sizes", "words")), strict=True):
+                prints = np.unique(Slice(sizes, words, window, bits).prints)
+                edges = np.flatnonzero(np.r_[True, (prints[1:] >> (bits - bin_bits)) != (prints[:-1] >> (bits - bin_bits)), True]) if len(prints) else [0]
+                parts = [prints[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(p[0] >> (bits - bin_bits)) for p in parts], pa.int64()), pa.array([number] * len(parts), pa.int64()), pa.array([pack(p & low) for p in parts], pa.binary())], ["bin", "slice", "prints"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        found = [unpack(p) for p in table.column("prints").to_pylist()]
+        every = np.sort(np.concatenate(found))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        high = table.column("bin")[0].as_py() << (bits - bin_bits)
+        both = [np.intersect1d(f, twice, assume_unique=True) for f in found]
+        return pa.table({"slice": table.column("slice"), "shared": pa.array([pack(b | high) if len(b) else None for b in both], pa.binary())})
+
+    sent = texts.select("slice", "sizes", "words").mapInArrow(send, "bin long, slice long, prints binary")
+    return sent.groupBy("bin").applyInArrow(answer, "slice long, shared binary").where("shared is not null")
+
+
+def splitters(texts: DataFrame, suffixes: int, group_suffixes: int) -> list[bytes]:
+    """Prefixes of variable length that part the sorted suffixes into groups."""
+    if suffixes <= group_suffixes:
+        return []
+    groups = -(-suffixes // group_suffixes)
+    every = SAMPLES * groups // min(groups, SPLITTERS)
 
-    paths: seven bytes each; places and gone: steps from one word place of the slice to the next, the latter of suffixes
-    that a smaller document of the slice has; docs: id, text checksum and first word place of each document.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, before = 0, b""
+        for batch in batches:
+            found = []
+            for line in batch.column("line").to_pylist():
+                n += 1
+                if n % every == 0:
+                    words, other = line.split(b" "), before.split(b" ")
+                    common = next((k for k, (x, y) in enumerate(zip(words, other, strict=False)) if x != y), min(len(words), len(other)))
+                    found.append(b" ".join(words[: common + 1]))
+                before = line
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["prefix"])
+
+    lines = texts.select(F.explode("sample").alias("line")).orderBy("line")
+    return sorted({bytes(row.prefix) for row in lines.mapInArrow(run, "prefix binary").collect()})  # SPLITTERS at most
+
+
+def repeated_suffixes(texts: DataFrame, shared: DataFrame, window: int, bits: int, prefixes: list[bytes]) -> DataFrame:
+    """Suffixes that may have an equal one in another document, by group: sorted lines of words, their smallest ids and places.
+
+    A place is a word's number in the slice. gone: places of suffixes that a smaller document of the slice has.
     """
+    spark = texts.sparkSession
+    known = spark.sparkContext.broadcast(prefixes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in byte_batches(batches):
-            part = Slice(texts, window)
-            if not len(part.starts):
-                continue
-            keys = batch.column("key").fill_null(LAST).to_numpy(zero_copy_only=False)
-            lengths = [*range(1, len(heavy) + 2), window]
-            paths = part.paths(lengths)
-            to = (prefixes(paths, heavy) % np.uint64(bins)).astype(np.int32)
-            path = paths[window]
-            # Equal paths of the slice: those of the smallest document stay.
-            order = np.argsort(path)
-            first = np.flatnonzero(np.r_[True, path[order][1:] != path[order][:-1]])
-            owner = keys[part.doc]
-            least = np.minimum.reduceat(owner[order], first)
-            gone = np.zeros(len(path), dtype=bool)
-            gone[order] = owner[order] > np.repeat(least, np.diff(np.r_[first, len(path)]))
-            key = to * 2 + gone
-            by_bin = np.argsort(key.astype(np.uint16) if 2 * bins < 1 << 16 else key, kind="stable")  # places ascend in each
-            edges = np.flatnonzero(np.r_[True, to[by_bin][1:] != to[by_bin][:-1], True])
-            place = part.starts.astype(np.uint32)
-            docs = pack(keys, checksums(texts), part.begins.astype("<u4"))
-            low = np.ascontiguousarray(path).view(np.uint8).reshape(-1, 8)[:, :7]
-            found: tuple[list, ...] = ([], [], [], [], [])
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                some = by_bin[a:b]
-                kept = int(len(some) - gone[some].sum())
-                for column, value in zip(found, (to[some[0]], low[some[:kept]].tobytes(), pack(np.diff(place[some[:kept]], prepend=np.uint32(0))), pack(np.diff(place[some[kept:]], prepend=np.uint32(0))), docs), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int32()), *(pa.array(c, pa.binary()) for c in found[1:])], ["bin", "paths", "places", "gone", "docs"])
-
-    return rows.mapInArrow(run, PACKED)
-
-
-def checksums(texts: list[bytes]) -> np.ndarray:
-    return np.array([zlib.crc32(t) for t in texts], dtype="<u4")
-
-
-def bucket_of(keys: np.ndarray, sums: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(keys.view(np.uint64) * MULTIPLIER + sums) % np.uint64(buckets)).astype(np.int32)
-
-
-def removals(packed: DataFrame, buckets: int) -> DataFrame:
-    """Starts of windows that a smaller document has, packed by bucket of documents: id, text checksum, word place."""
-
-    def subtree(table: pa.Table) -> pa.Table:
-        paths, key, tag, place, lost = [], [], [], [], []
-        for raw, places, gone, docs in zip(*(table.column(c).to_pylist() for c in ("paths", "places", "gone", "docs")), strict=True):
-            ids, sums, begins = unpack(docs, "<i8", "<u4", "<u4")
-            wide = np.zeros((len(raw) // 7, 8), dtype=np.uint8)
-            wide[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
-            there = [np.cumsum(unpack(steps, "<u4")[0], dtype=np.int64) for steps in (places, gone)]
-            at = np.concatenate(there)
-            doc = np.searchsorted(begins, at, side="right") - 1
-            paths.append(wide.view("<u8").ravel())
-            key.append(ids[doc])
-            tag.append(sums[doc])
-            place.append((at - begins[doc]).astype("<u4"))
-            lost.append(np.arange(len(at)) >= len(there[0]))
-        keys, tags, places, gone = map(np.concatenate, (key, tag, place, lost))
-        known = np.flatnonzero(~gone)
-        path = np.concatenate(paths)
-        order = np.argsort(path)
-        # Suffixes of one node stand together; the smallest document that passes it keeps it.
-        first = np.flatnonzero(np.r_[True, path[order][1:] != path[order][:-1]]) if len(path) else np.zeros(0, dtype=np.int64)
-        if len(path):
-            owner = keys[known][order]
-            least = np.minimum.reduceat(owner, first)
-            gone[known[order]] = owner > np.repeat(least, np.diff(np.r_[first, len(path)]))
-        keys, tags, places = keys[gone], tags[gone], places[gone]
-        to = bucket_of(keys, tags, buckets)
-        order = np.lexsort((places, tags, keys, to))
-        edges = np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1], True]) if len(to) else np.zeros(1, dtype=np.int64)
-        parts = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.table({"bucket": pa.array([int(to[p[0]]) for p in parts], pa.int32()), "starts": pa.array([pack(keys[p], tags[p], places[p]) for p in parts], pa.binary())})
-
-    return packed.groupBy("bin").applyInArrow(subtree, "bucket int, starts binary")
-
-
-def bucketed(rows: DataFrame, buckets: int) -> DataFrame:
-    """Documents by bucket, their texts compressed for the shuffle."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield of_slice(row)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_slice(row: dict) -> pa.RecordBatch:
         import zstandard
 
-        for batch, texts in byte_batches(batches):
-            keys, sums = batch.column("key").fill_null(LAST).to_numpy(zero_copy_only=False), checksums(texts)
-            squeeze = zstandard.ZstdCompressor(level=1).compress
-            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(keys, sums, buckets)), batch.column("key"), pa.array(sums.astype(np.int64)), pa.array([squeeze(t) for t in texts], pa.binary())], ["bucket", "key", "tag", "text"])
+        part = Slice(row["sizes"], row["words"], window, bits)
+        keys = np.array([LAST if k is None else k for k in row["keys"]], dtype=np.int64)
+        owner = keys[part.doc_of_word[part.starts]]
+        elsewhere = np.isin(part.prints, np.concatenate([unpack(x) for x in row["shared"]])) if row["shared"] else np.zeros(len(owner), dtype=bool)
+        order = np.argsort(part.prints, kind="stable")
+        first = np.flatnonzero(np.r_[True, part.prints[order][1:] != part.prints[order][:-1]]) if len(order) else np.zeros(0, dtype=np.int64)
+        many = np.zeros(len(owner), dtype=bool)
+        if len(order):
+            differ = np.minimum.reduceat(owner[order], first) != np.maximum.reduceat(owner[order], first)
+            many[order] = np.repeat(differ, np.diff(np.r_[first, len(order)]))
+        some = np.flatnonzero(elsewhere | many)
+        # Lines of words, each once.
+        lengths = np.fromiter(map(len, part.words), dtype=np.int64, count=len(part.words))
+        ends = np.cumsum(lengths + 1) - 1
+        text, at = b" ".join(part.words), part.starts[some]
+        lines: dict[bytes, int] = {}
+        line = np.fromiter((lines.setdefault(text[a:b], len(lines)) for a, b in zip((ends[at] - lengths[at]).tolist(), ends[at + window - 1].tolist(), strict=True)), dtype=np.int64, count=len(some))
+        least = np.full(len(lines), LAST, dtype=np.int64)
+        np.minimum.at(least, line, owner[some])
+        own = owner[some] == least[line]
+        sent = np.zeros(len(lines), dtype=bool)
+        sent[line[elsewhere[some]]] = True
+        names = list(lines)
+        by_words = sorted(np.flatnonzero(sent).tolist(), key=names.__getitem__)
+        rank = np.full(len(lines), -1, dtype=np.int64)
+        rank[by_words] = np.arange(len(by_words))
+        use = np.flatnonzero(own & sent[line])
+        use = use[np.argsort(rank[line[use]], kind="stable")]  # places by line
+        of, place = rank[line[use]], at[use]
+        group = np.array([bisect_right(known.value, names[k]) for k in by_words], dtype=np.int64)
+        edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(1, dtype=np.int64)
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            i, j = np.searchsorted(of, [a, b])
+            values = (int(group[a]), zstandard.compress(b"\n".join([names[k] for k in by_words[a:b]]), 3), pack(least[by_words[a:b]]), pack(of[i:j] - a), pack(place[i:j]), None)
+            for column, value in zip(out, values, strict=True):
+                column.append(value)
+        if not own.all():
+            for column, value in zip(out, (int(row["slice"]) % (len(known.value) + 1), None, None, None, None, pack(np.sort(at[~own]))), strict=True):
+                column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array([row["slice"]] * len(out[0]), pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], ["prefix", "slice", "lines", "owners", "of", "places", "gone"])
 
-    return rows.mapInArrow(run, "bucket int, key long, tag long, text binary")
+    answers = shared.groupBy("slice").agg(F.collect_list("shared").alias("shared"))  # a fingerprint of each of the slice's suffixes at most
+    joined = texts.select("slice", "keys", "sizes", "words").join(answers.hint("shuffle_hash"), "slice", "left")
+    return joined.mapInArrow(run, "prefix long, slice long, lines binary, owners binary, of binary, places binary, gone binary")
 
 
-def cut_out(docs: DataFrame, removed: DataFrame, window: int) -> DataFrame:
-    """key, n_words, n_removed, text: each text's words but those in removed windows, joined by a space."""
+def deep_nodes(lines: list[bytes]) -> list[tuple[int, int]]:
+    """Ranges of the sorted suffixes below each internal node at the window's depth: neighbours that agree in all words to there."""
+    nodes, first = [], 0
+    for k in range(1, len(lines) + 1):
+        if k == len(lines) or lines[k] != lines[first]:
+            if k - first > 1:
+                nodes.append((first, k))
+            first = k
+    return nodes
 
-    def trim(texts: pa.Table, packed: pa.Table) -> pa.Table:
-        import zstandard
 
-        starts = [unpack(x, "<i8", "<u4", "<u4") for x in packed.column("starts").to_pylist()]
-        keys, tags, places = map(np.concatenate, zip(*starts, strict=True)) if starts else (np.zeros(0, "<i8"), np.zeros(0, "<u4"), np.zeros(0, "<u4"))
-        order = np.lexsort((places, tags, keys))
-        keys, tags, places = keys[order], tags[order], places[order]
-        edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (tags[1:] != tags[:-1]), True]) if len(keys) else np.zeros(1, dtype=np.int64)
-        of = {(int(keys[a]), int(tags[a])): places[a:b].astype(np.int64) for a, b in zip(edges[:-1], edges[1:], strict=True)}
-        out: tuple[list, ...] = ([], [], [])
-        expand = zstandard.ZstdDecompressor().decompress
-        for key, tag, raw in zip(*(texts.column(c).to_pylist() for c in ("key", "tag", "text")), strict=True):
-            words = expand(raw).split()
-            at = of.get((LAST if key is None else key, tag))
-            kept = words
-            if at is not None:
-                edge = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
-                kept = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
-            for column, value in zip(out, (len(words), len(words) - len(kept), b" ".join(kept)), strict=True):
-                column.append(value)
-        return pa.table({"key": texts.column("key"), "n_words": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "text": pa.array(out[2], pa.binary()).cast(pa.string())})
+def removals(suffixes: DataFrame) -> DataFrame:
+    """slice, gone: packed places of suffixes that a smaller document has."""
 
-    return docs.groupBy("bucket").cogroup(removed.groupBy("bucket")).applyInArrow(trim, "key long, n_words long, n_removed long, text string")
+    def subtree(table: pa.Table) -> pa.Table:
+        import zstandard
 
+        lines: list[bytes] = []
+        owners, begins = [np.zeros(0, dtype=np.int64)], []
+        rows = table.select(["lines", "owners", "of", "places", "gone"]).to_pylist()
+        for row in rows:
+            begins.append(len(lines))
+            if row["lines"] is not None:
+                lines += zstandard.decompress(row["lines"]).split(b"\n")
+                owners.append(unpack(row["owners"]))
+        owner = np.concatenate(owners)
+        order = sorted(range(len(lines)), key=lines.__getitem__)  # runs of sorted lines merge
+        taken = np.zeros(len(lines), dtype=bool)
+        for a, b in deep_nodes([lines[k] for k in order]):
+            below = np.array(order[a:b])
+            taken[below] = owner[below] > owner[below].min()
+        found = []
+        for begin, row in zip(begins, rows, strict=True):
+            gone = unpack(row["gone"]) if row["gone"] is not None else np.zeros(0, dtype=np.int64)
+            if row["lines"] is not None:
+                place = unpack(row["places"])
+                gone = np.concatenate([gone, place[taken[begin + unpack(row["of"])]]])
+            found.append(pack(np.sort(gone)) if len(gone) else None)
+        return pa.table({"slice": table.column("slice"), "gone": pa.array(found, pa.binary())})
+
+    return suffixes.groupBy("prefix").applyInArrow(subtree, "slice long, gone binary").where("gone is not null")
+
+
+def cut_out(texts: DataFrame, gone: DataFrame, window: int) -> DataFrame:
+    """key, n_words, n_removed, text: each text's words but those in removed windows, joined by a space; spans of the removed ones."""
 
-def trimmed(docs: DataFrame, window: int = 13, group_suffixes: int = 4_000_000, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return ``id_col``, n_words, n_removed, text (what is left, joined by spaces) per row of ``docs``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                sizes, lines = unpack(row["sizes"]), zstandard.decompress(row["words"]).split(b"\n")
+                edge = np.zeros(int(sizes.sum()) + 1, dtype=np.int64)
+                for x in row["gone"] or ():
+                    at = unpack(x)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + window, -1)
+                covered = np.cumsum(edge[:-1]) > 0
+                ends = np.cumsum(sizes)
+                n_removed = np.r_[0, np.cumsum(covered)][ends] - np.r_[0, np.cumsum(covered)][ends - sizes]
+                spans: list[list] = [[] for _ in lines]
+                for k in np.flatnonzero(n_removed).tolist():
+                    inside = covered[ends[k] - sizes[k] : ends[k]]
+                    turns = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
+                    spans[k] = [{"first": int(a), "n": int(b - a)} for a, b in zip(turns[::2], turns[1::2], strict=True)]
+                    words = lines[k].split(b" ")
+                    lines[k] = b" ".join([words[i] for i in np.flatnonzero(~inside).tolist()])
+                columns = [pa.array(row["keys"], pa.int64()), pa.array(sizes), pa.array(n_removed), pa.array(lines, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())])))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n_words", "n_removed", "text", "spans"])
+
+    places = gone.groupBy("slice").agg(F.collect_list("gone").alias("gone"))  # a place for each of the slice's suffixes at most
+    joined = texts.select("slice", "keys", "sizes", "words").join(places.hint("shuffle_hash"), "slice", "left")
+    return joined.mapInArrow(run, "key long, n_words long, n_removed long, text string, spans array<struct<first:long,n:long>>")
+
+
+def bucketed(texts: DataFrame, path: str) -> DataFrame:
+    """Write slices as a table bucketed by slice, so that joins by slice leave it where it is."""
+    spark = texts.sparkSession
+    name = f"slices_{uuid.uuid4().hex}"
+    texts.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "slice").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def trimmed(docs: DataFrame, window: int = 13, group_suffixes: int = 4_000_000, slice_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", print_bits: int | None = None) -> DataFrame:
+    """Return ``id_col``, n_words, n_removed, text (what is left, joined by spaces) and spans (of the removed words) per row of ``docs``.
+
+    ``print_bits``: bits of the filter's fingerprints, by default as many as the number of suffixes asks for; the result does not depend on it.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("key"), text_or_empty(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    heavy: list[np.ndarray] = []
-    while size // 2 > group_suffixes and len(heavy) < window - 1:
-        found = census(rows, window, heavy, group_suffixes, size // 2)
-        if not len(found):
-            break
-        heavy.append(found)
-    # Bins of half a group each, for words of five bytes and a space.
-    packed = suffixes(rows, window, heavy, max(1, -(-2 * size // (6 * group_suffixes))))
-    buckets = max(1, -(-size // bucket_bytes))
-    return cut_out(bucketed(rows, buckets), removals(packed, buckets), window).withColumnRenamed("key", id_col)
+    texts = bucketed(sliced(rows, window, slice_bytes, max(1, group_suffixes // SAMPLES)), f"{shared_dir(docs.sparkSession)}/slices")
+    suffixes = texts.agg(F.sum("suffixes")).first()[0] or 0
+    bits = min(62, print_bits or max(16, suffixes.bit_length() + SPARE))
+    bin_bits = min(bits - 1, max(0, (suffixes // BIN_PRINTS).bit_length()))
+    shared = shared_prints(texts, window, bits, bin_bits)
+    left = repeated_suffixes(texts, shared, window, bits, splitters(texts, suffixes, group_suffixes))
+    return cut_out(texts, removals(left), window).withColumnRenamed("key", id_col)

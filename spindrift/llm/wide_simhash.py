@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import simhash
-from spindrift.llm.common import byte_rows, shared_dir, slices, text_or_empty, written
+from spindrift.llm.common import byte_parts, shared_dir, text_or_empty, written
 from spindrift.llm.connected import components
 from spindrift.llm.simhash import embedded_array
 
@@ -88,8 +88,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [f"w{k}" for k in range(n_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(raw, shingle, seed, n_words) for raw in byte_rows(batch, "text")], dtype=np.uint64).reshape(-1, n_words).view(np.int64)
+        for batch, texts in byte_parts(batches, "text"):
+            found = np.array([fingerprint(raw, shingle, seed, n_words) for raw in texts], dtype=np.uint64).reshape(-1, n_words).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(n_words))], ["key", *names])
 
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names))

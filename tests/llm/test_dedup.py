@@ -1,5 +1,6 @@
 import hashlib
 import random
+from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -175,29 +176,38 @@ def plain_trim(texts, ids, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("group_suffixes", "bucket_bytes"), [(4_000_000, 16 << 20), (2_000, 20_000)])
-def test_substring_query(spark, group_suffixes, bucket_bytes):
-    """With small groups the prefixes grow by word until they are light."""
-    texts = odd_texts()
-    rows = substring_dedup.trimmed(documents(spark, texts), group_suffixes=group_suffixes, bucket_bytes=bucket_bytes).collect()
-    assert sorted((tuple(r) for r in rows), key=str) == plain_trim(texts, range(len(texts)), 13)
+def trims(rows):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in rows), key=str)
+
+
+@pytest.mark.parametrize(("group_suffixes", "slice_bytes", "print_bits"), [(4_000_000, 8 << 20, None), (2_000, 20_000, None), (500, 100_000, 3), (1, 1, 1)])
+def test_substring_query(spark, group_suffixes, slice_bytes, print_bits):
+    """Small groups have long prefixes; with few bits all fingerprints collide and words alone decide."""
+    texts = [t for t in odd_texts() if print_bits is None or t is None or len(t) < 50_000]
+    rows = substring_dedup.trimmed(documents(spark, texts), group_suffixes=group_suffixes, slice_bytes=slice_bytes, print_bits=print_bits).collect()
+    assert trims(rows) == plain_trim(texts, range(len(texts)), 13)
+    for r in rows:
+        words = WORDS.findall(texts[r.doc_id] or "")
+        gone = {k for s in r.spans for k in range(s.first, s.first + s.n)}
+        assert len(gone) == r.n_removed and " ".join(w for k, w in enumerate(words) if k not in gone) == r.text
 
 
 def test_substring_ties_and_nulls(spark):
     passage = " ".join(f"w{i}" for i in range(30))
     texts, ids = [passage, passage, f"x {passage}", f"{passage} y", None, passage], [5, 5, 9, None, None, 7]
     rows = substring_dedup.trimmed(documents(spark, texts, ids)).collect()
-    assert sorted((tuple(r) for r in rows), key=str) == plain_trim(texts, ids, 13)
+    assert trims(rows) == plain_trim(texts, ids, 13)
     assert substring_dedup.trimmed(documents(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_heavy_prefixes_are_found(spark):
+def test_prefixes_part_a_hot_word(spark):
+    """Suffixes that begin with one word are parted by prefixes of more words."""
     texts = [" ".join(["the", "same", *(f"v{i}x{k}" for k in range(40))]) for i in range(200)]
     rows = documents(spark, texts).selectExpr("doc_id as key", "text")
-    first = substring_dedup.census(rows, 13, [], 100, 10_000)
-    import xxhash as x
-
-    one = substring_dedup.mixed(np.array([x.xxh64_intdigest(b"the")], dtype=np.uint64))
-    assert set(one.tolist()) <= set(first.tolist())
-    second = substring_dedup.census(rows, 13, [first], 100, 10_000)
-    assert len(second) >= 1
+    sliced = substring_dedup.sliced(rows, 13, 10_000, 1)
+    found = substring_dedup.splitters(sliced, sliced.agg(F.sum("suffixes")).first()[0], 20)
+    assert found == sorted(set(found)) and len(found) > 100
+    assert any(p.startswith(b"the same ") for p in found) and any(b" " not in p for p in found)
+    lines = sorted(b" ".join(t.encode().split()[k : k + 13]) for t in texts for k in range(30))
+    sizes = np.bincount([bisect_right(found, line) for line in lines])
+    assert sizes.max() <= 60
