@@ -8,6 +8,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,39 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: A side of a join is broadcast only while it takes up no more than this.
+BROADCAST_BYTES = 64 << 20
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``df`` has none of."""
+    taken = {c.lower() for c in df.columns}
+    tag = next(t for t in map("_{}".format, range(len(taken) + 1)) if not any(n + t in taken for n in names))
+    return [n + tag for n in names]
+
+
+def dealt_join(big: DataFrame, small: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """Join where ``small`` has a row for each key and in ``n`` the number of ``big``'s rows with it, of ``total``.
+
+    Keys that hold more than a quarter of a partition's even share of rows are dealt out to several places, so that none makes
+    a task of its own; there are at most four such keys for each partition, and these are broadcast.
+    """
+    share = max(1, total // (4 * int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    places = F.greatest(F.ceil(F.col(n) / share), F.lit(1)).cast("int")
+    hot = F.broadcast(small.where(F.col(n) > share).select(*keys, places.alias("places")))
+    dealt = big.join(hot, keys, "left").withColumn("place", F.pmod(F.xxhash64(*big.columns), F.coalesce("places", F.lit(1))).cast("int")).drop("places")
+    return dealt.join(small.withColumn("place", F.explode(F.sequence(F.lit(0), places - 1))).drop(n), [*keys, "place"], how).drop("place")
+
+
+def without(docs: DataFrame, columns: list[Column], dropped: DataFrame) -> DataFrame:
+    """``docs`` but the rows whose ``columns`` stand in ``dropped`` (as many columns, null equal to null), which is broadcast below a size."""
+    size = dropped.count() * 40 * len(columns)
+    names = fresh(docs, *(f"out{k}" for k in range(len(columns))))
+    out = dropped.toDF(*names)
+    same = reduce(lambda a, b: a & b, (c.eqNullSafe(F.col(name)) for c, name in zip(columns, names, strict=True)))
+    return docs.join(F.broadcast(out) if size <= BROADCAST_BYTES else out, same, "left_anti")
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

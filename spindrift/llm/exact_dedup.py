@@ -1,24 +1,33 @@
 """Exact dedup with a log-structured merge index of digests, in DataFrame operations only.
 
-Flush: each task sorts its rows by digest and writes them as runs of at most ``memtable_rows`` rows, Parquet files
-with a Bloom filter on the digest, so a later look-up skips runs. Compaction merges runs by digest, first by digest
-and id, so that equal rows are one, and keeps the extreme identifier and the number of rows. Digests of more than one
-row are hits: their texts are compared as bytes, by grouping on digest and text, which copies within a task pass as one row.
-
-Null text counts as empty. Of rows with equal ids and texts one stays. Null ids lose against others. A digest shared
-by unequal texts parts them by their bytes.
+``MergeIndex`` holds rows (digest, key, copies) in levels of sorted runs. Flush: each task's memtable of at most ``memtable_rows``
+rows goes to level 0, sorted by digest. Compaction merges level 0 to a run of level 1, bucketed by digest and key (so that the copies of one text are
+no bucket of their own) and sorted, in which equal rows are one with their number; two runs of a level merge to one of the next, bucket by
+bucket by a sort-merge join without a shuffle. Every run has a filter, the bits of its digests' slots, and a look-up opens only the runs whose
+filter lets one of its digests through.
+
+Digests of more than one row are hits. Their filter is asked before a text moves: texts that it lets through are compared as bytes, by grouping
+on digest and text, in which copies within a task pass as one row; of each text the extreme identifier stays.
+
+Null text counts as empty. Of rows with equal ids and texts one stays, that with the least other columns. Null ids lose
+against others. A digest shared by unequal texts parts them by their bytes. An empty table gives an empty one;
+further columns of any type and name are carried along by ``deduplicated`` and not looked at by ``mark``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import ascii_lower, shared_dir, text_or_empty, written
+from spindrift.llm.common import ascii_lower, dealt_join, fresh, removed, scratch, shared_dir, text_or_empty, without, written
 
-#: Hits are broadcast to filter the texts that are compared only while they take up no more than this; beyond, all texts are grouped.
-BROADCAST_BYTES = 64 << 20
-HIT_BYTES = 64
+#: Slots of a filter for each digest, and 64-slot words of a filter at most: a filter is broadcast, and a fuller one lets more through.
+SLOTS = 16
+FILTER_WORDS = 4 << 20
 
 
 def normalised(text_col: str) -> Column:
@@ -29,35 +38,112 @@ def digest_of(norm: Column) -> Column:
     return F.unhex(F.sha2(norm, 256))
 
 
-def flush(rows: DataFrame, path: str, memtable_rows: int = 2_000_000) -> DataFrame:
-    """Write (key, digest) rows as sorted runs with filters; calls with the same path add runs."""
-    options = {"maxRecordsPerFile": str(memtable_rows), "parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
-    rows.sortWithinPartitions("digest", "key").write.mode("append").options(**options).parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+class Filter(NamedTuple):
+    """One bit for each slot that a digest falls into: rows (word, bits), a row for each word that is not empty."""
 
+    words: DataFrame
+    slots: int
 
-def compact(runs: DataFrame) -> DataFrame:
-    """Merge runs: key, digest, copies (rows of that key and digest)."""
-    return runs.groupBy("digest", "key").agg(F.count("*").alias("copies"))
+    def passing(self, rows: DataFrame) -> DataFrame:
+        """Rows (digest, ...) whose digest may be among the filter's."""
+        slot = slot_of(F.col("digest"), self.slots)
+        return rows.join(F.broadcast(self.words), (F.col("word") == F.shiftright(slot, 6)) & (F.getbit(F.col("bits"), F.pmod(slot, F.lit(64)).cast("int")) == 1), "left_semi")
 
 
-def by_digest(merged: DataFrame, keep: str = "smallest") -> DataFrame:
-    """digest, keep_key, group_size; ``keep`` is smallest or largest."""
-    extreme = {"smallest": F.min, "largest": F.max}[keep]
-    return merged.groupBy("digest").agg(extreme("key").alias("keep_key"), F.sum("copies").alias("group_size"))
+def slot_of(digest: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(slots).cast("long"))
+
+
+def filter_of(digests: DataFrame, rows: int, path: str) -> Filter:
+    """The filter of rows (digest) of which there are ``rows``."""
+    slots = 64 * min(FILTER_WORDS, max(1, SLOTS * rows // 64))
+    slot = slot_of(F.col("digest"), slots)
+    bits = digests.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(digest), {slots}L) % 64))").alias("bit"))
+    return Filter(written(bits.groupBy("word").agg(F.bit_or("bit").alias("bits")), path), slots)
+
+
+class Run(NamedTuple):
+    """A sorted run: digest, known and id (whether there is a key, and the key or a zero), copies."""
+
+    rows: DataFrame
+    filter: Filter
+    path: str
+
+
+SORTED = ("digest", "known", "id")
+
 
+class MergeIndex:
+    """Levels of runs below ``path``; level 0 are memtables as flushed. Keys are whole numbers or strings."""
 
-def probe(runs: DataFrame, digests: list[bytes]) -> DataFrame:
-    """Rows of the index with one of a few digests; the runs' filters spare those without them."""
-    return runs.where(F.col("digest").isin(*digests))
+    def __init__(self, docs: DataFrame, path: str, memtable_rows: int = 2_000_000) -> None:
+        self.spark, self.path, self.memtable_rows = docs.sparkSession, path, memtable_rows
+        self.memtables: list[str] = []
+        self.levels: dict[int, Run] = {}
+
+    def flush(self, rows: DataFrame) -> None:
+        """Write rows (key, digest) as sorted memtables."""
+        path, key = f"{self.path}/memtables-{uuid.uuid4().hex}", F.col("key")
+        keyed = rows.select("digest", key.isNotNull().alias("known"), F.coalesce(key, F.lit(0).cast(rows.schema["key"].dataType)).alias("id"))
+        keyed.sortWithinPartitions(*SORTED).write.option("maxRecordsPerFile", self.memtable_rows).parquet(path)
+        self.schema = keyed.schema
+        self.memtables.append(path)
+
+    def compact(self) -> None:
+        """Merge the memtables to a run of level 1, and two runs of one level to one of the next."""
+        if self.memtables:
+            rows = self.spark.read.schema(self.schema).parquet(*self.memtables)
+            run, level = self._run(rows.groupBy(*SORTED).agg(F.count("*").alias("copies")), 1), 1
+            while level in self.levels:
+                other, level = self.levels.pop(level), level + 1
+                copies = (F.coalesce(run.rows["copies"], F.lit(0)) + F.coalesce(other.rows["copies"], F.lit(0))).alias("copies")
+                merged = self._run(run.rows.join(other.rows, [*SORTED], "full_outer").select(*SORTED, copies), level)
+                for old in (run, other):
+                    removed(self.spark, old.path)
+                run = merged
+            self.levels[level] = run
+            for path in self.memtables:
+                removed(self.spark, path)
+            self.memtables = []
+
+    def _run(self, rows: DataFrame, level: int) -> Run:
+        path, name = f"{self.path}/level{level}-{uuid.uuid4().hex}", f"run_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.write.bucketBy(buckets, *SORTED).sortBy(*SORTED).option("path", f"{path}/rows").saveAsTable(name)
+        table = self.spark.table(name)
+        return Run(table, filter_of(table.select("digest"), table.count(), f"{path}/filter"), path)
+
+    def rows(self) -> DataFrame:
+        """digest, key, copies of all runs."""
+        return keyed(reduce(DataFrame.union, (run.rows for run in self.levels.values())), len(self.levels))
+
+    def opened(self, digests: DataFrame) -> list[tuple[Run, DataFrame]]:
+        """The runs whose filters let one of distinct rows (digest) through, with what they let through."""
+        found = [(run, run.filter.passing(digests)) for run in self.levels.values()]
+        return [(run, passing) for run, passing in found if not passing.isEmpty()]
+
+    def known(self, digests: DataFrame) -> DataFrame | None:
+        """digest, key, copies of the index for those of distinct rows (digest) that it has; None where no filter lets one through."""
+        found = [run.rows.join(passing.select("digest"), "digest", "left_semi") for run, passing in self.opened(digests)]
+        return keyed(reduce(DataFrame.union, found), len(found)) if found else None
+
+
+def keyed(rows: DataFrame, runs: int) -> DataFrame:
+    """digest, key, copies of the rows of some runs."""
+    rows = rows.select("digest", F.when(F.col("known"), F.col("id")).alias("key"), "copies")
+    return rows if runs == 1 else rows.repartition("digest", "key").groupBy("digest", "key").agg(F.sum("copies").alias("copies"))
+
+
+def by_digest(merged: DataFrame, keep: str = "smallest") -> DataFrame:
+    """digest, keep_key, group_size and keys (rows of ``merged``); ``keep`` is smallest or largest."""
+    extreme = {"smallest": F.min, "largest": F.max}[keep]
+    return merged.groupBy("digest").agg(extreme("key").alias("keep_key"), F.sum("copies").alias("group_size"), F.count("*").alias("keys"))
 
 
-def verified(texts: DataFrame, hits: DataFrame, keep: str) -> DataFrame:
-    """digest, norm, keep_key, group_size per distinct text of the hits, compared by bytes."""
+def verified(texts: DataFrame, hits: Filter, keep: str) -> DataFrame:
+    """digest, norm, keep_key, group_size per distinct text that the hits' filter lets through, compared by bytes."""
     extreme = {"smallest": F.min, "largest": F.max}[keep]
-    if hits.count() * HIT_BYTES <= BROADCAST_BYTES:
-        texts = texts.join(F.broadcast(hits), "digest", "left_semi")
-    return texts.groupBy("digest", "norm").agg(extreme("key").alias("keep_key"), F.count("*").alias("group_size"))
+    return hits.passing(texts).groupBy("digest", "norm").agg(extreme("key").alias("keep_key"), F.count("*").alias("group_size"))
 
 
 def groups(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 2_000_000, digest=digest_of) -> DataFrame:
@@ -66,25 +152,29 @@ def groups(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text
     tag parts unequal texts of one digest (null where the digest is one text's alone); kept_rows is 1 for the key and
     text that stay, else 0, of ``copies`` equal rows.
     """
-    spark = docs.sparkSession
-    base = shared_dir(spark)
+    base = shared_dir(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("key"), normalised(text_col).alias("norm")).withColumn("digest", digest(F.col("norm")))
-    runs = flush(texts.select("key", "digest"), f"{base}/runs", memtable_rows)
-    merged = written(compact(runs), f"{base}/merged")
-    hits = by_digest(merged, keep).where("group_size > 1").select("digest")
-    compared = written(verified(texts, hits, keep).select("digest", F.xxhash64("norm").alias("tag"), F.octet_length("norm").alias("n_bytes"), "keep_key", "group_size"), f"{base}/compared")
-    clashing = compared.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
-    if clashing.isEmpty():
-        found = merged.join(compared.select("digest", "keep_key", "group_size"), "digest", "left").withColumn("tag", F.lit(None).cast("long"))
-    else:  # unequal texts of one digest: their rows are told apart by the text itself
+    index = MergeIndex(docs, f"{base}/index", memtable_rows)
+    index.flush(texts.select("key", "digest"))
+    index.compact()
+    merged = index.rows()
+    hits = written(by_digest(merged, keep).where("group_size > 1").select("digest", "keys"), f"{base}/hits")
+    n_hits = hits.count()
+    compared = verified(texts, filter_of(hits.select("digest"), n_hits, f"{base}/filter"), keep)
+    compared = compared.select("digest", F.xxhash64("norm").alias("tag"), F.octet_length("norm").alias("n_bytes"), "keep_key", "group_size")
+    compared = written(compared.join(hits, "digest"), f"{base}/compared")  # but what the filter let through for nothing
+    clashing = written(compared.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), f"{base}/clashing")
+    total, result = merged.count(), ["digest", "key", "copies", "keep_key", "group_size", "tag"]
+    rest, whole, apart = merged, compared, None
+    if not clashing.isEmpty():  # unequal texts of one digest: their rows are told apart by the text itself
         tagged = texts.join(clashing, "digest", "left_semi").groupBy("digest", "key", F.xxhash64("norm").alias("tag"), F.octet_length("norm").alias("n_bytes")).agg(F.count("*").alias("copies"))
-        apart = tagged.join(compared, ["digest", "tag", "n_bytes"]).select("digest", "key", "copies", "keep_key", "group_size", "tag")
-        rest = merged.join(clashing, "digest", "left_anti").join(compared.select("digest", "keep_key", "group_size"), "digest", "left")
-        found = rest.withColumn("tag", F.lit(None).cast("long")).unionByName(apart)
+        apart = tagged.join(compared, ["digest", "tag", "n_bytes"]).select(*result)
+        rest, whole = merged.join(clashing, "digest", "left_anti"), compared.join(clashing, "digest", "left_anti")
+    found = dealt_join(rest, whole.select("digest", "keep_key", "group_size", "keys"), ["digest"], "keys", total, "left")
     alone = F.col("group_size").isNull()
-    return found.select(
-        "key", "digest", "tag", "copies", F.when(alone, F.col("key")).otherwise(F.col("keep_key")).alias("keep_key"), F.coalesce("group_size", "copies").alias("group_size"),
-    ).withColumn("kept_rows", F.col("key").eqNullSafe(F.col("keep_key")).cast("int"))
+    found = found.select("digest", "key", "copies", F.when(alone, F.col("key")).otherwise(F.col("keep_key")).alias("keep_key"), F.coalesce("group_size", "copies").alias("group_size"), F.lit(None).cast("long").alias("tag"))
+    found = found if apart is None else found.unionByName(apart)
+    return found.withColumn("kept_rows", F.col("key").eqNullSafe(F.col("keep_key")).cast("int"))
 
 
 def mark(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,15 +186,26 @@ def mark(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_c
 
 
 def deduplicated(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    names = docs.columns
-    found = written(groups(docs, keep, id_col, text_col).where("kept_rows = 1"), f"{shared_dir(docs.sparkSession)}/kept")
-    stay = found.select(F.col("key").alias("__key"), F.col("digest").alias("__digest"), F.col("tag").alias("__tag"), F.col("copies").alias("__copies"))
+    """The rows of ``docs`` that stay, with all their columns; what goes is a table of digests and ids, and texts move only where rows are equal."""
+    path = shared_dir(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        found = groups(docs, keep, id_col, text_col)
+        found = written(found.where("kept_rows = 0 or copies > 1").select("key", "digest", "tag", "kept_rows"), f"{path}/rows")
     norm = normalised(text_col)
-    rows = docs.withColumns({"__d": digest_of(norm), "__t": F.xxhash64(norm)})
-    same = F.col("__d").eqNullSafe(F.col("__digest")) & F.col(id_col).eqNullSafe(F.col("__key")) & (F.col("__tag").isNull() | (F.col("__tag") == F.col("__t")))
-    left = rows.join(stay, same)
-    if not found.where("copies > 1").isEmpty():  # of equal rows one stays
-        order = Window.partitionBy("__d", id_col, "__t").orderBy(*(c for c in names if c not in (id_col, text_col)))
-        left = left.withColumn("__row", F.when(F.col("__copies") > 1, F.row_number().over(order)).otherwise(1)).where("__row = 1")
-    return left.select(*names)
+    key, digest, tag = F.col(id_col), digest_of(norm), F.xxhash64(norm)
+
+    def but(rows: DataFrame, some: DataFrame) -> DataFrame:
+        left = without(rows, [key, digest], some.where("tag is null").select("key", "digest"))
+        return without(left, [key, digest, tag], some.where("tag is not null").select("key", "digest", "tag"))
+
+    left = but(docs, found.where("kept_rows = 0"))
+    repeated = found.where("kept_rows = 1")
+    if repeated.isEmpty():
+        return left
+    # Of equal rows one stays.
+    k, d, t, row, first = fresh(docs, "key", "digest", "tag", "row", "first")
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    equal = docs.withColumns({k: key, d: digest, t: tag}).join(repeated.select(F.col("key").alias("k"), F.col("digest").alias("d"), F.col("tag").alias("t")).toDF(f"{k}_", f"{d}_", f"{t}_"), F.col(k).eqNullSafe(F.col(f"{k}_")) & (F.col(d) == F.col(f"{d}_")) & F.coalesce(F.col(t) == F.col(f"{t}_"), F.lit(True)), "left_semi")
+    one = equal.withColumns({row: F.struct(*docs.columns), first: order}).groupBy(k, d, t).agg(F.min_by(row, first).alias(row))
+    return but(left, repeated).unionByName(one.select(f"{row}.*"))

@@ -9,7 +9,9 @@ and the 14 counts in it, and pairs are sought within cells, first by Manhattan d
 Only distinct fingerprints enter the join. A cell yields links that span its components, not all its pairs; a cell
 over ``cell_rows`` is cut into blocks and its pairs of blocks are dealt out. Components come from star steps on links.
 
-Null and empty text has fingerprint zero. Component ids are the smallest non-null id reachable.
+A fingerprint that very many rows share, and a component of very many fingerprints, is dealt out in the joins that
+give rows their component. Null and empty text has fingerprint zero. Component ids are the smallest non-null id
+reachable. Repeated rows and ids get a row each, an empty table an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import byte_parts, shared_dir, text_or_empty, written
+from spindrift.llm.common import byte_parts, dealt_join, shared_dir, text_or_empty, written
 from spindrift.llm.connected import components
 
 MAX_DISTANCE = 3
@@ -225,9 +227,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Return key, fp and component_id (smallest id reachable) per row of ``docs``."""
     base = shared_dir(docs.sparkSession)
     prints = written(fingerprints(docs, id_col, text_col, shingle, seed), f"{base}/prints")
-    fps = written(prints.groupBy("fp").agg(F.min("key").alias("least")), f"{base}/fps")
+    fps = written(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("rows")), f"{base}/fps")
     roots = components(near_links(fps.select("fp"), base), base)
-    linked = fps.join(roots.select(F.col("vertex").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = linked.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("key", "fp", "component_id")
+    linked = fps.join(roots.select(F.col("vertex").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    linked = written(linked, f"{base}/linked")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    of_print = dealt_join(linked.select("fp", "root", "rows"), named, ["root"], "members", linked.count()).select("fp", "component_id", "rows")
+    return dealt_join(prints, of_print, ["fp"], "rows", prints.count()).select("key", "fp", "component_id")

@@ -1,20 +1,22 @@
 """Near duplicates of a given similarity, by SimHash fingerprints of several words.
 
 The same steps as in ``simhash``, for texts that share about eight shingles in ten or more: such texts differ in too many
-of 64 bits for a grid that loses nothing, so fingerprints have ``64 * n_words`` bits, and the grid has ``tables`` cells for
-each of them. A cell is the counts of sampled one-bit segments; their number grows with the logarithm of the number
+of 64 bits for a grid that loses nothing, so fingerprints have ``64 * n_words`` bits, and the grid has several tables of cells for
+them. A cell is the counts of sampled one-bit segments; their number grows with the logarithm of the number
 of fingerprints, so that strangers in a cell stay as few at any size, and the number of tables grows with it, so that
 a pair of the given similarity is found with probability ``RECALL`` at any size (``tables_for``). Within a cell pairs are taken by the Manhattan
 distance of the two-bit segments' counts, a lower bound, and then exactly. Two texts of Jaccard similarity s differ in
 about ``acos(2 s / (1 + s)) / pi`` of the bits: 39 +- 6 of 256 at 0.8. ``distance`` 46 covers nine in ten such pairs, 56 nearly all.
+The links of ``simhash`` within three bits of its narrow fingerprints are taken in too; both come from one pass over the texts.
 
-Bits only propose: with a ``similarity`` the groups are compared again by exact Jaccard similarity of their sets of
-shingles (``verified_links``), and only pairs that reach it join texts.
+Bits only propose groups: within each, texts are joined by pairs whose sets of shingles have the ``similarity``, compared
+exactly (``verified_links``); only the texts of proposed groups are read once more for that.
 
 Only distinct fingerprints enter the join. A cell gives each of its members one link, to the first of those it is joined
 to there; a cell over ``cell_rows`` is cut into blocks and its pairs of blocks are dealt out.
 
-Null and empty text has fingerprint zero. Rows with null ids have the smallest id of their group.
+Null and empty text has fingerprint zero, and all such texts are one group. Rows with null ids have the smallest id of their group.
+An empty table gives an empty one; other columns are carried along by ``one_per_group``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrift.llm import simhash
-from spindrift.llm.common import byte_parts, shared_dir, text_or_empty, written
+from spindrift.llm.common import BROADCAST_BYTES, byte_parts, dealt_join, parts_of, scratch, shared_dir, text_or_empty, without, written
 from spindrift.llm.connected import components
 from spindrift.llm.simhash import embedded_array
 
@@ -44,6 +47,10 @@ SIMILARITY = 0.8
 #: Rows and shingles of a group that are compared in one place at most; of larger groups each pair of blocks has up to about twice that.
 BLOCK_ROWS = 2048
 BLOCK_SHINGLES = 2_000_000
+#: Words of the bits that stand for a set of shingles.
+SKETCH_WORDS = 64
+#: Bytes of a wanted document's row in a broadcast.
+WANTED_BYTES = 120
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,6 +65,11 @@ def fingerprint(raw: bytes, shingle: int, seed: int, n_words: int) -> np.ndarray
     return fingerprint_and_set(raw, shingle, seed, n_words)[0]
 
 
+def hashes_of(raw: bytes, shingle: int, seed: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
+    return fingerprint_and_set(raw, shingle, seed, 0)[1]
+
+
 def fingerprint_and_set(raw: bytes, shingle: int, seed: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprint, and the distinct hashes of the shingles, ascending."""
     import xxhash
@@ -77,42 +89,55 @@ def fingerprint_and_set(raw: bytes, shingle: int, seed: int, n_words: int) -> tu
     for a in range(0, n, 1 << 14):
         hashes = np.array([digest(joined[s:e], seed) for s, e in zip(starts[a : a + (1 << 14)], ends[a : a + (1 << 14)], strict=True)], dtype=np.uint64)
         seen.append(hashes)
+        if not n_words:
+            continue
         wide = np.where(more == 0, hashes[:, None], mixed(hashes[:, None] + more)).astype("<u8")
         set_bits += np.unpackbits(wide.view(np.uint8).reshape(-1, 8 * n_words), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * set_bits > n, bitorder="little").view("<u8").astype(np.uint64), np.unique(np.concatenate(seen))
+    return np.packbits(2 * set_bits > n, bitorder="little").view("<u8").astype(np.uint64)[:n_words], np.unique(np.concatenate(seen))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, n_words: int = 4) -> DataFrame:
-    """Return key and w0, w1, ... (the words, as longs) per row."""
+def prints_of(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, n_words: int) -> DataFrame:
+    """Return key, fp (narrow), w0, w1, ..., digest (128 bits of the set of shingles) and size (of that set) per row."""
+    import xxhash
+
     rows = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"))
     names = [f"w{k}" for k in range(n_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in byte_parts(batches, "text"):
-            found = np.array([fingerprint(raw, shingle, seed, n_words) for raw in texts], dtype=np.uint64).reshape(-1, n_words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(n_words))], ["key", *names])
-
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names))
-
-
-def prints_and_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, n_words: int) -> DataFrame:
-    """Return key, w0, w1, ..., digest and shingles per row: the shingles' distinct hashes as bytes, and 128 bits of those."""
+        for part, texts in byte_parts(batches, "text"):
+            narrow = np.array([simhash.fingerprint(raw, 3, seed) for raw in texts], dtype=np.uint64).view(np.int64)
+            words, digests, sizes = [], [], []
+            for raw in texts:
+                found, own = fingerprint_and_set(raw, shingle, seed, n_words)
+                words.append(found)
+                digests.append(xxhash.xxh3_128_digest(own.astype("<u8").tobytes()))
+                sizes.append(len(own))
+            wide = np.array(words).reshape(-1, n_words).view(np.int64)
+            columns = [part.column("key"), pa.array(narrow), *(pa.array(np.ascontiguousarray(wide[:, k])) for k in range(n_words)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "fp", *names, "digest", "size"])
+
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, fp long, " + ", ".join(f"{c} long" for c in names) + ", digest binary, size long")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """Sets of shingles of the documents in ``wanted`` (least: a key, digest, and further columns): these columns and shingles, eight bytes each."""
     import xxhash
 
-    rows = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"))
-    names = [f"w{k}" for k in range(n_words)]
+    keep = [c for c in wanted.columns if c != "least"]
+    side = F.broadcast(wanted) if wanted.count() * WANTED_BYTES <= BROADCAST_BYTES else wanted
+    rows = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text")).join(side, F.col("key").eqNullSafe(F.col("least"))).select(*keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = byte_rows(batch, "text")
-            for a, b in slices(raw):
-                found = [fingerprint_and_set(r, shingle, seed, n_words) for r in raw[a:b]]
-                words = np.array([f for f, _ in found]).reshape(-1, n_words).view(np.int64)
-                sets = [x.astype("<u8").tobytes() for _, x in found]
-                columns = [batch.column("key")[a:b], *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(n_words))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["key", *names, "digest", "shingles"])
+        for part, texts in byte_parts(batches, "text"):
+            at, sets = [], []
+            for k, (raw, digest) in enumerate(zip(texts, part.column("digest").to_pylist(), strict=True)):
+                own = hashes_of(raw, shingle, seed).astype("<u8").tobytes()
+                if xxhash.xxh3_128_digest(own) == digest:  # ids need not be unique
+                    at.append(k)
+                    sets.append(own)
+            yield pa.RecordBatch.from_arrays([*part.take(pa.array(at, pa.int64())).columns[:-1], pa.array(sets, pa.binary())], [*keep, "shingles"])
 
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names) + ", digest binary, shingles binary")
+    return rows.mapInArrow(run, T.StructType([*(wanted.schema[c] for c in keep), T.StructField("shingles", T.BinaryType())]))
 
 
 def close(a: np.ndarray, b: np.ndarray, ea: np.ndarray, eb: np.ndarray, distance: int) -> np.ndarray:
@@ -281,11 +306,19 @@ def near_links(fps: DataFrame, base: str, n_words: int, distance: int, tables: i
     cut = over.join(sizes, "code").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
     paired = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     place = F.xxhash64("code", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = paired.select(place.alias("code"), "vertex").join(fps.drop("least"), "vertex")
+    dealt = paired.select(place.alias("code"), "vertex").join(fps, "vertex")
     more = by_code(dealt).mapInArrow(lambda batches: links_of(batches, n_words, distance, None), kind)
     return links.union(more.select("u", "v"))
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A set as bits, one for each member; sets that differ in few members differ in no more bits."""
+    out = np.zeros((len(sets), SKETCH_WORDS), dtype=np.uint64)
+    for row, x in zip(out, sets, strict=True):
+        np.bitwise_or.at(row, (x >> np.uint64(6)) % np.uint64(SKETCH_WORDS), np.uint64(1) << (x & np.uint64(63)))
+    return out
+
+
 def similar_links(vertex: np.ndarray, sets: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that join each component of one group by exact Jaccard similarity; each of them is similar enough itself."""
     size = np.array([len(x) for x in sets], dtype=np.int64)
@@ -298,6 +331,7 @@ def similar_links(vertex: np.ndarray, sets: list[np.ndarray], similarity: float)
         return
     distinct, place = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.r_[0, np.cumsum(size)]
+    bits = sketches(sets)
     marked = np.zeros(len(distinct), dtype=bool)
     while len(rest) > 1:
         todo, rest = [rest[0]], rest[1:]
@@ -308,92 +342,100 @@ def similar_links(vertex: np.ndarray, sets: list[np.ndarray], similarity: float)
             b = np.searchsorted(size[rest], math.ceil(size[of] / similarity + 1e-9), "right")
             if a == b:
                 continue
+            # Nor can those that differ in too many members.
+            both = size[rest[a:b]] + size[of]
+            near = a + np.flatnonzero(np.bitwise_count(bits[rest[a:b]] ^ bits[of]).sum(axis=1, dtype=np.int64) <= both * (1 - similarity) / (1 + similarity) + 1e-6)
+            if not len(near):
+                continue
             own = place[at[of] : at[of + 1]]
             marked[own] = True
-            common = np.array([np.count_nonzero(marked[place[at[k] : at[k + 1]]]) for k in rest[a:b].tolist()])
+            common = np.array([np.count_nonzero(marked[place[at[k] : at[k + 1]]]) for k in rest[near].tolist()])
             marked[own] = False
             hit = np.zeros(len(rest), dtype=bool)
-            hit[a:b] = common >= similarity * (size[of] + size[rest[a:b]] - common) - 1e-9
+            hit[near] = common >= similarity * (size[of] + size[rest[near]] - common) - 1e-9
             if hit.any():
                 yield np.repeat(vertex[of], hit.sum()), vertex[rest[hit]]
                 todo += rest[hit].tolist()
                 rest = rest[~hit]
 
 
-def verified_links(roots: DataFrame, fps: DataFrame, prints: DataFrame, names: list[str], base: str, similarity: float, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Links (u, v) that join the components by exact similarity within each group of ``roots`` (vertex, root).
+def placed_blocks(groups: DataFrame, total: int, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Rows (vertex, root, size, ...) -> a row for each place (root, low, high) where they are compared.
 
     A group over a block's rows or shingles is cut into blocks and its pairs of blocks are dealt out.
     """
-    of_group = fps.join(roots, "vertex").select(*names, "digest", "vertex", "root")
-    sets = prints.join(of_group, [*names, "digest"]).groupBy("vertex").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles"))
-    sets = written(sets, f"{base}/sets")
-    sizes = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("shingles") / 8).alias("m"))
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
     blocks = F.when((F.col("n") <= block_rows) & (F.col("m") <= block_shingles), 1).otherwise(1 + F.ceil(1.25 * F.greatest(F.col("n") / block_rows, F.col("m") / block_shingles))).cast("int")
-    cut = sets.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
+    cut = dealt_join(groups, sizes.select("root", "n", blocks.alias("blocks")), ["root"], "n", total).withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
     # A pair of blocks holds both whole, so a block by itself is covered too.
-    dealt = cut.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (F.col("blocks") == 1) | (x != F.col("block")))))
-    dealt = dealt.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "vertex", "shingles")
+    dealt = cut.withColumn("others", F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (F.col("blocks") == 1) | (x != F.col("block"))))
+    return dealt.drop("blocks", "size", "n")
+
+
+def verified_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that join the components by exact similarity within each group of rows (root, vertex, block, others, shingles)."""
     place = ["root", "low", "high"]
+    dealt = sets.withColumn("other", F.explode("others")).select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "vertex", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
+        held: dict[int, bytes] = {}
         now = None
 
         def settle() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                vertex = np.array([v for v, _ in held], dtype=np.int64)
-                for u, v in similar_links(vertex, [np.frombuffer(x, "<u8") for _, x in held], similarity):
+                for u, v in similar_links(np.array(list(held), dtype=np.int64), [np.frombuffer(x, "<u8") for x in held.values()], similarity):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-        for batch in batches:
+        for batch, _ in parts_of(batches, "shingles"):
             for r, low, high, vertex, x in zip(*(batch.column(c).to_pylist() for c in (*place, "vertex", "shingles")), strict=True):
                 if (r, low, high) != now:
                     yield from settle()
-                    held, now = [], (r, low, high)
-                held.append((vertex, x))
+                    held, now = {}, (r, low, high)
+                held[vertex] = x
         yield from settle()
 
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, *place).sortWithinPartitions(*place).mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 46, n_words: int = 4, tables: int | None = None, seed: int = 42, also: DataFrame | None = None, similarity: float | None = None) -> DataFrame:
-    """Return key and component_id (smallest id reachable) per row of ``docs``.
+def narrow_links(fps: DataFrame, base: str, total: int) -> DataFrame:
+    """Links (u, v) between the vertices of rows (vertex, fp) whose narrow fingerprints are equal or joined by three bits or fewer."""
+    reps = written(fps.groupBy("fp").agg(F.min("vertex").alias("rep"), F.count("*").alias("n")), f"{base}/reps")
+    roots = components(simhash.near_links(reps.select("fp"), f"{base}/narrow"), f"{base}/narrow")
+    joined = written(reps.join(roots.withColumnRenamed("vertex", "fp"), "fp"), f"{base}/joined")
+    hubs = joined.groupBy("root").agg(F.min("rep").alias("hub"), F.count("*").alias("m"))
+    to_hub = dealt_join(joined.select("root", "rep"), hubs, ["root"], "m", joined.count())
+    to_rep = dealt_join(fps.select("fp", "vertex"), reps, ["fp"], "n", total)
+    return to_hub.select(F.col("rep").alias("u"), F.col("hub").alias("v")).union(to_rep.select("vertex", "rep"))
 
-    ``also``: groups found otherwise, as rows (key, component_id); what they hold together is linked too.
-    ``similarity``: links by bits and by ``also`` only propose; texts are joined by pairs whose sets of shingles have at
-    least this Jaccard similarity, compared exactly within each proposed group. None: links by bits count as they are.
-    """
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 56, n_words: int = 4, tables: int | None = None, seed: int = 42, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Return key and component_id (smallest id reachable by links of the ``similarity``) per row of ``docs``."""
     base = shared_dir(docs.sparkSession)
     names = [f"w{k}" for k in range(n_words)]
-    # Texts of one fingerprint need not have the same shingles.
-    same = names if similarity is None else [*names, "digest"]
-    found = fingerprints(docs, id_col, text_col, shingle, seed, n_words) if similarity is None else prints_and_sets(docs, id_col, text_col, shingle, seed, n_words)
-    prints = written(found, f"{base}/prints")
-    fps = written(prints.groupBy(*same).agg(F.min("key").alias("least")).withColumn("vertex", F.monotonically_increasing_id()), f"{base}/fps")
-    links = near_links(fps.select("vertex", *names), base, n_words, distance, tables)
-    if also is not None:
-        placed = prints.join(fps, same).select("key", "vertex")
-        groups = placed.join(also.select("key", "component_id").dropna().distinct(), "key").select("component_id", "vertex").distinct()
-        groups = written(groups, f"{base}/groups")
-        links = links.union(groups.join(groups.groupBy("component_id").agg(F.min("vertex").alias("v")), "component_id").select(F.col("vertex").alias("u"), "v"))
-    roots = components(links, base)
-    if similarity is not None:
-        roots = components(verified_links(roots, fps, prints, names, base, similarity), f"{base}/verified")
-    linked = fps.join(roots.withColumnRenamed("vertex", "v"), F.col("vertex") == F.col("v"), "left").select(*same, "least", F.coalesce("root", "vertex").alias("root"))
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = linked.select(*same, "root").join(named, "root").drop("root")
-    return prints.join(of_print, same).select("key", "component_id")
+    same = ["fp", *names, "digest"]  # texts of one fingerprint need not have the same shingles
+    prints = written(prints_of(docs, id_col, text_col, shingle, seed, n_words), f"{base}/prints")
+    fps = prints.groupBy(*same).agg(F.min("key").alias("least"), F.count("*").alias("rows"), F.first("size").alias("size"))
+    fps = written(fps.withColumn("vertex", F.monotonically_increasing_id()), f"{base}/fps")
+    total = fps.count()
+    links = near_links(fps.select("vertex", *names), base, n_words, distance, tables).union(narrow_links(fps, base, total))
+    proposed = written(fps.select("vertex", "least", "digest", "size").join(components(links, base), "vertex"), f"{base}/proposed")
+    wanted = written(placed_blocks(proposed, proposed.count(), block_rows), f"{base}/wanted")
+    found = written(verified_links(sets_of(docs, wanted, id_col, text_col, shingle, seed), similarity), f"{base}/similar")
+    roots = components(found, f"{base}/verified")
+    linked = written(fps.join(roots, "vertex", "left").select(*same, "least", "rows", F.coalesce("root", "vertex").alias("root")), f"{base}/linked")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    of_print = dealt_join(linked.drop("least"), named, ["root"], "members", total).drop("root")
+    return dealt_join(prints.drop("size"), of_print, same, "rows", prints.count()).select("key", "component_id")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float | None) -> DataFrame:
-    """The rows that stay: of each group the one with its smallest id (rows that share that id stay together).
-
-    Groups join texts that are similar by wide fingerprints and those within three bits by the narrow ones of ``simhash``;
-    with a ``similarity`` these only propose, and pairs that reach it exactly join texts.
-    """
-    names = docs.columns
-    found = near_duplicates(docs, id_col, text_col, also=simhash.near_duplicates(docs, id_col, text_col), **how)
-    stay = found.where(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__key")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__key")), "left_semi").select(*names)
+    """The rows that stay: of each group the one with its smallest id (rows that share that id stay together)."""
+    keep = shared_dir(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        found = written(near_duplicates(docs, id_col, text_col, **how), f"{shared_dir(docs.sparkSession)}/found")
+        own = F.col("key").eqNullSafe(F.col("component_id"))
+        stay = found.where(own).select(F.col("key").alias("stay")).distinct()
+        gone = found.where(~own).select("key").distinct().join(stay, F.col("key").eqNullSafe(F.col("stay")), "left_anti")
+        gone = written(gone, f"{keep}/gone")
+    return without(docs, [F.col(id_col)], gone)

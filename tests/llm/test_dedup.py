@@ -121,10 +121,10 @@ def plain_exact(texts, ids):
 
 
 @pytest.mark.parametrize("digest", [exact_dedup.digest_of, lambda norm: F.substring(exact_dedup.digest_of(norm), 1, 1), lambda norm: F.lit(b"x")])
-@pytest.mark.parametrize("broadcast", [64 << 20, -1])
-def test_exact_groups(spark, monkeypatch, digest, broadcast):
-    """Even with digests that unequal texts share, and without the broadcast filter."""
-    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", broadcast)
+@pytest.mark.parametrize("words", [4 << 20, 1])
+def test_exact_groups(spark, monkeypatch, digest, words):
+    """Even with digests that unequal texts share, and with a filter that lets nearly all through."""
+    monkeypatch.setattr(exact_dedup, "FILTER_WORDS", words)
     texts = [t for t in odd_texts() if t is None or len(t) < 60_000]
     found = exact_dedup.groups(documents(spark, texts), "largest", memtable_rows=7, digest=digest).collect()
     got = {(r.key, r.keep_key, r.group_size, r.kept_rows == 1) for r in found}
@@ -148,15 +148,59 @@ def test_exact_ties(spark):
     assert exact_dedup.deduplicated(docs, "largest").count() == 3
 
 
-def test_index_look_up(spark, tmp_path):
-    path = str(tmp_path / "runs")
-    part = lambda lo, hi: spark.createDataFrame([(i, hashlib.sha256(str(i % 50).encode()).digest()) for i in range(lo, hi)], "key int, digest binary")
-    exact_dedup.flush(part(0, 60), path, 10)
-    runs = exact_dedup.flush(part(60, 100), path, 10)
-    wanted = hashlib.sha256(b"7").digest()
-    assert sorted(r.key for r in exact_dedup.probe(runs, [wanted]).collect()) == [7, 57]
-    smallest = {bytes(r.digest): r.keep_key for r in exact_dedup.by_digest(exact_dedup.compact(runs)).collect()}
-    assert smallest[wanted] == 7 and len(smallest) == 50
+def test_exact_rows_of_any_kind(spark):
+    """No other columns; a map column; columns named as the operator's own; equal rows, of which one stays."""
+    two = spark.createDataFrame([(1, "a"), (1, "A"), (2, "a"), (None, None), (None, "")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in exact_dedup.deduplicated(two).collect()) == [(0, ""), (1, "a")]
+    maps = spark.createDataFrame([(1, "a", {"x": 1}), (1, "a", {"x": 1}), (3, "a", None), (3, "b", {}), (3, "b", {"y": 2})], "doc_id long, text string, more map<string,int>")
+    assert sorted((r.doc_id, r.text) for r in exact_dedup.deduplicated(maps).collect()) == [(1, "a"), (3, "b")]
+    names = ["__d", "__t", "__key", "__row", "digest", "tag", "key_0", "out0_0", "word", "bits", "place"]
+    clash = two.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    kept = exact_dedup.deduplicated(clash, "largest")
+    assert kept.columns == clash.columns and sorted((r.doc_id or 0, r.out0_0) for r in kept.collect()) == [(0, 7), (2, 7)]
+
+
+def test_index_of_batches(spark, tmp_path):
+    """Batches meet in runs; a look-up opens only runs whose filters let it, and full levels merge."""
+    digest = lambda i: hashlib.sha256(str(i).encode()).digest()
+    part = lambda keys, shift=0: spark.createDataFrame([(i, digest(i % 50 + shift)) for i in keys], "key int, digest binary")
+    index = exact_dedup.MergeIndex(part([0]), str(tmp_path / "index"), memtable_rows=10)
+    index.flush(part(range(60)))
+    index.flush(part(range(40, 100)))
+    index.compact()
+    assert list(index.levels) == [1]
+    index.flush(part(range(50), 1000))
+    index.compact()
+    index.flush(part(range(100, 120), 2000))
+    index.compact()
+    assert list(index.levels) == [2, 1]
+    asked = lambda *of: spark.createDataFrame([(digest(i),) for i in of], "digest binary")
+    first, second = index.levels[2], index.levels[1]
+    opened = [run for run, _ in index.opened(asked(7))]
+    assert first in opened and (second in opened) == (second.filter.passing(asked(7)).count() > 0)
+    assert index.opened(asked(*range(-300, -290))) == [] or len(index.opened(asked(-5000))) < 2
+    assert sorted((r.key, r.copies) for r in index.known(asked(7)).collect()) == [(7, 1), (57, 2)]
+    assert {r.key for r in index.known(asked(1003)).collect()} == {3}
+    assert sum(not index.opened(asked(-k)) for k in range(1, 30)) >= 15
+    index.flush(part([1, 7, 7]))
+    index.compact()
+    assert list(index.levels) == [3]
+    assert sorted((r.key, r.copies) for r in index.known(asked(7)).collect()) == [(7, 3), (57, 2)]
+    smallest = {bytes(r.digest): (r.keep_key, r.group_size) for r in exact_dedup.by_digest(index.rows()).collect()}
+    assert smallest[digest(7)] == (7, 5) and len(smallest) == 120
+
+
+def test_runs_merge_without_a_shuffle(spark, tmp_path):
+    rows = spark.createDataFrame([(i or None, bytes([i])) for i in range(50)], "key int, digest binary")
+    indexes = [exact_dedup.MergeIndex(rows, str(tmp_path / str(k))) for k in range(2)]
+    for index in indexes:
+        index.flush(rows)
+        index.compact()
+    a, b = (index.levels[1].rows for index in indexes)
+    assert "Exchange" not in a.join(b, [*exact_dedup.SORTED], "full_outer")._jdf.queryExecution().executedPlan().toString()
+    indexes[0].flush(rows)
+    indexes[0].compact()
+    assert {(r.key, r.copies) for r in indexes[0].rows().collect()} == {(i or None, 2) for i in range(50)} and indexes[0].rows().count() == 50
 
 
 def plain_trim(texts, ids, window):

@@ -4,6 +4,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.llm import connected, wide_simhash
 from spindrift.llm.common import shared_dir
@@ -35,26 +36,6 @@ def edited(rng, words, share):
     return [rng.choice(words) + "x" if rng.random() < share else w for w in words]
 
 
-def test_groups_against_all_pairs(spark):
-    """Edited copies, chains of edits, copies and strangers; every pair compared."""
-    rng = random.Random(5)
-    texts = [t for t in odd_texts(2) if t is None or len(t) < 5_000]
-    for _ in range(4):
-        words = [f"w{rng.randrange(3000)}" for _ in range(250)]
-        for share in (0.0, 0.005, 0.01, 0.02, 0.02, 0.05, 0.2):
-            texts.append(" ".join(edited(rng, words, share)))
-    prints = {i: plain_wide_fingerprint(t) for i, t in enumerate(texts)}
-    docs = documents(spark, texts)
-    got = {r.key: r.component_id for r in wide_simhash.near_duplicates(docs).collect()}
-    expected = plain_components(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 46)
-    assert got == expected
-    narrow = {i: plain_fingerprint(t) for i, t in enumerate(texts)}
-    both = plain_components(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 46 or (narrow[a] ^ narrow[b]).bit_count() <= 3)
-    stay = wide_simhash.one_per_group(docs)
-    assert stay.columns == docs.columns
-    assert sorted(r.doc_id for r in stay.collect()) == sorted(i for i, c in both.items() if i == c)
-
-
 def test_nulls_and_empty(spark):
     assert wide_simhash.near_duplicates(documents(spark, ["a"]).limit(0)).count() == 0
     nulls = wide_simhash.near_duplicates(documents(spark, ["a b c d", "a b c d", None], ids=[None, 3, None])).collect()
@@ -150,12 +131,30 @@ def test_links_are_similar_also_across_blocks(spark, block_rows):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, (3, 60), dtype=np.uint64)
     sets = [np.unique(np.r_[base[i % 3][rng.random(60) < 0.93], rng.integers(0, 1 << 63, 2, dtype=np.uint64)]) for i in range(60)]
-    fps = spark.createDataFrame([(i, i, i.to_bytes(2)) for i in range(60)], "vertex long, w0 long, digest binary")
-    prints = spark.createDataFrame([(i, i.to_bytes(2), x.tobytes()) for i, x in enumerate(sets)], "w0 long, digest binary, shingles binary")
-    roots = fps.selectExpr("vertex", "0L root")
-    links = [(r.u, r.v) for r in wide_simhash.verified_links(roots, fps, prints, ["w0"], shared_dir(spark), 0.8, block_rows).collect()]
+    groups = spark.createDataFrame([(i, 0, len(x), x.tobytes()) for i, x in enumerate(sets)], "vertex long, root long, size long, shingles binary")
+    links = [(r.u, r.v) for r in wide_simhash.verified_links(wide_simhash.placed_blocks(groups, 60, block_rows), 0.8).collect()]
     ok = lambda a, b: similar(set(sets[a].tolist()), set(sets[b].tolist()))
     assert links and all(ok(u, v) for u, v in links)
     linked = {frozenset(p) for p in links}
     plain = plain_components(list(range(60)), ok)
     assert plain_components(list(range(60)), lambda a, b: frozenset((a, b)) in linked) == plain
+
+
+def test_odd_texts_against_all_pairs(spark):
+    texts = [t for t in odd_texts(2) if t is None or len(t) < 5_000]
+    sets = [shingle_set(t) for t in texts]
+    docs = documents(spark, texts).withColumn("place", F.lit(1)).withColumn("out0_0", F.lit(2)).withColumn("vertex", F.lit(3))
+    got = {r.key: r.component_id for r in wide_simhash.near_duplicates(docs).collect()}
+    assert got == plain_components(list(range(len(texts))), lambda a, b: similar(sets[a], sets[b]))
+    stay = wide_simhash.one_per_group(docs)
+    assert stay.columns == docs.columns and sorted(r.doc_id for r in stay.collect()) == sorted(i for i, c in got.items() if i == c)
+
+
+def test_sketches_never_overstate():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64)) for _ in range(40)]
+    sets += [np.union1d(sets[k][rng.random(len(sets[k])) < 0.9], sets[k + 1][:5]) for k in range(39)]
+    bits = wide_simhash.sketches(sets)
+    for a in range(len(sets)):
+        for b in range(a):
+            assert int(np.bitwise_count(bits[a] ^ bits[b]).sum()) <= len(np.setxor1d(sets[a], sets[b]))
