@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import bin_packing, exact_dedup, quality_rules, secret_scan, wide_simhash
-from spindrift.llm.common import shared_dir, written
+from spindrift.llm.common import scratch, shared_dir, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +49,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, base = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"{base}/{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"{base}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
