@@ -2,14 +2,16 @@
 
 Tokens of a document: its ids, then id 0; documents over ``capacity`` are cut into full pieces and a rest. Packing
 needs the number of pieces of each length only, at most ``capacity`` counts for any corpus, so the search works on
-that histogram: a best-fit-decreasing solution is the incumbent; then the largest open length is completed by
-undominated fillings, and a branch ends where its waste leaves no room for fewer bins than the incumbent's.
+that histogram: a best-fit-decreasing solution is the incumbent; of it the bins that waste little stay, and of the rest the
+largest open length is completed by undominated fillings, where a branch ends if its waste leaves no room for fewer bins
+than the incumbent's. A solution that meets the lower bound ends the search; else ``effort`` does.
 A solution is a list of patterns (lengths in a bin, number of such bins), so a step fills any number of bins.
 
 Pieces find their place by rank among those of their length: ranks are counted in ``buckets`` per length and
 offset by the counts before, so a length that a third of all pieces share is no group of its own.
 
-Null text counts as empty: one piece holding id 0. Repeated rows and ids are packed once each.
+Null text counts as empty: one piece holding id 0. Repeated rows and ids are packed once each. An empty table gives an
+empty one; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from spindrift.llm.bpe import vocabulary_path
 from spindrift.llm.common import byte_parts, shared_dir, text_or_empty, written
 
 #: Words that a worker remembers; beyond, it starts anew. Only speed depends on it.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 #: A word of Latin-1 letters and ASCII punctuation behind them, or none.
 SIMPLE = re.compile(f"([a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+)([{re.escape(string.punctuation)}]*)").fullmatch
@@ -180,71 +182,124 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(filling, bins) for group in by_room.values() for filling, bins in group.items()]
 
 
-def fillings(room: int, sizes: list[int], counts: dict[int, int], effort: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Undominated fillings of a room, least waste first: none leaves room for a further piece, and none has a piece that a larger unused one could replace."""
+def fillings(room: int, sizes: list[int], counts: dict[int, int], steps: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Undominated fillings of a room, least waste first: none leaves room for a further piece, and none has a piece that a larger unused one could replace.
+
+    The largest pieces are tried first; after ``steps`` trials the fillings found so far are those there are.
+    """
     found: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    steps = 0
+    done = 0
 
-    def extend(room: int, first: int, taken: list[tuple[int, int]], spare: int) -> bool:
+    def extend(room: int, first: int, taken: list[tuple[int, int]], spare: int) -> None:
         """spare: the largest size passed over that is still unused."""
-        nonlocal steps
-        steps += 1
+        nonlocal done
+        done += 1
         start = first
         while start < len(sizes) and sizes[start] > room:
             start += 1
         if start == len(sizes):
-            if not any(size < passed <= size + room for size, _ in taken for passed in (spare,)):
+            if not any(size < spare <= size + room for size, _ in taken):
                 found.append((tuple(taken), room))
-            return room == 0 or steps > effort
+            return
         for k in range(start, len(sizes)):
             size = sizes[k]
             for times in range(min(counts[size], room // size), 0, -1):
-                if extend(room - times * size, k + 1, [*taken, (size, times)], sizes[k - 1] if k > start else spare):
-                    return True
-            if steps > effort:
-                return True
-        return False
+                if done > steps:
+                    return
+                extend(room - times * size, k + 1, [*taken, (size, times)], sizes[k - 1] if k > start else spare)
 
     extend(room, 0, [], 0)
     return sorted(found, key=lambda f: (f[1], sum(n for _, n in f[0])))
 
 
-def complete(counts: dict[int, int], capacity: int, incumbent: list[Pattern], effort: int) -> list[Pattern]:
-    """Bin completion: depth first, the largest length first, pruned by waste; ``effort`` bounds the nodes looked at."""
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: sizes by themselves and with small ones left out, and sizes rounded to k-ths of a bin by a dual feasible function."""
+    sizes = sorted(counts)
+    best = -(-sum(s * n for s, n in counts.items()) // capacity)
+    for small in [s for s in sizes if 2 * s <= capacity]:
+        alone = sum(n for s, n in counts.items() if s > capacity - small)
+        large = [(s, n) for s, n in counts.items() if capacity < 2 * s <= 2 * (capacity - small)]
+        rest = sum(s * n for s, n in counts.items() if s >= small and 2 * s <= capacity) - sum((capacity - s) * n for s, n in large)
+        best = max(best, alone + sum(n for _, n in large) + max(0, -(-rest // capacity)))
+    for k in range(1, 33):
+        # In units of a bin's k * capacity-th part.
+        worth = sum(n * (k * s if (k + 1) * s % capacity == 0 else (k + 1) * s // capacity * capacity) for s, n in counts.items())
+        best = max(best, -(-worth // (k * capacity)))
+    return best
+
+
+def complete(counts: dict[int, int], capacity: int, incumbent: list[Pattern], least: int, effort: int, steps: int = 400) -> tuple[list[Pattern], int]:
+    """Bin completion: depth first, the largest length first, pruned by waste. Returns the best solution and the nodes looked at, ``effort`` at most.
+
+    A node's branches are all its fillings, each as often as there are pieces for it, then each once.
+    """
     total = sum(size * n for size, n in counts.items())
     best, bins = incumbent, sum(n for _, n in incumbent)
-    least = -(-total // capacity)
     nodes = 0
-    stack: list[tuple[dict[int, int], int, int, tuple | None]] = [(dict(counts), 0, 0, None)]
+    stack: list[tuple[dict[int, int], tuple[tuple[int, int], ...], int, int, int, tuple | None]] = [(counts, (), 0, 0, 0, None)]
     while stack and bins > least and nodes < effort:
-        open_counts, used, waste, path = stack.pop()
-        nodes += 1
+        before, inside, times, used, waste, path = stack.pop()
         if waste > (bins - 1) * capacity - total:
             continue
+        nodes += 1
+        open_counts = dict(before)
+        for size, n in inside:
+            open_counts[size] -= n * times
+            if not open_counts[size]:
+                del open_counts[size]
         if not open_counts:
-            if used < bins:
-                bins, best = used, []
-                while path is not None:
-                    best.append(path[0])
-                    path = path[1]
+            bins, best = used, []
+            while path is not None:
+                best.append(path[0])
+                path = path[1]
             continue
         largest = max(open_counts)
         rest = dict(open_counts)
         rest[largest] -= 1
         sizes = sorted((s for s, n in rest.items() if n and s <= capacity - largest), reverse=True)
-        options = fillings(capacity - largest, sizes, rest, 400) if sizes else [((), capacity - largest)]
-        for filling, over in reversed(options[:3]):
+        options = fillings(capacity - largest, sizes, rest, steps) if sizes else [((), capacity - largest)]
+        often, once = [], []
+        for filling, over in options:
             inside = Counter(dict(filling))
             inside[largest] += 1
             times = min(open_counts[s] // n for s, n in inside.items())
-            after = {s: n - times * inside[s] for s, n in open_counts.items() if n > times * inside[s]}
-            stack.append((after, used + times, waste + times * over, ((tuple(inside.items()), times), path)))
-    return best
+            for many, into in ((times, often), (1, once)) if times > 1 else ((times, often),):
+                into.append((open_counts, tuple(inside.items()), many, used + many, waste + many * over, ((tuple(inside.items()), many), path)))
+        stack += reversed(often + once)
+    return best, nodes
 
 
-def solve(counts: dict[int, int], capacity: int, effort: int = 20_000) -> list[Pattern]:
+def solve(counts: dict[int, int], capacity: int, effort: int = 3_000) -> list[Pattern]:
+    """Best fit, and then bin completion of what it fills badly.
+
+    Of the incumbent, bins that waste no more than a limit stay, and the rest is searched, for each of several limits; the best
+    of these is the next incumbent. After a round without a gain each search takes longer, until the lower bound is met.
+    ``effort`` bounds the nodes of all searches.
+    """
     counts = {s: n for s, n in counts.items() if n}
-    return complete(counts, capacity, best_fit(counts, capacity), effort) if counts else []
+    if not counts:
+        return []
+    best, least, left = best_fit(counts, capacity), least_bins(counts, capacity), effort
+    limits = [*(1 << k for k in range(capacity.bit_length())), 0, -1]
+    width = 2
+    while left > 0 and sum(n for _, n in best) > least:
+        tried = []
+        for limit in limits:
+            wasted = [capacity - sum(s * n for s, n in filling) for filling, _ in best]
+            kept = [pattern for pattern, waste in zip(best, wasted, strict=True) if waste <= limit]
+            rest = [pattern for pattern, waste in zip(best, wasted, strict=True) if waste > limit]
+            open_counts: Counter[int] = Counter()
+            for filling, bins in rest:
+                for size, n in filling:
+                    open_counts[size] += n * bins
+            found, nodes = complete(dict(open_counts), capacity, rest, least - sum(n for _, n in kept), max(0, min(left, width * len(rest) + 50)))
+            left -= nodes
+            tried.append(kept + found)
+        after = min(tried, key=lambda patterns: sum(n for _, n in patterns))
+        if sum(n for _, n in after) == sum(n for _, n in best):  # a round without a gain: search each rest for longer
+            width, left = 4 * width, left - 1
+        best = after
+    return best
 
 
 def places(patterns: list[Pattern]) -> pd.DataFrame:
@@ -263,7 +318,7 @@ def places(patterns: list[Pattern]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "times", "sequence", "offset"]).sort_values(["length", "first"])
 
 
-def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text", effort: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text", effort: int = 3_000) -> DataFrame:
     """Return ``id_col``, piece, start, length, ids_crc32, sequence_id, offset per piece."""
     spark = docs.sparkSession
     base = shared_dir(spark)

@@ -3,12 +3,17 @@
 A page is a stream of tags and texts. Aligning it with its host's wrapper so far resolves every mismatch: a tag that
 one side lacks starts an optional group, neighbours with the same tag become a repeated group, and texts that differ
 become a text slot. Tasks fold the pages they read into one wrapper for each host; those are folded further by host, in
-rounds of bounded groups. In the finished wrapper, fields are main text or not: those in menus, headers, footers,
-sidebars, notices, adverts, forms and comments are not; where the host marks articles, what stands outside isn't; where it
-does not, neither are texts that all its pages share or that are mostly links. Pages then keep the texts of their
-host's main fields.
+rounds of bounded groups.
 
-Null and empty html gives empty text; a null url belongs to the host of none. Repeated rows are extracted each.
+The finished wrapper decides by fields. Where the host marks articles, the fields in them are main text; where it does not,
+those that are slots and not mostly links are, and texts that all its pages share are the template's. What stands in elements for
+navigation, headers, footers, asides and forms is not. Class names are a hint: what they call an advert, a notice or reader comments is left
+out, but an article never is, and names that would leave out most of a host's text are not believed. Each page is then
+matched against the wrapper, child by child, so that a field is known by its place in the expression and not by its tags alone.
+
+Elements nested more than ``DEEPEST`` deep are told apart by their use alone (main, aside, dropped); their texts are kept or left out like others.
+Null and empty html gives empty text; a null url belongs to the host of none. Repeated rows are extracted each. An empty table
+gives an empty one, and other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from html import unescape
@@ -27,8 +32,11 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import shared_dir, text_or_empty, text_parts, written
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: A tag; quotes count after an equals sign only. Without them it ends at the first angle bracket.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+"[^"]*"|=\s*+'[^']*'|=)*+)>""")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 RAW = {name: re.compile(rf"</{name}\s*>|\Z", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp")}
+TAG_NAME = re.compile(r"[^.!*^]+")
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -41,12 +49,14 @@ MAIN = frozenset(("article", "main"))
 HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ASIDE_NAMES = re.compile(
     r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|sidebar|side|menu\w*|nav|navbar|navigation|breadcrumbs?"
-    r"|masthead|topbar|header|footer|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommend\w*|widgets?|pagination|pager|toolbar|login|signup|search\w*|skip|hidden)(?:[-_\s]|$)", re.I,
+    r"|masthead|topbar|header|footer|share|sharing|social|related|recommend\w*|widgets?|pagination|pager|toolbar|login|signup|search\w*|skip|hidden)(?:[-_\s]|$)", re.I,
 )
+COMMENT_NAMES = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|respond|replies|disqus)(?:[-_\s]|$)", re.I)
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 MAIN_NAMES = re.compile(r"(?:^|[-_\s])(?:article|article-?body|post-?content|entry-?content|main-?content|story-?body|content-?body)(?:[-_\s]|$)", re.I)
 
 DEEPEST = 150
+DEEPEST_OF_USE = 250
 
 #: A node of a wrapper: [signature, quantifier, children]; a text field: ["#", quantifier, [checksum or None, characters, characters in links]].
 Node = list
@@ -58,24 +68,66 @@ def host_of(url_col: str) -> Column:
 
 
 def signature(name: str, attributes: str) -> str:
-    """Tag and what its attributes say about its use: ``tag``, ``tag!`` for an aside, ``tag*`` for main text; class names follow."""
+    """Tag and what its attributes say about its use: ``tag!`` for an aside, ``tag^`` for comments, ``tag*`` for main text; else the class name follows."""
     if not attributes:
         return name
     values = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
     names = f"{values.get('class', '')} {values.get('id', '')}".strip()
     role = values.get("role", "").lower()
     hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
-    if hidden or role in ASIDE_ROLES or (names and name not in ("html", "body") and ASIDE_NAMES.search(names) and not MAIN_NAMES.search(names)):
+    if hidden or role in ASIDE_ROLES:
         return f"{name}!"
     if role == "main" or "articlebody" in values.get("itemprop", "").lower() or (names and MAIN_NAMES.search(names)):
         return f"{name}*"
-    return f"{name}.{re.sub(r'[0-9]+', '', values['class'].split()[0])}" if values.get("class", "").strip() else name
+    if names and name not in MAIN and name not in ("html", "body"):
+        if COMMENT_NAMES.search(names):
+            return f"{name}^"
+        if ASIDE_NAMES.search(names):
+            return f"{name}!"
+    return f"{name}.{re.sub(r'[0-9!*^]+', '', values['class'].split()[0])}" if values.get("class", "").strip() else name
+
+
+def tag_of(name: str) -> str:
+    return TAG_NAME.match(name)[0]
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """("#", text, ""), ("<", name, attributes) and ("/", name, ""), in linear time; contents of raw elements, comments and declarations are left out."""
+    at, end, tag = 0, len(html), TAG
+    while at < end:
+        start = html.find("<", at)
+        if start < 0:
+            yield "#", html[at:], ""
+            return
+        if start > at:
+            yield "#", html[at:start], ""
+        follow = html[start + 1 : start + 2]
+        if follow in ("!", "?"):
+            stop = html.find("-->", start + 4) + 2 if html.startswith("<!--", start) else html.find(">", start)
+            at = end if stop < start + 2 else stop + 1
+            continue
+        m = tag.match(html, start)
+        if m is None and tag is TAG and (follow == "/" or follow.isalpha()):
+            if (m := PLAIN_TAG.match(html, start)) is not None:
+                tag = PLAIN_TAG  # a quote is left open to the end: from here on quotes don't count
+        if m is None:
+            if follow.isascii() and follow.isalpha() and html.find(">", start) < 0:
+                return  # the page ends inside a tag
+            yield "#", "<", ""
+            at = start + 1
+            continue
+        at, name = m.end(), m[2].lower()
+        if m[1]:
+            yield "/", name, ""
+            continue
+        yield "<", name, m[3]
+        if name in RAW:
+            at = RAW[name].search(html, at).end()
 
 
 def events(html: str) -> Iterator[tuple[str, str]]:
     """("<", signature), (">", ""), ("#", text) or ("br", "") in page order, with every element closed."""
     stack: list[str] = []
-    at, end = 0, len(html)
 
     def close(upto: int) -> Iterator[tuple[str, str]]:
         while len(stack) > upto:
@@ -83,19 +135,12 @@ def events(html: str) -> Iterator[tuple[str, str]]:
             yield ">", ""
 
     known: dict[tuple[str, str], str] = {}
-    deeper: dict[str, int] = defaultdict(int)  # open elements below DEEPEST, which add nothing to a path
-    while at < end:
-        m = TOKEN.search(html, at)
-        if m is None:
-            yield "#", html[at:]
-            break
-        if m.start() > at:
-            yield "#", html[at : m.start()]
-        at = m.end()
-        if m[2] is None:  # comment, declaration
+    deeper: dict[str, int] = defaultdict(int)  # open elements below DEEPEST that say nothing about their use
+    for kind, name, attributes in tokens(html):
+        if kind == "#":
+            yield "#", name
             continue
-        name = m[2].lower()
-        if m[1]:
+        if kind == "/":
             if deeper[name]:
                 deeper[name] -= 1
                 yield "br", ""
@@ -109,29 +154,44 @@ def events(html: str) -> Iterator[tuple[str, str]]:
                 yield from close(stack.index("p"))
             yield "br", ""
             continue
-        if name in VOID:
-            continue
-        if name in RAW:
-            at = RAW[name].search(html, at).end()
+        if name in VOID or name in RAW:
             continue
         if name in BREAKS_P and "p" in stack:
             yield from close(len(stack) - 1 - stack[::-1].index("p"))
         for other in ENDS.get(name, ()):
             if other in stack and not {"ul", "ol", "dl", "table", "select"} & set(stack[len(stack) - stack[::-1].index(other) :]):
                 yield from close(len(stack) - 1 - stack[::-1].index(other))
-        if (key := (name, m[3])) not in known:
-            known[key] = signature(name, m[3].rstrip("/"))
-        if len(stack) >= DEEPEST:
-            deeper[name] += not m[3].endswith("/")
+        if (key := (name, attributes)) not in known:
+            known[key] = signature(name, attributes.rstrip("/"))
+        of_use = name in DROPPED or name in MAIN or known[key][-1] in "!^*"
+        empty = attributes.endswith("/") and (len(attributes) == 1 or attributes[-2] in " \t\n\r\f\"'")  # and no value's own slash
+        if len(stack) >= (DEEPEST_OF_USE if of_use else DEEPEST):
+            deeper[name] += not empty
             yield "br", ""
             continue
         stack.append(name)
         yield "<", known[key]
-        if m[3].endswith("/") and name not in BREAKS_P:
+        if empty and name not in BREAKS_P:
             yield from close(len(stack) - 1)
     yield from close(0)
 
 
+def parsed(html: str) -> list:
+    """The page as nested nodes [signature, children]; texts are ["#", text], breaks ["br", ""]."""
+    root: list = []
+    open_ = [root]
+    for kind, value in events(html):
+        if kind == "<":
+            node: list = [value, []]
+            open_[-1].append(node)
+            open_.append(node[1])
+        elif kind == ">":
+            open_.pop()
+        else:
+            open_[-1].append([kind, value])
+    return root
+
+
 def add(children: list[Node], node: Node) -> None:
     """Append a node; neighbours of one signature become a repeated group."""
     if children and children[-1][0] == node[0]:
@@ -144,20 +204,18 @@ def add(children: list[Node], node: Node) -> None:
 
 def tree(html: str) -> list[Node]:
     """The page as a wrapper of its own."""
-    root: list[Node] = []
-    open_: list[Node] = [["", "1", root]]
-    links = 0
-    for kind, value in events(html):
-        if kind == "<":
-            open_.append([value, "1", []])
-            links += value[:1] == "a" and value[1:2] in ("", ".", "!", "*")
-        elif kind == ">":
-            node = open_.pop()
-            links -= node[0][:1] == "a" and node[0][1:2] in ("", ".", "!", "*")
-            add(open_[-1][2], node)
-        elif kind == "#" and (text := " ".join(value.split())):
-            add(open_[-1][2], ["#", "1", [zlib.crc32(text.encode("utf-8", "replace")), len(text), len(text) if links else 0]])
-    return root
+
+    def wrapped(nodes: list, linked: bool) -> list[Node]:
+        out: list[Node] = []
+        for name, inner in nodes:
+            if name == "#":
+                if text := " ".join(inner.split()):
+                    add(out, ["#", "1", [zlib.crc32(text.encode("utf-8", "replace")), len(text), len(text) if linked else 0]])
+            elif name != "br":
+                add(out, [name, "1", wrapped(inner, linked or tag_of(name) == "a")])
+        return out
+
+    return wrapped(parsed(html), False)
 
 
 def merge(a: Node, b: Node) -> Node:
@@ -185,65 +243,116 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
     return out
 
 
-def main_paths(wrapper: list[Node], pages: int, most_linked: float = 0.5, least_pages: int = 3) -> list[str]:
-    """Paths of the wrapper's fields that hold main text."""
-    fields: list[tuple[str, bool, bool, list]] = []
+def main_fields(wrapper: list[Node], pages: int, most_linked: float = 0.5, least_pages: int = 3, least_left: float = 0.25) -> list:
+    """The wrapper's groups that lead to main text: [signature, groups], and ["#", 1] for a field of main text; others are ["#", 0]."""
+    varies = pages >= least_pages and any_slot(wrapper)  # copies of one page alone share all
 
-    def walk(nodes: list[Node], path: str, aside: bool, main: bool, heading: bool) -> None:
+    def label(nodes: list[Node], believed: bool, marked: bool, aside: bool, main: bool, heading: bool, chars: Counter) -> list:
+        out = []
         for name, _, inner in nodes:
             if name == "#":
-                fields.append((path, aside, main, inner))
+                checksum, n, linked = inner
+                keep = not aside and (main or not marked) and (main or marked or not ((checksum is not None and varies) or linked > most_linked * n))
+                chars["kept" if keep else "left"] += n
+                chars["main"] += n * (main and not aside)
+                out.append(["#", int(keep)])
                 continue
-            tag = re.split(r"[.!*]", name)[0]
-            if tag in MAIN and not name.endswith("!"):
-                inside = aside and path.rpartition("!")[1] != ""  # an article in comments stays there
-                walk(inner, f"{path}/{name}", inside, not inside, False)
-            else:
-                off = aside or name.endswith("!") or (tag in DROPPED and not (tag == "header" and main))
-                lead = heading or (tag == "header" and main and not off)
-                walk(inner, f"{path}/{name}", off or (lead and tag not in HEADING and tag != "header" and tag not in INLINE and not _in_heading(path) and not _has_heading(inner)), main or (name.endswith("*") and not off), lead)
-
-    walk(wrapper, "", False, False, False)
-    marked = any(main and not aside for _, aside, main, _ in fields)
-    shared = pages >= least_pages and any(inner[0] is None for *_, inner in fields)  # copies of one page alone share all
-    kept = []
-    for path, aside, main, (checksum, chars, linked) in fields:
-        if aside or (marked and not main):
-            continue
-        if not marked and ((checksum is not None and shared) or linked > most_linked * chars):
-            continue
-        kept.append(path)
-    return sorted(set(kept))
+            tag, use = tag_of(name), name[-1]
+            if tag in MAIN and use != "!":
+                out.append([name, label(inner, believed, marked, aside == "comments", aside != "comments", False, chars)])
+                continue
+            off = aside
+            if use == "^":
+                off = "comments"
+            elif not off and ((use == "!" and believed) or (tag in DROPPED and not (tag == "header" and main))):
+                off = "aside"
+            lead = heading or (tag == "header" and main and not off)
+            if lead and not off and tag not in HEADING and tag != "header" and tag not in INLINE and not has_heading(inner):
+                off = "aside"  # what a header holds beside the heading
+            out.append([name, label(inner, believed, marked, off, main or (use == "*" and not off), lead and tag not in HEADING, chars)])
+        return out
+
+    believed: Counter = Counter()
+    label(wrapper, True, False, "", False, False, believed)
+    marked = believed["main"] > 0
+    with_hints, without_hints = Counter(), Counter()
+    found = label(wrapper, True, marked, "", False, False, with_hints)
+    if not marked:
+        other = label(wrapper, False, False, "", False, False, without_hints)
+        if with_hints["kept"] < least_left * without_hints["kept"]:
+            return other
+    return found
 
 
-def _in_heading(path: str) -> bool:
-    return any(re.split(r"[.!*]", p)[0] in HEADING for p in path.split("/"))
+def any_slot(nodes: list[Node]) -> bool:
+    return any(inner[0] is None if name == "#" else any_slot(inner) for name, _, inner in nodes)
 
 
-def _has_heading(nodes: list[Node]) -> bool:
-    return any(n[0] != "#" and (re.split(r"[.!*]", n[0])[0] in HEADING or _has_heading(n[2])) for n in nodes)
+def has_heading(nodes: list[Node]) -> bool:
+    return any(name != "#" and (tag_of(name) in HEADING or has_heading(inner)) for name, _, inner in nodes)
 
 
-def main_text(html: str, paths: frozenset[str]) -> str:
-    """Texts of the main fields: character references decoded, blocks and white space parted by one space."""
-    out: list[str] = []
-    path, kept = [""], ["" in paths]
-    for kind, value in events(html):
-        if kind == "#":
-            if kept[-1]:
-                out.append(unescape(value))
-        elif kind == "<":
-            path.append(f"{path[-1]}/{value}")
-            kept.append(path[-1] in paths)
-            if re.split(r"[.!*]", value)[0] not in INLINE:
-                out.append(" ")
-        elif kind == ">":
-            kept.pop()
-            if re.split(r"[.!*]", path.pop().rpartition("/")[2])[0] not in INLINE:
-                out.append(" ")
-        else:
-            out.append(" ")
-    return " ".join("".join(out).split())
+def placed(left: tuple[str, ...], right: tuple[str, ...]) -> list[int]:
+    """For each child of a page its place in the wrapper's sequence, -1 for none."""
+    if left == right:
+        return list(range(len(left)))
+    out = [-1] * len(left)
+    for i, k, n in SequenceMatcher(None, left, right, autojunk=False).get_matching_blocks():
+        out[i : i + n] = range(k, k + n)
+    for i, k in enumerate(out):  # a child out of order
+        if k < 0 and left[i] in right:
+            out[i] = right.index(left[i])
+    return out
+
+
+class Wrapper:
+    """A host's labelled wrapper, to match pages with."""
+
+    def __init__(self, fields: list) -> None:
+        self.fields = fields
+        self.known: dict[tuple[int, tuple[str, ...]], list[int]] = {}
+
+    def main_text(self, html: str) -> str:
+        """Texts of the main fields: character references decoded, blocks and white space parted by one space."""
+        out: list[str] = []
+
+        def match(nodes: list, groups: list) -> None:
+            runs: list[int] = []  # neighbours of one signature are one repeated group
+            names: list[str] = []
+            for name, inner in nodes:
+                if name != "br" and not (name == "#" and not inner.strip()) and (not names or names[-1] != name):
+                    names.append(name)
+                runs.append(len(names) - 1)
+            key = id(groups), tuple(names)
+            if key not in self.known:
+                if len(self.known) > 10_000:
+                    self.known.clear()
+                self.known[key] = placed(tuple(names), tuple(g[0] for g in groups))
+            places = self.known[key]
+            for (name, inner), run in zip(nodes, runs, strict=True):
+                if name == "br":
+                    out.append(" ")
+                    continue
+                group = groups[places[run]] if run >= 0 and places[run] >= 0 else None
+                if name == "#":
+                    if inner.strip():
+                        if group is not None and group[0] == "#" and group[1]:
+                            out.append(unescape(inner))
+                    else:
+                        out.append(" ")
+                    continue
+                block = tag_of(name) not in INLINE
+                if block:
+                    out.append(" ")
+                match(inner, group[1] if group is not None else NOTHING)
+                if block:
+                    out.append(" ")
+
+        match(parsed(html), self.fields)
+        return " ".join("".join(out).split())
+
+
+NOTHING: list = []
 
 
 FOLDED = "host string, part long, pages long, wrapper string"
@@ -268,8 +377,8 @@ def infer(pages: DataFrame, fan_in: int = 64) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         found: dict[str, tuple[list[Node], int]] = {}
-        for part_, htmls in text_parts(batches, "html"):
-            for host, html in zip(part_.column("host").to_pylist(), htmls, strict=True):
+        for rows, htmls in text_parts(batches, "html"):
+            for host, html in zip(rows.column("host").to_pylist(), htmls, strict=True):
                 before = found.get(host)
                 nodes = tree(html)
                 found[host] = (align(before[0], nodes), before[1] + 1) if before else (nodes, 1)
@@ -295,7 +404,7 @@ def infer(pages: DataFrame, fan_in: int = 64) -> DataFrame:
     return folded.select("host", "pages", "wrapper")
 
 
-#: Wrappers' main paths are broadcast only while they take up no more than this; beyond, pages are joined to them by host.
+#: Labelled wrappers are broadcast only while they take up no more than this; beyond, pages are joined to them by host.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -305,25 +414,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = [json.dumps(main_paths(json.loads(w), n, most_linked, least_pages)) for w, n in zip(batch.column("wrapper").to_pylist(), batch.column("pages").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], ["of", "paths"])
+            fields = [json.dumps(main_fields(json.loads(w), n, most_linked, least_pages), separators=(",", ":")) for w, n in zip(batch.column("wrapper").to_pylist(), batch.column("pages").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(fields, pa.string())], ["of", "fields"])
 
-    labelled = written(infer(rows.select("host", "html")).mapInArrow(label, "of string, paths string"), f"{shared_dir(pages.sparkSession)}/wrappers")
-    size = labelled.agg(F.sum(F.octet_length("paths") + F.octet_length("of") + 64)).first()[0] or 0
+    labelled = written(infer(rows.select("host", "html")).mapInArrow(label, "of string, fields string"), f"{shared_dir(pages.sparkSession)}/wrappers")
+    size = labelled.agg(F.sum(F.octet_length("fields") + F.octet_length("of") + 64)).first()[0] or 0
     joined = rows.join(F.broadcast(labelled) if size <= BROADCAST_BYTES else labelled, F.col("host") == F.col("of"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset[str]] = {}
+        known: dict[str, Wrapper] = {}
         for part, htmls in text_parts(batches, "html"):
             texts = []
-            for html, paths in zip(htmls, part.column("paths").to_pylist(), strict=True):
-                if paths not in known:
-                    if len(known) > 1000:
+            for html, fields in zip(htmls, part.column("fields").to_pylist(), strict=True):
+                if fields not in known:
+                    if len(known) > 200:
                         known = {}
-                    known[paths] = frozenset(json.loads(paths or "[]"))
-                texts.append(main_text(html, known[paths]))
+                    known[fields] = Wrapper(json.loads(fields or "[]"))
+                texts.append(known[fields].main_text(html))
             yield pa.RecordBatch.from_arrays([part.column("key"), part.column("address"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["key", "address", "text", "n_chars"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    out = joined.select("key", "address", "html", "paths").mapInArrow(run, f"key {kind}, address string, text string, n_chars long")
+    out = joined.select("key", "address", "html", "fields").mapInArrow(run, f"key {kind}, address string, text string, n_chars long")
     return out.withColumnsRenamed({"key": id_col, "address": url_col})

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -200,6 +201,81 @@ def test_html_wrapper_groups():
     assert merged[1][2][0][:2] == ["li", "+"] and merged[2][2][0][2][0] is None
 
 
+def texts_in_python(htmls, host_pages=None):
+    """Fold, label and match without Spark, for wrapper tests."""
+    trees = [html_wrappers.tree(h) for h in htmls]
+    wrapper = trees[0]
+    for t in trees[1:]:
+        wrapper = html_wrappers.align(wrapper, t)
+    fields = html_wrappers.Wrapper(html_wrappers.main_fields(wrapper, len(htmls)))
+    return [fields.main_text(h) for h in htmls]
+
+
+@pytest.mark.parametrize("around", ["<article class='related-stories'>{}</article>", "<div class='side-story'>{}</div>", "<div class=sidebar><article>{}</article></div>", "<div class='hidden-gems'><div class=share>{}</div></div>"])
+def test_class_names_never_drop_the_text(around):
+    htmls = [f"<body><nav>Menu</nav>{around.format(f'<h1>Head {i}</h1><p>Words of page {i}</p>')}<footer>Foot {i}</footer>" for i in range(5)]
+    assert texts_in_python(htmls) == [f"Head {i} Words of page {i}" for i in range(5)]
+
+
+@pytest.mark.parametrize("depth", [3, 149, 155, 1000])
+def test_menus_are_left_out_at_any_depth(depth):
+    htmls = [f"{'<div>' * depth}<nav><a href=/>Menu {i}</a></nav><article>Body {i}<aside>link</aside><section class=comments>Said {i}</section></article>{'</div>' * depth}" for i in range(4)]
+    assert texts_in_python(htmls) == [f"Body {i}" for i in range(4)]
+    plain = [f"{'<div>' * depth}<nav><a href=/>Menu {i}</a></nav>Body {i}<aside>link</aside>{'</div>' * depth}" for i in range(4)]
+    assert texts_in_python(plain) == [f"Body {i}" for i in range(4)]
+
+
+def test_fields_are_known_by_their_place():
+    """Two groups with the same tags: one is the template's, one the text."""
+    htmls = [f"<div>Same for all</div><h2>Head {i}</h2><div>Text {i}</div><ul><li><a href=/>a {i}</a><li><a href=/>b {i}</a></ul><div>Also the same</div>" for i in range(5)]
+    assert texts_in_python(htmls) == [f"Head {i} Text {i}" for i in range(5)]
+
+
+@pytest.mark.parametrize("html", ["<a title=\"x " * 90_000, "<a title='x " * 90_000 + ">", "<a title=x\"" * 90_000 + "<p>y", "<" * 1_000_000, "<!-- " * 200_000, "</" * 500_000, "<a =" * 250_000, "<p <p " * 170_000, "<div>" * 200_000])
+def test_html_takes_linear_time(html):
+    began = time.time()
+    html_wrappers.parsed(html)
+    assert time.time() - began < 5
+
+
+def test_html_tokens():
+    kinds = lambda html: [(k, v) for k, v, _ in html_wrappers.tokens(html)]
+    assert kinds("a<b title='1>2'>c</b >d") == [("#", "a"), ("<", "b"), ("#", "c"), ("/", "b"), ("#", "d")]
+    assert kinds("x < 3 <p title=it's>y<!-- <p> -->z<?x?><script>if (a<b) {}</script>w") == [("#", "x "), ("#", "<"), ("#", " 3 "), ("<", "p"), ("#", "y"), ("#", "z"), ("<", "script"), ("#", "w")]
+    assert kinds("<p title=\"open>one</p><p>two") == [("<", "p"), ("#", "one"), ("/", "p"), ("<", "p"), ("#", "two")]
+
+
+def plain_align(a, b):
+    """Longest common subsequence of two sequences of distinct neighbours, as a plain table."""
+    n, m = len(a), len(b)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    return best[0][0]
+
+
+def test_alignment_is_a_common_expression():
+    """Every page folded in is matched by the wrapper, and what two pages have in common is merged about as far as can be."""
+    rng = random.Random(12)
+    block = lambda: rng.choice([f"<h2>{rng.random()}</h2>", f"<p>{rng.random()}</p>", "<ul><li>x<li>y</ul>", f"<div>{rng.random()}<b>z</b></div>", "<pre>same</pre>"])
+    merged = possible = 0
+    for _ in range(200):
+        pages = [f"<article>{''.join(block() for _ in range(rng.randrange(1, 7)))}</article>" for _ in range(2)]
+        trees = [html_wrappers.tree(p)[0] for p in pages]
+        wrapper = html_wrappers.merge(*trees)
+        names = [[n[0] for n in t[2]] for t in (*trees, wrapper)]
+        for own in names[:2]:
+            it = iter(names[2])
+            assert all(n in it for n in own)  # in the wrapper's order
+        merged += len(names[0]) + len(names[1]) - len(names[2])
+        possible += plain_align(names[0], names[1])
+        assert all(n[1] in "?*" for n in wrapper[2] if n[0] not in names[0] or n[0] not in names[1])
+        expected = [" ".join(re.sub("<[^>]*>", " ", re.sub("</?b>", "", p)).split()) for p in pages]
+        assert texts_in_python(pages) == expected
+    assert merged >= 0.9 * possible
+
+
 def plain_chat(rows):
     talks = {}
     for conv, _, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):

@@ -131,6 +131,33 @@ def test_solutions_are_whole_and_better_than_best_fit():
     assert better
 
 
+@pytest.mark.parametrize(("low", "high", "pieces", "gain"), [(300, 1500, 5000, 8), (5, 2048, 20_000, 0), (650, 1100, 3000, 6)])
+def test_search_gains_on_best_fit(low, high, pieces, gain):
+    rng = random.Random(1)
+    counts = Counter(rng.randint(low, high) for _ in range(pieces))
+    fit, best = (sum(n for _, n in x) for x in (bin_packing.best_fit(counts, 2048), bin_packing.solve(counts, 2048)))
+    assert bin_packing.least_bins(counts, 2048) <= best <= fit - gain
+
+
+def test_lower_bound_against_the_optimum():
+    """Small cases, every packing tried."""
+
+    def optimum(sizes, rooms):
+        if not sizes:
+            return len(rooms)
+        best = len(rooms) + len(sizes)
+        for k in {r: k for k, r in enumerate(rooms) if r >= sizes[0]}.values():
+            best = min(best, optimum(sizes[1:], [r - sizes[0] if i == k else r for i, r in enumerate(rooms)]))
+        return min(best, optimum(sizes[1:], [*rooms, 20 - sizes[0]]))
+
+    rng = random.Random(9)
+    for _ in range(60):
+        sizes = sorted((rng.randrange(1, 21) for _ in range(rng.randrange(1, 8))), reverse=True)
+        least = optimum(sizes, [])
+        assert bin_packing.least_bins(Counter(sizes), 20) <= least
+        assert sum(n for _, n in bin_packing.solve(Counter(sizes), 20)) == least
+
+
 def test_best_fit_equals_piece_by_piece():
     rng = random.Random(6)
     for _ in range(50):
