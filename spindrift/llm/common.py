@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text is worked on in slices of about this many bytes, so a task's Python memory does not depend on its partition.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 #: Folders handed out and not deleted yet, by application.
@@ -71,15 +71,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [n + tag for n in names]
 
 
+def places_for(n: Column, total: int, spark: SparkSession) -> Column:
+    """Places that a key with ``n`` of ``total`` rows is dealt out to: more than one where it holds over a quarter of a partition's even share."""
+    share = max(1, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return F.greatest(F.ceil(n / share), F.lit(1)).cast("int")
+
+
 def dealt_join(big: DataFrame, small: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
     """Join where ``small`` has a row for each key and in ``n`` the number of ``big``'s rows with it, of ``total``.
 
     Keys that hold more than a quarter of a partition's even share of rows are dealt out to several places, so that none makes
     a task of its own; there are at most four such keys for each partition, and these are broadcast.
     """
-    share = max(1, total // (4 * int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    places = F.greatest(F.ceil(F.col(n) / share), F.lit(1)).cast("int")
-    hot = F.broadcast(small.where(F.col(n) > share).select(*keys, places.alias("places")))
+    places = places_for(F.col(n), total, big.sparkSession)
+    hot = F.broadcast(small.where(places > 1).select(*keys, places.alias("places")))
     dealt = big.join(hot, keys, "left").withColumn("place", F.pmod(F.xxhash64(*big.columns), F.coalesce("places", F.lit(1))).cast("int")).drop("places")
     return dealt.join(small.withColumn("place", F.explode(F.sequence(F.lit(0), places - 1))).drop(n), [*keys, "place"], how).drop("place")
 

@@ -42,7 +42,7 @@ LIST_ENTRIES = (
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages count as fetched an hour apart, by page_id from 2024 on."""
-    hours = F.timestamp_add("HOUR", F.col("page_id").cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    hours = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(1)) * F.col("page_id")
     captures = table(spark, sf_dir, "pages").select("page_id", "url", hours.alias("fetched_at"))
     entries = spark.createDataFrame(LIST_ENTRIES, "list string, pattern string, action string, at string")
     found = url_filter.judge(captures, entries)

@@ -6,15 +6,18 @@ length, random strings many. A run is parted at equals signs; a part, or else it
 most ``max_chars_per_token`` characters a token are added as kind ``random``, unless they are digests, UUIDs, numbers
 or parts of an address.
 
-Rows are independent: no shuffle. Null and empty text has no spans. Repeated rows are scanned each.
+Rows are independent: no shuffle. Null and empty text has no spans. Repeated rows are scanned each. An empty table gives
+an empty one; ``redact`` carries other columns along, whatever their names, and ``scan`` does not look at them.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -101,16 +104,30 @@ def dense(piece: str, encoding, max_chars_per_token: float) -> list[tuple[int, i
     return found
 
 
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding, max_chars_per_token: float) -> list[tuple[int, int, int]]:
     spans = []
     known: list[tuple[int, int]] | None = None
+    covered, at = joined([(s, e) for s, _, e in taken]), 0
     for m in RUN.finditer(text):
         run, a, b = m[0], m.start(), m.end()
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
         if not MIXED.match(run) or UUID.fullmatch(run) or DIGEST.fullmatch(run):
             continue
         # What pattern spans leave of the run, and then its values.
         pieces, done = [], a
-        for s, e in [*sorted((s, e) for s, _, e in taken if s < b and a < e), (b, b)]:
+        for s, e in [*takewhile(lambda span: span[0] < b, islice(covered, at, None)), (b, b)]:
             pieces += [(done + v.start(), done + v.end()) for v in VALUE.finditer(text[done : max(s, done)])]
             done = max(done, e)
         for s, e in pieces:
@@ -120,7 +137,10 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], encoding, max_cha
             found = dense(piece, encoding, max_chars_per_token)
             if found and known is None:
                 known = addresses(text)
-            spans += [(s + x, 3, s + y) for x, y in found if not any(u <= s + x < v for u, v in known)]
+            for x, y in found:
+                before = bisect_right(known, (s + x, len(text))) - 1
+                if before < 0 or known[before][1] <= s + x:
+                    spans.append((s + x, 3, s + y))
     return spans
 
 

@@ -76,6 +76,41 @@ def test_random_values_behind_readable_names():
     assert sum(bool(randoms(f"production_credential={x}")) for x in many) >= 490
 
 
+def test_planted_values_are_the_only_spans():
+    """Texts put together from prose, addresses, digests, names and random values: exactly the values are found."""
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    value = lambda n=32: "".join(rng.choice(letters) for _ in range(n))
+    quiet = [
+        lambda: "the quick brown fox", lambda: f"https://h.example.org/{'dir/' * rng.randrange(30)}{value()}?q={value()}", lambda: "123e4567-e89b-12d3-a456-426614174000", lambda: "A" + "9F" * 19 + "B",
+        lambda: "getElementsByClassNameOfTheDocument", lambda: "2024-01-01T00:00:00+00:00", lambda: "1234567890123456789012", lambda: f"{value(12)}@mail.example.com", lambda: "_".join(["some", "long", "name"] * 3),
+    ]
+    missed = 0
+    for _ in range(400):
+        parts, expected, at = [], [], 0
+        for _ in range(rng.randrange(1, 12)):
+            if rng.random() < 0.4:
+                secret, before = value(), rng.choice(["", "key:", "a.b=", "(", "cfg.key=", "x, y,"])
+                parts.append(before + secret)
+                expected.append((at + len(before), at + len(before) + len(secret)))
+            else:
+                parts.append(rng.choice(quiet)())
+            at += len(parts[-1]) + 1
+        text = " ".join(parts)
+        encoding = secret_scan.token_counter(secret_scan.vocabulary_path("byte_bpe_50k.tiktoken"))
+        found = [(a, b) for a, k, b in secret_scan.spans_of(text, encoding, 2.0) if k == 3]
+        assert all(any(s < b and a < e for s, e in expected) for a, b in found), (text, [text[a:b] for a, b in found])
+        missed += sum(not any(s < b and a < e for a, b in found) for s, e in expected)
+    assert missed <= 10
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    text = " ".join(f"token=abcdefgh{k} {KEY}{KEY}{k} http://x.example.com/{KEY}{k}" for k in range(8000))
+    began = time.time()
+    assert len(randoms(text)) == 8000
+    assert time.time() - began < 6
+
+
 def test_redaction(spark):
     docs = documents(spark, SECRETS)
     clean = secret_scan.redact(docs)
@@ -126,10 +161,11 @@ def test_query_equals_sql(spark, name):
     assert_same(queries.queries()[name](spark, SF), queries.oracle_sql()[name], SF)
 
 
-def plain_verdict(host, segment, at, entries):
+def plain_verdict(host, path, at, entries):
     best = None
     domains = [".".join(host.split(".")[k:]) for k in range(len(host.split(".")))] if host else []
-    covering = {*domains, *(f"{d}/{segment.lower()}" for d in domains if segment)}
+    segments = path.lower().split("/") if path else []
+    covering = {*domains, *(f"{d}/{'/'.join(segments[:k])}" for d in domains for k in range(1, len(segments) + 1))}
     for (lst, pattern), changes in entries.items():
         now = [c for c in changes if c[0] <= at]
         if pattern in covering and now and now[-1][1] != "remove":
@@ -137,12 +173,15 @@ def plain_verdict(host, segment, at, entries):
     return "unlisted" if best is None else "allowed" if best[3] else "blocked"
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("broadcast", [64 << 20, -1])
+def test_url_filter(spark, monkeypatch, broadcast):
+    """Nested hosts, deep paths, all captures below one top domain; with patterns broadcast and not."""
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", broadcast)
     rng = random.Random(5)
     names = ["a.example.com", "b.a.example.com", "example.com", "x.org", "com"]
-    rows = [(rng.choice(["s", "t"]), rng.choice([*names, "example.com/en", "x.org/EN"]), rng.choice(url_filter.ACTIONS), f"2024-01-{rng.randrange(1, 28):02}") for _ in range(60)]
+    rows = [(rng.choice(["s", "t"]), rng.choice([*names, "example.com/en", "x.org/EN", "example.com/en/x", "a.example.com/de/x/y"]), rng.choice(url_filter.ACTIONS), f"2024-01-{rng.randrange(1, 28):02}") for _ in range(60)]
     entries = spark.createDataFrame([*rows, (None, "com", "block", "2024-01-01"), ("s", "com", "odd", "2024-01-01")], "list string, pattern string, action string, at string")
-    captures = [(i, rng.choice([f"http://{rng.choice(names)}/{rng.choice(['en', 'EN', '', 'de'])}/x?y", None, "junk", f"HTTPS://u@{rng.choice(names).upper()}:80"]), rng.choice([None, *(f"2024-01-{d:02} 12:00:00" for d in range(1, 28))])) for i in range(400)]
+    captures = [(i, rng.choice([f"http://{rng.choice(names)}/{rng.choice(['en', 'EN', '', 'de'])}/{rng.choice(['x', 'X/y', ''])}?y", None, "junk", f"HTTPS://u@{rng.choice(names).upper()}:80"]), rng.choice([None, *(f"2024-01-{d:02} 12:00:00" for d in range(1, 28))])) for i in range(400)]
     df = spark.createDataFrame([*captures, *captures[:9]], "page_id int, url string, fetched_at string")
     got = url_filter.judge(df, entries).collect()
     assert len(got) == 409
@@ -155,8 +194,8 @@ def test_url_filter(spark):
     by_id = dict((r.page_id, r.verdict) for r in got)
     for i, url, at in captures:
         m = re.match(r"(?i)https?://(?:[^/?#@]*@)?([^/?#:]+)", url or "")
-        s = re.match(r"(?i)https?://[^/?#]*/([^/?#]*)", url or "")
-        assert by_id[i] == ("unlisted" if not m or at is None else plain_verdict(m[1].lower(), s[1] if s else "", at, known)), (url, at)
+        s = re.match(r"(?i)https?://[^/?#]*/([^?#]*)", url or "")
+        assert by_id[i] == ("unlisted" if not m or at is None else plain_verdict(m[1].lower(), s[1].rstrip("/") if s else "", at, known)), (url, at)
     assert url_filter.judge(df.limit(0), entries).count() == 0 and url_filter.judge(df, entries.limit(0)).where("verdict != 'unlisted'").count() == 0
 
 
