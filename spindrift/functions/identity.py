@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # The patterns that decide which names are one.
 VERSION_TAG = r"(?iu)\s*[\(\[][^)\]]*\b(remaster(?:ed)?|remix|edit|radio\s+edit|extended|bonus\s+track|live|explicit|clean|version|acoustic|mono|stereo|deluxe|re[\- ]?record(?:ed)?)\b[^)\]]*[\)\]]"
@@ -17,47 +16,66 @@ SEPARATOR = r"(?iu)\s*(?:,|&|\band\b|/|\+|;|×|\bx\b)\s*"
 LEADING_THE = r"(?iu)^the\s+"
 #: Provider ids in order of trust, with the prefix of their keys.
 PROVIDER_PREFIXES = (("acrcloud", "acr"), ("audd", "audd"), ("shazam", "shz"), ("catalog", "cat"))
-#: Passes that remove version tags; each takes all tags that do not enclose others.
-TAG_PASSES = 3
 
 
-@F.pandas_udf(StringType())
-def strip_diacritics(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without its combining marks; only rows that are not ASCII need it."""
-    return text.map(lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)), na_action="ignore")
+def _folded() -> tuple[str, str, dict[str, str]]:
+    """Letters and digits whose compatibility decomposition, without combining marks, holds ASCII ones: single ones and their fold, and others with theirs."""
+    single, several = {}, {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x20000)):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if any(c.isascii() and c.isalnum() for c in plain):
+            if len(plain) == 1:
+                single[chr(code)] = plain
+            else:
+                several[chr(code)] = plain
+    return "".join(single), "".join(single.values()), several
 
 
-def clean_token(text: Column, unicode: bool = False) -> Column:
-    """Lower case a-z and 0-9 only. ``unicode`` strips diacritics first, in Python; without it, they are dropped."""
-    return F.regexp_replace(F.lower(strip_diacritics(text) if unicode else text), "[^a-z0-9]+", "")
+FOLDED, FOLDS, EXPANDED = _folded()
 
 
-def normalized_title(title: Column, unicode: bool = False) -> Column:
+def strip_diacritics(text: Column) -> Column:
+    """Letters and digits without diacritics and in plain form; only rows that are not ASCII are looked at further."""
+    one = F.translate(text, FOLDED, FOLDS)
+    pairs = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in EXPANDED.items())), F.lit("\x02"), F.lit("\x01"))
+    more = F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c)), "")
+    expandable = text.rlike(f"[{''.join(map(re.escape, EXPANDED))}]")
+    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).when(expandable, more).otherwise(one)
+
+
+def clean_token(text: Column) -> Column:
+    """Lower case a-z and 0-9 only, diacritics stripped."""
+    return F.regexp_replace(F.lower(strip_diacritics(text)), "[^a-z0-9]+", "")
+
+
+def without_tags(text: Column) -> Column:
+    """Version tags taken out until none is left; each turn that finds one takes a bracket, so their number bounds the turns."""
+    turns = F.array_repeat(F.lit(0), F.regexp_count(text, F.lit(r"[\(\[]")))
+    return F.when(text.rlike(VERSION_TAG), F.aggregate(turns, text, lambda t, _: F.regexp_replace(t, VERSION_TAG, ""))).otherwise(text)
+
+
+def normalized_title(title: Column) -> Column:
     """Title without featured artists, version tags, version tail and leading article; empty for null."""
-    text = F.regexp_replace(F.trim(F.coalesce(title, F.lit(""))), FEATURING, "")
-    for _ in range(TAG_PASSES):
-        text = F.regexp_replace(text, VERSION_TAG, "")
-    return clean_token(F.regexp_replace(F.regexp_replace(text, VERSION_TAIL, ""), LEADING_THE, ""), unicode)
+    text = without_tags(F.regexp_replace(F.trim(F.coalesce(title, F.lit(""))), FEATURING, ""))
+    return clean_token(F.regexp_replace(F.regexp_replace(text, VERSION_TAIL, ""), LEADING_THE, ""))
 
 
-def normalized_artists(artist: Column, unicode: bool = False) -> Column:
+def normalized_artists(artist: Column) -> Column:
     """Artists cleaned, distinct and sorted, joined by semicolons; empty for null."""
     text = F.regexp_replace(F.trim(F.coalesce(artist, F.lit(""))), FEATURING, "")
-    if unicode:  # the whole list at once: Python can't run inside transform
-        text = strip_diacritics(text)
     parts = F.transform(F.split(text, SEPARATOR), lambda p: clean_token(F.regexp_replace(F.trim(p), LEADING_THE, "")))
     return F.array_join(F.array_distinct(F.array_sort(F.filter(parts, lambda p: p != ""))), ";")
 
 
-def fuzzy_key(artist: Column, title: Column, unicode: bool = False) -> Column:
-    return F.concat(normalized_artists(artist, unicode), F.lit("::"), normalized_title(title, unicode))
+def fuzzy_key(artist: Column, title: Column) -> Column:
+    return F.concat(normalized_artists(artist), F.lit("::"), normalized_title(title))
 
 
-def identity_key(artist: Column, title: Column, isrc: Column, provider_ids: Column, unicode: bool = False) -> Column:
+def identity_key(artist: Column, title: Column, isrc: Column, provider_ids: Column) -> Column:
     """Key of the best tier there is: recording code, provider id, names. Two tracks merge if their keys are equal."""
     code = F.upper(F.nullif(F.trim(isrc), F.lit("")))
     by_provider = [F.concat(F.lit(f"{prefix}::"), F.lower(F.nullif(F.trim(provider_ids[name]), F.lit("")))) for name, prefix in PROVIDER_PREFIXES]
-    return F.coalesce(F.concat(F.lit("isrc::"), code), *by_provider, fuzzy_key(artist, title, unicode))
+    return F.coalesce(F.concat(F.lit("isrc::"), code), *by_provider, fuzzy_key(artist, title))
 
 
 def tier(key: Column) -> Column:

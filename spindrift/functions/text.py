@@ -109,3 +109,8 @@ def explanation(gate: Column, providers: Column, best: Column) -> Column:
     agreed = F.concat(F.lit("Agreed by "), F.array_join(F.sort_array(F.array_distinct(providers)), ", "), F.lit("."))
     scored = F.concat(F.lit("Best score "), F.format_string("%.2f", best), F.lit("."))
     return F.filter(F.array(F.when(F.size(providers) > 1, agreed), F.when(gate.isNotNull(), F.concat(F.lit("Accepted by gate "), gate, F.lit("."))), scored), lambda x: x.isNotNull())
+
+
+def canonical_json(members: Column) -> Column:
+    """A map as JSON with sorted keys and no spaces."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(members))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ipaddress import ip_network
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +12,6 @@ from spindrift.functions.text import plus_encoded
 # Names of tracking parameters, and hosts that stand for one.
 TRACKING = (
     "fbclid", "gclid", "igsh", "mc_cid", "mc_eid", "rdt", "si", "spm", "s", "share_id", "share_app_id",
-    "utm_campaign", "utm_content", "utm_id", "utm_medium", "utm_name", "utm_source", "utm_term",
 )
 HOSTS = {
     "www.youtube.com": ("youtube.com", "www.youtube.com", "m.youtube.com"),
@@ -130,14 +131,26 @@ def unwrapped(url: Column) -> Column:
     return F.when(host(url) == "l.instagram.com", F.coalesce(target, url)).otherwise(url)
 
 
+#: The IPv4 blocks that are no public addresses.
+UNSAFE_V4 = (
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24",
+    "224.0.0.0/4", "240.0.0.0/4",
+)
+
+
 def unsafe_address(name: Column) -> Column:
-    """Literal IPv4 hosts that are loopback, private, link-local, multicast, reserved or unspecified, and IPv6 loopback, local and unspecified."""
-    octets = F.transform(F.split(name, r"\."), lambda x: x.try_cast("int"))
-    a, b = F.get(octets, F.lit(0)), F.get(octets, F.lit(1))
-    v4 = name.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    blocked = a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
-    v6 = name.rlike("(?i)^(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*)$")
-    return F.coalesce((v4 & blocked) | v6 | (name == "localhost"), F.lit(False))
+    """Literal IPv4 and IPv6 hosts that are loopback, private, link-local, multicast, reserved, for documentation or unspecified; IPv4 ones within IPv6 too."""
+    mapped = F.regexp_extract(name, r"(?i)^\[?(?:::ffff:|64:ff9b:1?:*)(\d{1,3}(?:\.\d{1,3}){3})\]?$", 1)
+    plain = F.when(mapped != "", mapped).otherwise(F.regexp_replace(name, r"^\[|\]$", ""))
+    octets = F.transform(F.split(plain, r"\."), lambda x: x.try_cast("long"))
+    number = F.aggregate(octets, F.lit(0).cast("long"), lambda total, x: total * 256 + x)
+    v4 = plain.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    blocked = F.lit(False)
+    for block in UNSAFE_V4:
+        first, bits = int(ip_network(block)[0]), ip_network(block).prefixlen
+        blocked = blocked | number.between(first, first + (1 << (32 - bits)) - 1)
+    v6 = plain.rlike("(?i)^(::1?|100::.*|2001:(0?db8|0?0?0?[0-9a-f]?|0?0?1[0-9a-f]|0?02):.*|3fff:.*|f[cd][0-9a-f]{2}:.*|fe[89ab-f][0-9a-f]:.*|ff[0-9a-f]{2}:.*)$")
+    return F.coalesce((v4 & blocked) | v6 | (plain == "localhost"), F.lit(False))
 
 
 def download_url(entry: Column, source: Column, playlist_id: Column) -> Column:

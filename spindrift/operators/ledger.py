@@ -154,8 +154,9 @@ def validated(ledger: DataFrame) -> DataFrame:
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """Add payload: its counters that are not zero, as JSON, over the payload there is (the reverse of ``lifted``)."""
-    found = F.map_from_arrays(F.array(*map(F.lit, COUNTERS)), F.array(*(F.col(c).cast("string") for c in COUNTERS)))
-    own = F.coalesce(F.from_json("payload", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    extra = F.map_filter(found, lambda k, v: (v != "0") & ~F.map_contains_key(own, k))
-    return rows.withColumn("payload", F.to_json(F.map_concat(own, extra)))
+    """Add payload: its counters that are not zero, as JSON numbers, behind the members of the payload there is (the reverse of ``lifted``)."""
+    own = F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>"))
+    extra = F.to_json(F.struct(*(F.when((F.col(c) != 0) & ~F.array_contains(own, c), F.col(c)).alias(c) for c in COUNTERS)))
+    members = lambda text: F.regexp_replace(F.trim(text), r"^\{\s*|\s*\}$", "")
+    both = F.filter(F.array(members(F.coalesce("payload", F.lit(""))), members(extra)), lambda m: m != "")
+    return rows.withColumn("payload", F.concat(F.lit("{"), F.array_join(both, ","), F.lit("}")))

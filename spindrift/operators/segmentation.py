@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,22 +103,42 @@ def segments_of(frames: DataFrame, vectors: bool = False) -> DataFrame:
     found = frames.groupBy("item", "segment").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_frames"), music.alias("music_ratio"), speech.alias("speech_ratio"), silence.alias("_silence"))
     kind = F.when(F.col("_silence"), "silence_or_fx").when((F.col("speech_ratio") >= 0.65) & (F.col("music_ratio") < 0.35), "speech_only").otherwise("music_unresolved")
     found = found.withColumn("kind", kind).drop("_silence")
-    if vectors:
-        parts = frames.select("item", "segment", F.posexplode("vector").alias("pos", "x")).groupBy("item", "segment", "pos").agg(F.avg("x").alias("x"))
-        means = parts.groupBy("item", "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("vector"))
-        found = found.join(means, ["item", "segment"])
+    for column in ("vector", "chroma") if vectors else ():
+        if column in frames.columns:
+            found = found.join(mean_vectors(frames, column), ["item", "segment"])
     return found
 
 
+def mean_vectors(frames: DataFrame, column: str = "vector") -> DataFrame:
+    """item, segment and the mean of its frames' vectors."""
+    parts = frames.select("item", "segment", F.posexplode(column).alias("pos", "x")).groupBy("item", "segment", "pos").agg(F.avg("x").alias("x"))
+    return parts.groupBy("item", "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias(column))
+
+
+def analyzed(frames: DataFrame, percent: float = 82.0, least_ms: int = 8_000, repeats: bool = True, **likeness: float) -> DataFrame:
+    """The whole chain: labelled frames (item, idx, start_ms, end_ms, label, vector, chroma) to segments with their repeat groups.
+
+    Boundaries by novelty, ratios and mean vectors by segment, short segments merged, and like ones grouped (null groups if not asked for).
+    """
+    marked = bounded(novelty(standardized(frames)).select(*(c for c in frames.columns if c not in ("vector",)), "novelty"), percent)
+    own = marked.select("item", "idx", "segment").join(frames, ["item", "idx"])
+    merged = merge_short(segments_of(own, vectors=True), least_ms)
+    if not repeats:
+        return merged.withColumn("repeat_group", F.lit(None).cast("long"))
+    groups = repeat_groups(merged.withColumns({c: F.col(c).cast("long") for c in ("item", "segment")}), **likeness).select("item", "segment", "repeat_group")
+    return merged.join(groups, ["item", "segment"])
+
+
 def _by_item(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition("item").sortWithinPartitions("item", *order)
 
 
 def merge_short(segments: DataFrame, least_ms: int) -> DataFrame:
-    """Neighbours of which one is shorter than ``least_ms`` become one, never across silence or speech; ratios are weighed by length.
+    """Neighbours of which one is shorter than ``least_ms`` become one, never across silence or speech; ratios, and vectors there are, are weighed by length.
 
     Rows sorted by item stream through with one segment of state.
     """
+    vectors = [c for c in ("vector", "chroma") if c in segments.columns]
     apart = ("silence_or_fx", "speech_only")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,7 +147,7 @@ def merge_short(segments: DataFrame, least_ms: int) -> DataFrame:
             if last is not None and last["item"] == row["item"] and last["kind"] not in apart and row["kind"] not in apart and min(last["end_ms"] - last["start_ms"], row["end_ms"] - row["start_ms"]) < least_ms:
                 a, b = (max(1, x["end_ms"] - x["start_ms"]) for x in (last, row))
                 mean = lambda c: (last[c] * a + row[c] * b) / (a + b)  # noqa: B023, E731
-                last |= {"start_ms": min(last["start_ms"], row["start_ms"]), "end_ms": max(last["end_ms"], row["end_ms"]), "kind": last["kind"] if last["kind"] == row["kind"] else "music_unresolved", "music_ratio": mean("music_ratio"), "speech_ratio": mean("speech_ratio")}
+                last |= {"start_ms": min(last["start_ms"], row["start_ms"]), "end_ms": max(last["end_ms"], row["end_ms"]), "kind": last["kind"] if last["kind"] == row["kind"] else "music_unresolved", "music_ratio": mean("music_ratio"), "speech_ratio": mean("speech_ratio"), **{c: mean(c) for c in vectors}}
                 continue
             if last is not None:
                 out.append(last)
@@ -138,13 +159,20 @@ def merge_short(segments: DataFrame, least_ms: int) -> DataFrame:
         if out:
             yield pd.DataFrame(out)
 
-    rows = segments.select("item", "segment", "start_ms", "end_ms", "kind", "music_ratio", "speech_ratio")
+    rows = segments.select("item", "segment", "start_ms", "end_ms", "kind", "music_ratio", "speech_ratio", *vectors)
     return _by_item(rows, "start_ms", "segment").mapInPandas(run, rows.schema)
 
 
-def _cosine(a: np.ndarray, b: np.ndarray) -> float:
-    product = float(np.linalg.norm(a) * np.linalg.norm(b)) if len(a) and len(b) else 0.0
-    return float(np.dot(a, b) / product) if product > 1e-6 else 0.0
+def _unit(vector: np.ndarray) -> np.ndarray:
+    """Of length one, or zero where there is next to nothing."""
+    size = float(np.linalg.norm(vector))
+    return vector / size if size > 1e-6 else np.zeros(len(vector))
+
+
+def _nearest(marks: list[int], at: int) -> int:
+    """Distance to the nearest of sorted marks."""
+    k = bisect_left(marks, at)
+    return min(abs(at - m) for m in marks[max(0, k - 1) : k + 1])
 
 
 def repeat_groups(segments: DataFrame, feature: float = 0.88, chroma: float = 0.82, ratio: float = 0.35, certain: float = 0.96) -> DataFrame:
@@ -172,16 +200,18 @@ def repeat_groups(segments: DataFrame, feature: float = 0.88, chroma: float = 0.
                     continue
                 length = max(1, end - start)
                 middle, reach = start + length // 2, max(120_000, 4 * int(middle_length))
+                vector, colour = _unit(vector), _unit(colour)
                 group = None
-                for g in known:
-                    alike = _cosine(vector, g[1])
-                    if alike < feature or _cosine(colour, g[2]) < chroma or min(length, g[3]) / max(length, g[3]) < ratio:
-                        continue
-                    if min(abs(middle - m) for m in g[4]) > reach and alike < certain:
-                        continue
-                    group = g[0]
-                    g[4].append(middle)
-                    break
+                if known:
+                    # All representatives at once; the first that is alike in every way counts.
+                    alike, hue = np.array([g[1] for g in known]) @ vector, np.array([g[2] for g in known]) @ colour
+                    lengths = np.array([g[3] for g in known])
+                    close = (alike >= feature) & (hue >= chroma) & (np.minimum(length, lengths) / np.maximum(length, lengths) >= ratio)
+                    for k in np.flatnonzero(close).tolist():
+                        if alike[k] >= certain or _nearest(known[k][4], middle) <= reach:
+                            group = known[k][0]
+                            insort(known[k][4], middle)
+                            break
                 if group is None:
                     group = segment
                     known.append((segment, vector, colour, length, [middle]))

@@ -54,9 +54,15 @@ def shortlist(queries: DataFrame, index: DataFrame, limit: int = 24, band: int =
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
+def with_fallback(queries: DataFrame, tracks: DataFrame, listed: DataFrame) -> DataFrame:
+    """query_id, track_id of the shortlist, and for queries without one every track: those queries, which are few, are looked up against the whole catalog."""
+    rest = queries.select("query_id").join(listed.select("query_id").distinct(), "query_id", "left_anti")
+    return listed.select("query_id", "track_id").unionByName(rest.crossJoin(tracks.select("track_id")))
+
+
 def catalog_matches(queries: DataFrame, tracks: DataFrame, listed: DataFrame, least: float = 0.20) -> DataFrame:
-    """The best track of each query's shortlist: similarity, weighed by how far the lengths agree."""
-    rows = listed.join(queries.select("query_id", F.col("fingerprint").alias("_q"), F.col("duration_ms").alias("_qd")), "query_id").join(tracks.select("track_id", F.col("fingerprint").alias("_t"), F.col("duration_ms").alias("_td")), "track_id")
+    """The best track of each query's shortlist, or of the whole catalog where that is empty: similarity, weighed by how far the lengths agree."""
+    rows = with_fallback(queries, tracks, listed).join(queries.select("query_id", F.col("fingerprint").alias("_q"), F.col("duration_ms").alias("_qd")), "query_id").join(tracks.select("track_id", F.col("fingerprint").alias("_t"), F.col("duration_ms").alias("_td")), "track_id")
     ratio = F.least("_qd", "_td") / F.greatest(F.lit(1), F.greatest("_qd", "_td"))
     scored = rows.withColumn("score", fingerprint_similarity(F.col("_q"), F.col("_t")) * (0.7 + 0.3 * ratio))
     best = scored.groupBy("query_id").agg(F.max(F.struct(F.col("score"), (-F.col("track_id")).alias("t"))).alias("_best")).where(F.col("_best.score") >= least)

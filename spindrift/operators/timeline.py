@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,14 +45,22 @@ def clamped(segments: DataFrame) -> DataFrame:
     return segments.withColumn("end_ms", end).where("end_ms > start_ms")
 
 
-def merge_gap(longer: Column, option_ms: int = 12_000) -> Column:
-    """Gap across which hits of one track join, by the longer one's length."""
-    return F.when(longer < 10_000, 2_000).when(longer < 60_000, 5_000).when(longer < 600_000, max(5_000, option_ms)).otherwise(30_000)
+#: Lengths (ms) below which a step of a gap rule counts; the last step is for longer ones.
+LENGTHS = (10_000, 60_000, 600_000)
 
 
-def bridge_gap(longer: Column, option_ms: int = 8_000) -> Column:
-    """Gap, and length of a segment between, that hits of one track may span."""
-    return F.when(longer < 10_000, min(2_000, option_ms)).when(longer < 60_000, min(5_000, option_ms)).when(longer < 600_000, option_ms).otherwise(max(option_ms, 19_000))
+def merge_steps(option_ms: int = 12_000) -> tuple[int, int, int, int]:
+    """Gaps across which hits of one track join, by the longer one's length."""
+    return 2_000, 5_000, max(5_000, option_ms), 30_000
+
+
+def bridge_steps(option_ms: int = 8_000) -> tuple[int, int, int, int]:
+    """Gaps, and lengths of a segment between, that hits of one track may span, by the longer one's length."""
+    return min(2_000, option_ms), min(5_000, option_ms), option_ms, max(option_ms, 19_000)
+
+
+def gap_for(longer: Column, steps: tuple[int, int, int, int]) -> Column:
+    return F.when(longer < LENGTHS[0], steps[0]).when(longer < LENGTHS[1], steps[1]).when(longer < LENGTHS[2], steps[2]).otherwise(steps[3])
 
 
 def with_attempts(segments: DataFrame, attempts: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
@@ -73,22 +82,27 @@ STITCHED = "item long, seq long, start_ms long, end_ms long, kind string, key st
 
 
 def _gap(longer: int, steps: tuple[int, int, int, int]) -> int:
-    return steps[0] if longer < 10_000 else steps[1] if longer < 60_000 else steps[2] if longer < 600_000 else steps[3]
+    return steps[bisect_right(LENGTHS, longer)]
 
 
 def stitched(segments: DataFrame, merge_ms: int = 12_000, bridge_ms: int = 8_000) -> DataFrame:
     """Bridge short gaps between parts of one track, merge neighbours, and clamp overlaps.
 
     Each step only looks at what it has last built of an item, so rows sorted by item stream through with a few rows
-    of state. Segments: item, seq, start_ms, end_ms, kind, key (null unless matched), confidence, providers, evidence_count.
+    of state. Segments: item, seq, start_ms, end_ms, kind, key (null unless matched), confidence, providers, evidence_count;
+    and, as far as there are such columns, alternates, hints, explanation (joined, each once), uncertainty (the least, where
+    none or zero counts as one), probe_count and provider_attempts (summed).
     """
-    merge_steps = (2_000, 5_000, max(5_000, merge_ms), 30_000)
-    bridge_steps = (min(2_000, bridge_ms), min(5_000, bridge_ms), bridge_ms, max(bridge_ms, 19_000))
+    lists = [c for c in ("alternates", "hints", "explanation") if c in segments.columns]
+    sums = [c for c in ("probe_count", "provider_attempts") if c in segments.columns]
+    least = [c for c in ("uncertainty",) if c in segments.columns]
+    to_merge, to_bridge = merge_steps(merge_ms), bridge_steps(bridge_ms)
     length = lambda s: s["end_ms"] - s["start_ms"]
     one_track = lambda a, b: a["kind"] == b["kind"] == "matched_track" and a["key"] is not None and a["key"] == b["key"]
 
     def joined(a: dict, b: dict) -> dict:
-        return a | {"end_ms": max(a["end_ms"], b["end_ms"]), "confidence": max(a["confidence"], b["confidence"]), "providers": sorted({*a["providers"], *b["providers"]}), "evidence_count": a["evidence_count"] + b["evidence_count"], "parts": a["parts"] + b["parts"]}
+        return a | {"end_ms": max(a["end_ms"], b["end_ms"]), "confidence": max(a["confidence"], b["confidence"]), "providers": sorted({*a["providers"], *b["providers"]}), "evidence_count": a["evidence_count"] + b["evidence_count"], "parts": a["parts"] + b["parts"],
+            **{c: list(dict.fromkeys([*a[c], *b[c]])) for c in lists}, **{c: a[c] + b[c] for c in sums}, **{c: min(a[c] or 1.0, b[c] or 1.0) for c in least}}
 
     def bridged(rows: Iterator[dict]) -> Iterator[dict]:
         held: list[dict] = []
@@ -100,9 +114,14 @@ def stitched(segments: DataFrame, merge_ms: int = 12_000, bridge_ms: int = 8_000
             if len(held) < 3:
                 continue
             a, between, b = held
-            budget = _gap(max(length(a), length(b)), bridge_steps)
-            if one_track(a, b) and between["kind"] != "matched_track" and max(between["start_ms"] - a["end_ms"], b["start_ms"] - between["end_ms"], 0) <= budget and length(between) <= budget:
-                yield joined(a, b)
+            budget = _gap(max(length(a), length(b)), to_bridge)
+            gaps = max(0, between["start_ms"] - a["end_ms"]), max(0, b["start_ms"] - between["end_ms"])
+            if one_track(a, b) and between["kind"] != "matched_track" and max(gaps) <= budget and length(between) <= budget:
+                both = joined(a, b)
+                if "explanation" in lists:
+                    note = f"Bridged across a {between['kind'].replace('_', ' ')} gap of {sum(gaps)} ms."
+                    both["explanation"] = list(dict.fromkeys([*both["explanation"], note]))
+                yield both
                 held = []
             else:
                 yield held.pop(0)
@@ -114,7 +133,7 @@ def stitched(segments: DataFrame, merge_ms: int = 12_000, bridge_ms: int = 8_000
             if last is not None and last["item"] == row["item"]:
                 gap = max(0, row["start_ms"] - last["end_ms"])
                 longer = max(length(last), length(row))
-                same = gap <= _gap(longer, merge_steps) if one_track(last, row) else row["kind"] == last["kind"] != "matched_track" and row["key"] is None and last["key"] is None and gap <= _gap(longer, bridge_steps)
+                same = gap <= _gap(longer, to_merge) if one_track(last, row) else row["kind"] == last["kind"] != "matched_track" and row["key"] is None and last["key"] is None and gap <= _gap(longer, to_bridge)
                 if same:
                     last = joined(last, row)
                     continue
@@ -134,19 +153,24 @@ def stitched(segments: DataFrame, merge_ms: int = 12_000, bridge_ms: int = 8_000
                     yield last
             last = row
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (r | {"parts": 1, "providers": list(r["providers"]), "key": None if pd.isna(r["key"]) else r["key"]} for b in batches for r in b.to_dict("records"))
+    further = [*lists, *sums, *least]
+    schema = STITCHED + "".join(f", {c} array<string>" for c in lists) + "".join(f", {c} long" for c in sums) + "".join(f", {c} double" for c in least)
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    arrow = pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(", "))])
+    names = arrow.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r | {"parts": 1} | {c: r[c] or [] for c in ("providers", *lists)} | {c: r[c] or 0 for c in (*sums, *least)} for b in batches for r in b.to_pylist())
         out: list[dict] = []
-        for row in cut(merged(bridged(rows))):
-            out.append(row)
-            if len(out) == 5_000:
-                yield pd.DataFrame(out)
+        for row in _ending(cut(merged(bridged(rows)))):
+            if row is not None:
+                out.append(row)
+            if len(out) == 5_000 or row is None:
+                yield pa.RecordBatch.from_pylist([{c: r[c] for c in names} for r in out], schema=arrow)
                 out = []
-        if out:
-            yield pd.DataFrame(out)
 
-    rows = segments.select("item", "seq", "start_ms", "end_ms", "kind", "key", "confidence", "providers", "evidence_count")
-    return rows.repartition("item").sortWithinPartitions("item", "start_ms", "end_ms", "kind", "seq").mapInPandas(run, STITCHED)
+    rows = segments.select("item", "seq", "start_ms", "end_ms", "kind", "key", "confidence", "providers", "evidence_count", *further)
+    return rows.repartition("item").sortWithinPartitions("item", "start_ms", "end_ms", "kind", "seq").mapInArrow(run, schema)
 
 
 def _ending(rows: Iterator[dict]) -> Iterator[dict | None]:

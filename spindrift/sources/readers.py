@@ -47,14 +47,15 @@ def vibra(answers: DataFrame, column: str = "body") -> DataFrame:
     return rows.select(*(c for c in answers.columns if c != column), *_candidate(F.coalesce(_blank(t["title"]), F.lit("Unknown track")), t["subtitle"], album, F.lit(None).cast("string"), "vibra", t["key"], "shazam", F.lit(0.72)))
 
 
-def flattened(entries: DataFrame, children: str = "entries", depth: int = 4) -> DataFrame:
+def flattened(entries: DataFrame, children: str = "entries") -> DataFrame:
     """Leaves of nested playlists in order: entry (JSON) and path (places on the way); nulls are dropped.
 
-    entries: id, body (JSON object with, perhaps, an array of objects named ``children``). ``depth`` bounds the nesting.
+    entries: id, body (JSON object with, perhaps, an array of objects named ``children``). Playlists are opened level by level
+    as long as there are any, whatever the depth; the driver asks each time whether one is left.
     """
     level = entries.select("id", F.col("body").alias("entry"), F.array().cast("array<int>").alias("path"))
     leaves = None
-    for _ in range(depth + 1):
+    while leaves is None or not level.isEmpty():
         inner = F.from_json(F.get_json_object("entry", f"$.{children}"), "array<string>")
         level = level.where(F.col("entry").isNotNull()).withColumn("_in", inner)
         done = level.where("_in is null or size(_in) = 0").drop("_in")

@@ -22,7 +22,7 @@ DIFFERENT = [(("Prince", "Kiss"), ("Cher", "Kiss")), (("The The", "This"), ("Unk
 def keys(spark, pairs):
     flat = [p for pair in pairs for p in pair]
     rows = spark.createDataFrame([(i, a, t) for i, (a, t) in enumerate(flat)], "i int, a string, t string")
-    found = {r.i: r.k for r in rows.select("i", I.fuzzy_key(F.col("a"), F.col("t"), unicode=True).alias("k")).collect()}
+    found = {r.i: r.k for r in rows.select("i", I.fuzzy_key(F.col("a"), F.col("t")).alias("k")).collect()}
     return [(found[2 * i], found[2 * i + 1]) for i in range(len(pairs))]
 
 
@@ -49,3 +49,29 @@ def test_tiers(spark, isrc, ids, key, tier):
     row = spark.createDataFrame([("A", "Song", isrc, ids)], "a string, t string, i string, p map<string,string>")
     found = row.select(I.identity_key(F.col("a"), F.col("t"), F.col("i"), F.col("p")).alias("k")).select("k", I.tier(F.col("k")).alias("tier")).first()
     assert (found.k, found.tier) == (key, tier)
+
+
+def test_folding_is_that_of_the_unicode_tables(spark):
+    """ASCII letters and digits of the compatibility decomposition, for every character that has some, and beyond the first plane."""
+    import unicodedata
+
+    texts = ["".join(map(chr, range(a, a + 64))) for a in (*range(0x80, 0xD800, 64), *range(0xE000, 0x20000, 64))]
+    texts = [t for t in texts if "\ud800" not in t]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.k for r in rows.select("i", I.clean_token(F.col("t")).alias("k")).collect()}
+    for i, t in enumerate(texts):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+        assert got[i] == "".join(c for c in plain if c.isascii() and c.isalnum()), hex(ord(t[0]))
+
+
+def test_tags_go_at_any_depth(spark):
+    titles = ["Song", "Song (Live)", "Song " + "(Live) " * 9, "Song " + "(live " * 7 + ")" * 7, "Song [Remix (Live)] (2015 Remaster)", "((( Song"]
+    rows = spark.createDataFrame(list(enumerate(titles)), "i int, t string")
+    got = [r.k for r in rows.select("i", I.without_tags(F.col("t")).alias("k")).orderBy("i").collect()]
+    import re
+
+    for title, k in zip(titles, got, strict=True):
+        plain, before = title, None
+        while plain != before:
+            before, plain = plain, re.sub(I.VERSION_TAG.removeprefix("(?iu)"), "", plain, flags=re.I)
+        assert k == plain, title

@@ -60,4 +60,4 @@ def test_validation(spark):
 def test_pack_and_lift(spark):
     rows = ledger.lifted(frame(spark, [{"payload": {"gate_g1_hits": 2, "outcome": "x"}}])).withColumn("segments_merged", ledger.F.lit(4))
     packed = json.loads(ledger.packed(rows).first().payload)
-    assert packed["segments_merged"] == "4" and packed["gate_g1_hits"] == "2" and packed["outcome"] == "x"
+    assert packed["segments_merged"] == 4 and packed["gate_g1_hits"] == 2 and packed["outcome"] == "x"
