@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import byte_parts, shared_dir, text_or_empty
 
-#: Words that a worker remembers the hash of; beyond, it starts anew. Only speed depends on it.
-REMEMBERED = 300_000
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Base of the polynomial that fingerprints are; odd, so that it has an inverse among 64-bit numbers.
+BASE = 0x9E3779B97F4A7C15
+BLOCK = 1 << 16
 LAST = np.iinfo(np.int64).max
 #: Sampled suffixes for each group.
 SAMPLES = 20
@@ -48,17 +48,6 @@ BIN_PRINTS = 4_000_000
 SPARE = 8
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def pack(values: np.ndarray) -> bytes:
     """Ascending or small integers: steps, byte planes apart, compressed."""
     import zstandard
@@ -113,23 +102,39 @@ def sliced(rows: DataFrame, window: int, slice_bytes: int, sample_every: int) ->
     return rows.mapInArrow(run, "slice long, suffixes long, keys array<long>, sizes binary, words binary, sample array<binary>")
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def prefix_hashes(text: np.ndarray) -> np.ndarray:
+    """Sum of each byte by its power of BASE, up to every place of the text."""
+    out, base = np.zeros(len(text) + 1, dtype=np.uint64), powers(BASE, BLOCK)
+    scale, step = 1, pow(BASE, BLOCK, 1 << 64)
+    for a in range(0, len(text), BLOCK):
+        part = text[a : a + BLOCK] * base[: len(text) - a]
+        np.cumsum(part, out=part)
+        out[a + 1 : a + 1 + len(part)] = part * np.uint64(scale) + out[a]
+        scale = scale * step % (1 << 64)
+    return out
+
+
 class Slice:
-    """Words of a slice end to end, the places where a whole window starts, and the window's fingerprint at each."""
+    """Words of a slice (where each begins and ends in its text), the words where a whole window starts, and the window's fingerprint at each."""
 
     def __init__(self, sizes: bytes, words: bytes, window: int, bits: int) -> None:
         import zstandard
 
-        self.sizes = unpack(sizes)
-        self.words = zstandard.decompress(words).split()
-        if len(_hashes) > REMEMBERED:
-            _hashes.clear()
-        hashes = np.fromiter(map(_hashes.__getitem__, self.words), dtype=np.uint64, count=len(self.words))
-        self.ends = np.cumsum(self.sizes)
+        self.text, self.sizes = zstandard.decompress(words), unpack(sizes)
+        raw = np.frombuffer(self.text, np.uint8)
+        gap = np.concatenate([[True], (raw == 32) | (raw == 10), [True]])
+        self.begins, self.ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(gap[1:] & ~gap[:-1])
         self.doc_of_word = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.starts = np.flatnonzero(np.arange(len(hashes)) + window <= self.ends[self.doc_of_word])
-        path = np.zeros(len(self.starts), dtype=np.uint64)
-        for k in range(window):
-            path = path * MULTIPLIER + hashes[self.starts + k]
+        self.starts = np.flatnonzero(np.arange(len(self.begins)) + window <= np.cumsum(self.sizes)[self.doc_of_word])
+        a, b = self.begins[self.starts], self.ends[self.starts + window - 1]
+        sums, inverse = prefix_hashes(raw), pow(BASE, -1, 1 << 64)
+        path = (sums[b] - sums[a]) * powers(inverse, BLOCK)[a % BLOCK] * powers(pow(inverse, BLOCK, 1 << 64), len(raw) // BLOCK + 1)[a // BLOCK]
         path = (path ^ (path >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         path = (path ^ (path >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         self.prints = ((path ^ (path >> np.uint64(31))) >> np.uint64(64 - bits)).astype(np.int64)
@@ -142,7 +147,8 @@ def shared_prints(texts: DataFrame, window: int, bits: int, bin_bits: int) -> Da
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, sizes, words in zip(*(batch.column(c).to_pylist() for c in ("slice", "sizes", "words")), strict=True):
-                prints = np.unique(Slice(sizes, words, window, bits).prints)
+                prints = np.sort(Slice(sizes, words, window, bits).prints)
+                prints = prints[np.r_[True, prints[1:] != prints[:-1]]] if len(prints) else prints
                 edges = np.flatnonzero(np.r_[True, (prints[1:] >> (bits - bin_bits)) != (prints[:-1] >> (bits - bin_bits)), True]) if len(prints) else [0]
                 parts = [prints[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([int(p[0] >> (bits - bin_bits)) for p in parts], pa.int64()), pa.array([number] * len(parts), pa.int64()), pa.array([pack(p & low) for p in parts], pa.binary())], ["bin", "slice", "prints"])
@@ -202,20 +208,22 @@ def repeated_suffixes(texts: DataFrame, shared: DataFrame, window: int, bits: in
         part = Slice(row["sizes"], row["words"], window, bits)
         keys = np.array([LAST if k is None else k for k in row["keys"]], dtype=np.int64)
         owner = keys[part.doc_of_word[part.starts]]
-        elsewhere = np.isin(part.prints, np.concatenate([unpack(x) for x in row["shared"]])) if row["shared"] else np.zeros(len(owner), dtype=bool)
+        elsewhere, many = np.zeros(len(owner), dtype=bool), np.zeros(len(owner), dtype=bool)
         order = np.argsort(part.prints, kind="stable")
-        first = np.flatnonzero(np.r_[True, part.prints[order][1:] != part.prints[order][:-1]]) if len(order) else np.zeros(0, dtype=np.int64)
-        many = np.zeros(len(owner), dtype=bool)
         if len(order):
-            differ = np.minimum.reduceat(owner[order], first) != np.maximum.reduceat(owner[order], first)
+            ascending, owners = part.prints[order], owner[order]
+            first = np.flatnonzero(np.r_[True, ascending[1:] != ascending[:-1]])
+            differ = np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first)
             many[order] = np.repeat(differ, np.diff(np.r_[first, len(order)]))
+            if row["shared"]:
+                known_ones = np.sort(np.concatenate([unpack(x) for x in row["shared"]]))
+                at = np.minimum(np.searchsorted(known_ones, ascending), len(known_ones) - 1)
+                elsewhere[order] = known_ones[at] == ascending
         some = np.flatnonzero(elsewhere | many)
         # Lines of words, each once.
-        lengths = np.fromiter(map(len, part.words), dtype=np.int64, count=len(part.words))
-        ends = np.cumsum(lengths + 1) - 1
-        text, at = b" ".join(part.words), part.starts[some]
+        text, at = part.text, part.starts[some]
         lines: dict[bytes, int] = {}
-        line = np.fromiter((lines.setdefault(text[a:b], len(lines)) for a, b in zip((ends[at] - lengths[at]).tolist(), ends[at + window - 1].tolist(), strict=True)), dtype=np.int64, count=len(some))
+        line = np.fromiter((lines.setdefault(text[a:b], len(lines)) for a, b in zip(part.begins[at].tolist(), part.ends[at + window - 1].tolist(), strict=True)), dtype=np.int64, count=len(some))
         least = np.full(len(lines), LAST, dtype=np.int64)
         np.minimum.at(least, line, owner[some])
         own = owner[some] == least[line]
