@@ -35,7 +35,7 @@ from spindrift.llm.bpe import vocabulary_path
 from spindrift.llm.common import byte_parts, shared_dir, text_or_empty, written
 
 #: Words that a worker remembers; beyond, it starts anew. Only speed depends on it.
-REMEMBERED = 150_000
+REMEMBERED = 120_000
 
 #: A word of Latin-1 letters and ASCII punctuation behind them, or none.
 SIMPLE = re.compile(f"([a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+)([{re.escape(string.punctuation)}]*)").fullmatch
@@ -104,8 +104,8 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for memory in (self.known, self.letters, self.tails):
-            if len(memory) > REMEMBERED:
+        for memory, most in ((self.known, REMEMBERED), (self.letters, REMEMBERED // 2), (self.tails, REMEMBERED // 2)):
+            if len(memory) > most:
                 memory.clear()
         get = self.known.get
         cut = [t.split() for t in texts]  # ASCII white space only
