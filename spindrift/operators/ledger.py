@@ -14,10 +14,6 @@ GATES = ("gate_g1_hits", "gate_g2_hits", "gate_g3_hits", "gate_g4_hits", "gate_g
 COUNTERS = ("segments_merged", "segments_bridged_across_speech", "repeat_group_reconfirmed", "repeat_group_rejected", *GATES)
 
 
-def _text(key: str) -> Column:
-    return F.get_json_object("payload", f"$.{key}")
-
-
 def loose_int(value: Column) -> Column:
     """Integers of loose JSON, zero for anything else."""
     return F.coalesce(F.when(F.lower(value.cast("string")).isin("true"), 1).otherwise(value.cast("string").try_cast("long")), F.lit(0).cast("long"))
@@ -108,9 +104,12 @@ def validated(ledger: DataFrame) -> DataFrame:
     """Add effective_type (inferred where the payload has none) and errors, the names of the rules that a row breaks."""
     keys = F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>"))
     has = lambda k: F.array_contains(keys, k)
+    parsed = ("metric_type", "outcome", "cache_hit", "provider_call_attempted", "budget_exhausted", "budget_consumed", "segment_count")
+    ledger = ledger.select("*", F.json_tuple("payload", *parsed).alias(*(f"_{k}" for k in parsed)))
+    _text = lambda k: F.col(f"_{k}")
     kind, outcome = _text("metric_type"), _text("outcome")
     as_bool = lambda k: F.coalesce(_text(k) == "true", F.lit(False))
-    is_bool = lambda k: F.coalesce(F.get_json_object("payload", f"$.{k}").isin("true", "false"), F.lit(False))
+    is_bool = lambda k: F.coalesce(_text(k).isin("true", "false"), F.lit(False))
     is_int = lambda k: F.coalesce(_text(k).rlike(r"^-?\d+$"), F.lit(False))
     inferred = (
         F.when(kind.isNotNull(), kind).when(outcome.isNull(), F.lit(None))
@@ -150,7 +149,7 @@ def validated(ledger: DataFrame) -> DataFrame:
         "summary_provider": summary & (F.col("provider_name").isNotNull() | hit | match | (calls != 0)),
     }
     broken = F.filter(F.array(*(F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items())), lambda x: x.isNotNull())
-    return rows.withColumn("errors", broken)
+    return rows.withColumn("errors", broken).drop(*(f"_{k}" for k in parsed))
 
 
 def packed(rows: DataFrame) -> DataFrame:

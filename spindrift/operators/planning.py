@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,21 @@ def sliding_windows(rows: DataFrame, window_ms: int, hop_ms: int) -> DataFrame:
     return out.withColumn("end_ms", F.least("duration_ms", F.col("start_ms") + window_ms))
 
 
+def sliding(duration_ms: Column, window_ms: int, hop_ms: int, label: str) -> Column:
+    """The same windows as an array of structs (start_ms, end_ms, label)."""
+    window = lambda start: F.struct(start.alias("start_ms"), F.least(duration_ms, start + window_ms).alias("end_ms"), F.lit(label).alias("label"))
+    return F.transform(_starts(duration_ms - window_ms, F.lit(hop_ms)), window)
+
+
+def ranked_within(windows: Column, score: Callable[[Column], Column], most: int) -> Column:
+    """As ``ranked`` by score, for an array of one row's windows whose score follows from the window: no rows are dealt out.
+
+    Returns the windows with their score, the best first.
+    """
+    keyed = F.transform(F.array_distinct(windows), lambda w: F.struct((-score(w)).alias("less"), w["start_ms"].alias("start_ms"), w["label"].alias("label"), w["end_ms"].alias("end_ms")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, most), lambda w: F.struct(w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"), w["label"].alias("label"), (-w["less"]).alias("score")))
+
+
 def long_step(duration_ms: Column, most: Column) -> Column:
     return F.greatest(F.lit(60_000).cast("long"), F.ceil(duration_ms / F.greatest(F.lit(1), most)))
 

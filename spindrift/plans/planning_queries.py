@@ -115,9 +115,18 @@ o as (select distinct * from s) select id, label, start_ms, end_ms, row_number()
 def window_dedup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of three planners over all media but long mixes, distinct, the ten best of each."""
     rows = views.durations(spark, sf_dir).where(F.col("duration_ms") < planning.LONG_MS)
-    plans = [planning.sliding_windows(rows, 12_000, hop).withColumn("label", F.lit(label)) for label, hop in (("mix", 8_000), ("instrumental", 16_000), ("mix", 24_000))]
-    scored = plans[0].unionByName(plans[1]).unionByName(plans[2]).withColumn("score", F.expr("(start_ms div 1000) * 7919 % 1000"))
-    return planning.ranked(scored, ["id"], F.lit(10)).select("id", "label", "start_ms", "end_ms", "place")
+    windows = F.concat(*(planning.sliding(F.col("duration_ms"), 12_000, hop, label) for label, hop in (("mix", 8_000), ("instrumental", 16_000), ("mix", 24_000))))
+    best = planning.ranked_within(windows, lambda w: F.floor(w["start_ms"] / 1000) * 7919 % 1000, 10)
+    return rows.select("id", F.posexplode(best).alias("place", "w")).select("id", "w.label", "w.start_ms", "w.end_ms", (F.col("place") + 1).alias("place"))
+
+
+@query(f"""with {_D}, w as (select id, duration_ms, label, unnest({_STARTS.format(last='duration_ms - 12000', step='hop')}) as start_ms from durations, (values ('mix', 60000), ('instrumental', 90000)) v(label, hop) where id % 7 = 0),
+o as (select distinct id, label, start_ms, least(duration_ms, start_ms + 12000) as end_ms from w) select id, label, start_ms, end_ms, row_number() over (partition by id order by start_ms, label, end_ms)::int as place from o qualify place <= 5""")
+def window_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of two planners as rows, in order of time, the first five of each medium."""
+    rows = views.durations(spark, sf_dir).where("id % 7 = 0")
+    plans = [planning.sliding_windows(rows, 12_000, hop).withColumn("label", F.lit(label)) for label, hop in (("mix", 60_000), ("instrumental", 90_000))]
+    return planning.ranked(plans[0].unionByName(plans[1]), ["id"], F.lit(5), by_score=False).select("id", "label", "start_ms", "end_ms", "place")
 
 
 @query(f"""with {views.HITS}, t as (select item, seq, start_ms, case when key = 'error' then 'speech_only' else 'music_unresolved' end as kind from hits)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
@@ -42,9 +42,20 @@ SITES = (
 )
 
 
-@query("select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in SITES) + ") as t(url, canonical)")
+def _picked(values: list[str]) -> str:
+    """SQL: one of some texts for each event, by its id."""
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][(event_id % {len(values)} + 1)::int]"
+
+
+def _pick(values: list[str]) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % len(values) + 1).cast("int"))
+
+
+@query(f"select event_id, {_picked([a for a, _ in SITES])} as url, {_picked([b for _, b in SITES])} as canonical from events")
 def site_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(a,) for a, _ in SITES], "url string").select("url", U.canonical(F.col("url")).alias("canonical"))
+    """Each event's address, of one of the known sites."""
+    rows = views.table(spark, sf_dir, "events").select("event_id", _pick([a for a, _ in SITES]).alias("url"))
+    return rows.withColumn("canonical", U.canonical(F.col("url")))
 
 
 @query(r"""with q as (select page_id, regexp_extract(url, '\?([^#]*)', 1) as q from pages), p as (select page_id, string_split(q, '&') as parts from q)
@@ -77,6 +88,7 @@ def search_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.tracks(spark, sf_dir).select("id", links["spotify"].alias("spotify"), links["youtube_music"].alias("youtube_music"))
 
 
+#: Uri, fallback and link; the last one's link is its fallback.
 _LINKS = (
     ("https://a.example/x", "f", "https://a.example/x"),
     ("spotify:search:Purple%20Rain%20Prince", "f", "https://open.spotify.com/search/Purple%20Rain%20Prince"),
@@ -85,9 +97,11 @@ _LINKS = (
 )
 
 
-@query("select * from (values " + ", ".join(f"('{a}', '{c}')" for a, _, c in _LINKS) + ") as t(uri, link)")
+@query(f"select event_id, {_picked([a for a, _, _ in _LINKS])} as uri, case when event_id % {len(_LINKS)} = {len(_LINKS) - 1} then 'https://x.example/' || event_id else {_picked([c for _, _, c in _LINKS])} end as link from events")
 def provider_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([x[:2] for x in _LINKS], "uri string, fallback string").select("uri", T.normalized_link(F.col("uri"), F.col("fallback")).alias("link"))
+    """Each event's link in a provider's own form, with a fallback of its own."""
+    rows = views.table(spark, sf_dir, "events").select("event_id", _pick([a for a, _, _ in _LINKS]).alias("uri"))
+    return rows.withColumn("link", T.normalized_link(F.col("uri"), F.concat(F.lit("https://x.example/"), F.col("event_id"))))
 
 
 _LINES = r"""lines as (select id, 'Intro ' || lpad((n % 60)::varchar, 2, '0') || ':' || lpad((n % 59)::varchar, 2, '0') || chr(10) || 'no time here' || chr(10) || 'Part ' || (n % 12)::varchar || ':' || lpad((n % 60)::varchar, 2, '0') || ':' || lpad((n % 53)::varchar, 2, '0') || ' then 01:01' as text, n
