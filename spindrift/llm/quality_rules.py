@@ -4,8 +4,9 @@ Each document gets counts and the rules it fails. Failures are summed by host; a
 the rate of all hosts by a beta prior fitted to them by moments, and a host whose shrunk rate passes ``host_limit``
 is rejected with all its documents. The verdicts are joined back to the documents.
 
-Null and empty text has no words and fails; a null host is a host of its own. Repeated rows and ids are judged each.
-The text is read once: what later steps use is a small table of counts in the shared folder.
+Null and empty text has no words and fails; a null host is a host of its own. Repeated rows and ids are judged each. An empty
+table gives an empty one; ``passing`` carries further columns along, whatever their names, and ``judge`` does not look at them.
+The text is read once: what later steps use is a table of counts in the shared folder.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindrift.llm.common import byte_parts, shared_dir, text_or_empty, written
+from spindrift.llm.common import byte_parts, fresh, shared_dir, text_or_empty, without, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -102,28 +104,30 @@ def host_verdicts(rows: DataFrame, host_limit: float = 0.9) -> DataFrame:
     return shrunk.select("host", "n_docs", "n_failing", "rate", (F.col("rate") > host_limit).alias("host_rejected"))
 
 
-#: Rejected hosts are broadcast only while they take up no more than this; beyond, documents are joined to them by host.
-BROADCAST_BYTES = 32 << 20
-
-
 def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = 0.9, **limits: int) -> DataFrame:
-    """The documents that stay, with all their columns: the text is read once more instead of being shuffled."""
-    names = docs.columns
-    spark = docs.sparkSession
-    verdicts = host_verdicts(ruled(written(signals(docs, id_col, text_col, host_col), f"{shared_dir(spark)}/signals"), **limits), host_limit)
-    rejected = verdicts.where("host_rejected").select(F.col("host").alias("__host"))
-    size = rejected.agg(F.sum(F.coalesce(F.octet_length("__host"), F.lit(0)) + 64)).first()[0] or 0
-    at = names.index(text_col)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = np.array([counts_of(raw or b"") for raw in batch.column(at).cast(pa.binary()).to_pylist()], dtype=np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(counts[:, k]) for k in range(len(COUNTS)))], [*batch.schema.names, *(f"__{c}" for c in COUNTS)])
+    """The documents that stay, with all their columns.
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"__{c}", T.LongType()) for c in COUNTS)])
+    Texts are counted once: rows and counts go into a table of the shared folder, without the texts of documents that fail by themselves.
+    """
+    spark, names, at = docs.sparkSession, docs.columns, docs.columns.index(text_col)
+    counts = fresh(docs, *COUNTS)
     own = {k: v for k, v in limits.items() if k in ("min_words", "max_repeat_percent")}
-    rows = docs.mapInArrow(counted, schema).where(~base_failed("__", **own)).select(*names)
-    return rows.join(F.broadcast(rejected) if size <= BROADCAST_BYTES else rejected, F.col(host_col).cast("string").eqNullSafe(F.col("__host")), "left_anti") if size else rows
+    least, most = own.get("min_words", 50), own.get("max_repeat_percent", 50)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in byte_parts(batches, at):
+            found = np.array([counts_of(raw) for raw in texts], dtype=np.int64).reshape(-1, len(COUNTS))
+            failed = (found[:, 0] < least) | (100 * found[:, 4] > most * found[:, 0])
+            text = pc.if_else(pa.array(failed), pa.scalar(None, part.column(at).type), part.column(at))
+            columns = [text if k == at else c for k, c in enumerate(part.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(found[:, k]) for k in range(len(COUNTS)))], [*part.schema.names, *counts])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
+    rows = written(docs.mapInArrow(counted, schema), f"{shared_dir(spark)}/counted")
+    signs = rows.select(F.col(host_col).cast("string").alias("host"), *(F.col(c).alias(name) for c, name in zip(counts, COUNTS, strict=True)))
+    rejected = host_verdicts(ruled(signs, **limits), host_limit).where("host_rejected").select("host")
+    failed = (F.col(counts[0]) < least) | (100 * F.col(counts[4]) > most * F.col(counts[0]))
+    return without(rows.where(~failed).select(*names), [F.col(host_col).cast("string")], written(rejected, f"{shared_dir(spark)}/rejected"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = 0.9, **limits: int) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.llm import chat_template, html_wrappers, queries, quality_rules, secret_scan, url_filter
 
@@ -154,6 +155,9 @@ def test_hosts(spark):
     kept = quality_rules.passing(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.kept}
     assert quality_rules.passing(docs.limit(0)).count() == 0
+    clash = docs.withColumns({c: F.lit(7) for c in ("n_words", "n_words_0", "host", "base_failed", "out0_0", "text_0")})
+    kept_too = quality_rules.passing(clash)
+    assert kept_too.columns == clash.columns and {(r.doc_id, r.text, r.n_words_0) for r in kept_too.collect()} == {(r.doc_id, r.text, 7) for r in kept.collect()}
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
