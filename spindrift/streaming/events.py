@@ -28,10 +28,13 @@ def activity(log: DataFrame, width: str = "10 minutes", late: str = "30 minutes"
     return windows.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all there is and return what its memory sink holds."""
+def drained(stream: DataFrame, name: str, mode: str, checkpoint: str, timeout_s: float | None = None) -> DataFrame:
+    """Run a stream over all there is, for so long at most, and return what its memory sink holds."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
     return stream.sparkSession.table(name)
 
 
