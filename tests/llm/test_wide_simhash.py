@@ -10,7 +10,7 @@ from spindrift.llm import connected, wide_simhash
 from spindrift.llm.common import shared_dir
 
 from .helpers import WORDS, ascii_lower, documents, odd_texts
-from .test_dedup import plain_components, plain_fingerprint
+from .test_dedup import plain_components
 
 xxhash = pytest.importorskip("xxhash")
 FULL = (1 << 64) - 1
