@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,7 +117,7 @@ def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
         for part, texts in byte_parts(batches, at):
             found = np.array([counts_of(raw) for raw in texts], dtype=np.int64).reshape(-1, len(COUNTS))
             failed = (found[:, 0] < least) | (100 * found[:, 4] > most * found[:, 0])
-            text = pc.if_else(pa.array(failed), pa.scalar(None, part.column(at).type), part.column(at))
+            text = part.column(at).take(pa.array(np.arange(len(failed)), mask=failed))
             columns = [text if k == at else c for k, c in enumerate(part.columns)]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(found[:, k]) for k in range(len(COUNTS)))], [*part.schema.names, *counts])
 

@@ -60,18 +60,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(raw: bytes, shingle: int, seed: int, n_words: int) -> np.ndarray:
-    """SimHash of one text's bytes: the first word from XXH64 of its shingles, the others from that hash mixed further."""
-    return fingerprint_and_set(raw, shingle, seed, n_words)[0]
-
-
 def hashes_of(raw: bytes, shingle: int, seed: int) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending."""
     return fingerprint_and_set(raw, shingle, seed, 0)[1]
 
 
 def fingerprint_and_set(raw: bytes, shingle: int, seed: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprint, and the distinct hashes of the shingles, ascending."""
+    """SimHash of one text's bytes (the first word from XXH64 of its shingles, the others from that hash mixed further), and the distinct hashes of the shingles, ascending."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest

@@ -165,6 +165,18 @@ def test_query_equals_sql(spark, name):
     assert_same(queries.queries()[name](spark, SF), queries.oracle_sql()[name], SF)
 
 
+def test_batches_of_large_texts_are_cut(spark):
+    """Texts of megabytes in one batch, which operators take in parts, among short and null ones."""
+    rng = random.Random(2)
+    long = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(150_000)) for _ in range(4)]
+    texts = [long[0], "short", None, long[1], long[2], "", f"{long[3]} key: {KEY}{KEY}", "tail"]
+    docs = documents(spark, texts).coalesce(1)
+    assert {r.doc_id: r.text for r in quality_rules.passing(docs).collect()} == {i: texts[i] for i in (0, 3, 4, 6)}
+    assert {r.doc_id: r.n_words for r in quality_rules.judge(docs).collect()} == {i: len((t or "").split()) for i, t in enumerate(texts)}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert clean == {i: t if i != 6 else f"{long[3]} key: [secret]" for i, t in enumerate(texts)}
+
+
 def plain_verdict(host, path, at, entries):
     best = None
     domains = [".".join(host.split(".")[k:]) for k in range(len(host.split(".")))] if host else []
