@@ -337,7 +337,7 @@ def bucketed(texts: DataFrame, path: str) -> DataFrame:
     return spark.table(name)
 
 
-def trimmed(docs: DataFrame, window: int = 13, group_suffixes: int = 4_000_000, slice_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", print_bits: int | None = None) -> DataFrame:
+def trimmed(docs: DataFrame, window: int = 13, group_suffixes: int = 1_500_000, slice_bytes: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text", print_bits: int | None = None) -> DataFrame:
     """Return ``id_col``, n_words, n_removed, text (what is left, joined by spaces) and spans (of the removed words) per row of ``docs``.
 
     ``print_bits``: bits of the filter's fingerprints, by default as many as the number of suffixes asks for; the result does not depend on it.
