@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from spindrift.llm.bpe import vocabulary_path
 from spindrift.llm.common import byte_parts, shared_dir, text_or_empty, written
 
-#: Words that a worker remembers; beyond, it starts anew. Only speed depends on it.
+#: Words that a worker remembers at least; twice as many make it forget those that are not in use. Only speed depends on it.
 REMEMBERED = 120_000
 
 #: A word of Latin-1 letters and ASCII punctuation behind them, or none.
@@ -65,6 +65,7 @@ class WordIds:
         self.ends_word = np.zeros(1 + max(vocab.values()), dtype=bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.letters: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
@@ -104,15 +105,20 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for memory, most in ((self.known, REMEMBERED), (self.letters, REMEMBERED // 2), (self.tails, REMEMBERED // 2)):
-            if len(memory) > most:
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}  # words in use come back from there
+        for memory in (self.letters, self.tails):
+            if len(memory) > REMEMBERED:
                 memory.clear()
         get = self.known.get
         cut = [t.split() for t in texts]  # ASCII white space only
         found = [list(map(get, words)) for words in cut]
         unknown = [[k for k, ids in enumerate(part) if ids is None] for part in found]
-        if new := {words[k] for words, places in zip(cut, unknown, strict=True) for k in places}:
-            self.learn(list(new))
+        new = {words[k] for words, places in zip(cut, unknown, strict=True) for k in places}
+        again = {w: self.before[w] for w in new if w in self.before}
+        self.known.update(again)
+        if len(again) < len(new):
+            self.learn([w for w in new if w not in again])
         for words, part, places in zip(cut, found, unknown, strict=True):
             for k in places:
                 part[k] = self.known[words[k]]
