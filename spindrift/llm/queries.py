@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bin_packing, bpe, chat_template, exact_dedup, html_wrappers, quality_rules, secret_scan, simhash, substring_dedup, url_filter
+from spindrift.llm import bin_packing, bpe, chat_template, exact_dedup, filter_audit, html_wrappers, quality_rules, secret_scan, simhash, substring_dedup, url_filter, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,12 +89,23 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+    hexed = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    whole = vector_codes.with_label_error(found)
+    return whole.select("vec_id", hexed.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_urls, op4_secrets, op5_html, op6_chat, op7_substrings, op8_exact, op9_quality, op10_pack)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_urls, op4_secrets, op5_html, op6_chat, op7_substrings, op8_exact, op9_quality, op10_pack, op11_audit, op12_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": OP3, "op6_chat": OP6, "op7_substrings": OP7, "op8_exact": OP8, "op9_quality": OP9}
+    return {"op3_urls": OP3, "op6_chat": OP6, "op7_substrings": OP7, "op8_exact": OP8, "op9_quality": OP9, "op11_audit": OP11, "op12_codes": OP12}
 
 
 OP6 = r"""
@@ -172,3 +183,57 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
   doc_id = max(doc_id) over w as kept, sha256(norm) as text_sha256
 from t window w as (partition by norm)
 """
+
+
+OP11 = f"""
+with cut as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, {_WORDS} as words from documents),
+masked as (
+  select doc_id, part, (len(words) < 200)::int + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int
+    + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text))::int + 8 * regexp_matches(text, '[#$%&*|]')::int
+    + 16 * coalesce(doc_id > min(doc_id) over (partition by text), min(doc_id) over (partition by text) is not null)::int as mask
+  from cut),
+marks as (select doc_id, max((coalesce(quality, 0) = 1)::int) as good, max((coalesce(toxic, 0) = 1)::int) as toxic from labels where doc_id is not null group by 1),
+counts as (select part, mask, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, count(*) as n from masked left join marks using (doc_id) group by all),
+letters(l, b) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders as (
+  select a.l || b.l || c.l || d.l || e.l as filter_order, [a.b, b.b, c.b, d.b, e.b] as bits
+  from letters a join letters b on b.b != a.b join letters c on c.b not in (a.b, b.b) join letters d on d.b not in (a.b, b.b, c.b) join letters e on e.b not in (a.b, b.b, c.b, d.b)),
+steps as (select filter_order, step::int as step, bits[step] as bit, coalesce(list_sum(bits[:step - 1]), 0)::int as before from orders, range(1, 6) s(step)),
+cells as (
+  select part, filter_order, step, bit, coalesce(sum(n) filter (mask & (bit | before) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (mask & bit > 0 and mask & before = 0), 0)::bigint as removed, coalesce(sum(n) filter (mask & bit > 0 and mask & before > 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails, coalesce(sum(n * good) filter (mask & bit > 0 and mask & before = 0), 0)::bigint as good_lost,
+    coalesce(sum(n * toxic) filter (mask & bit > 0 and mask & before = 0), 0)::bigint as toxic_lost
+  from counts, steps group by 1, 2, 3, 4)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley from cells
+"""
+
+_ROUND = """
+dist{k} as materialized (
+  select x.vec_id, x.p, b.e, x.norm + b.norm - 2 * list_inner_product(x.v, b.v) as d from parts x join book{k} b using (p)),
+near{k} as materialized (select vec_id, p, min({{'d': d, 'e': e}}) as best from dist{k} group by 1, 2),
+"""
+_UPDATE = """
+sums{k} as (
+  select n.p, n.best.e as e, i, sum(x.v[i]::bigint) as s, count(*) as c
+  from near{k} n join parts x on x.vec_id = n.vec_id and x.p = n.p, range(1, (select max(len(v)) + 1 from parts)) r(i) group by 1, 2, 3),
+means{k} as (select p, e, list(((s - ((s % c) + c) % c) // c)::double order by i) as v from sums{k} group by 1, 2),
+book{next} as materialized (
+  select p, e, coalesce(m.v, b.v) as v, list_inner_product(coalesce(m.v, b.v), coalesce(m.v, b.v)) as norm from book{k} b left join means{k} m using (p, e)),
+"""
+
+OP12 = f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (
+  select vec_id, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4]::double[] as v, list_inner_product(v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4]::double[], v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4]::double[]) as norm
+  from kept, range(4) r(p)),
+first as (select vec_id, row_number() over (order by vec_id) - 1 as e from kept order by vec_id limit 256),
+book0 as materialized (select p, e, v, norm from parts join first using (vec_id)),
+{"".join(_ROUND.format(k=k) + (_UPDATE.format(k=k, next=k + 1) if k < 4 else "") for k in range(5))}
+found as (select vec_id, string_agg(printf('%02x', best.e), '' order by p) as code, sum(best.d)::bigint as error from near4 group by 1),
+digest as (select sha256(string_agg(array_to_string(list_transform(v, lambda x: x::bigint), ','), ',' order by p, e)) as codebooks_sha256 from book4)
+select f.vec_id, f.code, f.error, (sum(f.error) over (partition by k.label))::bigint as label_error, d.codebooks_sha256
+from found f join kept k using (vec_id), digest d
+"""
