@@ -54,6 +54,19 @@ def written(df: DataFrame, path: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, path: str) -> DataFrame:
+    """Cut the lineage by a table bucketed by ``column``, so that joins by it leave the rows where they are.
+
+    The catalog's entry goes at once; the plan that is returned has read its files and buckets.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # analysed while the entry is there
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a superseded table of the shared folder."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

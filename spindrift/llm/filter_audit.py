@@ -32,6 +32,9 @@ from spindrift.llm.common import text_or_empty
 #: Bytes of texts that a task's own chains hold before they are sent on.
 CHAIN_BYTES = 16 << 20
 
+#: Bytes of texts in a partition after the shuffle, about.
+PARTITION_BYTES = 256 << 20
+
 Rule = Callable[[bytes, list[bytes]], bool]
 
 
@@ -135,7 +138,8 @@ def masks(docs: DataFrame, rules: Mapping[str, Rule] = RULES, id_col: str = "doc
     """Return key, part and mask per row: bit k for the k-th rule, and the bit after the rules' for a text that a smaller identifier has."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text_or_empty(text_col).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES)
     sent: RDD = rows.rdd.mapPartitions(routed(rules, chain_bytes)).repartitionAndSortWithinPartitions(n, lambda route: route)
     schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("part", T.StringType()), T.StructField("mask", T.IntegerType())])
     return spark.createDataFrame(sent.mapPartitions(judged(1 << len(rules))), schema, verifySchema=False)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bin_packing, bpe, chat_template, exact_dedup, filter_audit, html_wrappers, quality_rules, secret_scan, simhash, substring_dedup, url_filter, vector_codes
+from spindrift.llm import bin_packing, bpe, chat_template, exact_dedup, filter_audit, html_wrappers, quality_rules, run_length_index, secret_scan, simhash, substring_dedup, url_filter, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,12 +100,17 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("vec_id", hexed.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = run_length_index.trimmed(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_urls, op4_secrets, op5_html, op6_chat, op7_substrings, op8_exact, op9_quality, op10_pack, op11_audit, op12_codes)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_urls, op4_secrets, op5_html, op6_chat, op7_substrings, op8_exact, op9_quality, op10_pack, op11_audit, op12_codes, op13_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": OP3, "op6_chat": OP6, "op7_substrings": OP7, "op8_exact": OP8, "op9_quality": OP9, "op11_audit": OP11, "op12_codes": OP12}
+    return {"op3_urls": OP3, "op6_chat": OP6, "op7_substrings": OP7, "op8_exact": OP8, "op9_quality": OP9, "op11_audit": OP11, "op12_codes": OP12, "op13_repeats": OP13}
 
 
 OP6 = r"""
@@ -237,3 +242,20 @@ digest as (select sha256(string_agg(array_to_string(list_transform(v, lambda x:
 select f.vec_id, f.code, f.error, (sum(f.error) over (partition by k.label))::bigint as label_error, d.codebooks_sha256
 from found f join kept k using (vec_id), digest d
 """
+
+
+OP13 = """
+with hexed as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+places as (select doc_id, unnest(range(0, len(h) // 2 - 399)) as i from hexed where len(h) >= 800),
+windows as (select p.doc_id, p.i, md5_number(substr(h.h, 2 * p.i + 1, 800)) as m from places p join hexed h using (doc_id)),
+repeated as (select doc_id, i from windows qualify count(*) over (partition by m) > 1),
+apart as (select doc_id, i, (i - lag(i) over (partition by doc_id order by i) <= 400) is not true as starts from repeated),
+numbered as (select doc_id, i, sum(starts::int) over (partition by doc_id order by i) as island from apart),
+spans as (select doc_id, island, min(i) as a, max(i) + 400 as b from numbered group by 1, 2),
+between_spans as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from spans),
+cut as (
+  select s.doc_id, count(*) as n_spans, sum(b - a) as n_removed, string_agg(substr(h.h, 2 * s.before + 1, 2 * (a - s.before)), '' order by a) || substr(any_value(h.h), 2 * max(b) + 1) as kept
+  from between_spans s join hexed h using (doc_id) group by 1)
+select h.doc_id, len(h.h) // 2 as n_bytes, coalesce(c.n_removed, 0)::bigint as n_removed, coalesce(c.n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(c.kept, h.h))) as kept_sha256
+from hexed h left join cut c using (doc_id)
+"""
