@@ -13,7 +13,7 @@ blocks in Spark. The driver holds codebooks, sums and drifts only (parts x entri
 Vectors that are null, empty or hold a null or non-finite component are left out, and so are vectors of another length than that with the
 smallest identifier; lengths that the parts do not divide are filled up with zeros. Null identifiers come after all others, equal
 ones are ordered by their vectors. Fewer vectors than entries give fewer entries. Components are held within 2**40 in size, errors
-within a long. Repeated rows count each; an empty table gives an empty one. Further columns are not looked at, whatever their names.
+and their sums within a long. Repeated rows count each; an empty table gives an empty one. Further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -301,7 +301,8 @@ def compressed(
 def with_label_error(found: DataFrame, label_col: str = "label") -> DataFrame:
     """Add label_error, the error summed over rows of equal label, nulls together."""
     known, value = F.col(label_col).isNotNull().alias("known"), F.coalesce(F.col(label_col).cast("string"), F.lit("")).alias("value")
-    sums = found.groupBy(known, value).agg(F.sum("error").alias("label_error"), F.count("*").alias("n"))
+    total = F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(np.iinfo(np.int64).max).cast("decimal(38,0)")).cast("long")
+    sums = found.groupBy(known, value).agg(total.alias("label_error"), F.count("*").alias("n"))
     size = sums.agg(F.sum(F.octet_length("value") + 32), F.sum("n")).first()
     rows = found.withColumns({"known": known, "value": value})
     if (size[0] or 0) <= BROADCAST_BYTES:
