@@ -72,15 +72,15 @@ def fuzzy_key(artist: Column, title: Column) -> Column:
 
 
 def identity_key(artist: Column, title: Column, isrc: Column, provider_ids: Column) -> Column:
-    """Key of the best tier there is: recording code, provider id, names. Two tracks merge if their keys are equal."""
+    """Key of the best tier there is: recording code, provider id, names, each with its tag. Two tracks merge if their keys are equal."""
     code = F.upper(F.nullif(F.trim(isrc), F.lit("")))
     by_provider = [F.concat(F.lit(f"{prefix}::"), F.lower(F.nullif(F.trim(provider_ids[name]), F.lit("")))) for name, prefix in PROVIDER_PREFIXES]
-    return F.coalesce(F.concat(F.lit("isrc::"), code), *by_provider, fuzzy_key(artist, title))
+    return F.coalesce(F.concat(F.lit("isrc::"), code), *by_provider, F.concat(F.lit("fuzzy::"), fuzzy_key(artist, title)))
 
 
 def tier(key: Column) -> Column:
-    """isrc, provider_id or fuzzy; unknown for an empty key."""
+    """isrc, provider_id or fuzzy by the key's tag; unknown for a key without one."""
     by_provider = F.lit(False)
     for _, prefix in PROVIDER_PREFIXES:
         by_provider = by_provider | key.startswith(f"{prefix}::")
-    return F.when(key.startswith("isrc::"), "isrc").when(by_provider, "provider_id").when(F.coalesce(key, F.lit("")) != "", "fuzzy").otherwise("unknown")
+    return F.when(key.startswith("isrc::"), "isrc").when(by_provider, "provider_id").when(key.startswith("fuzzy::"), "fuzzy").otherwise("unknown")

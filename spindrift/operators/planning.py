@@ -84,10 +84,12 @@ def sliding(duration_ms: Column, window_ms: int, hop_ms: int, label: str) -> Col
 def ranked_within(windows: Column, score: Callable[[Column], Column], most: int) -> Column:
     """As ``ranked`` by score, for an array of one row's windows whose score follows from the window: no rows are dealt out.
 
-    Returns the windows with their score, the best first.
+    Equal windows are neighbours once sorted, so each is held against the one before. Returns the windows with their score, the best first.
     """
-    keyed = F.transform(F.array_distinct(windows), lambda w: F.struct((-score(w)).alias("less"), w["start_ms"].alias("start_ms"), w["label"].alias("label"), w["end_ms"].alias("end_ms")))
-    return F.transform(F.slice(F.array_sort(keyed), 1, most), lambda w: F.struct(w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"), w["label"].alias("label"), (-w["less"]).alias("score")))
+    keyed = F.array_sort(F.transform(windows, lambda w: F.struct((-score(w)).alias("less"), w["start_ms"].alias("start_ms"), w["label"].alias("label"), w["end_ms"].alias("end_ms"))))
+    before = F.concat(F.array(F.lit(None)), keyed)
+    once = F.filter(F.zip_with(keyed, before, lambda w, b: F.when(~w.eqNullSafe(b), w)), lambda w: w.isNotNull())
+    return F.transform(F.slice(once, 1, most), lambda w: F.struct(w["start_ms"].alias("start_ms"), w["end_ms"].alias("end_ms"), w["label"].alias("label"), (-w["less"]).alias("score")))
 
 
 def long_step(duration_ms: Column, most: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators import assembly as A
+from spindrift.operators import budget
 from spindrift.operators import ledger as L
 from spindrift.operators import providers as P
 from spindrift.operators import storage as S
@@ -89,12 +90,24 @@ def repeat_reconfirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.reconfirmed(hits, ["item", "draft"])
 
 
-@query(f"""with {_H}, c as (select *, case when (seq % 7 = 0 and seq % 5 != 0) or seq % 3 = 0 then 0 else 1 end as cost from hits), s as (select *, sum(cost) over (partition by item order by seq) as asked from c)
-select seq, least(asked, 20)::bigint as spent, cost = 0 or asked <= 20 as allowed, (20 - least(asked, 20))::bigint as remaining from s""")
+@query(f"""with recursive {_H}, t as (select item, seq, case when seq % 9 = 0 then 0 else end_ms % 7 end as cost, case when seq % 9 = 0 then seq % 3 else 0 end as refund,
+  row_number() over (partition by item order by seq) as n from hits),
+walk(item, seq, n, before, remaining, consumed, allowed) as (
+  select item, null::bigint, 0::bigint, 0::bigint, 20::bigint, 0::bigint, false from hits group by 1
+  union all select w.item, t.seq, t.n, w.remaining, case when t.refund > 0 then least(20, w.remaining + t.refund) when t.cost > 0 and w.remaining >= t.cost then w.remaining - t.cost else w.remaining end,
+    case when t.refund = 0 and t.cost > 0 and w.remaining >= t.cost then t.cost else 0 end, t.refund > 0 or (case when t.cost > 0 then w.remaining >= t.cost else w.remaining > 0 end) from walk w join t on t.item = w.item and t.n = w.n + 1)
+select item, seq, before, remaining, consumed, allowed from walk where n > 0""")
 def budget_spending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A budget of twenty calls an item; kept answers and failed excerpts are given back."""
-    turns = views.hits(spark, sf_dir).select("item", "seq", P.net_cost(_every(5), _every(7), _every(3)).alias("cost"))
-    return P.spending(turns, F.lit(20).cast("long"), ["item"], ["seq"]).select("seq", "spent", "allowed", "remaining")
+    """A budget of twenty an item: turns of several costs, questions, refusals and refunds."""
+    back = _every(9)
+    rows = views.hits(spark, sf_dir).select("item", "seq", F.when(back, 0).otherwise(F.col("end_ms") % 7).alias("cost"), F.when(back, F.col("seq") % 3).otherwise(0).alias("refund"))
+    return budget.spending(rows, F.lit(20), ["item"], ["seq"], refund="refund").drop("cost", "refund")
+
+
+@query(f"with {_H} select seq, case when (seq % 7 = 0 and seq % 5 != 0) or seq % 3 = 0 then 0 else 1 end as cost from hits")
+def probe_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each probe costs in the end: kept answers and failed excerpts are given back."""
+    return views.hits(spark, sf_dir).select("seq", P.net_cost(_every(5), _every(7), _every(3)).alias("cost"))
 
 
 @query(f"""{"with " + _SCORED}, r as (select *, round(score, 9) as s, seq % 4 = 0 as gated, seq % 5 = 0 as reused, (seq % 10) / 10.0::double as speech, (seq % 4) / 10.0::double as music from scored),

@@ -16,7 +16,7 @@ _TITLE = r"""regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(r
 _ARTISTS = r"""array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(artist), '\s*(,|&|\band\b|/|\+|;|\bx\b)\s*'),
   lambda x: regexp_replace(regexp_replace(trim(x), '^the\s+', ''), '[^a-z0-9]+', '', 'g')), lambda x: x != ''))), ';')"""
 _KEYS = f"""{views.TRACKS},
-keys as (select id, coalesce('isrc::' || upper(nullif(trim(isrc), '')), 'acr::' || lower(acr), 'shz::' || lower(shz), {_ARTISTS} || '::' || {_TITLE}) as identity_key from tracks)"""
+keys as (select id, coalesce('isrc::' || upper(nullif(trim(isrc), '')), 'acr::' || lower(acr), 'shz::' || lower(shz), 'fuzzy::' || {_ARTISTS} || '::' || {_TITLE}) as identity_key from tracks)"""
 
 
 def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keys(spark, sf_dir)
 
 
-@query(f"""with {_KEYS} select case when identity_key like 'isrc::%' then 'isrc' when regexp_matches(identity_key, '^(acr|shz)::') then 'provider_id' else 'fuzzy' end as tier, count(*) as n from keys group by 1""")
+@query(f"""with {views.TRACKS} select case when trim(coalesce(isrc, '')) != '' then 'isrc' when trim(coalesce(acr, shz, '')) != '' then 'provider_id' else 'fuzzy' end as tier, count(*) as n from tracks group by 1""")
 def identity_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keys(spark, sf_dir).groupBy(I.tier(F.col("identity_key")).alias("tier")).agg(F.count("*").alias("n"))
 

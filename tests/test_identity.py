@@ -42,7 +42,7 @@ def test_different_tracks_do_not(spark):
         (" usrc17607839 ", {"acrcloud": "Z"}, "isrc::USRC17607839", "isrc"),
         (None, {"shazam": "S1", "acrcloud": " Ab "}, "acr::ab", "provider_id"),
         ("  ", {"audd": "", "catalog": "C"}, "cat::c", "provider_id"),
-        (None, {}, "a::song", "fuzzy"),
+        (None, {}, "fuzzy::a::song", "fuzzy"),
     ],
 )
 def test_tiers(spark, isrc, ids, key, tier):
@@ -51,6 +51,14 @@ def test_tiers(spark, isrc, ids, key, tier):
     assert (found.k, found.tier) == (key, tier)
 
 
+def test_names_that_look_like_tags_stay_in_their_tier(spark):
+    """An artist called like a tag, with a title like an id, is no track of that id."""
+    rows = spark.createDataFrame([("Cat", "abc", None, {}), (None, None, None, {"catalog": "ABC"}), ("ISRC", "x", None, {}), (None, None, "X", {})], "a string, t string, i string, p map<string,string>")
+    found = rows.select(I.identity_key(F.col("a"), F.col("t"), F.col("i"), F.col("p")).alias("k")).select("k", I.tier(F.col("k")).alias("tier")).collect()
+    assert [(r.k, r.tier) for r in found] == [("fuzzy::cat::abc", "fuzzy"), ("cat::abc", "provider_id"), ("fuzzy::isrc::x", "fuzzy"), ("isrc::X", "isrc")]
+    assert [r.t for r in spark.createDataFrame([("other",), ("",), (None,)], "k string").select(I.tier(F.col("k")).alias("t")).collect()] == ["unknown"] * 3
+
+
 def test_folding_is_that_of_the_unicode_tables(spark):
     """ASCII letters and digits of the compatibility decomposition, for every character that has some, and beyond the first plane."""
     import unicodedata
