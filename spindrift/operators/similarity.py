@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.vectors import POSITIONS, cosine, fingerprint_similarity
@@ -54,16 +56,53 @@ def shortlist(queries: DataFrame, index: DataFrame, limit: int = 24, band: int =
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
 
 
-def with_fallback(queries: DataFrame, tracks: DataFrame, listed: DataFrame) -> DataFrame:
-    """query_id, track_id of the shortlist, and for queries without one every track: those queries, which are few, are looked up against the whole catalog."""
-    rest = queries.select("query_id").join(listed.select("query_id").distinct(), "query_id", "left_anti")
-    return listed.select("query_id", "track_id").unionByName(rest.crossJoin(tracks.select("track_id")))
+def length_weight(a: Column, b: Column) -> Column:
+    """How far two lengths agree, as a weight from 0.7 to 1; 1 where either is not known, that is null or zero."""
+    known = (F.coalesce(a, F.lit(0)) > 0) & (F.coalesce(b, F.lit(0)) > 0)
+    return F.when(known, 0.7 + 0.3 * F.least(a, b) / F.greatest(a, b)).otherwise(1.0)
+
+
+def best_of(pairs: DataFrame, queries: DataFrame, tracks: DataFrame, least: float) -> DataFrame:
+    """query_id, track_id, score and confidence of the best of each query's pairs (query_id, track_id), if it reaches ``least`` and is above zero."""
+    rows = pairs.join(queries.select("query_id", F.col("fingerprint").alias("_q"), F.col("duration_ms").alias("_qd")), "query_id")
+    rows = rows.join(tracks.select("track_id", F.col("fingerprint").alias("_t"), F.col("duration_ms").alias("_td")), "track_id")
+    scored = rows.withColumn("score", fingerprint_similarity(F.col("_q"), F.col("_t")) * length_weight(F.col("_qd"), F.col("_td"))).where((F.col("score") >= least) & (F.col("score") > 0))
+    best = scored.groupBy("query_id").agg(F.max_by(F.struct("track_id", "score"), F.struct(F.col("score"), -F.col("track_id"))).alias("_best"))
+    return best.select("query_id", "_best.track_id", "_best.score", F.greatest(F.lit(0.25), F.least(F.lit(0.95), F.col("_best.score"))).alias("confidence"))
 
 
 def catalog_matches(queries: DataFrame, tracks: DataFrame, listed: DataFrame, least: float = 0.20) -> DataFrame:
-    """The best track of each query's shortlist, or of the whole catalog where that is empty: similarity, weighed by how far the lengths agree."""
-    rows = with_fallback(queries, tracks, listed).join(queries.select("query_id", F.col("fingerprint").alias("_q"), F.col("duration_ms").alias("_qd")), "query_id").join(tracks.select("track_id", F.col("fingerprint").alias("_t"), F.col("duration_ms").alias("_td")), "track_id")
-    ratio = F.least("_qd", "_td") / F.greatest(F.lit(1), F.greatest("_qd", "_td"))
-    scored = rows.withColumn("score", fingerprint_similarity(F.col("_q"), F.col("_t")) * (0.7 + 0.3 * ratio))
-    best = scored.groupBy("query_id").agg(F.max(F.struct(F.col("score"), (-F.col("track_id")).alias("t"))).alias("_best")).where(F.col("_best.score") >= least)
-    return best.select("query_id", (-F.col("_best.t")).alias("track_id"), F.col("_best.score").alias("score"), F.greatest(F.lit(0.25), F.least(F.lit(0.95), F.col("_best.score"))).alias("confidence"))
+    """The best track of each query's shortlist: similarity, weighed by how far the lengths agree.
+
+    A query with an empty shortlist shares no value with any track within the band, so its likeness to all of them is zero
+    and it has no match; the catalog need not be looked through for it.
+    """
+    return best_of(listed.select("query_id", "track_id"), queries, tracks, least)
+
+
+def catalog_search(queries: DataFrame, tracks: DataFrame, least: float = 0.20, tolerance: int = 10) -> DataFrame:
+    """The best track of the whole catalog for each query that has one of a score of ``least`` (above zero), as a full scan would find it.
+
+    A score is at most the share of positions that agree, so a track must agree in ``least`` of the positions that both have. Of every
+    ceil(1 / least) positions but the first so many, a query therefore need not look up one: it leaves out that with the
+    longest list of tracks. Tracks found for one position are candidates; with those left out they could still reach ``least``
+    or are dropped by their count, and only the others are compared. Null values and queries without values find nothing.
+    """
+    width = max(1, math.ceil(round(1 / least, 9)))
+    cell = lambda c: F.floor(c / tolerance)
+    index = tracks.select("track_id", F.posexplode(F.slice("fingerprint", 1, POSITIONS)).alias("position", "value")).where("value is not null").withColumn("cell", cell(F.col("value")))
+    lists = index.groupBy("position", "cell").agg(F.count("*").alias("n"))
+    asked = queries.select("query_id", F.posexplode(F.slice("fingerprint", 1, POSITIONS)).alias("position", "q")).where("q is not null")
+    cells = asked.withColumn("cell", F.explode(F.sequence(cell(F.col("q")) - 1, cell(F.col("q")) + 1)))
+    sized = cells.join(lists, ["position", "cell"])
+    per_position = sized.groupBy("query_id", "position", "q").agg(F.sum("n").alias("n"), F.collect_list("cell").alias("cells"))  # three cells at most
+    block = F.floor(F.col("position") / width)
+    longest = F.row_number().over(Window.partitionBy("query_id", block).orderBy(F.desc("n"), "position"))
+    kept = per_position.withColumn("_longest", longest).where((F.col("_longest") > 1) | (block == 0))
+    near = kept.select("query_id", "position", "q", F.explode("cells").alias("cell")).join(index, ["position", "cell"]).where(F.abs(F.col("value") - F.col("q")) < tolerance)
+    counts = near.groupBy("query_id", "track_id").agg(F.count("*").alias("_found"))
+    size = lambda df, key, name: df.select(key, F.least(F.size("fingerprint"), F.lit(POSITIONS)).alias(name))
+    common = F.least("_nq", "_nt")
+    reach = F.col("_found") + F.greatest(F.ceil(common / width) - 1, F.lit(0))
+    able = counts.join(size(queries, "query_id", "_nq"), "query_id").join(size(tracks, "track_id", "_nt"), "track_id").where(reach >= least * common - 1e-9)
+    return best_of(able.select("query_id", "track_id"), queries, tracks, least)

@@ -92,11 +92,11 @@ def job_context(jobs: DataFrame) -> DataFrame:
     return jobs.select("id", "status", "created_at", "updated_at", option("max_provider_calls"), option("budget_autoscale"), F.coalesce(F.col("options.provider_order"), F.array().cast("array<string>")).alias("provider_order"))
 
 
-def locations(settings: DataFrame) -> DataFrame:
-    """Name and place of each folder of the store, from a row of settings."""
+def locations(settings: DataFrame, *keys: str) -> DataFrame:
+    """Name and place of each folder of a store, for each row of settings, with the row's ``keys``."""
     names = {"cache": "cache_dir", "data": "data_dir", "config": "config_dir", "database": "db_path", "temporary_recordings": "temporary_dir"}
     pairs = F.array(*(F.struct(F.lit(k).alias("name"), F.col(c).cast("string").alias("location")) for k, c in names.items()))
-    return settings.select(F.inline(pairs))
+    return settings.select(*keys, F.inline(pairs))
 
 
 def metrics_payload(rows: DataFrame, job: DataFrame, summary_only: bool = False, **filters: object) -> DataFrame:

@@ -159,14 +159,61 @@ def fingerprint_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shortlist(spark, sf_dir)[2].select("query_id", "track_id", "shared")
 
 
-@query(f"""with {_SHORT}, s as (select s.query_id, s.track_id, round(({_SIMILAR.format(a='q.fp', b='t.fp')}) * (0.7::double + 0.3::double * least(q.duration_ms, t.duration_ms) / greatest(1, q.duration_ms, t.duration_ms)), 9) as score
-  from short s join prints q on q.track_id = s.query_id join prints t on t.track_id = s.track_id where s.query_id != s.track_id)
-select query_id, track_id, score, greatest(0.25::double, least(0.95::double, score)) as confidence from s where score >= 0.02 qualify row_number() over (partition by query_id order by score desc, track_id) = 1""")
+#: Coarser prints, of which some reach the likeness of a match, and lengths of which some are not known.
+_COARSE = "coarse as (select vec_id as track_id, list_transform(embedding[:48 + vec_id % 17], lambda x: floor(x::double * 200)::int) as fp, case when vec_id % 7 = 0 then 0 when vec_id % 11 = 0 then null else 1000 + vec_id % 97 * 100 end as duration_ms from embeddings)"
+_SCORE = """list_sum(list_transform(list_zip(q.fp[:least(len(q.fp), len(t.fp))], t.fp[:least(len(q.fp), len(t.fp))]), lambda p: (abs(p[1] - p[2]) < 10)::int)) / least(len(q.fp), len(t.fp))
+  * case when coalesce(q.duration_ms, 0) > 0 and coalesce(t.duration_ms, 0) > 0 then 0.7::double + 0.3::double * least(q.duration_ms, t.duration_ms) / greatest(q.duration_ms, t.duration_ms) else 1 end"""
+
+
+def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("vec_id")
+    values = F.transform(F.slice("embedding", 1, (48 + key % 17).cast("int")), lambda x: F.floor(x.cast("double") * 200).cast("int"))
+    length = F.when(key % 7 == 0, 0).when(key % 11 == 0, F.lit(None)).otherwise(1000 + key % 97 * 100)
+    return views.table(spark, sf_dir, "embeddings").select(key.alias("track_id"), values.alias("fingerprint"), length.cast("long").alias("duration_ms"))
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    return rows.select("query_id", "track_id", F.round("score", 9).alias("score"), F.round("confidence", 9).alias("confidence"))
+
+
+@query(f"""with {_COARSE}, cells as (select track_id, generate_subscripts(fp, 1) as pos, unnest(fp) as v from coarse),
+counts as (select q.track_id as query_id, t.track_id, count(*) as shared from cells q join cells t on q.pos = t.pos and abs(q.v - t.v) <= 10 where q.track_id % 20 = 0 group by 1, 2),
+short as (select * from counts qualify row_number() over (partition by query_id order by shared desc, track_id) <= 24),
+s as (select s.query_id, s.track_id, round({_SCORE}, 9) as score from short s join coarse q on q.track_id = s.query_id join coarse t on t.track_id = s.track_id where s.query_id != s.track_id)
+select query_id, track_id, score, greatest(0.25::double, least(0.95::double, score)) as confidence from s where score >= 0.20 qualify row_number() over (partition by query_id order by score desc, track_id) = 1""")
 def catalog_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best other track of each query's shortlist, at a threshold that these fingerprints reach."""
-    queries, tracks, listed = _shortlist(spark, sf_dir)
-    found = similarity.catalog_matches(queries, tracks, listed.where("query_id != track_id"), least=0.02)
-    return found.withColumn("score", F.round("score", 9)).withColumn("confidence", F.round("confidence", 9))
+    """The best other track of each query's shortlist."""
+    tracks = _coarse(spark, sf_dir)
+    queries = tracks.where("track_id % 20 = 0").withColumnRenamed("track_id", "query_id")
+    listed = similarity.shortlist(queries, similarity.fingerprint_index(tracks))
+    return _found(similarity.catalog_matches(queries, tracks, listed.where("query_id != track_id")))
+
+
+_ASKED = "asked as (select track_id as query_id, list_transform(fp, lambda x: x + case when track_id % 60 = 0 then 1000000 else 3 end) as fp, duration_ms from coarse where track_id % 20 = 0)"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries that are off by three from a track, and of them every third off by so much that nothing is near."""
+    tracks = _coarse(spark, sf_dir)
+    off = F.when(F.col("track_id") % 60 == 0, 1_000_000).otherwise(3)
+    return tracks.where("track_id % 20 = 0").select(F.col("track_id").alias("query_id"), F.transform("fingerprint", lambda x: x + off).alias("fingerprint"), "duration_ms"), tracks
+
+
+_ALL = f"{_COARSE}, {_ASKED}, s as (select q.query_id, t.track_id, round({_SCORE}, 9) as score from asked q, coarse t)"
+_BEST = "select query_id, track_id, score, greatest(0.25::double, least(0.95::double, score)) as confidence from s where score >= {least} qualify row_number() over (partition by query_id order by score desc, track_id) = 1"
+
+
+@query(f"with {_ALL} {_BEST.format(least=0.20)}")
+def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best track of the whole catalog, through an index of values; the SQL compares all pairs."""
+    return _found(similarity.catalog_search(*_asked(spark, sf_dir)))
+
+
+@query(f"with {_ALL}, b as ({_BEST.format(least=0.20)}) select a.query_id, b.track_id, b.score, b.confidence from asked a left join b using (query_id)")
+def catalog_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query with what the whole catalog has for it; those that share no value with any track have no match."""
+    queries, tracks = _asked(spark, sf_dir)
+    return queries.select("query_id").join(_found(similarity.catalog_search(queries, tracks)), "query_id", "left")
 
 
 @query(f"""with {_F}, m as (select distinct label as item, vec_id * 37 % 60000 as mark_ms from embeddings) select item, mark_ms, f.idx, abs(f.start_ms - mark_ms) as distance_ms from m join frames f using (item)

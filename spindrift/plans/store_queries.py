@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import identity as I  # noqa: E741
 from spindrift.functions import text as T
-from spindrift.operators import ledger, segmentation, similarity, store, timeline
+from spindrift.operators import ledger, ordering, segmentation, store, timeline
 from spindrift.plans import views
 from spindrift.plans.ledger_queries import _SEGMENTS, _SUMS
 from spindrift.plans.registry import query
-from spindrift.plans.similarity_queries import _PRINTS, _prints
 from spindrift.plans.timeline_queries import _ARTISTS, _TITLE
 from spindrift.sources import readers
 
@@ -26,10 +25,7 @@ def artifact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {views.ARTIFACTS} select id, row_number() over (order by coalesce(job_id::varchar, ''), category nulls first, label nulls first, id) as place from artifacts")
 def storage_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored files with their place in the order of a storage report."""
-    from pyspark.sql import Window
-
-    rows = store.scan(views.artifacts(spark, sf_dir), [*store.storage_order(), "id"])
-    return rows.select("id", F.row_number().over(Window.orderBy(*store.storage_order(), "id")).cast("long").alias("place"))
+    return ordering.placed(views.artifacts(spark, sf_dir), [*store.storage_order(), "id"]).select("id", "place")
 
 
 @query("select event_id, 'item-' || user_id as source_item_id, event_type as status from events where user_id % 10 = 3")
@@ -46,10 +42,10 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.tracks(spark, sf_dir).select(key.alias("track_id"), F.when(key % 9 != 0, F.col("artist")).alias("artist"), "title", F.concat(F.lit("/music/"), key).alias("path"))
 
 
-@query(f"with {_CATALOG} select track_id, artist, title from catalog order by artist nulls first, title nulls first, path nulls first limit 300")
+@query(f"with {_CATALOG} select track_id, artist, title, row_number() over (order by artist nulls first, title nulls first, path nulls first) as place from catalog")
 def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three hundred tracks of the catalog."""
-    return store.scan(_catalog(spark, sf_dir), store.catalog_order()).limit(300).select("track_id", "artist", "title")
+    """The whole catalog with each track's place in its order."""
+    return ordering.placed(_catalog(spark, sf_dir), store.catalog_order()).select("track_id", "artist", "title", "place")
 
 
 @query(f"with {_CATALOG} select * from catalog where track_id in (select l_partkey from lineitem where l_quantity > 45)")
@@ -118,12 +114,7 @@ def storage_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each region keeps what."""
     key = F.col("r_regionkey").cast("string")
     settings = views.table(spark, sf_dir, "region").select("r_name", F.concat(F.lit("/var/cache/"), key).alias("cache_dir"), F.concat(F.lit("/srv/"), key).alias("data_dir"), F.concat(F.lit("/etc/"), key).alias("config_dir"), F.concat(F.lit("/srv/"), key, F.lit("/db")).alias("db_path"), F.lit("/tmp").alias("temporary_dir"))
-    regions = [r.r_name for r in settings.select("r_name").collect()]  # five rows
-    parts = [store.locations(settings.where(F.col("r_name") == name)).select(F.lit(name).alias("region"), "name", "location") for name in regions]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    return found
+    return store.locations(settings, "r_name").withColumnRenamed("r_name", "region")
 
 
 @query("""select event_id, '{"a":"' || user_id || '","k":"' || (props->>'$.k') || '","z":"' || event_type || '"}' as payload from events""")
@@ -150,15 +141,6 @@ def packed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.sum("p.gate_g1_hits").alias("gate_g1_hits"), F.sum("p.gate_g3_hits").alias("gate_g3_hits"), F.count("p.gate_g1_hits").alias("with_g1"))
 
 
-@query(f"with {_PRINTS} select track_id as query_id, min(track_id) over () as track_id, 0.0::double as score, 0.25::double as confidence from prints where track_id % 20 = 0")
-def catalog_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries that share no value with any track have an empty shortlist; the whole catalog then gives its first track, at no likeness."""
-    tracks = _prints(spark, sf_dir)
-    queries = tracks.where("track_id % 20 = 0").select(F.col("track_id").alias("query_id"), F.transform("fingerprint", lambda x: x + 1_000_000).alias("fingerprint"), "duration_ms")
-    listed = similarity.shortlist(queries, similarity.fingerprint_index(tracks))
-    return similarity.catalog_matches(queries, tracks, listed, least=0.0)
-
-
 @query(f"with {views.TRACKS} select id, {_ARTISTS} || '::' || {_TITLE} as name_key from tracks")
 def accented_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names written with accents, ligatures and wide letters have the keys of the plain ones."""
@@ -169,13 +151,13 @@ def accented_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.tracks(spark, sf_dir).select("id", I.fuzzy_key(accented(artist), F.when(plain, title).otherwise(accented(title))).alias("name_key"))
 
 
-@query("select o_orderkey as id, 't' || o_orderkey as title, 7 as depth from orders where o_orderkey % 10 = 0 union all select o_orderkey, 'u' || o_orderkey, 8 from orders where o_orderkey % 10 = 0")
+@query("select o_orderkey as id, 't' || o_orderkey as title, 7 as depth from orders union all select o_orderkey, 'u' || o_orderkey, 8 from orders")
 def deep_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves seven and eight levels below the top."""
     key = F.col("o_orderkey").cast("string")
     leaf = lambda prefix: F.concat(F.lit(f'{{"title":"{prefix}'), key, F.lit('"}'))
     body = F.concat(F.lit('{"entries":[' * 7), leaf("t"), F.lit(',null,{"entries":['), leaf("u"), F.lit("]}"), F.lit("]}" * 7))
-    rows = views.table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), body.alias("body"))
+    rows = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), body.alias("body"))
     return readers.flattened(rows).select("id", F.get_json_object("entry", "$.title").alias("title"), F.size("path").alias("depth"))
 
 

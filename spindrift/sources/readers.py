@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,22 +51,46 @@ def vibra(answers: DataFrame, column: str = "body") -> DataFrame:
     return rows.select(*(c for c in answers.columns if c != column), *_candidate(F.coalesce(_blank(t["title"]), F.lit("Unknown track")), t["subtitle"], album, F.lit(None).cast("string"), "vibra", t["key"], "shazam", F.lit(0.72)))
 
 
+def leaves(body: str | None, children: str) -> Iterator[tuple[str | None, list[int]]]:
+    """Leaves of a nested playlist in order, each with its places on the way down; nulls are dropped.
+
+    A body that is no JSON, or is nested deeper than the parser goes (some thousand levels), is a leaf by itself.
+    """
+    if body is None:
+        return
+    try:
+        top = json.loads(body)
+    except (ValueError, RecursionError):
+        yield body, []
+        return
+    stack: list[tuple[object, list[int]]] = [(top, [])]
+    while stack:
+        entry, path = stack.pop()
+        if entry is None:
+            continue
+        inner = entry.get(children) if isinstance(entry, dict) else None
+        if isinstance(inner, list) and inner:
+            stack.extend((x, [*path, k]) for k, x in reversed(list(enumerate(inner))))
+        else:
+            yield body if entry is top else entry if isinstance(entry, str) else json.dumps(entry, separators=(",", ":"), ensure_ascii=False), path
+
+
 def flattened(entries: DataFrame, children: str = "entries") -> DataFrame:
-    """Leaves of nested playlists in order: entry (JSON) and path (places on the way); nulls are dropped.
+    """Leaves of nested playlists in order: id, entry (JSON) and path (places on the way); nulls are dropped.
 
-    entries: id, body (JSON object with, perhaps, an array of objects named ``children``). Playlists are opened level by level
-    as long as there are any, whatever the depth; the driver asks each time whether one is left.
+    entries: id, body (JSON object with, perhaps, an array of objects named ``children``). Playlists of any depth are opened in one pass over their parsed trees.
     """
-    level = entries.select("id", F.col("body").alias("entry"), F.array().cast("array<int>").alias("path"))
-    leaves = None
-    while leaves is None or not level.isEmpty():
-        inner = F.from_json(F.get_json_object("entry", f"$.{children}"), "array<string>")
-        level = level.where(F.col("entry").isNotNull()).withColumn("_in", inner)
-        done = level.where("_in is null or size(_in) = 0").drop("_in")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        opened = level.where("size(_in) > 0").select("id", "path", F.posexplode("_in").alias("_at", "entry"))
-        level = opened.select("id", "entry", F.concat("path", F.array("_at")).alias("path"))
-    return leaves
+    rows = entries.select("id", F.col("body").cast("string").alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # playlists at a time
+                part = batch.slice(at, 256)
+                found = [(k, *leaf) for k, body in enumerate(part.column("body").to_pylist()) for leaf in leaves(body, children)]
+                ids = part.column("id").take(pa.array([k for k, _, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([e for _, e, _ in found], pa.string()), pa.array([p for _, _, p in found], pa.list_(pa.int32()))], ["id", "entry", "path"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, entry string, path array<int>")
 
 
 def extractor_items(entries: DataFrame, source_url: Column, playlist_id: Column | None = None) -> DataFrame:
