@@ -21,8 +21,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from html import unescape
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import shared_dir, text_or_empty, text_parts, written
+from spindrift.llm.common import dealt_join, shared_dir, text_or_empty, text_parts, written
 
 #: A tag; quotes count after an equals sign only. Without them it ends at the first angle bracket.
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+"[^"]*"|=\s*+'[^']*'|=)*+)>""")
@@ -226,6 +227,88 @@ def merge(a: Node, b: Node) -> Node:
     return [a[0], quantifier, align(a[2], b[2])]
 
 
+#: Pairs of equal signatures up to which two sequences are compared in full; places that a greedy match looks ahead.
+PAIRS = 50_000
+AHEAD = 64
+
+
+def matching(left: Sequence[str], right: Sequence[str]) -> list[tuple[int, int, int]]:
+    """Blocks (i, k, n) of equal signatures in both sequences, in order, with bounded work.
+
+    Short sequences are compared in full. Of long ones the common ends match; then what occurs once in both, as far as its order agrees, parts
+    them; gaps are short now, or are matched greedily, each signature with its next place within ``AHEAD``.
+    """
+    if pairs_of(left, right) <= PAIRS:
+        return [x for x in SequenceMatcher(None, left, right, autojunk=False).get_matching_blocks() if x[2]]
+    found: list[tuple[int, int]] = []  # pairs of places
+    gaps = [(0, len(left), 0, len(right))]
+    while gaps:
+        a, b, c, d = gaps.pop()
+        while a < b and c < d and left[a] == right[c]:
+            found.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and left[b - 1] == right[d - 1]:
+            b, d = b - 1, d - 1
+            found.append((b, d))
+        if a == b or c == d:
+            continue
+        if pairs_of(left[a:b], right[c:d]) <= PAIRS:
+            found += [(a + i + x, c + k + x) for i, k, n in SequenceMatcher(None, left[a:b], right[c:d], autojunk=False).get_matching_blocks() for x in range(n)]
+            continue
+        anchors = unique_pairs(left, right, a, b, c, d)
+        if anchors:
+            for (i, k), (j, m) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)], strict=True):
+                gaps.append((i + 1, j, k + 1, m))
+            found += anchors
+        else:
+            found += greedy(left, right, a, b, c, d)
+    blocks: list[tuple[int, int, int]] = []
+    for i, k in sorted(found):
+        if blocks and (i, k) == (blocks[-1][0] + blocks[-1][2], blocks[-1][1] + blocks[-1][2]):
+            blocks[-1] = (*blocks[-1][:2], blocks[-1][2] + 1)
+        else:
+            blocks.append((i, k, 1))
+    return blocks
+
+
+def pairs_of(left: Sequence[str], right: Sequence[str]) -> int:
+    there = Counter(right)
+    return sum(n * there[x] for x, n in Counter(left).items())
+
+
+def unique_pairs(left: Sequence[str], right: Sequence[str], a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
+    """Places of what occurs once in both stretches, the longest sequence of them that ascends in both."""
+    here, there = Counter(left[a:b]), Counter(right[c:d])
+    at = {right[k]: k for k in range(c, d) if there[right[k]] == 1}
+    pairs = [(i, at[left[i]]) for i in range(a, b) if here[left[i]] == 1 and left[i] in at]
+    tops: list[int] = []  # the least last place of an ascending sequence of each length
+    ends: list[int] = []
+    before: list[int] = []
+    for n, (_, k) in enumerate(pairs):
+        x = bisect_left(tops, k)
+        before.append(ends[x - 1] if x else -1)
+        tops[x : x + 1], ends[x : x + 1] = [k], [n]
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+def greedy(left: Sequence[str], right: Sequence[str], a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
+    places: dict[str, list[int]] = {}
+    for k in range(c, d):
+        places.setdefault(right[k], []).append(k)
+    out, at = [], c
+    for i in range(a, b):
+        known = places.get(left[i], [])
+        x = bisect_left(known, at)
+        if x < len(known) and known[x] < at + AHEAD:
+            out.append((i, known[x]))
+            at = known[x] + 1
+    return out
+
+
 def align(a: list[Node], b: list[Node]) -> list[Node]:
     """Align two sequences: what both have is merged, what one lacks becomes optional."""
     left, right = [x[0] for x in a], [x[0] for x in b]
@@ -233,21 +316,19 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
         return [merge(x, y) for x, y in zip(a, b, strict=True)]
     out: list[Node] = []
     optional = lambda nodes: [[n[0], {"1": "?", "+": "*"}.get(n[1], n[1]), n[2]] for n in nodes]
-    for what, i, j, k, m in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-        if what == "equal":
-            parts = [merge(x, y) for x, y in zip(a[i:j], b[k:m], strict=True)]
-        else:
-            parts = optional(a[i:j]) + optional(b[k:m])
-        for part in parts:
+    i = k = 0
+    for j, m, n in [*matching(left, right), (len(a), len(b), 0)]:
+        for part in (*optional(a[i:j]), *optional(b[k:m]), *(merge(x, y) for x, y in zip(a[j : j + n], b[m : m + n], strict=True))):
             add(out, part)
+        i, k = j + n, m + n
     return out
 
 
 def main_fields(wrapper: list[Node], pages: int, most_linked: float = 0.5, least_pages: int = 3, least_left: float = 0.25) -> list:
-    """The wrapper's groups that lead to main text: [signature, groups], and ["#", 1] for a field of main text; others are ["#", 0]."""
+    """The wrapper's groups that lead to main text: [signature, groups, what it has no field for], and ["#", 1] for a field of main text; others are ["#", 0]."""
     varies = pages >= least_pages and any_slot(wrapper)  # copies of one page alone share all
 
-    def label(nodes: list[Node], believed: bool, marked: bool, aside: bool, main: bool, heading: bool, chars: Counter) -> list:
+    def label(nodes: list[Node], believed: bool, marked: bool, aside: bool, main: bool, heading: bool, chars: Counter, most_linked: float = most_linked) -> list:
         out = []
         for name, _, inner in nodes:
             if name == "#":
@@ -259,7 +340,7 @@ def main_fields(wrapper: list[Node], pages: int, most_linked: float = 0.5, least
                 continue
             tag, use = tag_of(name), name[-1]
             if tag in MAIN and use != "!":
-                out.append([name, label(inner, believed, marked, aside == "comments", aside != "comments", False, chars)])
+                out.append(group(name, label(inner, believed, marked, aside == "comments", aside != "comments", False, chars, most_linked), aside != "comments", marked, aside == "comments"))
                 continue
             off = aside
             if use == "^":
@@ -269,9 +350,14 @@ def main_fields(wrapper: list[Node], pages: int, most_linked: float = 0.5, least
             lead = heading or (tag == "header" and main and not off)
             if lead and not off and tag not in HEADING and tag != "header" and tag not in INLINE and not has_heading(inner):
                 off = "aside"  # what a header holds beside the heading
-            out.append([name, label(inner, believed, marked, off, main or (use == "*" and not off), lead and tag not in HEADING, chars)])
+            inside = main or (use == "*" and not off)
+            out.append(group(name, label(inner, believed, marked, off, inside, lead and tag not in HEADING, chars, most_linked), inside, marked, off))
         return out
 
+    def group(name: str, inner: list, main: bool, marked: bool, off: bool | str) -> list:
+        """A group also says whether what it has no field for is main text: in an article, or where other texts of it are."""
+        return [name, inner, int(not off and (main or (not marked and any(x[0] == "#" and x[1] for x in inner))))]
+
     believed: Counter = Counter()
     label(wrapper, True, False, "", False, False, believed)
     marked = believed["main"] > 0
@@ -281,6 +367,8 @@ def main_fields(wrapper: list[Node], pages: int, most_linked: float = 0.5, least
         other = label(wrapper, False, False, "", False, False, without_hints)
         if with_hints["kept"] < least_left * without_hints["kept"]:
             return other
+        if not with_hints["kept"]:  # all text is in links, so links are no sign of a menu here
+            return label(wrapper, True, False, "", False, False, Counter(), 1.0)
     return found
 
 
@@ -297,12 +385,12 @@ def placed(left: tuple[str, ...], right: tuple[str, ...]) -> list[int]:
     if left == right:
         return list(range(len(left)))
     out = [-1] * len(left)
-    for i, k, n in SequenceMatcher(None, left, right, autojunk=False).get_matching_blocks():
+    for i, k, n in matching(left, right):
         out[i : i + n] = range(k, k + n)
-    for i, k in enumerate(out):  # a child out of order
-        if k < 0 and left[i] in right:
-            out[i] = right.index(left[i])
-    return out
+    first: dict[str, int] = {}
+    for k, name in enumerate(right):
+        first.setdefault(name, k)
+    return [first.get(left[i], -1) if k < 0 else k for i, k in enumerate(out)]  # a child out of order has the first place of its kind
 
 
 class Wrapper:
@@ -316,7 +404,7 @@ class Wrapper:
         """Texts of the main fields: character references decoded, blocks and white space parted by one space."""
         out: list[str] = []
 
-        def match(nodes: list, groups: list) -> None:
+        def match(nodes: list, groups: list, others: int) -> None:
             runs: list[int] = []  # neighbours of one signature are one repeated group
             names: list[str] = []
             for name, inner in nodes:
@@ -336,7 +424,7 @@ class Wrapper:
                 group = groups[places[run]] if run >= 0 and places[run] >= 0 else None
                 if name == "#":
                     if inner.strip():
-                        if group is not None and group[0] == "#" and group[1]:
+                        if group[1] if group is not None and group[0] == "#" else others:
                             out.append(unescape(inner))
                     else:
                         out.append(" ")
@@ -344,11 +432,14 @@ class Wrapper:
                 block = tag_of(name) not in INLINE
                 if block:
                     out.append(" ")
-                match(inner, group[1] if group is not None else NOTHING)
+                if group is not None:
+                    match(inner, group[1], group[2])
+                else:
+                    match(inner, NOTHING, others and not (tag_of(name) in DROPPED or name[-1] in "!^"))
                 if block:
                     out.append(" ")
 
-        match(parsed(html), self.fields)
+        match(parsed(html), self.fields, 0)
         return " ".join("".join(out).split())
 
 
@@ -404,7 +495,7 @@ def infer(pages: DataFrame, fan_in: int = 64) -> DataFrame:
     return folded.select("host", "pages", "wrapper")
 
 
-#: Labelled wrappers are broadcast only while they take up no more than this; beyond, pages are joined to them by host.
+#: Labelled wrappers are broadcast only while they take up no more than this; beyond, pages are joined to them by host, those of large hosts dealt out.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -415,11 +506,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fields = [json.dumps(main_fields(json.loads(w), n, most_linked, least_pages), separators=(",", ":")) for w, n in zip(batch.column("wrapper").to_pylist(), batch.column("pages").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(fields, pa.string())], ["of", "fields"])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("pages"), pa.array(fields, pa.string())], ["host", "pages", "fields"])
 
-    labelled = written(infer(rows.select("host", "html")).mapInArrow(label, "of string, fields string"), f"{shared_dir(pages.sparkSession)}/wrappers")
-    size = labelled.agg(F.sum(F.octet_length("fields") + F.octet_length("of") + 64)).first()[0] or 0
-    joined = rows.join(F.broadcast(labelled) if size <= BROADCAST_BYTES else labelled, F.col("host") == F.col("of"), "left")
+    labelled = written(infer(rows.select("host", "html")).mapInArrow(label, "host string, pages long, fields string"), f"{shared_dir(pages.sparkSession)}/wrappers")
+    size, total = labelled.agg(F.sum(F.octet_length("fields") + F.octet_length("host") + 64), F.sum("pages")).first()
+    small = (size or 0) <= BROADCAST_BYTES
+    joined = rows.join(F.broadcast(labelled.drop("pages")), "host", "left") if small else dealt_join(rows, labelled, ["host"], "pages", total, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Wrapper] = {}

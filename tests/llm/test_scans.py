@@ -112,6 +112,65 @@ def test_many_spans_in_one_text_take_linear_time():
     assert time.time() - began < 6
 
 
+def in_urls(text):
+    encoding = secret_scan.token_counter(secret_scan.vocabulary_path("byte_bpe_50k.tiktoken"))
+    return [text[a:b] for a, k, b in secret_scan.spans_of(text, encoding, 2.0, in_urls=True) if secret_scan.KINDS[k] == "random"]
+
+
+def test_random_segments_of_urls_and_small_letters():
+    rng = random.Random(4)
+    value = lambda letters, n=40: "".join(rng.choice(letters) for _ in range(n))
+    small = "abcdefghijklmnopqrstuvwxyz"
+    found = 0
+    for _ in range(200):
+        key, low = value(small + small.upper() + "0123456789"), value(small)
+        found += in_urls(f"https://x.example.com/a?sig={key}") == [key]
+        found += in_urls(f"https://hooks.example.com/services/T00/{key}") == [key]
+        found += in_urls(f"key {low}.") == [low]
+        assert in_urls(f"data:image/png;base64,{key}{key}") == in_urls(f"{key[:12]}@mail.example.com") == []
+    assert found >= 590
+    for text in ("kubernetes-deployment-7d9f8b6c5d-x2k4q", "https://x.example.com/some-long-article-title-about-things-2024", "donaudampfschifffahrtsgesellschaft", "https://x.example.com/getElementsByClassNameOfTheDocument", "A" + "9F" * 19 + "B"):
+        assert in_urls(text) == [], text
+
+
+def test_time_grows_with_the_spans():
+    times = []
+    for n in (16_000, 64_000):
+        text = " ".join(f"token=abcdefgh{k % 1000} {KEY}{KEY}" for k in range(n))
+        began = time.process_time()
+        assert len(randoms(text)) == n
+        times.append(time.process_time() - began)
+    assert times[1] < 8 * times[0]
+
+
+def plain_dense(piece, encoding, most):
+    """All windows of whole tokens of the least length, one by one; those with few characters a token, joined."""
+    tokens = encoding.encode_ordinary(piece)
+    if len(piece) <= most * len(tokens):
+        return [(0, len(piece))]
+    sizes = [len(encoding.decode_single_token_bytes(t)) for t in tokens]
+    marks = set()
+    for i in range(len(tokens)):
+        for j in range(i + 1, len(tokens) + 1):
+            if sum(sizes[i:j]) >= secret_scan.LEAST_RUN:
+                window = piece[sum(sizes[:i]) : sum(sizes[:j])]
+                if len(window) <= most * (j - i) and secret_scan.MIXED.match(window) and any(secret_scan.MIXED.match(w) for w in secret_scan.PART.findall(window)):
+                    marks |= set(range(sum(sizes[:i]), sum(sizes[:j])))
+                break
+    edges = sorted(k for k in range(len(piece)) if k in marks and k - 1 not in marks), sorted(k + 1 for k in range(len(piece)) if k in marks and k + 1 not in marks)
+    return list(zip(*edges, strict=True))
+
+
+def test_dense_stretches_equal_all_windows():
+    encoding = secret_scan.token_counter(secret_scan.vocabulary_path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"
+    for _ in range(300):
+        parts = [rng.choice(["configuration", "production_", "international", "Administrator", "".join(rng.choice(letters) for _ in range(rng.randrange(4, 40)))]) for _ in range(rng.randrange(1, 6))]
+        piece = "".join(parts)
+        assert secret_scan.dense(piece, encoding, 2.0) == plain_dense(piece, encoding, 2.0), piece
+
+
 def test_redaction(spark):
     docs = documents(spark, SECRETS)
     clean = secret_scan.redact(docs)
@@ -300,6 +359,72 @@ def test_html_tokens():
     assert kinds("<p title=\"open>one</p><p>two") == [("<", "p"), ("#", "one"), ("/", "p"), ("<", "p"), ("#", "two")]
 
 
+def test_long_pages_align_in_linear_time():
+    """Two pages of a megabyte with 50,000 siblings each, by turns, by chance and shifted against each other."""
+    rng = random.Random(8)
+    turns = lambda n, first: "".join(f"<h2>{k} a</h2><p>{k} words</p>" for k in range(first, first + n))
+    chance = lambda seed: (r := random.Random(seed), "".join(f"<{t}>{k} words here</{t}>" for k in range(50_000) for t in [r.choice(["p", "h2", "div", "pre"])]))[1]
+    for a, b in ((turns(25_000, 0), turns(24_000, 5)), (chance(1), chance(2)), ("<pre>x</pre>" + chance(3), chance(3) + "<table></table>")):
+        trees = [html_wrappers.tree(x) for x in (a, b)]
+        began = time.process_time()
+        wrapper = html_wrappers.align(*trees)
+        assert time.process_time() - began < 5
+        for own in trees:
+            it = iter([n[0] for n in wrapper])
+            assert all(n[0] in it for n in own)
+    assert rng.random() < 1
+
+
+def test_blocks_of_long_sequences_are_common_and_in_order(monkeypatch):
+    rng = random.Random(9)
+    total = []
+    for _ in range(300):
+        left = [rng.choice("abcdefgh") + (str(rng.randrange(400)) if rng.random() < 0.3 else "") for _ in range(rng.randrange(40))]
+        right = [x for x in left if rng.random() < 0.8]
+        right[rng.randrange(len(right) + 1) :] += [rng.choice("abcxyz") for _ in range(rng.randrange(6))]
+        sizes = []
+        for most in (0, 50_000):
+            monkeypatch.setattr(html_wrappers, "PAIRS", most)
+            blocks = html_wrappers.matching(left, right)
+            assert all(left[i : i + n] == right[k : k + n] for i, k, n in blocks)
+            assert all(i + n <= j and k + n <= m for (i, k, n), (j, m, _) in zip(blocks, blocks[1:], strict=False))
+            sizes.append(sum(n for *_, n in blocks))
+        total.append((sizes[0], sizes[1], plain_align(left, right)))
+    bounded, full, best = (sum(x) for x in zip(*total, strict=True))
+    assert bounded >= 0.85 * best and full >= 0.85 * best
+
+
+def test_text_that_is_all_links_stays():
+    htmls = [f"<body><nav><a href=/>Menu</a></nav><div><a href=/{i}>All of the words of page {i}</a></div><footer>x</footer></body>" for i in range(5)]
+    assert texts_in_python(htmls) == [f"All of the words of page {i}" for i in range(5)]
+
+
+def plain_text_of(blocks):
+    return " ".join(w for b in blocks for w in b.split())
+
+
+def test_whole_extraction_of_small_random_pages(spark, monkeypatch):
+    """Pages put together from a host's template and random articles: exactly the articles' words, with wrappers sent along and joined."""
+    rng = random.Random(10)
+    word = lambda: rng.choice(["one", "two", "&amp;", "drei", "quatre", "caf&eacute;", "a<b>b</b>c", "x <i>y</i>"])
+    htmls, expected, urls = [], {}, []
+    for k in range(60):
+        host = k % 4 if k % 2 else 0  # one host has over half of all pages
+        blocks = [" ".join(word() for _ in range(rng.randrange(1, 9))) + f" {k}" for _ in range(rng.randrange(1, 6))]
+        body = "".join(rng.choice(["<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</ul>", "<pre>{}</pre>"]).format(b) for b in blocks)
+        ads = "<div class='advert'>Buy</div>" * rng.randrange(2)
+        htmls.append(f"<html><head><title>t{k}</title></head><body><nav><ul><li><a href=/>Home</a></ul></nav><div class=h{host}><article>{ads}{body}</article></div><aside>More {k}</aside><form>Send</form><footer>Foot {k}</footer></body></html>")
+        urls.append(f"http://h{host}.example/{k}")
+        clean = [re.sub("<[^>]*>", "", b).replace("&amp;", "&").replace("&eacute;", "é") for b in blocks]
+        expected[k] = plain_text_of(clean)
+    rows = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(zip(urls, htmls, strict=True))], "page_id long, url string, html string").repartition(5)
+    assert texts_of(rows) == expected
+    monkeypatch.setattr(html_wrappers, "BROADCAST_BYTES", 0)
+    joined = html_wrappers.extract(rows)
+    assert {r.page_id: r.text for r in joined.collect()} == expected
+    assert "places" in joined._jdf.queryExecution().analyzed().toString()  # a host with over a quarter of a partition's share is dealt out
+
+
 def plain_align(a, b):
     """Longest common subsequence of two sequences of distinct neighbours, as a plain table."""
     n, m = len(a), len(b)
