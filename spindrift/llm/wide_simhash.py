@@ -6,7 +6,7 @@ them. A cell is the counts of sampled one-bit segments; their number grows with
 of fingerprints, so that strangers in a cell stay as few at any size, and the number of tables grows with it, so that
 a pair of the given similarity is found with probability ``RECALL`` at any size (``tables_for``). Within a cell pairs are taken by the Manhattan
 distance of the two-bit segments' counts, a lower bound, and then exactly. Two texts of Jaccard similarity s differ in
-about ``acos(2 s / (1 + s)) / pi`` of the bits: 39 +- 6 of 256 at 0.8. ``distance`` 46 covers nine in ten such pairs, 56 nearly all.
+about ``acos(2 s / (1 + s)) / pi`` of the bits, since each shingle of a text counts once however often it is repeated: 39 +- 6 of 256 at 0.8. ``distance`` 46 covers nine in ten such pairs, 56 nearly all.
 The links of ``simhash`` within three bits of its narrow fingerprints are taken in too; both come from one pass over the texts.
 
 Bits only propose groups: within each, texts are joined by pairs whose sets of shingles have the ``similarity``, compared
@@ -66,7 +66,7 @@ def hashes_of(raw: bytes, shingle: int, seed: int) -> np.ndarray:
 
 
 def fingerprint_and_set(raw: bytes, shingle: int, seed: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash of one text's bytes (the first word from XXH64 of its shingles, the others from that hash mixed further), and the distinct hashes of the shingles, ascending."""
+    """SimHash of a text's set of shingles (the first word from their XXH64, the others from that hash mixed further), and the distinct hashes, ascending."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
@@ -78,17 +78,14 @@ def fingerprint_and_set(raw: bytes, shingle: int, seed: int, n_words: int) -> tu
     stops = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     ends = (stops[len(words) - n :] - 1).tolist()
     starts = [0, *stops[: n - 1].tolist()]
+    own = np.unique(np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends, strict=True)), dtype=np.uint64, count=n))
     set_bits = np.zeros(64 * n_words, dtype=np.int64)
     more = (np.arange(n_words, dtype=np.uint64) * STEP)[None, :]
-    seen = []
-    for a in range(0, n, 1 << 14):
-        hashes = np.array([digest(joined[s:e], seed) for s, e in zip(starts[a : a + (1 << 14)], ends[a : a + (1 << 14)], strict=True)], dtype=np.uint64)
-        seen.append(hashes)
-        if not n_words:
-            continue
+    for a in range(0, len(own) if n_words else 0, 1 << 14):
+        hashes = own[a : a + (1 << 14)]
         wide = np.where(more == 0, hashes[:, None], mixed(hashes[:, None] + more)).astype("<u8")
         set_bits += np.unpackbits(wide.view(np.uint8).reshape(-1, 8 * n_words), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * set_bits > n, bitorder="little").view("<u8").astype(np.uint64)[:n_words], np.unique(np.concatenate(seen))
+    return np.packbits(2 * set_bits > len(own), bitorder="little").view("<u8").astype(np.uint64)[:n_words], own
 
 
 def prints_of(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, n_words: int) -> DataFrame:
