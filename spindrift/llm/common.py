@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 import numpy as np
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
-#: Folders handed out and not deleted yet, by application.
-_scratch: dict[str, list[str]] = defaultdict(list)
+#: Folders handed out inside each ``scratch`` that is open in this thread.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,18 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spindrift-"))
         base = sc.getCheckpointDir()
     path = f"{base.rstrip('/')}/spindrift-{uuid.uuid4().hex}"
-    _scratch[sc.applicationId].append(path)
+    for taken in _scratch.get()[-1:]:
+        taken.append(path)
     return path
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end the folders that operators took inside; what they return must have been written elsewhere by then."""
-    taken = _scratch[spark.sparkContext.applicationId]
-    before = len(taken)
-    yield
-    while len(taken) > before:
-        removed(spark, taken.pop())
+    """Delete at the end, also after an error, the folders that operators took inside; what they return must have been written elsewhere by then."""
+    taken: list[str] = []
+    token = _scratch.set((*_scratch.get(), taken))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in taken:
+            removed(spark, path)
 
 
 def written(df: DataFrame, path: str, **options: str) -> DataFrame:
@@ -54,13 +58,15 @@ def written(df: DataFrame, path: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, column: str, path: str) -> DataFrame:
-    """Cut the lineage by a table bucketed by ``column``, so that joins by it leave the rows where they are.
+def bucketed(df: DataFrame, columns: str | tuple[str, ...], path: str, ordered: bool = False) -> DataFrame:
+    """Cut the lineage by a table bucketed by ``columns``, and sorted by them if asked for, so that joins by these leave the rows where they are.
 
     The catalog's entry goes at once; the plan that is returned has read its files and buckets.
     """
     spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).saveAsTable(name)
+    columns = (columns,) if isinstance(columns, str) else columns
+    writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns)
+    (writer.sortBy(*columns) if ordered else writer).option("path", path).saveAsTable(name)
     table = spark.table(name)
     table.schema  # analysed while the entry is there
     spark.sql(f"DROP TABLE {name}")
@@ -102,9 +108,15 @@ def dealt_join(big: DataFrame, small: DataFrame, keys: list[str], n: str, total:
     return dealt.join(small.withColumn("place", F.explode(F.sequence(F.lit(0), places - 1))).drop(n), [*keys, "place"], how).drop("place")
 
 
+def bytes_of(rows: DataFrame) -> int:
+    """What rows of plain columns take up in a broadcast, about: their values as text, and 24 bytes for each."""
+    sizes = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 24 for c in rows.columns]
+    return rows.agg(F.sum(reduce(lambda a, b: a + b, sizes)).cast("long")).first()[0] or 0
+
+
 def without(docs: DataFrame, columns: list[Column], dropped: DataFrame) -> DataFrame:
     """``docs`` but the rows whose ``columns`` stand in ``dropped`` (as many columns, null equal to null), which is broadcast below a size."""
-    size = dropped.count() * 40 * len(columns)
+    size = bytes_of(dropped)
     names = fresh(docs, *(f"out{k}" for k in range(len(columns))))
     out = dropped.toDF(*names)
     same = reduce(lambda a, b: a & b, (c.eqNullSafe(F.col(name)) for c, name in zip(columns, names, strict=True)))

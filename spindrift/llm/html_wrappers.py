@@ -238,7 +238,7 @@ def matching(left: Sequence[str], right: Sequence[str]) -> list[tuple[int, int,
     Short sequences are compared in full. Of long ones the common ends match; then what occurs once in both, as far as its order agrees, parts
     them; gaps are short now, or are matched greedily, each signature with its next place within ``AHEAD``.
     """
-    if pairs_of(left, right) <= PAIRS:
+    if len(left) * len(right) <= PAIRS or pairs_of(left, right) <= PAIRS:
         return [x for x in SequenceMatcher(None, left, right, autojunk=False).get_matching_blocks() if x[2]]
     found: list[tuple[int, int]] = []  # pairs of places
     gaps = [(0, len(left), 0, len(right))]
@@ -252,7 +252,7 @@ def matching(left: Sequence[str], right: Sequence[str]) -> list[tuple[int, int,
             found.append((b, d))
         if a == b or c == d:
             continue
-        if pairs_of(left[a:b], right[c:d]) <= PAIRS:
+        if (b - a) * (d - c) <= PAIRS or pairs_of(left[a:b], right[c:d]) <= PAIRS:
             found += [(a + i + x, c + k + x) for i, k, n in SequenceMatcher(None, left[a:b], right[c:d], autojunk=False).get_matching_blocks() for x in range(n)]
             continue
         anchors = unique_pairs(left, right, a, b, c, d)

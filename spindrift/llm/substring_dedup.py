@@ -23,7 +23,6 @@ An empty table gives an empty one. Further columns are not looked at, whatever t
 
 from __future__ import annotations
 
-import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import byte_parts, shared_dir, text_or_empty
+from spindrift.llm.common import bucketed, byte_parts, shared_dir, text_or_empty
 
 #: Base of the polynomial that fingerprints are; odd, so that it has an inverse among 64-bit numbers.
 BASE = 0x9E3779B97F4A7C15
@@ -40,8 +39,9 @@ BLOCK = 1 << 16
 LAST = np.iinfo(np.int64).max
 #: Sampled suffixes for each group.
 SAMPLES = 20
-#: Prefixes at most; of some ten bytes each.
+#: Prefixes at most, and bytes of one.
 SPLITTERS = 4_000_000
+PREFIX_BYTES = 64
 #: Fingerprints that a bin holds, about.
 BIN_PRINTS = 4_000_000
 #: Bits of a fingerprint beyond those that number all suffixes: about one suffix in 2**SPARE passes for nothing.
@@ -181,7 +181,7 @@ def splitters(texts: DataFrame, suffixes: int, group_suffixes: int) -> list[byte
                 if n % every == 0:
                     words, other = line.split(b" "), before.split(b" ")
                     common = next((k for k, (x, y) in enumerate(zip(words, other, strict=False)) if x != y), min(len(words), len(other)))
-                    found.append(b" ".join(words[: common + 1]))
+                    found.append(b" ".join(words[: common + 1])[:PREFIX_BYTES])  # parts the sorted suffixes as well
                 before = line
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["prefix"])
 
@@ -329,21 +329,13 @@ def cut_out(texts: DataFrame, gone: DataFrame, window: int) -> DataFrame:
     return joined.mapInArrow(run, "key long, n_words long, n_removed long, text string, spans array<struct<first:long,n:long>>")
 
 
-def bucketed(texts: DataFrame, path: str) -> DataFrame:
-    """Write slices as a table bucketed by slice, so that joins by slice leave it where it is."""
-    spark = texts.sparkSession
-    name = f"slices_{uuid.uuid4().hex}"
-    texts.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "slice").option("path", path).saveAsTable(name)
-    return spark.table(name)
-
-
 def trimmed(docs: DataFrame, window: int = 13, group_suffixes: int = 1_500_000, slice_bytes: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text", print_bits: int | None = None) -> DataFrame:
     """Return ``id_col``, n_words, n_removed, text (what is left, joined by spaces) and spans (of the removed words) per row of ``docs``.
 
     ``print_bits``: bits of the filter's fingerprints, by default as many as the number of suffixes asks for; the result does not depend on it.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("key"), text_or_empty(text_col).alias("text"))
-    texts = bucketed(sliced(rows, window, slice_bytes, max(1, group_suffixes // SAMPLES)), f"{shared_dir(docs.sparkSession)}/slices")
+    texts = bucketed(sliced(rows, window, slice_bytes, max(1, group_suffixes // SAMPLES)), "slice", f"{shared_dir(docs.sparkSession)}/slices")
     suffixes = texts.agg(F.sum("suffixes")).first()[0] or 0
     bits = min(62, print_bits or max(16, suffixes.bit_length() + SPARE))
     bin_bits = min(bits - 1, max(0, (suffixes // BIN_PRINTS).bit_length()))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindrift.llm import simhash
-from spindrift.llm.common import BROADCAST_BYTES, byte_parts, dealt_join, parts_of, scratch, shared_dir, text_or_empty, without, written
+from spindrift.llm.common import BROADCAST_BYTES, byte_parts, bytes_of, dealt_join, parts_of, scratch, shared_dir, text_or_empty, without, written
 from spindrift.llm.connected import components
 from spindrift.llm.simhash import embedded_array
 
@@ -49,8 +49,6 @@ BLOCK_ROWS = 2048
 BLOCK_SHINGLES = 2_000_000
 #: Words of the bits that stand for a set of shingles.
 SKETCH_WORDS = 64
-#: Bytes of a wanted document's row in a broadcast.
-WANTED_BYTES = 120
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,7 +114,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shin
     import xxhash
 
     keep = [c for c in wanted.columns if c != "least"]
-    side = F.broadcast(wanted) if wanted.count() * WANTED_BYTES <= BROADCAST_BYTES else wanted
+    side = F.broadcast(wanted) if bytes_of(wanted) <= BROADCAST_BYTES else wanted
     rows = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text")).join(side, F.col("key").eqNullSafe(F.col("least"))).select(*keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -203,6 +203,62 @@ def test_runs_merge_without_a_shuffle(spark, tmp_path):
     assert {(r.key, r.copies) for r in indexes[0].rows().collect()} == {(i or None, 2) for i in range(50)} and indexes[0].rows().count() == 50
 
 
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_compaction_drops_identifiers_and_flushes_ask_filters(spark, tmp_path, monkeypatch, keep):
+    digest = lambda i: hashlib.sha256(str(i).encode()).digest()
+    part = lambda pairs: spark.createDataFrame([(k, digest(d)) for k, d in pairs], "key long, digest binary")
+    index = exact_dedup.MergeIndex(part([(0, 0)]), str(tmp_path / "index"), memtable_rows=5, keep=keep)
+    first, second = [(9, 1), (4, 1), (7, 2), (None, 3), (None, 3)], [(6, 1), (2, 1), (None, 2), (8, 5)]
+    index.flush(part(first))
+    index.compact()
+    best = {"smallest": min, "largest": max}[keep]
+    assert {(bytes(r.digest), r.key, r.copies, r.keys) for r in index.rows().collect()} == {(digest(1), best(9, 4), 2, 2), (digest(2), 7, 1, 1), (digest(3), None, 2, 2)}
+    assert index.levels[1].rows.count() == 3
+    index.flush(part(second))
+    index.compact()
+    assert list(index.levels) == [2]
+    assert {(bytes(r.digest), r.key, r.copies) for r in index.rows().collect()} == {(digest(1), best(9, 4, 6, 2), 4), (digest(2), 7, 2), (digest(3), None, 2), (digest(5), 8, 1)}
+    asked = []
+    passing = exact_dedup.Filter.passing
+    monkeypatch.setattr(exact_dedup.Filter, "passing", lambda self, rows: asked.append(rows.columns) or passing(self, rows))
+    texts = odd_texts()[:30]
+    found = exact_dedup.groups(documents(spark, texts), keep, flush_rows=4)
+    assert len([c for c in asked if c == ["digest"]]) >= 7  # every flush but the first
+    assert {r.keep_key for r in found.collect() if r.group_size > 1} == {x[1] for x in plain_exact(texts, range(len(texts))) if x[2] > 1} or keep == "smallest"
+
+
+def test_calls_leave_no_tables_and_folders_of_others(spark):
+    """Two calls at once: one that ends, or fails, deletes its own folders only."""
+    import threading
+    from pathlib import Path
+
+    from spindrift.llm.common import scratch, shared_dir, written
+
+    base, ended = spark.sparkContext.getConf().get("spark.checkpoint.dir"), threading.Event()
+    kept: dict[str, object] = {}
+
+    def longer():
+        with scratch(spark):
+            kept["table"] = written(spark.range(5), shared_dir(spark))
+            ended.wait(60)
+            kept["n"] = kept["table"].count()
+
+    worker = threading.Thread(target=longer)
+    worker.start()
+    while "table" not in kept:
+        worker.join(0.05)
+    before = {p.name for p in Path(base).glob("spindrift-*")}
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        written(spark.range(3), shared_dir(spark))
+        raise ZeroDivisionError
+    assert {p.name for p in Path(base).glob("spindrift-*")} == before
+    ended.set()
+    worker.join()
+    assert kept["n"] == 5 and len({p.name for p in Path(base).glob("spindrift-*")}) == len(before) - 1
+    exact_dedup.deduplicated(documents(spark, ["a", "a"])).collect()
+    assert not spark.catalog.listTables()
+
+
 def plain_trim(texts, ids, window):
     owner, cut = {}, [WORDS.findall(t or "") for t in texts]
     order = lambda i: (i is None, i or 0)
