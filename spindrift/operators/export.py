@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import stamp
@@ -43,6 +45,23 @@ def job_json(jobs: DataFrame, items: DataFrame, segments: DataFrame) -> DataFram
     return rows.select("id", body.alias("body"))
 
 
+def job_pieces(jobs: DataFrame, items: DataFrame, segments: DataFrame) -> DataFrame:
+    """The JSON text of ``job_json`` as pieces: job_id, section, seq and text, in this order. No job's rows are put into one value.
+
+    ``sources.pieces.write_files`` makes a file of each job; a job without items or segments has empty arrays. Items and segments of jobs there are not are left out.
+    """
+    def listed(rows: DataFrame, section: int) -> DataFrame:
+        own = rows.join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_semi")
+        body = F.to_json(F.struct(*(c for c in rows.columns if c != "job_id")))
+        place = F.row_number().over(Window.partitionBy("job_id").orderBy("seq", body))
+        return own.select("job_id", F.lit(section).alias("section"), place.cast("long").alias("seq"), F.concat(F.when(place == 1, "").otherwise(","), body).alias("text"))
+
+    mark = lambda section, text: jobs.select(F.col("id").alias("job_id"), F.lit(section).alias("section"), F.lit(0).cast("long").alias("seq"), text.alias("text"))
+    head = mark(0, F.concat(F.lit('{"job":'), F.to_json(F.struct(*jobs.columns)), F.lit(',"items":[')))
+    parts = [head, listed(items, 1), mark(2, F.lit('],"segments":[')), listed(segments, 3), mark(4, F.lit("]}"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def export(segments: DataFrame, fmt: str) -> DataFrame:
     """Segments in a format; an unknown one is an error."""
     fmt = fmt.lower()

@@ -105,13 +105,25 @@ def bulk_delete_plan(jobs: DataFrame, include_pinned: bool = False) -> DataFrame
     return jobs.select("id", F.when(skip, "skipped").when(F.col("status").isin(*ACTIVE), "canceled").otherwise("deleted").alias("action"))
 
 
-def status_rollup(items: DataFrame) -> DataFrame:
-    """Job status from its items: none failed, some, or all; and the first three errors, a line each."""
-    failed = F.count_if(F.col("status") == "failed")
-    errors = F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("seq", "id", "error")))), lambda e: e["error"])
-    grouped = items.groupBy("job_id").agg(F.count("*").alias("n"), failed.alias("n_failed"), errors.alias("errors"))
+def delete_plan(jobs: DataFrame, asked: DataFrame, include_pinned: bool = True, strict: bool = True) -> DataFrame:
+    """As ``bulk_delete_plan`` for the jobs that ``asked`` (id) names; an unknown one is an error when the rows are read, or left out if not ``strict``."""
+    wanted = asked.select("id").distinct()
+    if not strict:
+        return bulk_delete_plan(jobs.join(wanted, "id", "left_semi"), include_pinned)
+    found = wanted.join(jobs.select("id", "pinned", "status", F.lit(True).alias("_there")), "id", "left")
+    unknown = F.raise_error(F.concat(F.lit("Unknown job: "), F.col("id").cast("string"))).cast(jobs.schema["id"].dataType)
+    return bulk_delete_plan(found.withColumn("id", F.when(F.col("_there").isNull(), unknown).otherwise(F.col("id"))), include_pinned)
+
+
+def status_rollup(items: DataFrame, shown: int = 3) -> DataFrame:
+    """Job status from its items: none failed, some, or all; and the first errors, a line each; no more than these are kept of a job."""
+    first = Window.partitionBy("job_id").orderBy("seq", "id")
+    kept = items.where("error is not null").select("job_id", "error", F.row_number().over(first).alias("_place")).where(F.col("_place") <= shown)
+    errors = kept.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("_place", "error"))).alias("_errors"))
+    counts = items.groupBy("job_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("n_failed"))
     status = F.when(F.col("n_failed") == 0, "succeeded").when(F.col("n_failed") < F.col("n"), "partial_failed").otherwise("failed")
-    return grouped.select("job_id", status.alias("status"), "n_failed", F.get(F.col("errors"), F.lit(0)).alias("first_error"), F.array_join(F.slice("errors", 1, 3), "\n").alias("summary"))
+    text = F.transform(F.coalesce("_errors", F.array().cast("array<struct<_place:int,error:string>>")), lambda e: e["error"])
+    return counts.join(errors, "job_id", "left").select("job_id", status.alias("status"), "n_failed", F.get(text, F.lit(0)).alias("first_error"), F.array_join(text, "\n").alias("summary"))
 
 
 def path_depth_first(paths: DataFrame, column: str = "path") -> DataFrame:

@@ -111,3 +111,17 @@ def metrics_payload(rows: DataFrame, job: DataFrame, summary_only: bool = False,
     # The rows of one job; they are its payload, so they are one value.
     listed = found.agg(F.array_sort(F.collect_list(F.struct("id", *(c for c in found.columns if c != "id")))).alias("metrics"))
     return body.crossJoin(listed)
+
+
+def metrics_pieces(rows: DataFrame, job: DataFrame, **filters: object) -> DataFrame:
+    """The payload of ``metrics_payload`` as pieces of a JSON text: section, id and text, in this order; a job of any number of rows."""
+    head = metrics_payload(rows, job, summary_only=True, **filters)
+    wanted = {k: v for k, v in filters.items() if v not in (None, [], ())}
+    found = ledger.faceted(rows, **wanted) if wanted else rows
+    body = F.to_json(F.struct("id", *(c for c in found.columns if c != "id")))
+    least = found.agg(F.min("id").alias("_least"))
+    lines = found.crossJoin(F.broadcast(least)).select(F.lit(1).alias("section"), F.col("id").cast("long").alias("id"), F.concat(F.when(F.col("id") == F.col("_least"), "").otherwise(","), body).alias("text"))
+    begin = F.regexp_replace(F.to_json(F.struct("job", "summary", "filters")), r"\}$", ',"metrics":[')
+    first = head.select(F.lit(0).alias("section"), F.lit(0).cast("long").alias("id"), begin.alias("text"))
+    last = head.select(F.lit(2).alias("section"), F.lit(0).cast("long").alias("id"), F.lit("]}").alias("text"))
+    return first.unionByName(lines).unionByName(last)

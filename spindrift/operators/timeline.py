@@ -200,15 +200,32 @@ def timeline_bar(segments: DataFrame, width: int = 80) -> DataFrame:
     return by_cell.select("item", bar.alias("bar"))
 
 
-def corrected(segments: DataFrame, corrections: DataFrame) -> DataFrame:
+#: Fixed value: the first line of the explanation of a corrected segment.
+CORRECTED = "Manually corrected by the user."
+
+
+def corrected(segments: DataFrame, corrections: DataFrame, strict: bool = False) -> DataFrame:
     """Manual corrections of exact intervals: the new key becomes the match, the old one the first of at most five alternates.
 
-    segments: item, start_ms, end_ms, kind, key, confidence, uncertainty, alternates; corrections: item, start_ms, end_ms, new_key.
+    segments: item, start_ms, end_ms, kind, key, confidence, uncertainty, alternates and, if there, metadata_hints and explanation, which
+    then name the correction; corrections: item, start_ms, end_ms, new_key. A correction of a segment that is not there is left out, or, if ``strict``, an
+    error when the rows are read.
     """
-    rows = segments.join(corrections, ["item", "start_ms", "end_ms"], "left")
+    spot = ["item", "start_ms", "end_ms"]
+    trimmed = corrections.withColumn("new_key", F.trim("new_key"))
+    rows = segments.withColumn("_there", F.lit(True)).join(trimmed, spot, "full_outer" if strict else "left")
+    if strict:
+        missing = F.raise_error(F.concat_ws(" ", F.lit("Segment not found:"), *spot)).cast(segments.schema["item"].dataType)
+        rows = rows.withColumn("item", F.when(F.col("_there").isNull(), missing).otherwise(F.col("item")))
     fixed = F.col("new_key").isNotNull()
     others = F.array_distinct(F.filter(F.concat(F.array("key"), "alternates"), lambda k: k.isNotNull() & (k != F.col("new_key"))))
-    return rows.withColumns({
+    found = {
         "alternates": F.when(fixed, F.slice(others, 1, 5)).otherwise(F.col("alternates")), "kind": F.when(fixed, "matched_track").otherwise(F.col("kind")), "key": F.coalesce("new_key", "key"),
         "confidence": F.when(fixed, F.greatest(F.lit(0.99), F.col("confidence"))).otherwise(F.col("confidence")), "uncertainty": F.when(fixed, 0.0).otherwise(F.col("uncertainty")),
-    }).drop("new_key")
+    }
+    given = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    if "metadata_hints" in segments.columns:
+        found["metadata_hints"] = F.when(fixed, F.array_distinct(F.concat(given("metadata_hints"), F.array(F.concat(F.lit("manual:"), F.col("new_key")))))).otherwise(F.col("metadata_hints"))
+    if "explanation" in segments.columns:
+        found["explanation"] = F.when(fixed, F.concat(F.array(F.lit(CORRECTED)), F.filter(given("explanation"), lambda x: x != CORRECTED))).otherwise(F.col("explanation"))
+    return rows.withColumns(found).drop("new_key", "_there")

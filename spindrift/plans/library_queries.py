@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.operators import library as L
+from spindrift.operators import ordering
 from spindrift.plans import views
 from spindrift.plans.registry import query
 
@@ -37,13 +38,10 @@ def recent_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.recent(views.jobs(spark, sf_dir)).select("id", "status", F.date_format("created_at", _STAMP).alias("created_at"))
 
 
-@query(f"with {views.JOBS} select id, title, pinned, rank() over (order by pinned desc, updated_at desc, id) as place from jobs where pinned qualify place <= 40")
+@query(f"with {views.JOBS} select id, title, pinned, row_number() over (order by pinned desc, updated_at desc, id) as place from jobs")
 def pinned_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first forty of the library, pinned jobs before others."""
-    from pyspark.sql import Window
-
-    top = views.jobs(spark, sf_dir).orderBy(F.desc("pinned"), F.desc("updated_at"), "id").limit(40).where("pinned")
-    return top.withColumn("place", F.rank().over(Window.orderBy(F.desc("pinned"), F.desc("updated_at"), "id")).cast("long")).select("id", "title", "pinned", "place")
+    """The whole library with each job's place, pinned jobs before others."""
+    return ordering.placed(views.jobs(spark, sf_dir), [F.desc("pinned"), F.desc("updated_at"), "id"]).select("id", "title", "pinned", "place")
 
 
 @query(f"with {views.ARTIFACTS}, once as (select * from artifacts qualify row_number() over (partition by path order by job_id, id) = 1) select category, count(*) as files, sum(size_bytes)::bigint as bytes from once group by 1")
@@ -91,6 +89,13 @@ def bulk_delete_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.bulk_delete_plan(views.jobs(spark, sf_dir)).groupBy("action").agg(F.count("*").alias("n"))
 
 
+@query(f"with {views.JOBS} select id, case when status in ('queued', 'running') then 'canceled' else 'deleted' end as action from jobs where id % 20 = 0")
+def delete_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jobs asked for, pinned ones too; an id that is no job's would be an error."""
+    jobs = views.jobs(spark, sf_dir)
+    return L.delete_plan(jobs, jobs.where("id % 20 = 0").select("id"))
+
+
 @query(f"""with {views.ITEMS} select job_id, case when count(error) = 0 then 'succeeded' when count(error) < count(*) then 'partial_failed' else 'failed' end as status, count(error) as n_failed,
   (list(error order by seq, id) filter (error is not null))[1] as first_error, coalesce(array_to_string((list(error order by seq, id) filter (error is not null))[1:3], chr(10)), '') as summary from items group by 1""")
 def item_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,12 +42,14 @@ def effective_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.durations(spark, sf_dir).select("id", budget.alias("budget"))
 
 
-@query("""with g as (select a.range as cpus, b.range as ram from range(1, 17) a, range(0, 33) b)
-select cpus, ram, case when ram <= 0 then least(4, greatest(2, cpus)) else greatest(1, least(8, case when cpus > 2 then cpus - 1 else cpus end, greatest(1, floor((ram - 2) / 1.5)::bigint))) end::int as workers,
+@query("""with g as (select distinct p_partkey % 16 + 1 as cpus, (p_size * 7 + p_partkey) % 33 as ram, p_size % 9 as asked from part)
+select cpus, ram, asked, case when ram <= 0 then least(4, greatest(2, cpus)) else greatest(1, least(8, case when cpus > 2 then cpus - 1 else cpus end, greatest(1, floor((ram - 2) / 1.5)::bigint))) end::int as workers,
   greatest(1, least(6, greatest(2, 2 * cpus), greatest(1, ram)))::int as segment_workers from g""")
 def worker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(1, 17).withColumnRenamed("id", "cpus").withColumn("ram", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(32).cast("long"))))
-    return grid.select("cpus", "ram", planning.job_workers(F.col("cpus"), F.col("ram")).alias("workers"), planning.segment_workers(F.lit(0), F.col("cpus"), F.col("ram")).cast("int").alias("segment_workers"))
+    """Machines with the cores and memory that parts' sizes and keys give."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    grid = views.table(spark, sf_dir, "part").select((key % 16 + 1).alias("cpus"), ((size * 7 + key) % 33).alias("ram"), (size % 9).alias("asked")).distinct()
+    return grid.select("cpus", "ram", "asked", planning.job_workers(F.col("cpus"), F.col("ram")).alias("workers"), planning.segment_workers(F.lit(0), F.col("cpus"), F.col("ram")).cast("int").alias("segment_workers"))
 
 
 _STARTS = "list_distinct(range(0, greatest(0, {last}) + 1, {step}) || [greatest(0, {last})])"
@@ -120,11 +122,11 @@ def window_dedup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.posexplode(best).alias("place", "w")).select("id", "w.label", "w.start_ms", "w.end_ms", (F.col("place") + 1).alias("place"))
 
 
-@query(f"""with {_D}, w as (select id, duration_ms, label, unnest({_STARTS.format(last='duration_ms - 12000', step='hop')}) as start_ms from durations, (values ('mix', 60000), ('instrumental', 90000)) v(label, hop) where id % 7 = 0),
+@query(f"""with {_D}, w as (select id, duration_ms, label, unnest({_STARTS.format(last='duration_ms - 12000', step='hop')}) as start_ms from durations, (values ('mix', 60000), ('instrumental', 90000)) v(label, hop)),
 o as (select distinct id, label, start_ms, least(duration_ms, start_ms + 12000) as end_ms from w) select id, label, start_ms, end_ms, row_number() over (partition by id order by start_ms, label, end_ms)::int as place from o qualify place <= 5""")
 def window_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of two planners as rows, in order of time, the first five of each medium."""
-    rows = views.durations(spark, sf_dir).where("id % 7 = 0")
+    rows = views.durations(spark, sf_dir)
     plans = [planning.sliding_windows(rows, 12_000, hop).withColumn("label", F.lit(label)) for label, hop in (("mix", 60_000), ("instrumental", 90_000))]
     return planning.ranked(plans[0].unionByName(plans[1]), ["id"], F.lit(5), by_score=False).select("id", "label", "start_ms", "end_ms", "place")
 

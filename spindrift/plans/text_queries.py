@@ -10,7 +10,8 @@ from spindrift.functions import urls as U
 from spindrift.operators import export, similarity
 from spindrift.plans import views
 from spindrift.plans.registry import query
-from spindrift.sources import readers
+from spindrift.sources import pieces, readers
+from spindrift.sources.folders import shared_folder
 
 _HTTP = r"'^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::\d+)?([^?#]*)'"
 
@@ -21,40 +22,41 @@ def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "pages").select("page_id", U.canonical(F.col("url")).alias("canonical"))
 
 
-#: Addresses of sites with rules of their own, and their canonical form.
+#: Addresses of sites with rules of their own, and their canonical form; {k} and {u} stand for an event's number and user.
 SITES = (
-    ("https://www.instagram.com/reel/Cxyz123/?utm_source=a&igsh=b", "https://www.instagram.com/reel/Cxyz123"),
-    ("https://m.tiktok.com/@artist/video/1234567890?lang=en", "https://www.tiktok.com/@artist/video/1234567890"),
-    ("https://twitter.com/example/status/1234567890?s=20&t=x", "https://x.com/example/status/1234567890"),
-    ("https://open.spotify.com/intl-de/track/abc?si=1&utm_medium=x", "https://open.spotify.com/track/abc"),
-    ("https://www.deezer.com/en/track/1?utm_source=x", "https://www.deezer.com/track/1"),
-    ("https://tidal.com/browse/track/1", "https://listen.tidal.com/track/1"),
-    ("https://old.reddit.com/r/music/comments/1/?rdt=2", "https://www.reddit.com/r/music/comments/1"),
-    ("https://www.pornhub.com/view_video.php?viewkey=k1&foo=2", "https://www.pornhub.com/view_video.php?viewkey=k1"),
-    ("https://m.youtube.com/watch?v=abc&list=RDabc&index=3", "https://www.youtube.com/watch?v=abc"),
-    ("https://www.youtube.com/shorts/xyz?feature=share", "https://www.youtube.com/watch?v=xyz"),
-    ("https://youtu.be/abc?t=3", "https://youtu.be/abc"),
-    ("https://www.youtube.com/playlist?list=PL1&si=z", "https://www.youtube.com/playlist?list=PL1"),
-    ("https://vimeo.com/1234/?utm_source=a&h=9", "https://vimeo.com/1234?h=9"),
-    ("https://m.soundcloud.com/a/b?utm_medium=c&in=d%2Fe", "https://soundcloud.com/a/b?in=d%2Fe"),
-    ("http://Example.com/a/?x=1#frag", "https://example.com/a"),
-    ("/local/file.wav", "/local/file.wav"),
+    ("https://www.instagram.com/reel/C{k}x{u}/?utm_source=a&igsh=b", "https://www.instagram.com/reel/C{k}x{u}"),
+    ("https://m.tiktok.com/@artist{u}/video/{k}?lang=en", "https://www.tiktok.com/@artist{u}/video/{k}"),
+    ("https://twitter.com/user{u}/status/{k}?s=20&t=x", "https://x.com/user{u}/status/{k}"),
+    ("https://open.spotify.com/intl-de/track/a{k}?si={u}&utm_medium=x", "https://open.spotify.com/track/a{k}"),
+    ("https://www.deezer.com/en/track/{k}?utm_source=x{u}", "https://www.deezer.com/track/{k}"),
+    ("https://tidal.com/browse/track/{k}", "https://listen.tidal.com/track/{k}"),
+    ("https://old.reddit.com/r/music{u}/comments/{k}/?rdt=2", "https://www.reddit.com/r/music{u}/comments/{k}"),
+    ("https://www.pornhub.com/view_video.php?viewkey=k{k}&foo={u}", "https://www.pornhub.com/view_video.php?viewkey=k{k}"),
+    ("https://m.youtube.com/watch?v=a{k}&list=RDa{k}&index={u}", "https://www.youtube.com/watch?v=a{k}"),
+    ("https://www.youtube.com/shorts/x{k}?feature=share", "https://www.youtube.com/watch?v=x{k}"),
+    ("https://youtu.be/a{k}?t={u}", "https://youtu.be/a{k}"),
+    ("https://www.youtube.com/playlist?list=PL{k}&si={u}", "https://www.youtube.com/playlist?list=PL{k}"),
+    ("https://vimeo.com/{k}/?utm_source=a&h={u}", "https://vimeo.com/{k}?h={u}"),
+    ("https://m.soundcloud.com/a{u}/b{k}?utm_medium=c&in=d%2Fe", "https://soundcloud.com/a{u}/b{k}?in=d%2Fe"),
+    ("http://Example.com/a{k}/?x={u}#frag", "https://example.com/a{k}"),
+    ("/local/{u}/file{k}.wav", "/local/{u}/file{k}.wav"),
 )
 
 
-def _picked(values: list[str]) -> str:
-    """SQL: one of some texts for each event, by its id."""
-    return "[" + ", ".join(f"'{v}'" for v in values) + f"][(event_id % {len(values)} + 1)::int]"
+def _written_out(form: str, key: str, user: str) -> str:
+    """SQL: a form with an event's number and user."""
+    return f"replace(replace('{form}', '{{k}}', {key}::varchar), '{{u}}', {user}::varchar)"
 
 
-def _pick(values: list[str]) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % len(values) + 1).cast("int"))
+def _filled(form: str, key: str, user: str) -> Column:
+    return F.replace(F.replace(F.lit(form), F.lit("{k}"), F.col(key).cast("string")), F.lit("{u}"), F.col(user).cast("string"))
 
 
-@query(f"select event_id, {_picked([a for a, _ in SITES])} as url, {_picked([b for _, b in SITES])} as canonical from events")
+@query(" union all ".join(f"select event_id, {_written_out(a, 'event_id', 'user_id')} as url, {_written_out(b, 'event_id', 'user_id')} as canonical from events where event_id % {len(SITES)} = {n}" for n, (a, b) in enumerate(SITES)))
 def site_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event's address, of one of the known sites."""
-    rows = views.table(spark, sf_dir, "events").select("event_id", _pick([a for a, _ in SITES]).alias("url"))
+    """An address of every event's number and user, of the known sites by turns."""
+    form = F.element_at(F.array(*(_filled(a, "event_id", "user_id") for a, _ in SITES)), (F.col("event_id") % len(SITES) + 1).cast("int"))
+    rows = views.table(spark, sf_dir, "events").select("event_id", form.alias("url"))
     return rows.withColumn("canonical", U.canonical(F.col("url")))
 
 
@@ -73,12 +75,27 @@ def input_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "pages").groupBy(readers.input_kind(value).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("""with h as (select b, c from range(0, 256, 3) x(b), (select unnest(['10.1.1.1', '127.0.0.1', '169.254.9.9', '172.16.0.1', '172.32.0.1', '192.168.0.1', '192.169.0.1', '8.8.8.8', '224.0.0.1', '0.0.0.0', '::1', 'fe80::1', 'fd00::1', '2606:4700::1', 'example.com', 'localhost']) as c))
-select c as host, c in ('10.1.1.1', '127.0.0.1', '169.254.9.9', '172.16.0.1', '192.168.0.1', '224.0.0.1', '0.0.0.0', '::1', 'fe80::1', 'fd00::1', 'localhost') as blocked, count(*) as n from h group by 1, 2""")
+_HOSTS = """hosts as (
+  select o_orderkey as id, o_orderkey % 256 as a, case when o_orderkey % 3 = 0 then [168, 16, 254, 18, 51, 0][(o_custkey % 6 + 1)::int] else o_custkey % 256 end as b, o_orderkey // 256 % 256 as c, o_custkey // 256 % 256 as d from orders)"""
+
+
+@query(f"""with {_HOSTS}, named as (
+  select id, case id % 5 when 0 then '::ffff:' || a || '.' || b || '.' || c || '.' || d when 1 then 'h' || a || '.example.com' when 2 then 'f' || ['c', 'd', 'e80', '0', 'f02'][(b % 5 + 1)::int] || case when b % 5 < 2 then lpad(lower(to_hex(c)), 2, '0') else '' end || '::' || lower(to_hex(d + 1)) else a || '.' || b || '.' || c || '.' || d end as host,
+    id % 5 = 2 as six, id % 5 = 1 as name, b % 5 as kind, a, b, c from hosts)
+select id, host, case when name then false when six then kind != 3 else a in (0, 10, 127) or a >= 224 or (a = 169 and b = 254) or (a = 172 and b between 16 and 31) or (a = 192 and b = 168) or (a = 192 and b = 0 and c in (0, 2))
+  or (a = 198 and b in (18, 19)) or (a = 198 and b = 51 and c = 100) or (a = 203 and b = 0 and c = 113) end as blocked from named""")
 def unsafe_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = "10.1.1.1 127.0.0.1 169.254.9.9 172.16.0.1 172.32.0.1 192.168.0.1 192.169.0.1 8.8.8.8 224.0.0.1 0.0.0.0 ::1 fe80::1 fd00::1 2606:4700::1 example.com localhost".split()
-    rows = spark.range(0, 256, 3).withColumn("host", F.explode(F.array(*map(F.lit, names))))
-    return rows.groupBy("host", U.unsafe_address(F.col("host")).alias("blocked")).agg(F.count("*").alias("n"))
+    """Hosts from orders' numbers: addresses of four bytes, plain and within longer ones, longer ones of several blocks, and names."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    a, c, d = key % 256, F.floor(key / 256) % 256, F.floor(customer / 256) % 256
+    b = F.when(key % 3 == 0, F.element_at(F.array(*map(F.lit, (168, 16, 254, 18, 51, 0))), (customer % 6 + 1).cast("int")).cast("long")).otherwise(customer % 256)
+    hexed = lambda x: F.lower(F.hex(x))
+    start = F.element_at(F.array(*map(F.lit, ("c", "d", "e80", "0", "f02"))), (b % 5 + 1).cast("int"))
+    six = F.concat(F.lit("f"), start, F.when(b % 5 < 2, F.lpad(hexed(c), 2, "0")).otherwise(""), F.lit("::"), hexed(d + 1))
+    four = F.concat_ws(".", a, b, c, d)
+    host = F.when(key % 5 == 0, F.concat(F.lit("::ffff:"), four)).when(key % 5 == 1, F.concat(F.lit("h"), a, F.lit(".example.com"))).when(key % 5 == 2, six).otherwise(four)
+    rows = views.table(spark, sf_dir, "orders").select(key.alias("id"), host.alias("host"))
+    return rows.withColumn("blocked", U.unsafe_address(F.col("host")))
 
 
 @query(f"""with {views.TRACKS}, q as (select id, artist || ' ' || title as q from tracks), e as (select id, replace(replace(replace(replace(replace(replace(replace(q, '%', '%25'), '(', '%28'), ')', '%29'), '[', '%5B'), ']', '%5D'), '#', '%23'), '&', '%26') as e from q)
@@ -88,20 +105,20 @@ def search_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.tracks(spark, sf_dir).select("id", links["spotify"].alias("spotify"), links["youtube_music"].alias("youtube_music"))
 
 
-#: Uri, fallback and link; the last one's link is its fallback.
-_LINKS = (
-    ("https://a.example/x", "f", "https://a.example/x"),
-    ("spotify:search:Purple%20Rain%20Prince", "f", "https://open.spotify.com/search/Purple%20Rain%20Prince"),
-    ("deezer-query://x?q=%7Btrack%3A%27Halo%27%20artist%3A%27Beyonce%27%7D", "f", "https://www.deezer.com/search/Beyonce%20Halo"),
-    ("intent:other", "f", "f"),
-)
-
-
-@query(f"select event_id, {_picked([a for a, _, _ in _LINKS])} as uri, case when event_id % {len(_LINKS)} = {len(_LINKS) - 1} then 'https://x.example/' || event_id else {_picked([c for _, _, c in _LINKS])} end as link from events")
+@query(f"""with {views.TRACKS}, w as (select id, 'w' || id || ' x' || id % 7 as title, 'a' || id % 13 as artist from tracks)
+select id, 0 as form, 'https://a.example/' || id as uri, 'https://a.example/' || id as link from w union all select id, 1, 'spotify:search:' || replace(title || ' ' || artist, ' ', '%20'), 'https://open.spotify.com/search/' || replace(title || ' ' || artist, ' ', '%20') from w
+union all select id, 2, 'deezer-query://x?q=%7Btrack%3A%27' || replace(title, ' ', '%20') || '%27%20artist%3A%27' || artist || '%27%7D', 'https://www.deezer.com/search/' || artist || '%20' || replace(title, ' ', '%20') from w
+union all select id, 3, 'intent:' || id, 'https://x.example/' || id from w""")
 def provider_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event's link in a provider's own form, with a fallback of its own."""
-    rows = views.table(spark, sf_dir, "events").select("event_id", _pick([a for a, _, _ in _LINKS]).alias("uri"))
-    return rows.withColumn("link", T.normalized_link(F.col("uri"), F.concat(F.lit("https://x.example/"), F.col("event_id"))))
+    """Each track's link in the forms that providers give, with a fallback of its own."""
+    key = F.col("id")
+    title, artist = F.concat(F.lit("w"), key, F.lit("%20x"), key % 7), F.concat(F.lit("a"), key % 13)
+    forms = (
+        F.concat(F.lit("https://a.example/"), key), F.concat(F.lit("spotify:search:"), title, F.lit("%20"), artist),
+        F.concat(F.lit("deezer-query://x?q=%7Btrack%3A%27"), title, F.lit("%27%20artist%3A%27"), artist, F.lit("%27%7D")), F.concat(F.lit("intent:"), key),
+    )
+    rows = views.tracks(spark, sf_dir).select("id", F.posexplode(F.array(*forms)).alias("form", "uri"))
+    return rows.withColumn("link", T.normalized_link(F.col("uri"), F.concat(F.lit("https://x.example/"), key)))
 
 
 _LINES = r"""lines as (select id, 'Intro ' || lpad((n % 60)::varchar, 2, '0') || ':' || lpad((n % 59)::varchar, 2, '0') || chr(10) || 'no time here' || chr(10) || 'Part ' || (n % 12)::varchar || ':' || lpad((n % 60)::varchar, 2, '0') || ':' || lpad((n % 53)::varchar, 2, '0') || ' then 01:01' as text, n
@@ -197,6 +214,21 @@ def job_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bodies.select("id", back.alias("b")).select("id", F.coalesce(F.size("b.items"), F.lit(0)).cast("long").alias("n_items"), F.col("b.job.status").alias("status"))
 
 
+@query(f"""with {views.JOBS}, {views.ITEMS}, i as (select job_id, count(*) as n, string_agg(id, ',' order by seq, id) as ids from items group by 1)
+select j.id::varchar as id, coalesce(i.n, 0) as n_items, coalesce(i.ids, '') as ids, j.status from jobs j left join i on i.job_id = j.id""")
+def exported_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON file for each job, streamed by tasks in pieces, and read back."""
+    items = views.items(spark, sf_dir).select("job_id", "seq", "id", "status", "error")
+    found = export.job_pieces(views.jobs(spark, sf_dir).select("id", "status", "input"), items, items.select("job_id", "seq", F.lit(0).alias("start_ms")))
+    folder = f"{shared_folder(spark)}/jobs"
+    pieces.write_files(found, folder, "job_id", ["section", "seq", "text"], "text", ".json")
+    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("id"), "value")
+    body = F.from_json("value", "job struct<status string>, items array<struct<seq long, id string>>, segments array<struct<seq long>>")
+    rows = files.select("id", body.alias("b"))
+    ids = F.transform(F.array_sort(F.transform("b.items", lambda x: F.struct(x["seq"].alias("seq"), x["id"].alias("id")))), lambda x: x["id"])
+    return rows.select("id", F.size("b.items").cast("long").alias("n_items"), F.array_join(ids, ",").alias("ids"), F.col("b.job.status").alias("status"))
+
+
 @query(f"with {views.ARTIFACTS} select id, '/cache/' || job_id || case when temporary then '/tmp/' else '/' end || label as path from artifacts order by (case when temporary then 5 else 4 end) desc, path, id limit 30")
 def deepest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The thirty deepest paths, in order of removal."""

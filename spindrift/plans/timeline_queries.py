@@ -195,14 +195,19 @@ def stitched_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_FUSED}, c as (select *, primary_seq % 10 = 0 as fixed from fused)
-select fixed, count(*) as n, round(min(case when fixed then greatest(0.99::double, confidence) else confidence end), 6) as least from c group by 1""")
+select item::varchar || '/' || key as item, start_ms, end_ms, case when fixed then 'matched_track' else 'music_unresolved' end as kind, case when fixed then 'manual ' || key else key end as key, round(case when fixed then greatest(0.99::double, confidence) else confidence end, 6) as confidence,
+  case when fixed then key else '' end as alternates, 'hint' || case when fixed then ',manual:manual ' || key else '' end as hints, case when fixed then 'Manually corrected by the user.,' else '' end || 'fused' as explanation from c""")
 def corrected_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments whose primary hit has an id divisible by ten, corrected by hand."""
+    """Segments whose primary hit has an id divisible by ten, corrected by hand, with hints and explanations."""
     fused = timeline.fused(views.hits(spark, sf_dir))
-    segments = fused.select(F.concat_ws("/", "item", "key").alias("item"), "start_ms", "end_ms", "key", "confidence", "uncertainty", F.lit("music_unresolved").alias("kind"), F.array().cast("array<string>").alias("alternates"), "primary_seq")
-    corrections = segments.where("primary_seq % 10 = 0").select("item", "start_ms", "end_ms", F.concat(F.lit("manual "), F.col("key")).alias("new_key"))
-    rows = timeline.corrected(segments.drop("primary_seq"), corrections)
-    return rows.groupBy((F.col("kind") == "matched_track").alias("fixed")).agg(F.count("*").alias("n"), F.round(F.min("confidence"), 6).alias("least"))
+    texts = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    segments = fused.select(
+        F.concat_ws("/", "item", "key").alias("item"), "start_ms", "end_ms", "key", "confidence", F.col("uncertainty").cast("double").alias("uncertainty"), F.lit("music_unresolved").alias("kind"), texts().alias("alternates"), texts("hint").alias("metadata_hints"), texts("fused").alias("explanation"), "primary_seq",
+    )
+    corrections = segments.where("primary_seq % 10 = 0").select("item", "start_ms", "end_ms", F.concat(F.lit(" manual "), F.col("key"), F.lit(" ")).alias("new_key"))
+    rows = timeline.corrected(segments.drop("primary_seq"), corrections, strict=True)
+    listed = [F.array_join(c, ",").alias(a) for c, a in (("alternates", "alternates"), ("metadata_hints", "hints"), ("explanation", "explanation"))]
+    return rows.select("item", "start_ms", "end_ms", "kind", "key", F.round("confidence", 6).alias("confidence"), *listed)
 
 
 _EXPORTED = f"""{_TIMELINE}, named as (select *, case when kind = 'matched_track' then key || ' song' end as title, case when kind = 'matched_track' and seq % 3 != 0 then 'Artist ' || seq % 9 end as artist from timeline)"""
