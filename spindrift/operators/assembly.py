@@ -113,3 +113,9 @@ def quality_band(confidence: Column) -> Column:
 def job_context(jobs: DataFrame) -> DataFrame:
     """Counts of active and ended jobs by status."""
     return jobs.agg(F.count("*").alias("jobs"), F.count_if(F.col("status").isin("queued", "running")).alias("active"), F.count_if(F.col("status") == "running").alias("running"))
+
+
+def by_item(segments: DataFrame, *order: str) -> DataFrame:
+    """Segments by item: item, place (from 1) and the segment's columns, in order; rows and not lists, so that an item may be of any length."""
+    place = F.row_number().over(Window.partitionBy("item").orderBy(*(order or ("start_ms", "end_ms"))))
+    return segments.withColumn("place", place).select("item", "place", *(c for c in segments.columns if c != "item"))

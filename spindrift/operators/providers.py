@@ -61,6 +61,12 @@ def with_settings(found: DataFrame, saved: DataFrame, order: Iterable[str] = ORD
     )
 
 
+def saved_settings(rows: DataFrame) -> DataFrame:
+    """name, enabled and config map of a table of settings (name, enabled as a number, config_json); a faulty text is an empty map."""
+    config = F.coalesce(F.from_json("config_json", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return rows.select("name", (F.coalesce(F.col("enabled"), F.lit(0)) != 0).alias("enabled"), config.alias("config"))
+
+
 def active(names: DataFrame, saved: DataFrame) -> DataFrame:
     """Recognizers that are not switched off; those without settings are on."""
     return names.join(saved.where(~F.col("enabled")).select("name"), "name", "left_anti")

@@ -10,12 +10,17 @@ from spindrift.operators import ledger
 
 def known(jobs: DataFrame, job_id: object) -> DataFrame:
     """The job; an error where there is none."""
-    found = jobs.where(F.col("id") == job_id)
+    found = by_id(jobs, job_id)
     if found.isEmpty():
         raise ValueError(f"no job {job_id!r}")
     return found
 
 
+def by_id(jobs: DataFrame, job_id: object) -> DataFrame:
+    """The job of an id, or no row."""
+    return jobs.where(F.col("id") == job_id)
+
+
 def scan(rows: DataFrame, order: list[Column | str], job_id: object = None) -> DataFrame:
     """Rows of one job, or of all, in order."""
     return (rows if job_id is None else rows.where(F.col("job_id") == job_id)).orderBy(*order)

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import identity as I  # noqa: E741
 from spindrift.functions import text as T
-from spindrift.operators import ledger, ordering, segmentation, store, timeline
+from spindrift.operators import assembly, ledger, ordering, providers, segmentation, store, timeline
 from spindrift.plans import views
 from spindrift.plans.ledger_queries import _SEGMENTS, _SUMS
 from spindrift.plans.registry import query
 from spindrift.plans.timeline_queries import _ARTISTS, _TITLE
-from spindrift.sources import readers
+from spindrift.sources import inputs, readers
 
 _STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -181,3 +181,49 @@ def analyzed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.frames(spark, sf_dir).withColumns({"label": label, "chroma": F.slice("vector", 1, 12)})
     found = segmentation.analyzed(rows, feature=0.2, chroma=0.1, certain=0.4)
     return found.select("item", "segment", "start_ms", "end_ms", "kind", F.round("music_ratio", 9).alias("music_ratio"), "repeat_group")
+
+
+@query(f"with {views.JOBS} select id, status, title, input from jobs where id = 7")
+def job_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One job by its id; the filter reaches the scan."""
+    return store.by_id(views.jobs(spark, sf_dir), 7).select("id", "status", "title", "input")
+
+
+@query("select s_name as name, s_suppkey % 3 != 0 as enabled, case when s_suppkey % 5 = 0 then '' else 'api_token=' || s_name || ',nation=' || s_nationkey end as config from supplier")
+def saved_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings kept as JSON, some of it faulty."""
+    key = F.col("s_suppkey")
+    body = F.when(key % 5 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("s_name").alias("api_token"), F.col("s_nationkey").cast("string").alias("nation"))))
+    rows = views.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.when(key % 3 == 0, 0).otherwise(1).alias("enabled"), body.alias("config_json"))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("config"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return providers.saved_settings(rows).select("name", "enabled", shown.alias("config"))
+
+
+@query(f"with {views.HITS} select item, seq, row_number() over (partition by item order by start_ms, seq)::int as place from hits")
+def segments_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.by_item(views.hits(spark, sf_dir), "start_ms", "seq").select("item", "seq", "place")
+
+
+@query("""with i as (select o_orderkey as k, o_custkey as c from orders)
+select k as job_id, 1 as place, null::int as entry_index, 'local_file' as kind, case when k % 6 = 0 then 'queued' else 'failed' end as status,
+  case when k % 6 = 0 then null when k % 6 = 1 then 'Input file does not exist: /media/m' || k || '.wav' else 'Input path is not a file: /media/d' || k end as error, case k % 6 when 0 then 'f' || k || '.wav' when 1 then 'm' || k || '.wav' else 'd' || k end as title, null as download_url from i where k % 6 in (0, 1, 2)
+union all select k, 1, null, 'direct_http', 'queued', null, 's' || k || '.mp3', 'https://x.example.com/a/s' || k || '.mp3' from i where k % 6 = 3
+union all select k, 1, e.n, 'yt_dlp', 'queued', null, e.name || k, 'https://a.example/' || e.name || k from i, (values (1, 'a'), (1, 'b'), (2, 'c')) e(n, name) where k % 6 = 4
+union all select k, 1, null, case when c % 2 = 0 then 'direct_http' else 'yt_dlp' end, 'failed', case when c % 2 = 0 then 'Address not allowed: 10.0.0.' || c % 256 else 'No answer for https://nobody.example.com/' || k end, null, null from i where k % 6 = 5""")
+def resolved_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs of all kinds as source items: files there and not, folders, media, playlists, hosts that must not be asked, and addresses nobody answers for."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    form = k % 6
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    blocked = text("http://10.0.0.", c % 256, "/x.mp3")
+    value = (
+        F.when(form == 0, text(" /media/f", k, ".wav ")).when(form == 1, text("/media/m", k, ".wav")).when(form == 2, text("/media/d", k)).when(form == 3, text("http://X.example.com/a/s", k, ".mp3?utm_source=a"))
+        .when(form == 4, text("https://list.example.com/", k)).when(c % 2 == 0, blocked).otherwise(text("https://nobody.example.com/", k))
+    )
+    orders = views.table(spark, sf_dir, "orders").select(k, c)
+    files = orders.where(form == 0).select(text("/media/f", k, ".wav").alias("path")).unionByName(orders.where(form == 2).select(text("/media/d", k, "/inner.wav").alias("path")))
+    one = lambda name: text(f'{{"title":"{name}', k, f'","url":"https://a.example/{name}', k, '"}')
+    body = text('{"title":"all","entries":[{"entries":[', one("a"), ",", one("b"), "]},", one("c"), ",null]}")
+    answers = orders.where(form == 4).select(text("https://list.example.com/", k).alias("url"), body.alias("body"))
+    found = inputs.resolved(orders.select(k.alias("job_id"), F.lit(1).alias("place"), value.alias("value")), files, answers)
+    return found.select("job_id", "place", "entry_index", "kind", "status", "error", "title", "download_url")
