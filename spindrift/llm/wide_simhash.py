@@ -283,7 +283,8 @@ def near_links(fps: DataFrame, base: str, n_words: int, distance: int, tables: i
     n = fps.count()
     bits, tables = bits_for(n), tables or tables_for(n, distance, n_words)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_code = lambda df: df.repartition(parts, "code").sortWithinPartitions("code")
+    # The smallest vertex comes first, so that the cells of all tables link a dense group to the same few.
+    by_code = lambda df: df.repartition(parts, "code").sortWithinPartitions("code", "vertex")
     kind = "code long, u long, v long"
     found = written(by_code(cells_of(fps, n_words, tables, bits)).mapInArrow(lambda batches: links_of(batches, n_words, distance, cell_rows), kind), f"{base}/links")
     links = found.where("code is null").select("u", "v")
