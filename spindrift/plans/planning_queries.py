@@ -116,7 +116,7 @@ s as (select id, label, start_ms, least(duration_ms, start_ms + 12000) as end_ms
 o as (select distinct * from s) select id, label, start_ms, end_ms, row_number() over (partition by id order by score desc, start_ms, label, end_ms)::int as place from o qualify place <= 10""")
 def window_dedup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of three planners over all media but long mixes, distinct, the ten best of each."""
-    rows = views.durations(spark, sf_dir).where(F.col("duration_ms") < planning.LONG_MS)
+    rows = views.durations(spark, sf_dir).where(F.col("duration_ms") < planning.LONG_MS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")  # two numbers a row become hundreds of windows
     windows = F.concat(*(planning.sliding(F.col("duration_ms"), 12_000, hop, label) for label, hop in (("mix", 8_000), ("instrumental", 16_000), ("mix", 24_000))))
     best = planning.ranked_within(windows, lambda w: F.floor(w["start_ms"] / 1000) * 7919 % 1000, 10)
     return rows.select("id", F.posexplode(best).alias("place", "w")).select("id", "w.label", "w.start_ms", "w.end_ms", (F.col("place") + 1).alias("place"))
