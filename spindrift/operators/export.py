@@ -46,20 +46,23 @@ def job_json(jobs: DataFrame, items: DataFrame, segments: DataFrame) -> DataFram
 
 
 def job_pieces(jobs: DataFrame, items: DataFrame, segments: DataFrame) -> DataFrame:
-    """The JSON text of ``job_json`` as pieces: job_id, section, seq and text, in this order. No job's rows are put into one value.
+    """The JSON text of ``job_json`` as pieces: job_id, section, seq and text, dealt out by job and sorted in this order. No job's rows are put into one value.
 
-    ``sources.pieces.write_files`` makes a file of each job; a job without items or segments has empty arrays. Items and segments of jobs there are not are left out.
+    ``sources.pieces.write_files`` makes a file of each job and ``write_lines`` a line; a job without items or segments has empty arrays.
+    Items and segments of jobs there are not are left out: a job's own piece is its first, so it is seen before them. All rows are dealt out once.
     """
     def listed(rows: DataFrame, section: int) -> DataFrame:
-        own = rows.join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_semi")
-        body = F.to_json(F.struct(*(c for c in rows.columns if c != "job_id")))
-        place = F.row_number().over(Window.partitionBy("job_id").orderBy("seq", body))
-        return own.select("job_id", F.lit(section).alias("section"), place.cast("long").alias("seq"), F.concat(F.when(place == 1, "").otherwise(","), body).alias("text"))
+        return rows.select("job_id", F.lit(section).alias("section"), F.col("seq").cast("long").alias("_at"), F.to_json(F.struct(*(c for c in rows.columns if c != "job_id"))).alias("text"))
 
-    mark = lambda section, text: jobs.select(F.col("id").alias("job_id"), F.lit(section).alias("section"), F.lit(0).cast("long").alias("seq"), text.alias("text"))
+    mark = lambda section, text: jobs.select(F.col("id").alias("job_id"), F.lit(section).alias("section"), F.lit(0).cast("long").alias("_at"), text.alias("text"))
     head = mark(0, F.concat(F.lit('{"job":'), F.to_json(F.struct(*jobs.columns)), F.lit(',"items":[')))
     parts = [head, listed(items, 1), mark(2, F.lit('],"segments":[')), listed(segments, 3), mark(4, F.lit("]}"))]
-    return reduce(DataFrame.unionByName, parts)
+    rows = reduce(DataFrame.unionByName, parts).repartition("job_id").sortWithinPartitions("job_id", "section", "_at", "text")
+    own = Window.partitionBy("job_id").orderBy("section", "_at", "text").rowsBetween(Window.unboundedPreceding, 0)
+    place = F.row_number().over(Window.partitionBy("job_id", "section").orderBy("_at", "text"))
+    known = rows.withColumns({"_known": F.min("section").over(own), "_place": place}).where("_known = 0")
+    inner = F.col("section").isin(1, 3)
+    return known.select("job_id", "section", F.when(inner, F.col("_place")).otherwise(0).cast("long").alias("seq"), F.when(inner & (F.col("_place") > 1), F.concat(F.lit(","), "text")).otherwise(F.col("text")).alias("text"))
 
 
 def export(segments: DataFrame, fmt: str) -> DataFrame:
