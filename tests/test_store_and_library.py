@@ -89,7 +89,7 @@ def test_many_jobs_share_files_as_lines(spark, tmp_path):
     items = spark.range(900).select(F.concat(F.lit("j"), F.col("id") % 310).alias("job_id"), (F.col("id") % 2).alias("seq"), F.col("id").alias("title"))
     pieces.write_lines(export.job_pieces(jobs, items, items.select("job_id", "seq").limit(0)), str(tmp_path / "out"), "job_id", "text", ".jsonl", file_bytes=500)
     files = [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
-    assert 8 < len(files) < 100 and all(p.name.endswith(".jsonl.gz") for p in files)
+    assert len(files) < 30 and all(p.name.endswith(".jsonl.gz") for p in files)
     got = {b["job"]["id"]: b for b in (json.loads(r.value) for r in spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "out")).collect())}
     assert got.keys() == {f"j{k}" for k in range(300)} and all(b["job"]["status"] == "a\nb" for b in got.values())
     assert {k: [i["title"] for i in b["items"]] for k, b in got.items()} == {f"j{j}": sorted(range(j, 900, 310), key=lambda k: (k % 2, str(k))) for j in range(300)}
