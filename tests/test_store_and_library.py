@@ -92,7 +92,7 @@ def test_many_jobs_share_files_as_lines(spark, tmp_path):
     assert len(files) < 30 and all(p.name.endswith(".jsonl.gz") for p in files)
     got = {b["job"]["id"]: b for b in (json.loads(r.value) for r in spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "out")).collect())}
     assert got.keys() == {f"j{k}" for k in range(300)} and all(b["job"]["status"] == "a\nb" for b in got.values())
-    assert {k: [i["title"] for i in b["items"]] for k, b in got.items()} == {f"j{j}": sorted(range(j, 900, 310), key=lambda k: (k % 2, str(k))) for j in range(300)}
+    assert {k: [i["title"] for i in b["items"]] for k, b in got.items()} == {f"j{j}": sorted(range(j, 900, 310), key=lambda k: (k % 2, f"{k}}}")) for j in range(300)}
     with pytest.raises(Exception, match="no line breaks"):
         pieces.write_lines(spark.createDataFrame([("a", "x\ny")], "name string, t string"), str(tmp_path / "broken"), "name", "t")
     assert not [p for p in (tmp_path / "broken").rglob("*") if p.is_file()]
