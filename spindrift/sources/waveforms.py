@@ -1,14 +1,14 @@
 """Waveforms: PCM files as overlapping blocks, their windows' scores and their frames' features.
 
-``WaveSource`` reads RIFF files of whole-number or float PCM. A partition is a range of a file's bytes, and it reads the blocks that begin there, so
-a long file is many tasks' work and none holds more than a block. Files are reached through pyarrow's file systems.
+``WaveSource`` reads RIFF files of whole-number or float PCM. A range of a file's bytes has the blocks that begin there, and a partition is one range or
+many small ones, so a long file is many tasks' work, many short files are one task's, and none holds more than a few blocks. Files are reached through pyarrow's file systems.
 Transforms are numpy's, in Arrow batches.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import BinaryIO, NamedTuple
 
@@ -87,16 +87,41 @@ def plan(h: Header, chunk_seconds: float, overlap_seconds: float) -> tuple[int,
 
 @dataclass
 class Bytes(InputPartition):
-    path: str
-    first: int
-    last: int
+    """Ranges of files: path, first byte and the byte after the last."""
+
+    ranges: list[tuple[str, int, int]]
+
+
+#: What opening a file counts as in bytes, and the samples that go out in one batch of blocks.
+OPENING, BATCH_SAMPLES = 256 << 10, 1 << 18
+
+
+def packed(files: Iterable[tuple[str, int]], split: int, pack: int) -> list[InputPartition]:
+    """Files (path, size) cut into ranges of ``split`` bytes, and neighbouring ranges put together up to ``pack`` bytes with what opening costs."""
+    found: list[InputPartition] = []
+    ranges: list[tuple[str, int, int]] = []
+    cost = 0
+    for path, size in files:
+        for first in range(0, max(size, 1), split):
+            last = min(first + split, size)
+            joined = ranges and ranges[-1][0] == path
+            more = last - first + (0 if joined else OPENING)
+            if ranges and cost + more > pack:
+                found.append(Bytes(ranges))
+                ranges, cost, joined, more = [], 0, False, last - first + OPENING
+            if joined:
+                ranges[-1] = (path, ranges[-1][1], last)
+            else:
+                ranges.append((path, first, last))
+            cost += more
+    return [*found, Bytes(ranges)] if ranges else found
 
 
 class WaveReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
         self.chunk, self.overlap = float(options.get("chunkseconds", 600)), float(options.get("overlapseconds", 8))
-        self.split = int(options.get("splitbytes", 64 << 20))
+        self.split, self.pack = int(options.get("splitbytes", 64 << 20)), int(options.get("packbytes", 64 << 20))
 
     def partitions(self) -> list[InputPartition]:
         """Ranges of files by their sizes; no file is opened."""
@@ -105,29 +130,42 @@ class WaveReader(DataSourceReader):
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
-        waves = sorted((f for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".wav")), key=lambda f: f.path)
-        return [Bytes(f.path, a, min(a + self.split, f.size)) for f in waves for a in range(0, max(f.size, 1), self.split)]
+        waves = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".wav"))
+        return packed(waves, self.split, self.pack)
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         assert isinstance(partition, Bytes)
         store, _ = located(self.path)
-        with store.open_input_file(partition.path) as file:
-            h = header(file, partition.path)
-            step, size, n = plan(h, self.chunk, self.overlap)
-            frame = h.width * h.channels
-            for k in range(max(0, -(-(partition.first - h.start) // (step * frame))), n):
-                if h.start + k * step * frame >= partition.last:
-                    break
-                yield block_row(partition.path, h, k, k * step, read_frames(file, h, k * step, size))
-
-
-def block_row(path: str, h: Header, k: int, first: int, samples: np.ndarray) -> pa.RecordBatch:
-    values = [pa.array([path]), pa.array([h.rate], pa.int32()), pa.array([h.frames], pa.int64()), pa.array([k], pa.int64()), pa.array([first], pa.int64()), pa.array([samples], pa.list_(pa.float32()))]
+        rows: list[tuple] = []
+        held = 0
+        for path, first, last in partition.ranges:
+            with store.open_input_file(path) as file:
+                h = header(file, path)
+                step, size, n = plan(h, self.chunk, self.overlap)
+                frame = h.width * h.channels
+                for k in range(max(0, -(-(first - h.start) // (step * frame))), n):
+                    if h.start + k * step * frame >= last:
+                        break
+                    samples = read_frames(file, h, k * step, size)
+                    if rows and held + len(samples) > BATCH_SAMPLES:
+                        yield block_rows(rows)
+                        rows, held = [], 0
+                    rows.append((path, h.rate, h.frames, k, k * step, samples))
+                    held += len(samples)
+        if rows:
+            yield block_rows(rows)
+
+
+def block_rows(rows: list[tuple]) -> pa.RecordBatch:
+    """A batch of blocks, whose samples are one array cut by offsets."""
+    path, rate, frames, block, first, samples = zip(*rows, strict=True)
+    ends = np.cumsum([0, *map(len, samples)], dtype=np.int32)
+    values = [pa.array(path), pa.array(rate, pa.int32()), pa.array(frames, pa.int64()), pa.array(block, pa.int64()), pa.array(first, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(samples), pa.float32()))]
     return pa.RecordBatch.from_arrays(values, ["path", "rate", "frames", "block", "first_frame", "samples"])
 
 
 class WaveSource(DataSource):
-    """Options: path (a file, or a folder searched at any depth), chunkSeconds, overlapSeconds, splitBytes."""
+    """Options: path (a file, or a folder searched at any depth), chunkSeconds, overlapSeconds, splitBytes (of a range), packBytes (of a partition)."""
 
     @classmethod
     def name(cls) -> str:

@@ -146,3 +146,16 @@ def test_a_failed_write_leaves_no_file(spark, tmp_path):
     spark.dataSource.register(pieces.PiecesSource)
     with pytest.raises(Exception, match="rows .name, piece."):
         spark.createDataFrame([(1, 2)], "a int, b int").write.format("pieces").option("path", str(tmp_path / "x")).mode("append").save()
+
+
+def test_many_short_files_are_few_partitions(spark, tmp_path):
+    """Each range of each file was a task of its own; ranges that are cut between two partitions give each block once."""
+    rng = np.random.default_rng(8)
+    data = {f"{k:03d}": rng.integers(-32768, 32768, 40 + k % 90) for k in range(200)}
+    for k, x in data.items():
+        save(tmp_path / f"{k}.wav", x, rate=16)
+    for pack, most in ((64 << 20, 2), (waveforms.OPENING * 3, 100), (1, 10_000)):
+        blocks = blocks_of(spark, tmp_path, chunkSeconds="1", overlapSeconds="0.25", splitBytes="60", packBytes=str(pack))
+        assert blocks.rdd.getNumPartitions() <= most
+        got = {(Path(r.path).stem, r.block): (r.first_frame, r.samples) for r in blocks.collect()}
+        assert got == {(k, i): (a, (x[a:b] / 32768).tolist()) for k, x in data.items() for i, (a, b) in enumerate(plain_blocks(len(x), 16, 1, 0.25))}
