@@ -71,3 +71,42 @@ def test_playlists_are_opened_in_one_scan(spark):
     assert [x for x in got if x[0] > 1] == [(3, "no json", 0), (4, '{"entries":[]}', 0), (5, "x", 1), (5, '{"a":1.5}', 1)]
     assert [(json.loads(e)["title"], n) for i, e, n in got if i == 1] == [("leaf", 300), *((f"s{k}", 300 - k) for k in range(300))]
     assert found._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+
+
+def test_all_with_all_goes_by_blocks(spark, monkeypatch):
+    """Small blocks, null values, numbers far apart, ids that repeat and more tracks as near than are kept; pairs are not dealt out."""
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(similarity, "TRACK_BLOCK", 9)
+    rng = random.Random(4)
+    values = lambda wide: [None if rng.random() < 0.1 else rng.randrange(-wide, wide) for _ in range(rng.choice([0, 2, 10, 130]))]
+    tracks = [(k % 45, values(rng.choice([40, 40, 10**9])), rng.choice([0, 10, 30])) for k in range(50)] + [(45, None, 1)]
+    asked = [(100 + k, values(rng.choice([40, 10**9])), 10) for k in range(19)] + [(119, tracks[1][1], 10), (120, None, 5)]
+    q, t = spark.createDataFrame(asked, PRINT.format("query_id")), spark.createDataFrame(tracks, PRINT.format("track_id"))
+    shared = {}
+    for a, x, _ in asked:
+        for b, y, _ in tracks:
+            n = sum(v is not None and w is not None and abs(v - w) <= 10 for v, w in zip((x or [])[:120], (y or [])[:120], strict=False))
+            shared[a, b] = shared.get((a, b), 0) + n
+    best = {a: sorted((-n, b) for (c, b), n in shared.items() if c == a and n)[:5] for a, _, _ in asked}
+    expected = {(a, b): -n for a, found in best.items() for n, b in found}
+    for index in (t, t.where("track_id = 45 or track_id between 5 and 44")):
+        if index is not t:
+            expected = {}
+            for a in best:
+                for n, b in sorted((-n, b) for (c, b), n in shared.items() if c == a and n and 5 <= b < 45)[:5]:
+                    expected[a, b] = -n
+            index = similarity.fingerprint_index(index)
+        found = similarity.shortlist(q, index, limit=5)
+        assert {(r.query_id, r.track_id): r.shared for r in found.collect()} == expected
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in similarity.catalog_search(q, t)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_scores_of_unequal_sums(spark):
+    """0.5 * (0.7 + 0.3 * 10 / 30) and 0.4 as doubles differ in the last place; of equal scores the smallest id counts."""
+    queries = spark.createDataFrame([(1, [0] * 10, 10)], PRINT.format("query_id"))
+    rows = [(5, [0] * 4 + [99] * 6, 0), (6, [0] * 5 + [99] * 5, 30)]
+    for order in (rows, [(6, *rows[0][1:]), (5, *rows[1][1:])]):
+        tracks = spark.createDataFrame(order, PRINT.format("track_id"))
+        assert [r.track_id for r in similarity.catalog_search(queries, tracks).collect()] == [5]
+        assert [r.track_id for r in similarity.catalog_matches(queries, tracks, similarity.shortlist(queries, tracks)).collect()] == [5]
