@@ -29,14 +29,13 @@ def cosine_pairs(frames: DataFrame, least: float, reach: int) -> DataFrame:
 def nearest_frame(marks: DataFrame, frames: DataFrame, step_ms: int = 1_000) -> DataFrame:
     """The frame of its item that starts nearest to each mark, the earlier of two as near.
 
-    The last frame at or before a mark and the first after it come from one sort of marks and frames by time.
+    The last frame at or before a mark and the first after it come from marks and frames sorted by time, once in each direction: frames
+    of a window that only grow are taken in once, where those that shrink are gone through again for each row.
     """
     both = frames.select("item", F.col("start_ms").alias("at"), F.struct(F.col("start_ms").alias("s"), "idx").alias("frame"), F.lit(None).cast("long").alias("mark_ms")).unionByName(
         marks.select("item", F.col("mark_ms").alias("at"), F.lit(None).cast("struct<s:bigint,idx:int>").alias("frame"), F.col("mark_ms")))
-    back = Window.partitionBy("item").orderBy("at", F.col("mark_ms").isNotNull().cast("int"), F.desc("frame"))
-    before = F.last("frame", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("frame", ignorenulls=True).over(back.rowsBetween(0, Window.unboundedFollowing))
-    placed = both.withColumns({"_before": before, "_after": after}).where("mark_ms is not null")
+    last = lambda time: F.last("frame", ignorenulls=True).over(Window.partitionBy("item").orderBy(time, F.col("mark_ms").isNotNull().cast("int"), F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumns({"_before": last(F.asc("at")), "_after": last(F.desc("at"))}).where("mark_ms is not null")
     far = lambda f: F.when(f.isNotNull(), F.struct(F.abs(f["s"] - F.col("mark_ms")).alias("d"), f["idx"].alias("idx")))
     return placed.withColumn("_best", F.least(far(F.col("_before")), far(F.col("_after")))).select("item", "mark_ms", F.col("_best.idx").alias("idx"), F.col("_best.d").alias("distance_ms"))
 

@@ -110,3 +110,12 @@ def test_equal_scores_of_unequal_sums(spark):
         tracks = spark.createDataFrame(order, PRINT.format("track_id"))
         assert [r.track_id for r in similarity.catalog_search(queries, tracks).collect()] == [5]
         assert [r.track_id for r in similarity.catalog_matches(queries, tracks, similarity.shortlist(queries, tracks)).collect()] == [5]
+
+
+def test_nearest_frame_takes_each_frame_in_once(spark):
+    """A window that shrinks from row to row was gone through again for each; of frames that start together the earlier counts."""
+    frames = spark.createDataFrame([(1, 0, 0), (1, 1, 10), (1, 2, 10), (1, 3, 30), (2, 0, 5)], "item int, idx int, start_ms long")
+    marks = spark.createDataFrame([(1, 0), (1, 4), (1, 5), (1, 6), (1, 10), (1, 20), (1, 21), (1, 99), (2, 0), (2, 9), (3, 1)], "item int, mark_ms long")
+    found = similarity.nearest_frame(marks, frames)
+    assert {(r.item, r.mark_ms): (r.idx, r.distance_ms) for r in found.collect()} == {(1, 0): (0, 0), (1, 4): (0, 4), (1, 5): (0, 5), (1, 6): (1, 4), (1, 10): (1, 0), (1, 20): (1, 10), (1, 21): (3, 9), (1, 99): (3, 69), (2, 0): (0, 5), (2, 9): (0, 4), (3, 1): (None, None)}
+    assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString()
