@@ -59,7 +59,8 @@ def entries(paths: DataFrame, files: DataFrame, temporary: bool = True) -> DataF
     parts = F.split("path", "/")
     parents = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")), lambda p: p != "")
     sizes = files.select(F.explode(parents).alias("_at"), "size_bytes").groupBy("_at").agg(F.sum("size_bytes").alias("_bytes"))
-    rows = paths.join(sizes, F.col("path") == F.col("_at"), "left")
+    # Spark takes what a row is exploded into for no more than the row and would send all sizes to the driver to broadcast them.
+    rows = paths.join(sizes.hint("merge"), F.col("path") == F.col("_at"), "left")
     there = F.col("_at").isNotNull()
     rows = rows.where(there) if temporary else rows
     return rows.select(

@@ -96,3 +96,15 @@ def test_many_jobs_share_files_as_lines(spark, tmp_path):
     with pytest.raises(Exception, match="no line breaks"):
         pieces.write_lines(spark.createDataFrame([("a", "x\ny")], "name string, t string"), str(tmp_path / "broken"), "name", "t")
     assert not [p for p in (tmp_path / "broken").rglob("*") if p.is_file()]
+
+
+def test_sizes_of_folders_are_not_broadcast(spark):
+    """Few bytes by Spark's reckoning, and many rows once exploded, which the driver had to hold."""
+    from spindrift.operators import storage
+
+    paths = spark.createDataFrame([(1, "a", "excerpt", "x", "/c/d"), (1, "b", "excerpt", "x", "/c/none")], "job_id int, source_item_id string, category string, label string, path string")
+    files = spark.createDataFrame([("/c/d/e", 3), ("/c/d/f/g", 4), ("/c/h", 9)], "path string, size_bytes long")
+    found = storage.entries(paths, files)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.source_item_id, r.size_bytes) for r in found.collect()] == [("a", 7)]
+    assert {(r.source_item_id, r.size_bytes, r.exists_flag) for r in storage.entries(paths, files, temporary=False).collect()} == {("a", 7, True), ("b", 0, False)}
