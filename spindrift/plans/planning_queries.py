@@ -111,24 +111,25 @@ def split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.split_long(_segments(spark, sf_dir), 20_000).select("id", "part", "start_ms", "end_ms")
 
 
+def _dealt(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Dealt out, since two numbers a row become hundreds of windows."""
+    return rows.select("id", "duration_ms").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
 @query(f"""with {_D}, w as (select id, duration_ms, label, hop, unnest({_STARTS.format(last='duration_ms - 12000', step='hop')}) as start_ms from durations, (values ('mix', 8000), ('instrumental', 16000), ('mix', 24000)) v(label, hop) where duration_ms < 1500000),
 s as (select id, label, start_ms, least(duration_ms, start_ms + 12000) as end_ms, (start_ms // 1000 * 7919 % 1000)::bigint as score from w),
 o as (select distinct * from s) select id, label, start_ms, end_ms, row_number() over (partition by id order by score desc, start_ms, label, end_ms)::int as place from o qualify place <= 10""")
 def window_dedup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of three planners over all media but long mixes, distinct, the ten best of each."""
-    rows = views.durations(spark, sf_dir).where(F.col("duration_ms") < planning.LONG_MS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")  # two numbers a row become hundreds of windows
-    windows = F.concat(*(planning.sliding(F.col("duration_ms"), 12_000, hop, label) for label, hop in (("mix", 8_000), ("instrumental", 16_000), ("mix", 24_000))))
-    best = planning.ranked_within(windows, lambda w: F.floor(w["start_ms"] / 1000) * 7919 % 1000, 10)
-    return rows.select("id", F.posexplode(best).alias("place", "w")).select("id", "w.label", "w.start_ms", "w.end_ms", (F.col("place") + 1).alias("place"))
+    rows = _dealt(spark, views.durations(spark, sf_dir).where(F.col("duration_ms") < planning.LONG_MS))
+    return planning.planned_windows(rows, 12_000, [(8_000, "mix"), (16_000, "instrumental"), (24_000, "mix")], 10, lambda start: start // 1000 * 7919 % 1000)
 
 
 @query(f"""with {_D}, w as (select id, duration_ms, label, unnest({_STARTS.format(last='duration_ms - 12000', step='hop')}) as start_ms from durations, (values ('mix', 60000), ('instrumental', 90000)) v(label, hop)),
 o as (select distinct id, label, start_ms, least(duration_ms, start_ms + 12000) as end_ms from w) select id, label, start_ms, end_ms, row_number() over (partition by id order by start_ms, label, end_ms)::int as place from o qualify place <= 5""")
 def window_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of two planners as rows, in order of time, the first five of each medium."""
-    rows = views.durations(spark, sf_dir)
-    plans = [planning.sliding_windows(rows, 12_000, hop).withColumn("label", F.lit(label)) for label, hop in (("mix", 60_000), ("instrumental", 90_000))]
-    return planning.ranked(plans[0].unionByName(plans[1]), ["id"], F.lit(5), by_score=False).select("id", "label", "start_ms", "end_ms", "place")
+    """Windows of two planners, in order of time, the first five of each medium."""
+    return planning.planned_windows(_dealt(spark, views.durations(spark, sf_dir)), 12_000, [(60_000, "mix"), (90_000, "instrumental")], 5)
 
 
 @query(f"""with {views.HITS}, t as (select item, seq, start_ms, case when key = 'error' then 'speech_only' else 'music_unresolved' end as kind from hits)
