@@ -2,7 +2,8 @@
 
 A recognizer is a class with ``name`` and ``recognize(clip)``, which gives candidates (key, confidence). ``table_function`` makes it a Python
 table function: while Spark analyses a plan it checks that the clip is a struct with the fields that the recognizer
-needs and that its settings are there, and while the plan runs it gets clips in Arrow batches. Two forms are there: all
+needs and that its settings are there, and while the plan runs it gets clips in Arrow batches, or in pickled ones (``arrow=False``): as Arrow, each clip's
+few answers are a batch of their own, which takes several times as long. Two forms are there: all
 candidates of a clip, one row each, and the best one only, with exactly one row for each clip, whether or not something was found.
 
 ``walk`` joins probes laterally with one recognizer after the other. A recognizer gets null instead of the clip, and so is not
@@ -44,7 +45,7 @@ class Recognizer:
         raise NotImplementedError
 
 
-def table_function(kind: type[Recognizer], best: bool = True) -> UserDefinedTableFunction:
+def table_function(kind: type[Recognizer], best: bool = True, arrow: bool = True) -> UserDefinedTableFunction:
     """(clip struct, settings as JSON text) -> the best candidate with how many there were, or all candidates."""
 
     class Asked:
@@ -79,7 +80,7 @@ def table_function(kind: type[Recognizer], best: bool = True) -> UserDefinedTabl
             else:
                 yield from found
 
-    return F.udtf(Asked, useArrow=True)
+    return F.udtf(Asked, useArrow=arrow)
 
 
 @dataclass
@@ -124,9 +125,9 @@ class Registry:
             names.append(f"recognize_{kind.name}")
         return names
 
-    def candidates(self, probes: DataFrame, name: str, clip: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
+    def candidates(self, probes: DataFrame, name: str, clip: Callable[[Callable[[str], Column]], Column], arrow: bool = True) -> DataFrame:
         """All candidates of one recognizer, a row each; a probe without one has none. ``clip`` builds the clip from a probe's columns."""
-        asked = table_function(self.kinds[name], best=False)
+        asked = table_function(self.kinds[name], best=False, arrow=arrow)
         return probes.lateralJoin(asked(clip(outer), F.lit(json.dumps(dict(self.settings[name])))))
 
 
@@ -134,7 +135,7 @@ def outer(name: str) -> Column:
     return F.col(name).outer()
 
 
-def walk(probes: DataFrame, registry: Registry, clip: Callable[[Callable[[str], Column]], Column], sure: float = 0.92, strong_free: float = 0.80, order: Sequence[str] | None = None) -> DataFrame:
+def walk(probes: DataFrame, registry: Registry, clip: Callable[[Callable[[str], Column]], Column], sure: float = 0.92, strong_free: float = 0.80, order: Sequence[str] | None = None, arrow: bool = True) -> DataFrame:
     """Probes with turns, an array in order of (provider, asked, key, confidence, n_candidates, error), and the best answer as provider, key, confidence.
 
     ``clip`` builds the clip from a function that gives a probe's column by name. From a confidence of ``sure`` on, nobody is asked any more; from
@@ -150,7 +151,7 @@ def walk(probes: DataFrame, registry: Registry, clip: Callable[[Callable[[str],
         free = [j for j in range(k) if kinds[j].name not in PAID]
         spared = (highest(list(range(k))) >= sure) | (F.lit(kind.name in PAID) & (highest(free) >= strong_free))
         rows = rows.withColumn(f"_spared{k}", spared)
-        asked = table_function(kind)(F.when(~outer(f"_spared{k}"), clip(outer)), F.lit(json.dumps(dict(registry.settings[kind.name]))))
+        asked = table_function(kind, arrow=arrow)(F.when(~outer(f"_spared{k}"), clip(outer)), F.lit(json.dumps(dict(registry.settings[kind.name]))))
         rows = rows.lateralJoin(asked.select(F.struct(*ANSWER.names).alias(f"_a{k}")))
     turns = [F.struct(F.lit(n).alias("provider"), *(F.col(f"_a{k}.{c}").alias(c) for c in ("asked", "key", "confidence", "n_candidates", "error"))) for k, n in enumerate(kind.name for kind in kinds)]
     rows = rows.withColumn("turns", F.array(*turns) if turns else F.array().cast("array<struct<provider:string,asked:boolean,key:string,confidence:double,n_candidates:int,error:string>>"))

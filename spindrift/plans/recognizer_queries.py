@@ -54,6 +54,11 @@ def _clip(column: Callable[[str], Column]) -> Column:
     return F.struct(column("start_ms").alias("start_ms"), column("end_ms").alias("end_ms"))
 
 
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits dealt out, since a few small files hold many clips to ask for."""
+    return views.hits(spark, sf_dir).select("seq", "start_ms", "end_ms").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq")
+
+
 _WALK = f"""{views.HITS},
 c as (select *, case when end_ms - start_ms < 20000 then 'c' || start_ms % 11 end as ck, case when end_ms - start_ms < 20000 then 0.70::double + (start_ms % 5) / 16::double end as cc from hits),
 v as (select *, coalesce(cc, 0) < 0.92 as v_asked, coalesce(cc, 0) < 0.92 and start_ms % 13 != 0 and start_ms % 3 != 0 as v_found from c),
@@ -67,7 +72,7 @@ p as (select *, case when a_asked then 'a' || start_ms % 4 end as ak, case when
   'local_catalog' || case when v_asked then ',vibra' else '' end || case when a_asked then ',audd' else '' end as asked, v_asked and start_ms % 13 = 0 as failed from p""")
 def recognizer_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three recognizers in the registry's order, asked by lateral joins; sure answers and strong free ones spare those after them."""
-    found = recognizers.walk(views.hits(spark, sf_dir).select("seq", "start_ms", "end_ms"), registry(), _clip)
+    found = recognizers.walk(_probes(spark, sf_dir), registry(), _clip, arrow=False)
     asked = F.array_join(F.transform(F.filter("turns", lambda t: t["asked"]), lambda t: t["provider"]), ",")
     return found.select("seq", "provider", "key", "confidence", asked.alias("asked"), F.exists("turns", lambda t: t["error"].isNotNull()).alias("failed"))
 
@@ -76,4 +81,4 @@ def recognizer_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 union all select seq, 'v' || start_ms % 5, 0.5::double + (start_ms % 7) / 16::double from hits where start_ms % 13 != 0 and start_ms % 3 != 0""")
 def recognizer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates of one recognizer, as a lateral join."""
-    return registry().candidates(views.hits(spark, sf_dir).select("seq", "start_ms", "end_ms"), "vibra", _clip).select("seq", "key", "confidence")
+    return registry().candidates(_probes(spark, sf_dir), "vibra", _clip, arrow=False).select("seq", "key", "confidence")

@@ -62,3 +62,14 @@ def test_faults_are_found_while_the_plan_is_analysed(spark):
         probes(spark).lateralJoin(recognizers.table_function(Audd)(F.struct(F.col("start_ms").outer().alias("start_ms")), F.lit("{}"))).schema
     with pytest.raises(AnalysisException, match="takes a clip"):
         probes(spark).lateralJoin(recognizers.table_function(Vibra)(F.col("start_ms").outer(), F.lit("{}"))).schema
+
+
+def test_queries_pickle_their_clips(spark):
+    """Arrow makes a batch of each clip's answers, which took several times as long; both forms answer alike."""
+    from spindrift.plans import catalogue
+
+    for name in ("recognizer_walk", "recognizer_candidates"):
+        assert "ArrowEvalPythonUDTF" not in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: str(r)
+    for ask in (lambda arrow: recognizers.walk(probes(spark), registry(), clip, arrow=arrow), lambda arrow: registry().candidates(probes(spark), "vibra", clip, arrow=arrow)):
+        assert sorted(ask(True).collect(), key=key) == sorted(ask(False).collect(), key=key)
