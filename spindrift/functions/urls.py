@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from ipaddress import ip_network
 
 from pyspark.sql import Column
@@ -30,6 +32,11 @@ MEDIA_TYPES = "mp3 wav m4a flac ogg oga opus aac aif aiff wma mp4 m4v mkv webm m
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::\d+)?([^?#]*)(?:\?([^#]*))?"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is asked for."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.trim(url), _URL, 1))
 
@@ -81,11 +88,17 @@ def _from(parts: Column, n: int | None = None) -> Column:
 
 def canonical(url: Column) -> Column:
     """Secure scheme, one host for each site, trimmed path, and of the query only what a site's rule keeps."""
-    h, p, items = host(url), path(url), query_items(url)
+    parts = F.struct(host(url).alias("host"), path(url).alias("path"), _parts(path(url)).alias("parts"), query_items(url).alias("items"))
+    return F.when(is_url(url), once(parts, _rebuilt)).otherwise(url)
+
+
+def _rebuilt(address: Column) -> Column:
+    """The canonical form of an address taken apart (host, path, parts, items)."""
+    h, p, parts, items = (address[c] for c in ("host", "path", "parts", "items"))
     kept = without_tracking(items)
     only = lambda *keys: F.filter(kept, lambda i: i["key"].isin(*keys))
     none = F.filter(items, lambda i: F.lit(False))
-    parts, first = _parts(p), F.coalesce(F.get(_parts(p), F.lit(0)), F.lit(""))
+    first = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
     has = lambda n: F.size(parts) >= n
     at = lambda k: F.coalesce(F.get(parts, F.lit(k)), F.lit(""))
     on = lambda name: h.contains(name)
@@ -114,15 +127,12 @@ def canonical(url: Column) -> Column:
         (on("pornhub.") & (p == "/view_video.php"), p, only("viewkey")),
         (on("pornhub.") | on("vimeo.") | on("soundcloud."), p, kept),
     ]
-    # Other sites keep no query.
-    final_path, final_items = p, none
+    # Other sites keep no query. The first rule that fits gives path and query at once.
+    result = F.struct(p.alias("path"), none.alias("items"))
     for condition, new_path, new_items in reversed(rules):
-        final_path = F.when(condition, new_path).otherwise(final_path)
-        final_items = F.when(condition, new_items).otherwise(final_items)
-    trimmed = F.when(F.regexp_replace(final_path, "/+$", "") == "", F.when(F.length(final_path) > 1, "").otherwise("/")).otherwise(F.regexp_replace(final_path, "/+$", ""))
-    query = _query(final_items)
-    rebuilt = F.concat(F.lit("https://"), canonical_host(h), trimmed, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(is_url(url), rebuilt).otherwise(url)
+        result = F.when(condition, F.struct(new_path.alias("path"), new_items.alias("items"))).otherwise(result)
+    ends = once(result, lambda r: F.struct(r["path"].alias("path"), F.regexp_replace(r["path"], "/+$", "").alias("trimmed"), _query(r["items"]).alias("query")))
+    return once(ends, lambda e: F.concat(F.lit("https://"), canonical_host(h), F.when(e["trimmed"] == "", F.when(F.length(e["path"]) > 1, "").otherwise("/")).otherwise(e["trimmed"]), F.when(e["query"] == "", "").otherwise(F.concat(F.lit("?"), e["query"]))))
 
 
 def unwrapped(url: Column) -> Column:
@@ -145,10 +155,8 @@ def unsafe_address(name: Column) -> Column:
     octets = F.transform(F.split(plain, r"\."), lambda x: x.try_cast("long"))
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda total, x: total * 256 + x)
     v4 = plain.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    blocked = F.lit(False)
-    for block in UNSAFE_V4:
-        first, bits = int(ip_network(block)[0]), ip_network(block).prefixlen
-        blocked = blocked | number.between(first, first + (1 << (32 - bits)) - 1)
+    ranges = [(int(n[0]), int(n[-1])) for n in map(ip_network, UNSAFE_V4)]
+    blocked = once(number, lambda n: reduce(lambda a, b: a | b, (n.between(*r) for r in ranges)))
     v6 = plain.rlike("(?i)^(::1?|100::.*|2001:(0?db8|0?0?0?[0-9a-f]?|0?0?1[0-9a-f]|0?02):.*|3fff:.*|f[cd][0-9a-f]{2}:.*|fe[89ab-f][0-9a-f]:.*|ff[0-9a-f]{2}:.*)$")
     return F.coalesce((v4 & blocked) | v6 | (plain == "localhost"), F.lit(False))
 

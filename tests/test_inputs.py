@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from spindrift.functions import urls as U
 from spindrift.operators import assembly, providers
 from spindrift.sources import inputs
 
@@ -23,6 +24,14 @@ def test_inputs_become_items(spark):
     assert inputs.resolved(given.limit(0), files, answers).count() == 0
 
 
+def test_addresses_are_taken_apart_once(spark):
+    rows = spark.createDataFrame([("https://youtu.be/a?t=1", "10.0.0.1"), ("https://vimeo.com/1/?s=2", "9.255.255.255")], "url string, host string")
+    found = rows.select(U.canonical(F.col("url")).alias("url"), U.unsafe_address(F.col("host")).alias("unsafe"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") < 20 and plan.count("aggregate(") == 1
+    assert [tuple(r) for r in found.collect()] == [("https://youtu.be/a", True), ("https://vimeo.com/1", False)]
+
+
 def test_settings_and_segments_by_item(spark):
     rows = spark.createDataFrame([("a", 1, '{"k":"v"}'), ("b", 0, "{broken"), ("c", None, None)], "name string, enabled int, config_json string")
     assert {r.name: (r.enabled, r.config) for r in providers.saved_settings(rows).collect()} == {"a": (True, {"k": "v"}), "b": (False, {}), "c": (False, {})}
