@@ -22,32 +22,79 @@ import string
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm.bpe import vocabulary_path
 from spindrift.llm.common import byte_parts, shared_dir, text_or_empty, written
+from spindrift.llm.run_length_index import prints
 
-#: Words that a worker remembers at least; twice as many make it forget those that are not in use. Only speed depends on it.
-REMEMBERED = 120_000
+#: Bytes of words and their ids that a worker remembers at least; twice as many make it forget those that are not in use. Only speed depends on it.
+REMEMBERED = 24 << 20
 
 #: A word of Latin-1 letters and ASCII punctuation behind them, or none.
-SIMPLE = re.compile(f"([a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+)([{re.escape(string.punctuation)}]*)").fullmatch
+SIMPLE = f"^(?P<core>[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<tail>[{re.escape(string.punctuation)}]*)$"
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, times), ...), bins
 
 
+class Memory:
+    """Words and their ids as Arrow columns, ascending by fingerprint; what is found was compared by bytes."""
+
+    def __init__(self) -> None:
+        self.prints, self.words, self.ids = np.zeros(0, np.uint64), pa.array([], pa.binary()), pa.array([], pa.large_binary())
+
+    def find(self, prints: np.ndarray, words: pa.Array) -> pa.Array:
+        """Ids of each word, null for those that are not here."""
+        if not len(self.prints):
+            return pa.nulls(len(words), pa.large_binary())
+        at = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
+        there = pc.equal(self.words.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
+        return self.ids.take(pa.array(at, mask=~there))
+
+    def add(self, prints: np.ndarray, words: pa.Array, ids: pa.Array) -> None:
+        """A fingerprint belongs to the first word that came with it."""
+        new, first = np.unique(prints, return_index=True)
+        at = np.searchsorted(self.prints, new)
+        free = np.r_[self.prints, np.uint64(0)][at] != new if len(self.prints) else np.ones(len(new), dtype=bool)
+        free |= at == len(self.prints)
+        new, first, at = new[free], first[free], at[free]
+        order = pa.array(np.insert(np.arange(len(self.prints)), at, len(self.prints) + first))
+        self.prints = np.insert(self.prints, at, new)
+        self.words, self.ids = (pa.concat_arrays(pair).take(order) for pair in ((self.words, words), (self.ids, ids)))
+
+    def size(self) -> int:
+        return self.prints.nbytes + self.words.nbytes + self.ids.nbytes
+
+
+def fingerprints(words: pa.Array) -> np.ndarray:
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    ends = words.cast(pa.large_binary())
+    _, offsets, values = ends.buffers()
+    at = np.frombuffer(offsets, np.int64)[ends.offset : ends.offset + len(ends) + 1]
+    raw = np.frombuffer(values, np.uint8)[: at[-1]] if values else np.zeros(0, np.uint8)
+    return prints(raw[at[0] :], at[:-1] - at[0], np.diff(at))
+
+
+def packed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ids up to each end as bytes."""
+    offsets = 4 * np.r_[0, ends].astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
+
+
 class WordIds:
     """Ids of a vocabulary that drops white space, so that the words between ASCII spaces are encoded alone.
 
-    New words go through the tokenizer many at a time. A word of Latin-1 letters, with ASCII punctuation behind it or
-    not, is its lower-case letters, one pre-token whose last id ends a word, and its punctuation, another pre-token.
-    Other words stand with an added token between them, which splits them before any normalisation; words that hold
+    Each part of texts is cut into its different words by Arrow; new ones go through the tokenizer many at a time. A word of Latin-1 letters,
+    with ASCII punctuation behind it or not, is its lower-case letters, one pre-token whose last id ends a word, and its punctuation, another
+    pre-token. Other words stand with an added token between them, which splits them before any normalisation; words that hold
     an added token are encoded one by one.
     """
 
@@ -59,70 +106,89 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.added = [t.encode() for t in added]
+        self.added = list(added)
         self.mark, self.mark_id = next(iter(added.items()))
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(1 + max(vocab.values()), dtype=bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.known, self.before = Memory(), Memory()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _cut(self, names: list, ids: np.ndarray, ends: np.ndarray, into: dict, gap: int) -> None:
-        """Give each name the ids up to its end; gap: ids between one and the next."""
-        raw, begin = ids.tobytes(), 0
-        for name, end in zip(names, ends.tolist(), strict=True):
-            into[name] = raw[begin : 4 * end]
-            begin = 4 * (end + gap)
-
-    def learn(self, words: list[bytes]) -> None:
-        plain: list[bytes] = []
-        parts: list[tuple[str, str]] = []
-        rest: list[bytes] = []
-        for w, lower in zip(words, b"\n".join(words).decode().lower().split("\n"), strict=True):
-            if m := SIMPLE(lower):
-                plain.append(w)
-                parts.append(m.groups())
-            elif b"|" in w and any(t in w for t in self.added):
-                self.known[w] = self._ids(w.decode()).tobytes()
-            else:
-                rest.append(w)
-        for tail in {t for _, t in parts}.difference(self.tails):
-            self.tails[tail] = self._ids(tail).tobytes()
-        new = list({c for c, _ in parts}.difference(self.letters))
-        for a in range(0, len(new), 512):
-            ids = self._ids(" ".join(new[a : a + 512]))
-            self._cut(new[a : a + 512], ids, np.flatnonzero(self.ends_word[ids]) + 1, self.letters, 0)
-        for a in range(0, len(rest), 512):
-            ids = self._ids("".join(w.decode() + self.mark for w in rest[a : a + 512]))
-            self._cut(rest[a : a + 512], ids, np.flatnonzero(ids == self.mark_id), self.known, 1)
-        letters, tails = self.letters, self.tails
-        self.known.update(zip(plain, [letters[c] + tails[t] if t else letters[c] for c, t in parts], strict=True))
+    def recall(self, prints: np.ndarray, words: pa.Array) -> pa.Array:
+        """Ids of each word, null for those that are not remembered; words in use come back from before."""
+        ids = self.known.find(prints, words)
+        lacking = np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False))
+        if len(lacking) and len(self.before.prints):
+            some = words.take(pa.array(lacking))
+            again = self.before.find(prints[lacking], some)
+            back = again.is_valid()
+            self.known.add(prints[lacking][back.to_numpy(zero_copy_only=False)], some.filter(back), again.filter(back))
+            ids = pc.replace_with_mask(ids, ids.is_null(), again)
+        return ids
+
+    def ids_of(self, words: pa.Array, learn: Callable[[pa.Array], pa.Array]) -> pa.Array:
+        """Ids of different words; what is not remembered is learnt."""
+        keys = fingerprints(words)
+        ids = self.recall(keys, words)
+        lacking = ids.is_null()
+        new = words.filter(lacking)
+        if len(new):
+            learnt = learn(new)
+            self.known.add(keys[lacking.to_numpy(zero_copy_only=False)], new, learnt)
+            ids = pc.replace_with_mask(ids, lacking, learnt)
+        return ids
+
+    def letters(self, words: pa.Array) -> pa.Array:
+        """Ids of words of lower-case Latin-1 letters alone."""
+        listed = words.to_pylist()
+        ids = np.concatenate([self._ids(b" ".join(listed[a : a + 512]).decode()) for a in range(0, len(listed), 512)])
+        return packed(ids, np.flatnonzero(self.ends_word[ids]) + 1)
+
+    def others(self, words: pa.Array) -> pa.Array:
+        """Ids of any words."""
+        listed = [w.decode() for w in words.to_pylist()]
+        whole = [k for k, w in enumerate(listed) if "|" in w and any(t in w for t in self.added)]
+        apart = dict.fromkeys(whole, "")
+        found = []
+        for a in range(0, len(listed), 512):
+            ids = self._ids("".join(apart.get(a + k, w) + self.mark for k, w in enumerate(listed[a : a + 512])))
+            ends = np.flatnonzero(ids == self.mark_id)
+            found += [ids[i:j].tobytes() for i, j in zip(np.r_[0, ends[:-1] + 1].tolist(), ends.tolist(), strict=True)]
+        for k in whole:
+            found[k] = self._ids(listed[k]).tobytes()
+        return pa.array(found, pa.large_binary())
+
+    def learn(self, words: pa.Array) -> pa.Array:
+        """Ids of different words."""
+        parts = pc.extract_regex(words.view(pa.string()), SIMPLE)
+        plain = parts.is_valid()
+        ids = pa.nulls(len(words), pa.large_binary())
+        if pc.any(plain).as_py():
+            core, tail = (parts.filter(plain).field(k).dictionary_encode() for k in ("core", "tail"))
+            # Words that differ in their upper-case letters alone have one core.
+            lower = pc.utf8_lower(core.dictionary).dictionary_encode()
+            cores = self.ids_of(lower.dictionary.view(pa.binary()), self.letters).take(lower.indices).take(core.indices)
+            tails = self.ids_of(tail.dictionary.view(pa.binary()), self.others).take(tail.indices)
+            ids = pc.replace_with_mask(ids, plain, pc.binary_join_element_wise(cores, tails, pa.scalar(b"", pa.large_binary())))
+        rest = ids.is_null()
+        some = words.filter(rest)
+        return pc.replace_with_mask(ids, rest, self.others(some)) if len(some) else ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.before, self.known = self.known, {}  # words in use come back from there
-        for memory in (self.letters, self.tails):
-            if len(memory) > REMEMBERED:
-                memory.clear()
-        get = self.known.get
-        cut = [t.split() for t in texts]  # ASCII white space only
-        found = [list(map(get, words)) for words in cut]
-        unknown = [[k for k, ids in enumerate(part) if ids is None] for part in found]
-        new = {words[k] for words, places in zip(cut, unknown, strict=True) for k in places}
-        again = {w: self.before[w] for w in new if w in self.before}
-        self.known.update(again)
-        if len(again) < len(new):
-            self.learn([w for w in new if w not in again])
-        for words, part, places in zip(cut, found, unknown, strict=True):
-            for k in places:
-                part[k] = self.known[words[k]]
-        return list(map(b"".join, found))
+        if self.known.size() > REMEMBERED:
+            self.before, self.known = self.known, Memory()
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        coded = cut.flatten().dictionary_encode()
+        found = self.ids_of(coded.dictionary.view(pa.binary()), self.learn).take(coded.indices)
+        if not len(found):
+            return [b""] * len(texts)
+        _, offsets, values = found.buffers()
+        ends = np.frombuffer(offsets, np.int64)[cut.offsets.to_numpy()].tolist()
+        raw = values.to_pybytes() if values else b""
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 @cache

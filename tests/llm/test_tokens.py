@@ -77,6 +77,34 @@ def test_round_trip_query(spark, bytes_reference):
     assert bpe.round_trip(documents(spark, ["a", None], ids=[None, None])).count() == 2
 
 
+def test_packing_remembers_words(monkeypatch):
+    path = bpe.vocabulary_path("word_bpe_49k.json")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[n // 26**k % 26] for k in range(4)) for n in range(450_000)]
+    parts = [" ".join(words[a : a + 75_000]).encode() for a in range(0, len(words), 75_000)]
+    own = bin_packing.WordIds(path)
+    before = [own.encode([part])[0] for part in parts]
+    monkeypatch.setattr(own, "_ids", None)  # nothing is left to be encoded
+    assert [own.encode([part])[0] for part in parts] == before
+
+
+@pytest.mark.parametrize("forgetful, colliding", [(True, False), (False, True), (True, True)])
+def test_packing_memory_changes_nothing(monkeypatch, forgetful, colliding):
+    texts = [(t or "").encode() for t in odd_texts()] + [b"", b"\x1c a\x0bB \x85 a\x00 a\x00\x00 K\xe2\x84\xaa <|endoftext|>x| |".replace(b"\x85", b"\xc2\x85")]
+    path = bpe.vocabulary_path("word_bpe_49k.json")
+    reference = tokenizers.Tokenizer.from_file(path)
+    whole = [np.array(reference.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    if forgetful:
+        monkeypatch.setattr(bin_packing, "REMEMBERED", 1)
+    if colliding:
+        monkeypatch.setattr(bin_packing, "fingerprints", lambda words: np.zeros(len(words), np.uint64))
+    own = bin_packing.WordIds(path)
+    for _ in range(2):
+        assert [own.encode([t])[0] for t in texts] == whole
+        assert own.encode(texts) == whole
+    assert own.encode([]) == []
+
+
 def check_packing(rows, texts, reference, capacity):
     by_doc, bins = defaultdict(list), defaultdict(list)
     for r in rows:
