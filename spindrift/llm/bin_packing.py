@@ -67,7 +67,9 @@ class Memory:
         new, first, at = new[free], first[free], at[free]
         order = pa.array(np.insert(np.arange(len(self.prints)), at, len(self.prints) + first))
         self.prints = np.insert(self.prints, at, new)
-        self.words, self.ids = (pa.concat_arrays(pair).take(order) for pair in ((self.words, words), (self.ids, ids)))
+        # One after the other, so that no more than one of the two is there twice.
+        self.words = pa.concat_arrays((self.words, words)).take(order)
+        self.ids = pa.concat_arrays((self.ids, ids)).take(order)
 
     def size(self) -> int:
         return self.prints.nbytes + self.words.nbytes + self.ids.nbytes

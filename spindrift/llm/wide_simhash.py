@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindrift.llm import simhash
-from spindrift.llm.common import BROADCAST_BYTES, byte_parts, bytes_of, dealt_join, parts_of, scratch, shared_dir, text_or_empty, without, written
+from spindrift.llm.common import BROADCAST_BYTES, byte_parts, bytes_of, dealt_join, given_back, parts_of, scratch, shared_dir, text_or_empty, without, written
 from spindrift.llm.connected import components
 from spindrift.llm.simhash import embedded_array
 
@@ -230,6 +230,7 @@ def links_of(batches: Iterator[pa.RecordBatch], n_words: int, distance: int, cel
                 yield out(np.repeat(vertex[a + of], len(others)), vertex[a + others])
 
     for batch in batches:
+        given_back()
         code, vertex, x = batch.column("code").to_numpy(zero_copy_only=False), batch.column("vertex").to_numpy(zero_copy_only=False), words_of(batch, n_words)
         if passing is not None:
             same = code == passing

@@ -1,7 +1,10 @@
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -105,6 +108,35 @@ def test_packing_memory_changes_nothing(monkeypatch, forgetful, colliding):
     assert own.encode([]) == []
 
 
+HELD = """
+import re
+from pathlib import Path
+import pyarrow as pa
+import pyarrow.compute as pc
+from spindrift.llm.common import byte_parts
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) >> 10
+
+def stream():
+    for n in range(8):
+        yield pa.RecordBatch.from_pydict({"text": [" ".join(f"{n}w{k * 1000 + i}" for i in range(1000)) for k in range(600)]})
+
+before = held()
+for _, texts in byte_parts(stream(), "text"):
+    words = pc.ascii_split_whitespace(pa.array(texts).view(pa.string())).flatten().dictionary_encode()
+    words = words.dictionary.take(pc.sort_indices(words.dictionary))
+    words = texts = None
+print(held() - before, pa.total_allocated_bytes() >> 20)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="tells a process's memory by Linux's /proc")
+def test_parts_give_memory_back():
+    held, used = map(int, subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True).stdout.split())
+    assert held < used + 48
+
+
 def check_packing(rows, texts, reference, capacity):
     by_doc, bins = defaultdict(list), defaultdict(list)
     for r in rows:
