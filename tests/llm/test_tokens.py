@@ -65,6 +65,41 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert [small.encode([t])[0] for t in texts] == whole
 
 
+def test_words_in_use_are_learnt_once(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    own = bpe.PairIndexBpe(bpe.vocabulary_path("byte_bpe_50k.json"))
+    learnt, learn = Counter(), own.learn
+    monkeypatch.setattr(own, "learn", lambda words: (learnt.update(w if isinstance(w, bytes) else w.encode() for w in words), learn(words))[1])
+    for k in range(40):
+        own.encode([f"common words, {' '.join('q' + 'abcdefghij'[n // 10] + 'abcdefghij'[n % 10] + 'z' * k for n in range(20))}"])
+    assert learnt[b"common"] == learnt[b" words"] == learnt[b","] == 1
+    assert len(own.known) + len(own.before) < 200
+
+
+@pytest.mark.parametrize("many", [1, 4, 10**9])
+def test_places_as_arrays_or_one_by_one(monkeypatch, bytes_reference, many):
+    monkeypatch.setattr(bpe, "MANY", many)
+    own = bpe.PairIndexBpe(bpe.vocabulary_path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    texts = [*(t or "" for t in odd_texts()), *("".join(rng.choice(("ab", "th", "he", "aa", " ", "in", "er", "é", "-", "!!")) for _ in range(rng.randrange(400))) for _ in range(60))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [bytes_reference.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_cutting_is_the_pattern():
+    own = bpe.encoder(bpe.vocabulary_path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    letters = ["'", "'s", "'re", "'l", "'ve", "'d", "s", "e", "l", "a", "É", "日", "1", "²", " ", "  ", "\n", "\t ", "\u00a0", "\u3000", "\x1c", "\x85", "!", "\u0301", "\U0001f600", "\x00"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(30_000)]
+    words, ends = own.cut(texts)
+    words, a, pattern = words.to_pylist(), 0, bpe.regex.compile(bpe.PRE_TOKEN)
+    for text, b in zip(texts, ends.tolist(), strict=True):
+        assert [w.decode() for w in words[a:b]] == pattern.findall(text)
+        a = b
+    mark = "<|endoftext|>"
+    words, ends = own.cut([f"a {mark} b", mark, "", f"{mark}{mark}'s ", " x"])
+    assert [w.decode() for w in words.to_pylist()] == ["a", " ", mark, " b", mark, mark, mark, "'s", " ", " x"] and ends.tolist() == [4, 5, 5, 9, 10]
+
+
 def test_round_trip_query(spark, bytes_reference):
     texts = odd_texts()
     docs = documents(spark, texts)
