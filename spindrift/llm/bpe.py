@@ -5,8 +5,7 @@ of different pre-tokens; those not met before are laid out in one symbol array.
 An index maps every mergeable pair (by its rank) to all its positions in that array. Active ranks are taken in
 ascending order, each is applied at all its positions, and the positions of the pairs to the left and right of
 every merge are added to the lists of their ranks. The result equals merging each pre-token on its own, since
-merges never cross a pre-token and a pair only ever gives rise to pairs of higher rank. Places of one rank with two
-different symbols never overlap, so a long list of them is merged as arrays.
+merges never cross a pre-token and a pair only ever gives rise to pairs of higher rank. A long list of places is merged as arrays.
 
 Rows are independent: the plan has no shuffle. Null and empty text give no ids and the digest of nothing.
 """
@@ -235,13 +234,18 @@ class PairIndexBpe:
             r = heapq.heappop(active)
             left, right, new = self.rules[r]
             many, places = index.pop(r)
-            if left != right and len(places) + sum(map(len, many)) >= MANY:
+            if len(places) + sum(map(len, many)) >= MANY:
                 i = np.concatenate((*many, np.array(places, dtype=np.int64)))
                 i = i[symbols[i] == left]
                 i = np.sort(i[symbols[after[i]] == right])
                 once = np.ones(len(i), dtype=bool)
                 once[1:] = i[1:] != i[:-1]  # a place may have come from both of its sides
                 i = i[once]
+                if left == right:  # of overlapping places every other one, from the left
+                    heads = np.ones(len(i), dtype=bool)
+                    heads[1:] = after[i[:-1]] != i[1:]
+                    heads = np.flatnonzero(heads)
+                    i = i[(np.arange(len(i)) - np.repeat(heads, np.diff(np.append(heads, len(i))))) % 2 == 0]
                 j = after[i]
                 symbols[i], symbols[j] = new, -2
                 k = after[i] = after[j]
